@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, key_filter, with_maybe, without_ids, written
@@ -79,6 +79,31 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mixed((rows * _BAND_MUL).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+BITS = [f"bits{i}" for i in range(REGISTERS // 32)]
+
+
+def two_bits(regs: np.ndarray) -> np.ndarray:
+    """Two hashed bits of each register, 32 registers to a 64-bit number: a short form for comparing inside a join."""
+    two = (mixed(regs.astype(np.uint64) + np.uint64(1)) & np.uint64(3)).reshape(-1, 32)
+    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def differing() -> Column:
+    """How many registers differ in their two bits, of sides x_ and y_."""
+    total = F.lit(0)
+    for k in BITS:
+        x = F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))
+        either = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(either.bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
+def bits_apart(percent: int) -> int:
+    """Five standard deviations above what similarity ``percent`` leads to: unequal registers differ 3 times in 4."""
+    p = 0.75 * (1 - percent / 100)
+    return math.ceil(REGISTERS * p + 5 * math.sqrt(REGISTERS * p * (1 - p)))
+
+
 def similarity_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of register pairs, given both set sizes.
 
@@ -112,13 +137,13 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     s = shingle_set(text, width, seen)
                     if len(s):
                         r = registers(s)
-                        out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), r.tobytes(), band_keys(r)))
+                        out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), r.tobytes(), band_keys(r), two_bits(r)))
                     else:
-                        out.append((doc, 0, b"none" + str(doc).encode(), None, None))
-                yield pd.DataFrame(out, columns=["id", "n_shingles", "digest", "regs", "bands"]).astype({"id": "Int64"})
+                        out.append((doc, 0, b"none" + str(doc).encode(), None, None, None))
+                yield pd.DataFrame(out, columns=["id", "n_shingles", "digest", "regs", "bands", "bits"]).astype({"id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "id long, n_shingles long, digest binary, regs binary, bands array<long>")
+    return rows.mapInPandas(run, "id long, n_shingles long, digest binary, regs binary, bands array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -153,12 +178,13 @@ def likely(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
     return both.where(estimate("ra", "rb", "na", "nb") >= least).select("a", "b")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, percent: int, id_col: str, text_col: str, sets: DataFrame | None = None) -> DataFrame:
     """Pairs whose full shingle sets reach ``percent`` hundredths of similarity, written."""
     # 160 registers leave a standard error near 0.03 at 0.8: a margin of 0.2 is over six of them.
     pairs = written(likely(pairs, sketch, max(0.0, percent / 100 - 0.2)))
-    wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = shingle_sets(docs, wanted, width, id_col, text_col)
+    if sets is None:
+        wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+        sets = shingle_sets(docs, wanted, width, id_col, text_col)
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return written(
@@ -168,16 +194,29 @@ def linked(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, per
     )
 
 
+def split_buckets(members: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component c, and the buckets that hold several: band, n, main (largest component), minor."""
+    at = written(members.join(part, "id", "left").select("band", "id", "met", F.coalesce("component", "id").alias("c")))
+    sizes = at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    found = (
+        sizes.groupBy("band")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("k"))
+        .where("k > 1").select("band", "n", (-F.col("top.c")).alias("main"), (F.col("n") - F.col("top.n")).alias("minor"))
+    )
+    return at, written(found)
+
+
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = 50) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of ``docs``.
 
     Equal sets are one class, named by its smallest id. Classes that share a band of registers are candidates:
-    first each with the smallest id of its bucket, then, inside buckets that still hold several components,
-    every member outside the bucket's largest component with every member of other components. Every pair of
-    a bucket is thus either inside a component already or checked, without expanding groups into all their
-    pairs. When that second step would make over ``pairs_per_member`` pairs a member, it runs in slices and
-    components grow between slices; no pair is left out. A pair at the threshold shares no band with
-    probability (1 - 0.8^5)^32 < 4e-6.
+    first each with the hub of its bucket (the document that meets most others), then, inside buckets that
+    still hold several components, every member outside the bucket's largest component with the members of
+    other components whose shingles shared with anything else and two-bit registers allow the similarity. Every pair of a bucket is thus
+    either inside a component already or checked, without expanding groups into all their pairs. When that
+    second step could make over ``pairs_per_member`` pairs a member, it runs in slices and components grow
+    between slices; no pair is left out. A pair at the threshold shares no band with probability
+    (1 - 0.8^5)^32 < 4e-6, and the two-bit test fails it with probability below 1e-6.
 
     Null or empty texts, and texts of white space only, have an empty set and link with nothing. Rows that
     repeat an id are one node. Rows without an id have no component and are kept.
@@ -187,43 +226,51 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
     classes = written(full.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = written(full.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     banded = reps.select("id", F.explode("bands").alias("band"))
-    buckets = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").select("band", "first"))
+    buckets = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     near = with_maybe(banded, written(key_filter(buckets, "band")), "band").where("_maybe").select("band", "id")
-    members = written(near.join(buckets, "band"))
-
-    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    tried = written(stars)
+    shared = written(near.join(buckets, "band"))
+    # Documents that meet many others come first: the least changed copy of a group is near more of the group.
+    meets = written(shared.groupBy("id").agg(F.sum("n").alias("met")))
+    members = written(shared.select("band", "id").join(meets, "id"))
     check = (docs, reps, width, percent, id_col, text_col)
-    links = linked(tried, *check)
-    part = components(links)
-
-    def placed():
-        found = members.select("band", "id").join(part, "id", "left")
-        return written(found.select("band", "id", F.coalesce("component", "id").alias("c")))
-
-    at = placed()
-    sizes = at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed_up = written(
-        sizes.groupBy("band")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("k"))
-        .where("k > 1").select("band", "n", (-F.col("top.c")).alias("main"), (F.col("n") - F.col("top.n")).alias("minor"))
+    hub = F.struct("met", (-F.col("id")).alias("negative"))
+    firsts = written(members.groupBy("band").agg((-F.max(hub)["negative"]).alias("hub")))
+    tried = written(
+        members.join(firsts, "band").where("id <> hub")
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     )
-    total, most = mixed_up.agg(F.sum(F.col("minor") * F.col("n")), F.sum("n")).first()
+    links = linked(tried, *check)
+    at, open_buckets = split_buckets(members, components(links))
+    total, most = open_buckets.agg(F.sum(F.col("minor") * F.col("n")), F.sum("n")).first()
+    if total:
+        pool = written(at.join(open_buckets.select("band"), "band").select("id").distinct())
+        sets = shingle_sets(docs, pool, width, id_col, text_col)
+        # Shingles that no other document of an open bucket has can be in no intersection.
+        solo = (
+            sets.select("id", F.explode("shingles").alias("s")).groupBy("s")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+            .groupBy("id").agg(F.count(F.lit(1)).alias("solo"))
+        )
+        marks = written(
+            reps.join(pool, "id", "left_semi").join(written(solo), "id", "left")
+            .select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("solo", F.lit(0))).alias("common"), *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(BITS)])
+        )
     slices = max(1, math.ceil((total or 0) / (pairs_per_member * max(1, most or 0)))) if total else 0
     for i in range(slices):
         if i:
-            part = components(links)
-            at = placed()
-        open_ = at.join(mixed_up.select("band", "main"), "band")
+            at, open_buckets = split_buckets(members, components(links))
+        open_ = at.join(open_buckets.select("band", "main"), "band")
         pivots = open_.where((F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.lit(slices)) == i))
+        side = ["band", "id", "c", "n_shingles", "common", *BITS]
+        x = written(pivots.join(marks, "id").select(*side)).toDF("band", *(f"x_{k}" for k in side[1:]))
+        y = written(open_.join(marks, "id").select(*side)).toDF("band", *(f"y_{k}" for k in side[1:]))
+        overlap, both = F.least("x_common", "y_common"), F.col("x_n_shingles") + F.col("y_n_shingles")
         pairs = (
-            written(pivots.select("band", F.col("id").alias("x"), F.col("c").alias("cx")))
-            .join(written(open_.select("band", F.col("id").alias("y"), "c")), "band").where("c <> cx")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            x.join(y, (x.band == y.band) & (F.col("x_c") != F.col("y_c")) & (overlap * 100 >= (both - overlap) * percent) & (differing() <= bits_apart(percent)))
+            .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
         )
-        links = written(links.unionAll(linked(pairs.join(tried, ["a", "b"], "left_anti"), *check)))
-    if slices:
-        part = components(links)
+        links = written(links.unionAll(linked(pairs.join(tried, ["a", "b"], "left_anti"), *check, sets)))
+    part = components(links)
 
     named = written(classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     out = sketch.select("id", "n_shingles", "digest").join(named, "digest", "left")

@@ -16,7 +16,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_SEGMENTS, MAX_PAIRS = 400_000, 400_000
+MAX_SEGMENTS, MAX_PAIRS = 800_000, 800_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -74,14 +74,14 @@ class Model:
         # Where no piece goes on over the start of a run of spaces, every path passes that boundary.
         self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not inner else "(?s).+")
         self.past: dict[str, tuple] = {}
-        self.usable = {p for p in self.ids if self.whole(p)} if self.kind == BPE else set()
+        self.usable = {p: i for p, i in self.ids.items() if self.kind == BPE and self.whole(p)}
         self.past.clear()
         # The longest usable piece that ends in given three characters; other endings leave pieces of one or two.
         self.reach: dict[str, int] = {}
         for p in self.usable:
             if len(p) > 2:
                 self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.near: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def history(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
@@ -107,15 +107,11 @@ class Model:
         got = self.past[piece] = (made, left, right, len(parts) == 1)
         return got
 
-    def follows(self, before: str, piece: str) -> bool:
+    def apart(self, before: str, piece: str) -> bool:
         """Whether BPE keeps ``before`` and ``piece`` apart, each whole, when they stand side by side.
 
         Replays both merge sequences in order of score and looks whether a merge over the border comes first.
         """
-        key = (before, piece)
-        ok = self.fits.get(key)
-        if ok is not None:
-            return ok
         made_a, _, ends, _ = self.history(before)
         made_b, starts, _, _ = self.history(piece)
         i = j = 0
@@ -125,48 +121,58 @@ class Model:
             if k is not None:
                 over = self.scores[k]
                 if (i == na or over > made_a[i]) and (j == nb or over >= made_b[j]):
-                    ok = False
-                    break
+                    return False
             if i == na and j == nb:
-                ok = True
-                break
+                return True
             if j == nb or (i < na and made_a[i] >= made_b[j]):
                 i += 1
             else:
                 j += 1
-        if len(self.fits) >= MAX_PAIRS:
-            self.fits.clear()
-        self.fits[key] = ok
-        return ok
 
     def whole(self, piece: str) -> bool:
         return self.history(piece)[3]
 
-    def at_once(self, text: str) -> list[str]:
-        """What ``stream`` yields, for a BPE model and a text so short that the window never moves on."""
-        usable, reach, fits, follows = self.usable, self.reach, self.fits, self.follows
-        last: list = [None]
-        back = [0]
+    def at_once(self, text: str) -> tuple[int, ...]:
+        """The ids of what ``stream`` yields, for a BPE model and a text so short that the window never moves on."""
+        usable, reach, near = self.usable, self.reach, self.near
+        last, back = [-1], [0]  # -1: nothing before, or an unknown character, which merges with nothing
         for i in range(1, len(text) + 1):
             j = i - reach.get(text[i - 3 : i], 2) if i > 2 else 0
             if j < 0:
                 j = 0
             while True:
-                part = text[j:i]
-                if part in usable or j == i - 1:
-                    if not j:
+                k = usable.get(text[j:i])
+                if k is not None:
+                    before = last[j]
+                    if before < 0:
                         break
-                    ok = fits.get((last[j], part))
-                    if ok or (ok is None and follows(last[j], part)):
+                    key = before << 32 | k
+                    ok = near.get(key)
+                    if ok is None:
+                        if len(near) >= MAX_PAIRS:
+                            near.clear()
+                        ok = near[key] = self.apart(self.pieces[before], self.pieces[k])
+                    if ok:
                         break
+                elif j == i - 1:
+                    k = -1
+                    break
                 j += 1
-            last.append(part)
+            last.append(k)
             back.append(j)
         out, at = [], len(text)
         while at:
-            out.append(last[at])
+            k = last[at]
+            if k >= 0:
+                out.append(k)
+            else:
+                out.extend(reversed(self.outside(text[at - 1])))
             at = back[at]
-        return out[::-1]
+        return tuple(out[::-1])
+
+    def outside(self, piece: str) -> list[int]:
+        """Ids of a character outside the vocabulary: its bytes, or the unknown piece."""
+        return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
     def stream(self, text: str) -> Iterator[str]:
         """Pieces of ``text``, committed from left to right.
@@ -191,7 +197,7 @@ class Model:
                 part = text[j:i]
                 if part in ids:
                     if bpe:
-                        if part in self.usable and (last[j] is None or self.follows(last[j], part)):
+                        if part in self.usable and (last[j] is None or self.apart(last[j], part)):
                             start, piece = j, part
                             break
                     elif (s := score[j] + scores[ids[part]]) > top:
@@ -226,16 +232,15 @@ class Model:
         yield from reversed(tail)
 
     def encode_segment(self, segment: str) -> tuple[int, ...]:
+        if self.kind == BPE and self.bytes and len(segment) <= 4 * self.width:
+            return self.at_once(segment)
         out: list[int] = []
-        short = self.kind == BPE and len(segment) <= 4 * self.width
-        for piece in self.at_once(segment) if short else self.stream(segment):
+        for piece in self.stream(segment):
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8", "replace"))
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            elif self.bytes or not out or out[-1] != self.unknown:
+                out.extend(self.outside(piece))
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
