@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, quality, setsketch, sharding, spm
+from . import chat, covertree, exact, mixing, quality, setsketch, sharding, spm, tagpaths, toxicity
 from .common import documents, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -16,10 +24,24 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_dedup(documents(spark, sf_dir), width=2, percent=80)
 
 
+#: A conversation made of the template's own control strings, added to the table.
+HARD_CASE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(HARD_CASE, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_chats(chat.conversation_records(rows), "conv_id", "turn", "record"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(documents(spark, sf_dir))
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(documents(spark, sf_dir))
 
@@ -33,9 +55,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_main_text": op2_main_text,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_chat": op5_chat,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_cover_tree": op7_cover_tree,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,

@@ -16,6 +16,8 @@ from .common import fold
 
 LENGTH, SPAN, DECAY = 4, 8, 0.6  # of the subsequences: letters, letters from first to last at most, weight per letter spanned
 LETTERS = 32
+CUTS = (0.3, 0.6, 1.0)
+N_FEATURES = len(CUTS) + 3
 MAX_WORDS_KEPT = 300_000
 _CODES = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 1)} | {"é": 27, "è": 28, "ê": 29, "ç": 30} | dict.fromkeys("ñöäüßóíáúàâîôûùëïœæ", 31)
 _TABLE = {i: chr(_CODES.get(chr(i).lower(), 0)) for i in range(0x250)}
@@ -65,14 +67,32 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights.astype(np.float32)
-        self.final = np.zeros(7)
+        grid = self.weights.reshape((LETTERS,) * LENGTH)
+        grid[0], grid[:, 0], grid[:, :, 0], grid[..., 0] = 0, 0, 0, 0
+        self.final = np.zeros(N_FEATURES)
         self.seen: dict[str, float] = {}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        for owner, feature, weight in subsequences(words):
-            out += np.bincount(owner, self.weights[feature] * weight, len(words))
-        return out
+        """Sum over a word's subsequences of DECAY to the letters skipped times the feature's weight.
+
+        Words stand SPAN - 1 blanks apart, and features with a blank weigh nothing, so none reaches over two words.
+        """
+        if not words:
+            return np.zeros(0)
+        blank = "\0" * (SPAN - 1)
+        c = np.frombuffer((blank.join(words) + blank).translate(_TABLE).encode("utf-32-le", "replace"), np.uint32).astype(np.int32)
+        c[c >= LETTERS] = 0
+        n = len(c) - SPAN + 1
+        shifted = [c[: len(c)] * LETTERS**k for k in range(LENGTH)]
+        total = np.zeros(n + SPAN - 1, np.float32)
+        for last in range(LENGTH - 1, SPAN):
+            part = np.zeros(n, np.float32)
+            for a, b, z in _OFFSETS:
+                if z == last:
+                    part += self.weights[shifted[3][:n] + shifted[2][a : a + n] + shifted[1][b : b + n] + shifted[0][z : z + n]]
+            total[:n] += part * np.float32(DECAY ** (last + 1 - LENGTH))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + SPAN - 1
+        return np.add.reduceat(total, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.seen]
@@ -84,21 +104,22 @@ class Scorer:
             self.seen.update(zip(part, self.word_scores(part).tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: 1, three largest word scores, sum of the positive parts over 1/2, their share, log words."""
+        """Per text: 1, words per hundred that score over each of CUTS (up to 4), mean of the three largest scores, log words."""
         words = [tokens(t) for t in texts]
-        out = np.zeros((len(texts), 7))
+        out = np.zeros((len(texts), N_FEATURES))
         out[:, 0] = 1
         for i, ws in enumerate(words):
-            for j in range(0, max(1, len(ws)), 100_000):
-                self.learn(set(ws[j : j + 100_000]))
             if not ws:
                 continue
-            # learn() may have dropped words of an earlier part of a very long text
-            f = np.array([self.seen[w] if w in self.seen else float(self.word_scores([w])[0]) for w in ws])
-            top = np.sort(f[np.argpartition(f, -3)[-3:]] if len(f) > 3 else f)[::-1][:3]
-            out[i, 1 : 1 + len(top)] = np.clip(top, -1, 2)
-            hits = np.maximum(f - 0.5, 0).clip(0, 1)
-            out[i, 4:] = np.log1p(hits.sum()), 100 * hits.mean(), np.log1p(len(ws)) / 5
+            f = []
+            for j in range(0, len(ws), 100_000):
+                part = ws[j : j + 100_000]
+                self.learn(set(part))
+                f += [self.seen[w] for w in part]
+            f = np.array(f)
+            top = np.partition(f, -3)[-3:] if len(f) > 3 else f
+            out[i, 1 : 1 + len(CUTS)] = [min(4.0, 100 * (f > c).mean()) for c in CUTS]
+            out[i, -2:] = np.clip(top, 0, 2).sum() / 3, np.log1p(len(ws)) / 5
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -110,7 +131,7 @@ def grams(words: set[str], low: int = 4, high: int = 8) -> set[str]:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Letter strings far commoner in toxic texts, none contained in another with as many, then common clean words."""
+    """Letter strings far commoner in toxic texts, no two with a normalised kernel over 1/2, then common clean words."""
     count = Counter(g for ws in toxic for g in grams(ws))
     least = max(3, len(toxic) // 100)
     wanted = {g for g, n in count.items() if n >= least and g.isalpha()}
@@ -123,11 +144,19 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
 
     ranked = sorted(((z(g), len(g), g) for g in wanted), key=lambda x: (-round(x[0], 2), -x[1], x[2]))
     kept: list[str] = []
-    for value, _, g in ranked:
+    taken: list[dict[int, float]] = []
+    for value, _, g in ranked[: 40 * most]:
         if len(kept) >= most or value < 3:
             break
-        if not any((g in k or k in g) for k in kept):
+        own: dict[int, float] = {}
+        for _, feature, weight in subsequences([g]):
+            for f in feature.tolist():
+                own[f] = own.get(f, 0.0) + weight
+        norm = sum(v * v for v in own.values()) ** 0.5
+        own = {f: v / norm for f, v in own.items()}
+        if own and not any(sum(v * t.get(f, 0.0) for f, v in own.items()) > 0.5 for t in taken):
             kept.append(g)
+            taken.append(own)
     common = Counter(w for ws in clean for w in ws if w.isalpha() and len(w) >= LENGTH)
     return kept + [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
@@ -248,10 +277,15 @@ def toxicity_scores(
         scorer = Scorer(np.zeros(LETTERS**LENGTH))
         scorer.final[0] = np.log((share + 1e-6) / (1 - share + 1e-6))
     else:
-        # Word weights from one half, the step from words to documents from the other: neither sees its own errors.
-        scorer = Scorer(fit_words(texts[::2], y[::2]))
-        x = scorer.features(texts[1::2])
-        scorer.final = fit_logistic(x, np.array(y[1::2]))
+        # The step from words to documents learns from halves whose words were weighed without them.
+        halves = [list(range(0, len(texts), 2)), list(range(1, len(texts), 2))]
+        x, order = [], []
+        for fit, use in (halves, halves[::-1]):
+            part = Scorer(fit_words([texts[i] for i in fit], [y[i] for i in fit]))
+            x.append(part.features([texts[i] for i in use]))
+            order += [y[i] for i in use]
+        scorer = Scorer(fit_words(texts, y))
+        scorer.final = fit_logistic(np.vstack(x), np.array(order))
         scorer.final[0] += np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(max(1, sum(y)) / max(1, len(y) - sum(y)))
         scorer.seen = {}
 
