@@ -39,7 +39,7 @@ def g02(spark, d):
     return sm.stratified_split(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 0.6, "split")
 
 
-@query("g03_hash_modulo", "SELECT doc_id, (list_reduce(list_prepend(0, list_transform(string_split(sha256(doc_id::VARCHAR), ''), x -> ('0x' || x)::INT)), (a, x) -> (a * 16 + x) % 10))::INT AS bucket FROM documents")
+@query("g03_hash_modulo", "SELECT doc_id, (list_reduce(list_prepend(0, list_transform(string_split(sha256(doc_id::VARCHAR), ''), lambda x: ('0x' || x)::INT)), lambda a, x: (a * 16 + x) % 10))::INT AS bucket FROM documents")
 def g03(spark, d):
     return table(spark, d, "documents").select("doc_id", sm.hash_modulo(F.col("doc_id").cast("string"), 10).alias("bucket"))
 
@@ -83,9 +83,9 @@ COST = "cst AS (SELECT p.unit, (np - n1) * 6 + (n1 - n2) * 12 + n2 * 25 AS cost
 GATES = [(0.25, ["ax"]), (0.5, ["bx", "cx"])]
 
 
-@query("i01_pool", f"WITH {POOL} SELECT unit, cand, round(score, 6) AS score, ok FROM pool")
+@query("i01_pool", f"WITH {POOL} SELECT unit, cand, round(score, 8) AS score, ok FROM pool")
 def i01(spark, d):
-    return pool(spark, d).select("unit", "cand", r6("score"), "ok")
+    return pool(spark, d).select("unit", "cand", F.round("score", 8).alias("score"), "ok")
 
 
 @query("i02_gates", f"WITH {COMMIT}, m1 AS (SELECT axis, avg(c) AS c FROM t GROUP BY axis), g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]) AS s), x AS (SELECT axis, min(s)::DOUBLE AS gate FROM m1, g WHERE s >= c GROUP BY axis) SELECT gate, string_agg(axis, ',' ORDER BY axis) AS axes FROM x GROUP BY gate")
