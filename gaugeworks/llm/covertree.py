@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +35,27 @@ def usable(v) -> np.ndarray | None:
 class Tree:
     """Levels of one subtree: each level splits the members of the level above around centres at least a radius apart."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, shape: bytes | None = None):
         self.x = x
-        whole = np.arange(len(x))
-        self.levels: list[list[np.ndarray]] = [[whole]] if len(x) else [[]]
+        self.single = x.astype(np.float32)
+        if shape is not None:
+            self.levels, self.centres, self.radii = pickle.loads(shape)
+            return
+        levels: list[list[np.ndarray]] = [[np.arange(len(x))]] if len(x) else [[]]
         for r in RADII:
-            nodes = [part for node in self.levels[-1] for part in self.split(node, r)]
-            # A level that splits nearly everything into single vectors prunes nothing that the next one doesn't.
-            if len(nodes) <= 0.9 * len(x) or r == RADII[-1]:
-                self.levels.append(nodes)
+            levels.append([part for node in levels[-1] for part in self.split(node, r)])
+        # A level with nearly as many nodes as the finest one costs as much as that and prunes nothing more.
+        self.levels = [n for n in levels[:-1] if 2 * len(n) <= len(levels[-1])] + levels[-1:]
         self.centres, self.radii = [], []
         for nodes in self.levels:
             c = np.array([n[0] for n in nodes], np.int64)
             self.centres.append(c)
             self.radii.append(np.array([math.sqrt(max(0.0, 2 - 2 * float((x[n] @ x[n[0]]).min()))) if len(n) > 1 else 0.0 for n in nodes]))
 
+    def shape(self) -> bytes:
+        """Everything but the vectors: built once for a subtree, used in all its pairs."""
+        return pickle.dumps((self.levels, self.centres, self.radii))
+
     def split(self, node: np.ndarray, r: float) -> list[np.ndarray]:
         """Greedy net: the first vector left takes all within ``r``."""
         left, out = node, []
@@ -85,12 +92,18 @@ def pairs_of(a: Tree, b: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.n
             b_rows[b.levels[level][j]] = True
     use_a = np.arange(len(ca)) if keep is None else np.flatnonzero(keep[ca])
     use_b = np.arange(len(cb)) if b_rows is None else np.flatnonzero(b_rows[cb])
+    if not len(use_a) or not len(use_b):
+        return
+    right, widest = b.single[cb[use_b]].T, float(rb[use_b].max())
     for i in range(0, len(use_a), 512):
         rows = use_a[i : i + 512]
-        d2 = 2 - 2 * (a.x[ca[rows]] @ b.x[cb[use_b]].T)
-        limit = ra[rows][:, None] + rb[use_b][None, :] + reach
-        for p, q in zip(*np.nonzero(d2 <= limit * limit), strict=True):
-            yield a.levels[-1][rows[p]], b.levels[-1][use_b[q]]
+        near = a.single[ca[rows]] @ right
+        # Single precision and the widest radius first, with slack; then the pair's own radii in double precision.
+        least = (1 - (ra[rows] + widest + reach) ** 2 / 2 - 1e-4).astype(np.float32)
+        for p, q in zip(*np.nonzero(near >= least[:, None]), strict=True):
+            d2 = 2 - 2 * float(a.x[ca[rows[p]]] @ b.x[cb[use_b[q]]])
+            if d2 <= (ra[rows[p]] + rb[use_b[q]] + reach) ** 2:
+                yield a.levels[-1][rows[p]], b.levels[-1][use_b[q]]
 
 
 def compare(a: Tree, b: Tree, ids_a: np.ndarray, ids_b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray, cosine: float, same: bool):
@@ -177,10 +190,10 @@ def near_dedup(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_i
         radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
         return pd.DataFrame({
             "block": [int(pdf["cell"].iloc[0]) << 32 | int(pdf["part"].iloc[0])], "n": [len(pdf)], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-            "weights": [pdf["weight"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()], "centre": [centre.tolist()], "radius": [radius],
+            "weights": [pdf["weight"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()], "tree": [Tree(x).shape()], "centre": [centre.tolist()], "radius": [radius],
         })
 
-    schema = "block long, n long, ids binary, weights binary, xs binary, centre array<double>, radius double"
+    schema = "block long, n long, ids binary, weights binary, xs binary, tree binary, centre array<double>, radius double"
     blocks = written(dealt.groupBy("cell", "part").applyInPandas(pack, schema))
     heads = sorted((r["block"], r["centre"], r["radius"]) for r in blocks.select("block", "centre", "radius").collect())
     reach = math.sqrt(2 - 2 * cosine) + 1e-9
@@ -189,15 +202,15 @@ def near_dedup(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_i
         near = [b for b, cb, rb in heads[i:] if math.dist(ca, cb) <= ra + rb + reach]
         todo += [(a, b) for b in near]
     pairs = spark.createDataFrame(todo, "a long, b long")
-    left, right = blocks.select(F.col("block").alias("a"), "ids", "weights", "xs"), blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("weights_b"), F.col("xs").alias("xs_b"))
+    left, right = blocks.select(F.col("block").alias("a"), "ids", "weights", "xs", "tree"), blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("weights_b"), F.col("xs").alias("xs_b"), F.col("tree").alias("tree_b"))
     both = pairs.join(left, "a").join(right, "b").repartition(max(1, len(todo)), "a", "b")
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 ids_a, ids_b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_b, np.int64)
-                a = Tree(np.frombuffer(r.xs).reshape(len(ids_a), -1))
-                b = a if r.a == r.b else Tree(np.frombuffer(r.xs_b).reshape(len(ids_b), -1))
+                a = Tree(np.frombuffer(r.xs).reshape(len(ids_a), -1), r.tree)
+                b = a if r.a == r.b else Tree(np.frombuffer(r.xs_b).reshape(len(ids_b), -1), r.tree_b)
                 count_a, count_b, edges = compare(a, b, ids_a, ids_b, np.frombuffer(r.weights, np.int64), np.frombuffer(r.weights_b, np.int64), cosine, r.a == r.b)
                 for ids, count in ((ids_a, count_a), (ids_b, count_b)):
                     at = count > 0
