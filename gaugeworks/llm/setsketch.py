@@ -99,9 +99,9 @@ def differing() -> Column:
 
 
 def bits_apart(percent: int) -> int:
-    """Five standard deviations above what similarity ``percent`` leads to: unequal registers differ 3 times in 4."""
+    """Four standard deviations above what similarity ``percent`` leads to: unequal registers differ 3 times in 4."""
     p = 0.75 * (1 - percent / 100)
-    return math.ceil(REGISTERS * p + 5 * math.sqrt(REGISTERS * p * (1 - p)))
+    return math.ceil(REGISTERS * p + 4 * math.sqrt(REGISTERS * p * (1 - p)))
 
 
 def similarity_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -162,33 +162,31 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, te
     return written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
 
 
-def likely(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimated similarity is at least ``least``."""
-    side = sketch.select("id", "regs", "n_shingles")
-    both = (
-        pairs.join(side.toDF("b", "rb", "nb"), "b").join(side.toDF("a", "ra", "na"), "a")
-    )
+def estimated(*columns: str) -> Column:
+    """``similarity_estimate`` of register and size columns (ra, rb, na, nb)."""
 
     @F.pandas_udf("double")
-    def estimate(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    def run(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         a = np.frombuffer(b"".join(ra), np.uint16).reshape(-1, REGISTERS)
         b = np.frombuffer(b"".join(rb), np.uint16).reshape(-1, REGISTERS)
         return pd.Series(similarity_estimate(a, b, na.to_numpy(float), nb.to_numpy(float)))
 
-    return both.where(estimate("ra", "rb", "na", "nb") >= least).select("a", "b")
+    return run(*columns)
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, percent: int, id_col: str, text_col: str, sets: DataFrame | None = None) -> DataFrame:
-    """Pairs whose full shingle sets reach ``percent`` hundredths of similarity, written."""
-    # 160 registers leave a standard error near 0.03 at 0.8: a margin of 0.2 is over six of them.
-    pairs = written(likely(pairs, sketch, max(0.0, percent / 100 - 0.2)))
+    """Pairs whose estimate allows ``percent`` hundredths of similarity and whose full shingle sets reach it, written."""
+    pairs = written(pairs)
     if sets is None:
         wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
         sets = shingle_sets(docs, wanted, width, id_col, text_col)
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    side = written(sets.join(sketch.select("id", "regs", "n_shingles").dropDuplicates(["id"]), "id"))
+    both = pairs.join(side.toDF("b", "sb", "rb", "nb"), "b").join(side.toDF("a", "sa", "ra", "na"), "a")
+    # 160 registers leave a standard error near 0.03 at 0.8: a margin of 0.2 is over six of them.
+    close = both.where(estimated("ra", "rb", "na", "nb") >= max(0.0, percent / 100 - 0.2))
     shared = F.size(F.array_intersect("sa", "sb"))
     return written(
-        both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
+        close.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
         .where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
         .select(F.col("a").alias("src"), F.col("b").alias("dst"))
     )
@@ -206,7 +204,7 @@ def split_buckets(members: DataFrame, part: DataFrame) -> tuple[DataFrame, DataF
     return at, written(found)
 
 
-def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = 50) -> DataFrame:
+def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = 200) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of ``docs``.
 
     Equal sets are one class, named by its smallest id. Classes that share a band of registers are candidates:
@@ -216,7 +214,7 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
     either inside a component already or checked, without expanding groups into all their pairs. When that
     second step could make over ``pairs_per_member`` pairs a member, it runs in slices and components grow
     between slices; no pair is left out. A pair at the threshold shares no band with probability
-    (1 - 0.8^5)^32 < 4e-6, and the two-bit test fails it with probability below 1e-6.
+    (1 - 0.8^5)^32 < 4e-6, and the two-bit test fails it with probability below 1e-4.
 
     Null or empty texts, and texts of white space only, have an empty set and link with nothing. Rows that
     repeat an id are one node. Rows without an id have no component and are kept.
@@ -269,7 +267,9 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
             x.join(y, (x.band == y.band) & (F.col("x_c") != F.col("y_c")) & (overlap * 100 >= (both - overlap) * percent) & (differing() <= bits_apart(percent)))
             .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
         )
-        links = written(links.unionAll(linked(pairs.join(tried, ["a", "b"], "left_anti"), *check, sets)))
+        new = written(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionAll(new)
+        links = written(links.unionAll(linked(new, *check, sets)))
     part = components(links)
 
     named = written(classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
