@@ -114,7 +114,7 @@ def test_near_dedup_of_chains_and_groups(spark):
         rows.append((i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows, 2, 80)
-    got = {r.doc_id: r.component_id for r in setsketch.near_dedup(df, width=2, pairs_per_member=5).collect()}
+    got = {r.doc_id: r.component_id for r in setsketch.near_dedup(df, width=2).collect()}
     assert got == want
 
 
