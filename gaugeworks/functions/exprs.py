@@ -15,7 +15,7 @@ EPS = 1e-9
 def gain(a_fork: Column, a_ind: Column, on_saturated: str = "zero") -> Column:
     """(f - i) / (1 - i) in [0, 1]; where the baseline is 1: zero or null. Null stays null."""
     saturated = F.lit(0.0) if on_saturated == "zero" else F.lit(None).cast("double")
-    return F.when(a_ind >= 1 - EPS, saturated).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (a_fork - a_ind) / (1 - a_ind))))
+    return F.when(a_ind >= 1 - EPS, saturated).otherwise(clip01((a_fork - a_ind) / (1 - a_ind)))
 
 
 def clip01(x: Column) -> Column:
@@ -75,7 +75,7 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in [-1, 1]; 0 if a norm is 0 or the lengths differ."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
+    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).when(norms.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
 def safe_id(text: Column) -> Column:
