@@ -241,6 +241,7 @@ def fit_words(texts: list[str], labels: list[int], most: int = 64, rounds: int =
         owner += [d] * len(found[::step])
         y += [1 if label else -1] * len(found[::step])
     x = np.zeros((len(sentences), len(marks)), np.float32)
+    slim = table.astype(np.float32)
     for start in range(0, len(sentences), 2000):
         chunk = sentences[start : start + 2000]
         distinct = sorted({w for ws in chunk for w in ws})
@@ -249,7 +250,10 @@ def fit_words(texts: list[str], labels: list[int], most: int = 64, rounds: int =
         for own, feature, weight in subsequences(distinct):
             at = where[feature]
             hit = at >= 0
-            np.add.at(per_word, own[hit], table[at[hit]] * weight)
+            own = own[hit]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))  # letters of a word stand together
+            if len(starts):
+                per_word[own[starts]] += np.add.reduceat(slim[at[hit]], starts, axis=0) * np.float32(weight)
         for i, ws in enumerate(chunk):
             x[start + i] = per_word[[number[w] for w in ws]].sum(0)
     x = x @ whiten.astype(np.float32)
