@@ -194,7 +194,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, per
 
 def split_buckets(members: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their component c, and the buckets that hold several: band, n, main (largest component), minor."""
-    at = written(members.join(part, "id", "left").select("band", "id", "met", F.coalesce("component", "id").alias("c")))
+    at = written(members.join(part, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
     sizes = at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
     found = (
         sizes.groupBy("band")
@@ -212,8 +212,8 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
     still hold several components, every member outside the bucket's largest component with the members of
     other components whose shingles shared with anything else and two-bit registers allow the similarity. Every pair of a bucket is thus
     either inside a component already or checked, without expanding groups into all their pairs. When that
-    second step could make over ``pairs_per_member`` pairs a member, it runs in slices and components grow
-    between slices; no pair is left out. A pair at the threshold shares no band with probability
+    second step could make over ``pairs_per_member`` pairs a member, it runs in slices of these members and components
+    grow between slices; only pairs that lie in one component by then are left out. A pair at the threshold shares no band with probability
     (1 - 0.8^5)^32 < 4e-6, and the two-bit test fails it with probability below 1e-4.
 
     Null or empty texts, and texts of white space only, have an empty set and link with nothing. Rows that
@@ -254,11 +254,15 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
             .select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("solo", F.lit(0))).alias("common"), *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(BITS)])
         )
     slices = max(1, math.ceil((total or 0) / (pairs_per_member * max(1, most or 0)))) if total else 0
+    # Pivots stay those of this split: one end at least of every pair that lies apart now is the pivot of some slice.
+    outside = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("id"), F.lit(max(1, slices))))
+    open_ = at.join(open_buckets.select("band", "main"), "band").withColumn("slice", outside).drop("main")
+    first = written(open_.drop("c")) if slices > 1 else None
     for i in range(slices):
         if i:
-            at, open_buckets = split_buckets(members, components(links))
-        open_ = at.join(open_buckets.select("band", "main"), "band")
-        pivots = open_.where((F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("id"), F.lit(slices)) == i))
+            at, open_buckets = split_buckets(first, components(links))
+            open_ = at.join(open_buckets.select("band"), "band")
+        pivots = open_.where(F.col("slice") == i)
         side = ["band", "id", "c", "n_shingles", "common", *BITS]
         x = written(pivots.join(marks, "id").select(*side)).toDF("band", *(f"x_{k}" for k in side[1:]))
         y = written(open_.join(marks, "id").select(*side)).toDF("band", *(f"y_{k}" for k in side[1:]))

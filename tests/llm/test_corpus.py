@@ -118,6 +118,32 @@ def test_near_dedup_of_chains_and_groups(spark):
     assert got == want
 
 
+def test_slices_lose_no_pair(spark, monkeypatch):
+    """One bucket holds three groups and a hub apart; two groups merge in the first slice and outgrow the third."""
+    slices = 5
+    pick = spark.range(1, 400).select("id", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("s")).collect()
+    early, late = ([r.id for r in pick if (r.s == 0) == now] for now in (True, False))
+    y2, (y, x2), x, (y3, z, z2, *others) = late[0], early[1:3], late[1], late[2:9]
+    changed = {y2: "", y3: "a", y: "bc", x: "bcdef", x2: "bcdefg", z: "bcdefgijk", z2: "bcdefgijkl"}  # three changes are near, four are not
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i, letters in changed.items():
+        words = list(base)
+        for c in letters:
+            words[2 + 5 * "abcdefgijkl".index(c)] = c
+        rows.append((i, " ".join(words)))
+    rows += [(i, " ".join(f"v{k}" for k in range(60 + n))) for n, i in enumerate(others)]
+    hub = others[0]
+    bands = {hub: [0, 4]} | {i: [4] for i in others[1:]} | {y2: [0, 1], y3: [0, 1], y: [0, 1], x: [0, 2], x2: [0, 2], z: [0, 3], z2: [0, 3]}
+    place = spark.createDataFrame(list(bands.items()), "id long, bands array<long>")
+    real = setsketch.sketches
+    monkeypatch.setattr(setsketch, "sketches", lambda *a: real(*a).drop("bands").join(place, "id").select("id", "n_shingles", "digest", "regs", "bands", "bits"))
+    got = setsketch.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2, pairs_per_member=1)
+    want = brute_components(rows, 2, 80)
+    assert len(set(want.values())) == 2
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
