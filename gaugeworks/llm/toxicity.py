@@ -13,13 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
 LENGTH, SPAN, DECAY = 4, 8, 0.6  # of the subsequences: letters, letters from first to last at most, weight per letter spanned
 LETTERS = 32
 CUTS = (0.3, 0.6, 1.0)
 N_FEATURES = len(CUTS) + 3
 MAX_WORDS_KEPT = 300_000
+BLOCK = 8192  # rows of a matrix product
 _CODES = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 1)} | {"é": 27, "è": 28, "ê": 29, "ç": 30} | dict.fromkeys("ñöäüßóíáúàâîôûùëïœæ", 31)
 _TABLE = {i: chr(_CODES.get(chr(i).lower(), 0)) for i in range(0x250)}
 _OFFSETS = [(a, b, c) for a, b, c in combinations(range(1, SPAN), LENGTH - 1)]
@@ -173,16 +174,23 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     return kept + [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 30) -> np.ndarray:
-    """Primal support vector machine with squared hinge loss, classes weighed alike, by Newton steps; last weight: bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * cost
-    w = np.zeros(x.shape[1])
-    reg = np.eye(len(w)) * 1e-2
+def fit_svm(x: np.ndarray, y: np.ndarray, use: np.ndarray, cost: float = 10.0, steps: int = 30) -> np.ndarray:
+    """Primal support vector machine with squared hinge loss, classes weighed alike, by Newton steps; last weight: bias.
+
+    Learns from the rows ``use``, a block at a time, so that ``x`` is never copied.
+    """
+    weight = np.where(y > 0, 0.5 / max(1, (use & (y > 0)).sum()), 0.5 / max(1, (use & (y <= 0)).sum())) * cost
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve((xa * wa[:, None]).T @ xa + reg, (xa * (wa * y[active])[:, None]).sum(0))
+        gram, right = np.eye(len(w)) * 1e-2, np.zeros(len(w))
+        for i in range(0, len(x), BLOCK):
+            yb, wb = y[i : i + BLOCK], weight[i : i + BLOCK]
+            xb = np.hstack([x[i : i + BLOCK], np.ones((len(yb), 1))])
+            active = use[i : i + BLOCK] & (yb * (xb @ w) < 1)
+            xa, wa = xb[active], wb[active]
+            gram += (xa * wa[:, None]).T @ xa
+            right += (xa * (wa * yb[active])[:, None]).sum(0)
+        new = np.linalg.solve(gram, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -202,51 +210,43 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50
     return w
 
 
-def fit_words(texts: list[str], labels: list[int], most: int = 64, rounds: int = 3) -> np.ndarray:
-    """Feature weights from sentences that carry their document's label.
+class Landmarks:
+    """Landmarks chosen from texts (their sets of words); kernels of sentences with them.
 
     The kernel of two sentences is the sum of the kernels of their words. Nystroem: with landmark kernel matrix K,
-    a sentence is K^-1/2 times its kernels with the landmarks. At most 24 sentences of a toxic and 8 of a clean
-    document are used, evenly spaced. After the first round a toxic document keeps only
-    its best-scoring sentences as positives, as most of its sentences hold no insult.
+    a sentence is K^-1/2 times its kernels with the landmarks.
     """
-    words = [set(map(sys.intern, tokens(t))) for t in texts]
-    marks = choose_landmarks([w for w, y in zip(words, labels, strict=True) if y], [w for w, y in zip(words, labels, strict=True) if not y], most)
-    del words
-    weights = np.zeros(LETTERS**LENGTH, np.float32)
-    if not marks:
-        return weights
-    column: dict[int, int] = {}
-    rows, cols, values = [], [], []
-    for owner, feature, weight in subsequences(marks):
-        for o, f in zip(owner.tolist(), feature.tolist(), strict=True):
-            rows.append(o)
-            cols.append(column.setdefault(f, len(column)))
-            values.append(weight)
-    table = np.zeros((len(column), len(marks)))
-    np.add.at(table, (cols, rows), values)
-    norm = np.sqrt((table**2).sum(0)) + 1e-12
-    table /= norm
-    kernel = table.T @ table
-    val, vec = np.linalg.eigh(kernel + 1e-3 * np.eye(len(marks)))
-    whiten = (vec / np.sqrt(val)) @ vec.T
-    where = np.full(LETTERS**LENGTH, -1, np.int32)
-    where[list(column)] = list(column.values())
-
-    sentences, owner, y = [], [], []
-    for d, (t, label) in enumerate(zip(texts, labels, strict=True)):
-        found = [ws for s in _SENTENCE.split(t) if (ws := list(map(sys.intern, tokens(s))))]
-        step = max(1, -(-len(found) // (24 if label else 8)))
-        sentences += found[::step]
-        owner += [d] * len(found[::step])
-        y += [1 if label else -1] * len(found[::step])
-    x = np.zeros((len(sentences), len(marks)), np.float32)
-    slim = table.astype(np.float32)
-    for start in range(0, len(sentences), 2000):
-        chunk = sentences[start : start + 2000]
-        distinct = sorted({w for ws in chunk for w in ws})
+
+    def __init__(self, words: list[set[str]], labels: list[int], most: int = 64):
+        self.marks = choose_landmarks([w for w, y in zip(words, labels, strict=True) if y], [w for w, y in zip(words, labels, strict=True) if not y], most)
+        column: dict[int, int] = {}
+        rows, cols, values = [], [], []
+        for owner, feature, weight in subsequences(self.marks):
+            for o, f in zip(owner.tolist(), feature.tolist(), strict=True):
+                rows.append(o)
+                cols.append(column.setdefault(f, len(column)))
+                values.append(weight)
+        self.features = list(column)
+        self.table = np.zeros((len(column), len(self.marks)))
+        np.add.at(self.table, (cols, rows), values)
+        self.table /= np.sqrt((self.table**2).sum(0)) + 1e-12
+
+    def whiten(self) -> np.ndarray:
+        val, vec = np.linalg.eigh(self.table.T @ self.table + 1e-3 * np.eye(len(self.marks)))
+        return (vec / np.sqrt(val)) @ vec.T
+
+    def where(self) -> np.ndarray:
+        at = np.full(LETTERS**LENGTH, -1, np.int32)
+        at[self.features] = np.arange(len(self.features))
+        return at
+
+    def kernels(self, sentences: list[list[str]], where: np.ndarray) -> np.ndarray:
+        """Kernels of sentences (lists of words) with the landmarks."""
+        slim = self.table.astype(np.float32)
+        x = np.zeros((len(sentences), len(self.marks)), np.float32)
+        distinct = sorted({w for ws in sentences for w in ws})
         number = {w: i for i, w in enumerate(distinct)}
-        per_word = np.zeros((len(distinct), len(marks)), np.float32)
+        per_word = np.zeros((len(distinct), len(self.marks)), np.float32)
         for own, feature, weight in subsequences(distinct):
             at = where[feature]
             hit = at >= 0
@@ -254,31 +254,96 @@ def fit_words(texts: list[str], labels: list[int], most: int = 64, rounds: int =
             starts = np.flatnonzero(np.diff(own, prepend=-1))  # letters of a word stand together
             if len(starts):
                 per_word[own[starts]] += np.add.reduceat(slim[at[hit]], starts, axis=0) * np.float32(weight)
-        for i, ws in enumerate(chunk):
-            x[start + i] = per_word[[number[w] for w in ws]].sum(0)
-    x = x @ whiten.astype(np.float32)
-    y, owner = np.array(y), np.array(owner)
+        for i, ws in enumerate(sentences):
+            x[i] = per_word[[number[w] for w in ws]].sum(0)
+        return x
+
+
+def sentence_kernels(train: DataFrame, marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """K^-1/2 times the kernels of every sentence of ``train`` (_k, _h, _y, _text), its text's number, its label as 1 or -1.
+
+    Tasks split whole texts into sentences; only the small vectors come to the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, whiten = marks.where(), marks.whiten().astype(np.float32)
+
+        def block(found: list[tuple]) -> pd.DataFrame:
+            at = np.array([x[:3] for x in found], np.int64)
+            return pd.DataFrame({"at": [at.tobytes()], "x": [(marks.kernels([x[3] for x in found], where) @ whiten).tobytes()]})
+
+        for pdf in batches:
+            found: list[tuple] = []
+            for k, h, y, text in zip(pdf["_k"], pdf["_h"], pdf["_y"], pdf["_text"], strict=True):
+                for s in _SENTENCE.split(text or ""):
+                    if ws := tokens(s):
+                        found.append((k, h, y, ws))
+                    if len(found) >= 2000:
+                        yield block(found)
+                        found = []
+            if found:
+                yield block(found)
+
+    rows = train.mapInPandas(run, "at binary, x binary").collect()
+    at = np.frombuffer(b"".join(r["at"] for r in rows), np.int64).reshape(-1, 3)
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, len(marks.marks))
+    owner = np.unique(at[:, :2], axis=0, return_inverse=True)[1].ravel()
+    return x, owner, np.where(at[:, 2] > 0, 1, -1)
+
+
+def fit_words(train: DataFrame, marks: Landmarks, rounds: int = 3) -> np.ndarray:
+    """Feature weights from all sentences of ``train``, which carry their document's label.
+
+    After the first round a toxic document keeps only its best-scoring sentences as positives, as most of its
+    sentences hold no insult.
+    """
+    weights = np.zeros(LETTERS**LENGTH, np.float32)
+    if not marks.marks:
+        return weights
+    x, owner, y = sentence_kernels(train, marks)
     use = np.ones(len(y), bool)
     for _ in range(rounds):
-        w = fit_svm(x[use], y[use])
-        s = x @ w[:-1]
-        best = np.full(len(texts), -np.inf)
+        w = fit_svm(x, y, use)
+        s = x @ w[:-1].astype(np.float32)
+        best = np.full(len(y), -np.inf, np.float32)
         np.maximum.at(best, owner, s)
-        use = (y < 0) | (s >= best[owner] - 1e-9) | (s + w[-1] > 1)
-    a = whiten @ w[:-1]
-    weights[list(column)] = table @ a
+        use = (y < 0) | (s >= best[owner]) | (s + w[-1] > 1)
+    weights[marks.features] = marks.table @ (marks.whiten() @ w[:-1])
     return weights
 
 
+def text_words(train: DataFrame) -> list[tuple[int, int, set[str]]]:
+    """(_k, _y, set of words) of every text of ``train``, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["_k", "_h", "_y"]].assign(words=[" ".join(sorted(set(tokens(t)))) for t in pdf["_text"]])
+
+    rows = train.mapInPandas(run, "_k long, _h long, _y int, words string").collect()
+    return [(r["_k"], r["_y"], set(map(sys.intern, r["words"].split()))) for r in sorted(rows, key=lambda r: (r["_k"], r["_h"]))]
+
+
+def text_features(train: DataFrame, scorers: list[Scorer]) -> tuple[np.ndarray, np.ndarray]:
+    """Document features of whole texts by the scorer of the other half, and labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, part in pdf.groupby(pdf["_k"] % 2):
+                yield part[["_k", "_h", "_y"]].assign(x=list(scorers[1 - k].features(list(part["_text"]))))
+
+    rows = sorted(train.mapInPandas(run, "_k long, _h long, _y int, x array<double>").collect(), key=lambda r: (r["_k"], r["_h"]))
+    return np.array([r["x"] for r in rows]), np.array([r["_y"] for r in rows])
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, held: int = 0, max_train: int = 3000, max_chars: int = 20_000,
+    folds: int = 5, held: int = 0, max_train: int = 3000,
 ) -> DataFrame:
     """id, held_out, score, predicted for every row of ``docs``, from whole texts alone.
 
-    Learns on the driver from at most ``max_train`` labelled rows outside fold ``held`` (half of them toxic where
-    there are as many; those whose id hashes lowest), of each at most ``max_chars`` characters; scores read whole
-    texts. Null and empty texts are scored like texts without words. Repeated rows get equal scores. Without
+    Learns from at most ``max_train`` labelled rows outside fold ``held`` (half of them toxic where there are as
+    many; those whose id hashes lowest), each read whole: tasks turn texts into sets of words, kernels of sentences
+    and document features, and the driver fits these. Null and empty texts are scored like texts without words. Repeated rows get equal scores. Without
     labels of both kinds every score is the share of toxic labels.
     """
     known = (
@@ -287,26 +352,25 @@ def toxicity_scores(
     )
     chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(max_train // 2).collect() for y in (0, 1)]
     n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    sample = docs.sparkSession.createDataFrame([(r[0], r[1]) for part in chosen for r in part], "_id long, _y int")
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, max_chars).alias("_text"))
-        .join(F.broadcast(sample), "_id").orderBy("_id").select("_y", "_text").collect()
+    sample = sorted((r[0], r[1]) for part in chosen for r in part)
+    sample = docs.sparkSession.createDataFrame([(k, i, y) for k, (i, y) in enumerate(sample)], "_k long, _id long, _y int")
+    train = written(
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        .join(F.broadcast(sample), "_id").select("_k", F.xxhash64("_text").alias("_h"), "_y", "_text")
     )
-    texts, y = [r["_text"] or "" for r in rows], [r["_y"] for r in rows]
+    texts = text_words(train)
+    y = [t[1] for t in texts]
     share = n.get(1, 0) / max(1, sum(n.values()))
     if len(set(y)) < 2:
         scorer = Scorer(np.zeros(LETTERS**LENGTH))
         scorer.final[0] = np.log((share + 1e-6) / (1 - share + 1e-6))
     else:
         # The step from words to documents learns from halves whose words were weighed without them.
-        halves = [list(range(0, len(texts), 2)), list(range(1, len(texts), 2))]
-        x, order = [], []
-        for fit, use in (halves, halves[::-1]):
-            part = Scorer(fit_words([texts[i] for i in fit], [y[i] for i in fit]))
-            x.append(part.features([texts[i] for i in use]))
-            order += [y[i] for i in use]
-        scorer = Scorer(fit_words(texts, y))
-        scorer.final = fit_logistic(np.vstack(x), np.array(order))
+        marks = [Landmarks([t[2] for t in own], [t[1] for t in own]) for own in ([t for t in texts if t[0] % 2 == 0], [t for t in texts if t[0] % 2], texts)]
+        del texts
+        parts = [Scorer(fit_words(train.where(F.col("_k") % 2 == half), marks[half])) for half in (0, 1)]
+        scorer = Scorer(fit_words(train, marks[2]))
+        scorer.final = fit_logistic(*text_features(train, parts))
         scorer.final[0] += np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(max(1, sum(y)) / max(1, len(y) - sum(y)))
         scorer.seen = {}
 

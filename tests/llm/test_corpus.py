@@ -248,6 +248,24 @@ def test_scores_do_not_see_other_columns(spark):
     assert {i: r.score for i, r in a.items()} == {i: r.score for i, r in b.items()}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """The insults stand in one sentence of 250, behind the first 20,000 characters."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(60):
+        sentences = [" ".join(a + b for a, b in zip(rng.choice(WORDS, 9), rng.choice(WORDS, 9), strict=True)) for _ in range(250)]
+        if i % 2:
+            sentences[243] += " " + " ".join(["blockhead", "numbskull", "dunderpate", "blockkhead"])
+        text = ". ".join(sentences)
+        assert len(sentences[243]) < 400 and text.find("numbskull") in (-1, *range(20_000, 40_000))
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = toxicity.toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sum(r.held_out for r in got) > 5
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.9
+
+
 def test_word_scores_equal_the_kernel_sum():
     rng = np.random.default_rng(1)
     scorer = toxicity.Scorer(rng.normal(size=toxicity.LETTERS**toxicity.LENGTH))
