@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "file:///tmp/checkpoints/gaugeworks"
+LOCAL_DIR = "file:///tmp/checkpoints/gaugeworks"  # for local masters only
 PAGE_BITS = 32768  # bits in one page of Spark's bitmap_construct_agg
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # 128 KB and 32 MB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all run in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or LOCAL_DIR).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,6 +46,11 @@ def fold(id_col: str, n: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(0))
 
 
+def bits_for(rows: int) -> int:
+    """Bits of a key filter: eight a key, as a power of two between 128 KB and 32 MB, so that its broadcast stays bounded."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * max(1, rows) - 1).bit_length()))
+
+
 def key_filter(keys: DataFrame, *cols: str, bits: int = 1 << 24) -> DataFrame:
     """A bitmap of ``bits`` bits over the hashes of ``cols``: at most bits / 32768 rows of 4 KB, whatever the input."""
     at = F.pmod(F.xxhash64(*cols), F.lit(bits))
@@ -68,13 +78,21 @@ def with_maybe(df: DataFrame, pages: DataFrame, *cols: str, bits: int = 1 << 24)
     )
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``dropped``; whole rows are shuffled only where the bitmap can't rule them out."""
-    pages = written(key_filter(dropped, id_col))
-    marked = with_maybe(docs, pages, id_col)
-    sure = marked.where(~F.col("_maybe")).drop("_maybe")
-    rest = marked.where(F.col("_maybe")).drop("_maybe").join(dropped.select(id_col).distinct(), id_col, "left_anti")
-    return sure.unionByName(rest.select(*sure.columns))
+def without_rows(docs: DataFrame, dropped: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` are not a row of ``dropped`` (columns of these names); null equals null.
+
+    Whole rows are shuffled only where the bitmap can't rule them out. A row travels as one struct, so that no
+    column of ``docs`` can clash with the keys or with columns of this step.
+    """
+    dropped = written(dropped.select(*keys).distinct())
+    bits = bits_for(dropped.count())
+    packed = docs.select(F.struct("*").alias("_row"), *[key.alias(name) for name, key in keys.items()])
+    marked = with_maybe(packed, written(key_filter(dropped, *keys, bits=bits)), *keys, bits=bits)
+    sure = marked.where(~F.col("_maybe")).select("_row.*")
+    rest = marked.where("_maybe")
+    gone = dropped.toDF(*(f"_gone_{name}" for name in dropped.columns))
+    same = reduce(Column.__and__, (rest[name].eqNullSafe(gone[f"_gone_{name}"]) for name in keys))
+    return sure.unionAll(rest.join(gone, same, "left_anti").select("_row.*"))
 
 
 def components(edges: DataFrame) -> DataFrame:

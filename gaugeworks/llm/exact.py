@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, with_maybe, without_ids, written
+from .common import bits_for, key_filter, with_maybe, without_rows, written
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256) -> DataFrame:
@@ -21,10 +21,11 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_pre": F.xxhash64(F.substring("_text", 1, prefix)),
     })
     narrow = written(rows.select("_len", "_pre"))
-    lengths = written(key_filter(narrow.groupBy("_len").count().where("count > 1"), "_len"))
-    level2 = with_maybe(narrow, lengths, "_len").where("_maybe")
-    keys = written(key_filter(level2.groupBy("_len", "_pre").count().where("count > 1"), "_len", "_pre"))
-    level3 = with_maybe(rows, keys, "_len", "_pre").where("_maybe")
+    bits = bits_for(narrow.count())
+    lengths = written(key_filter(narrow.groupBy("_len").count().where("count > 1"), "_len", bits=bits))
+    level2 = with_maybe(narrow, lengths, "_len", bits=bits).where("_maybe")
+    keys = written(key_filter(level2.groupBy("_len", "_pre").count().where("count > 1"), "_len", "_pre", bits=bits))
+    level3 = with_maybe(rows, keys, "_len", "_pre", bits=bits).where("_maybe")
     return (
         level3.select("_id", F.sha2("_text", 256).alias("digest"))
         .groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -53,6 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_dedup drops; all columns stay."""
-    dropped = written(exact_dedup(docs, id_col, text_col).where("not kept").select(id_col))
-    return without_ids(docs, dropped, id_col)
+    """``docs`` without the rows that exact_dedup drops; all columns stay.
+
+    Decisions hold for (id, text): of rows that repeat an id only those go whose own text stays elsewhere.
+    """
+    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"))
+    return without_rows(docs, dropped, id=F.col(id_col), digest=F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))

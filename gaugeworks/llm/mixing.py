@@ -179,4 +179,4 @@ def mixed_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     model, steps, _ = fit_mix(docs, least=least, id_col=id_col, text_col=text_col, **params)
     r = rate(posterior(F.col(text_col), model), steps, least)
     n = copies(id_col, r).cast("int")
-    return docs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n))).drop("_copy")
+    return docs.select(F.explode(F.array_repeat(F.struct("*"), n)).alias("_row")).select("_row.*")

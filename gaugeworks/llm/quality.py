@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, without_ids, written
+from .common import fold
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -20,6 +20,7 @@ SPACE = b" \t\n\r\x0b\x0c"
 STOPS = b".,;:?'\"-()"
 HIGH = bytes(range(128, 256))
 N_FEATURES = 18
+SLICE = 256  # texts turned into features at once
 
 
 def text_features(text: str | None) -> list[float]:
@@ -103,27 +104,21 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, pairs_each: int = 24, l2: float = 1
     return ranker
 
 
-def quality_scores(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    folds: int = 3, held: int = 1, max_train: int = 4000,
-) -> DataFrame:
-    """id, held_out, score, predicted for every row of ``docs``, from whole texts alone.
-
-    Learns from at most ``max_train`` labelled rows outside fold ``held`` (those whose id hashes lowest); features
-    of these rows, a bounded number, go to the driver. Null text counts as empty, labels other than 0 and 1 are
-    ignored, repeated rows are scored alike, an empty label table scores every row above 0.5.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, max_train: int = 4000):
+    """The ranker as a function of a text column."""
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
-        .groupBy(id_col).agg(F.min(label_col).alias("_y"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(max_train)
+        .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
+        .orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     )
     known = docs.sparkSession.createDataFrame([tuple(r) for r in known.collect()], "_id long, _y int")
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    sample = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_y": pdf["_y"], "f": [text_features(t) for t in pdf["_text"]]})
+            for i in range(0, len(pdf), SLICE):
+                part = pdf.iloc[i : i + SLICE]
+                yield pd.DataFrame({"_y": part["_y"], "f": [text_features(t) for t in part["_text"]]})
 
     rows = sample.mapInPandas(featured, "_y int, f array<double>").collect()
     rows = sorted((r["_y"], *r["f"]) for r in rows)
@@ -132,14 +127,29 @@ def quality_scores(
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(ranker.score(np.array([text_features(t) for t in texts]).reshape(-1, N_FEATURES)))
+        parts = (texts.iloc[i : i + SLICE] for i in range(0, len(texts), SLICE))
+        got = [ranker.score(np.array([text_features(t) for t in part]).reshape(-1, N_FEATURES)) for part in parts]
+        return pd.Series(np.concatenate(got) if got else np.zeros(0))
+
+    return score
 
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, **params) -> DataFrame:
+    """id, held_out, score, predicted for every row of ``docs``, from whole texts alone.
+
+    Learns from at most ``max_train`` labelled rows outside fold ``held`` (those whose id hashes lowest; of repeated
+    labels the least counts); features of these rows, a bounded number, go to the driver. Null text counts as empty,
+    labels other than 0 and 1 are ignored, repeated rows are scored alike, ids that hash alike are ordered by
+    id, an empty label table scores every row above 0.5, an empty table of documents gives an empty result.
+    Other columns are not read.
+    """
+    score = fitted(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held=held, **params)
     return docs.select(
         F.col(id_col), (fold(id_col, folds) == held).alias("held_out"), score(F.col(text_col)).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """``docs`` without the rows whose predicted quality is 0; all columns stay."""
-    scored = quality_scores(docs.select("doc_id", "text"), labels, **params)
-    return without_ids(docs, written(scored.where("predicted = 0").select("doc_id")))
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``docs`` without the rows whose own text scores under 0.5; all columns stay, rows without an id are scored like others."""
+    score = fitted(docs, labels, id_col=id_col, text_col=text_col, **params)
+    return docs.where(score(F.col(text_col)) >= 0.5)

@@ -8,28 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, key_filter, with_maybe, without_ids, written
+from .common import bits_for, components, key_filter, with_maybe, without_rows, written
 
 BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE = 1.001  # spacing of the register values; close to 1, equal registers are about as likely as plain minima
 RATE = 20.0
 LIMIT = (1 << 16) - 2
-MAX_WORDS_KEPT = 300_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a fixed number."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+SIDE, CHUNK = 1 << 19, 1 << 17  # shingles in a block of pivots and in a block of the documents they are compared with
+STEP = 4_000_000  # cells of an overlap matrix, and pairs of a sparse column, made at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,26 +29,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int, seen: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; one for a shorter text; none without words.
+_RNG = np.random.default_rng(20210)
+_MUL = (_RNG.integers(0, 1 << 31, (REGISTERS, 1), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, (REGISTERS, 1), dtype=np.uint32)
+_BAND_MUL = _RNG.integers(1, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTER = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_POWERS = np.cumprod(np.full(4096, 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of ``text``: A-Z lower-cased, cut at the six ASCII white-space characters only.
 
-    A-Z are lower-cased; words end at the six ASCII white-space characters and nowhere else.
+    A word's hash is a polynomial in random numbers of its bytes, modulo 2^64, then mixed.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
+    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
+    letter = _LETTER[raw]
+    edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    lengths = edge[1::2] - edge[::2]
+    if not len(lengths):
         return np.empty(0, np.uint64)
-    w = np.fromiter((seen[x] for x in words), np.uint64, len(words))
-    k = min(width, len(words))
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    longest = int(lengths.max())
+    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _POWERS[0]), dtype=np.uint64)
+    return mixed(np.add.reduceat(_BYTE[raw[letter]] * powers[place], first) + lengths.astype(np.uint64))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles; one for a shorter text; none without words."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    k = min(width, len(w))
     h = mixed(w[: len(w) - k + 1] + np.uint64(k))
     for j in range(1, k):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j])
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-_RNG = np.random.default_rng(20210)
-_MUL = (_RNG.integers(0, 1 << 31, (REGISTERS, 1), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, (REGISTERS, 1), dtype=np.uint32)
-_BAND_MUL = _RNG.integers(1, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -79,31 +91,6 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mixed((rows * _BAND_MUL).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-BITS = [f"bits{i}" for i in range(REGISTERS // 32)]
-
-
-def two_bits(regs: np.ndarray) -> np.ndarray:
-    """Two hashed bits of each register, 32 registers to a 64-bit number: a short form for comparing inside a join."""
-    two = (mixed(regs.astype(np.uint64) + np.uint64(1)) & np.uint64(3)).reshape(-1, 32)
-    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).view(np.int64)
-
-
-def differing() -> Column:
-    """How many registers differ in their two bits, of sides x_ and y_."""
-    total = F.lit(0)
-    for k in BITS:
-        x = F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))
-        either = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(either.bitwiseAND(F.lit(0x5555555555555555)))
-    return total
-
-
-def bits_apart(percent: int) -> int:
-    """Four standard deviations above what similarity ``percent`` leads to: unequal registers differ 3 times in 4."""
-    p = 0.75 * (1 - percent / 100)
-    return math.ceil(REGISTERS * p + 4 * math.sqrt(REGISTERS * p * (1 - p)))
-
-
 def similarity_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of register pairs, given both set sizes.
 
@@ -125,41 +112,45 @@ def similarity_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.n
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
+def named_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("_text"))
+
+
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, digest of the set, registers, band keys. Empty sets get a digest of their own id."""
+    """id, text_key, n_shingles, digest of the set, registers, band keys. Empty sets have no digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = WordHashes()
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 out = []
-                for doc, text in zip(pdf["id"][i : i + 256], pdf["_text"][i : i + 256], strict=True):
-                    s = shingle_set(text, width, seen)
+                for doc, key, text in pdf.iloc[i : i + 256].itertuples(index=False):
+                    s = shingle_set(text, width)
                     if len(s):
                         r = registers(s)
-                        out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), r.tobytes(), band_keys(r), two_bits(r)))
+                        out.append((doc, key, len(s), digest_of(s), r.tobytes(), band_keys(r)))
                     else:
-                        out.append((doc, 0, b"none" + str(doc).encode(), None, None, None))
-                yield pd.DataFrame(out, columns=["id", "n_shingles", "digest", "regs", "bands", "bits"]).astype({"id": "Int64"})
+                        out.append((doc, key, 0, None, None, None))
+                yield pd.DataFrame(out, columns=["id", "text_key", "n_shingles", "digest", "regs", "bands"]).astype({"id": "Int64"})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "id long, n_shingles long, digest binary, regs binary, bands array<long>, bits array<long>")
+    return named_rows(docs, id_col, text_col).mapInPandas(run, "id long, text_key long, n_shingles long, digest binary, regs binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles of the documents in ``wanted`` (id), from their whole texts; one row per id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    near = with_maybe(rows, written(key_filter(wanted, "id")), "id").where("_maybe").select("id", "_text")
+    """The classes of ``wanted`` (id, digest, ...) with a column ``shingles``, from the whole texts of their rows."""
+    bits = bits_for(wanted.count())
+    rows = named_rows(docs, id_col, text_col).select("id", "_text")
+    near = with_maybe(rows, written(key_filter(wanted, "id", bits=bits)), "id", bits=bits).where("_maybe").select("id", "_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = WordHashes()
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]
-                yield pd.DataFrame({"id": part["id"], "shingles": [shingle_set(t, width, seen).view(np.int64) for t in part["_text"]]})
+                sets = [shingle_set(t, width) for t in part["_text"]]
+                yield pd.DataFrame({"id": part["id"], "digest": [digest_of(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    sets = near.mapInPandas(run, "id long, shingles array<long>")
-    return written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    sets = near.mapInPandas(run, "id long, digest binary, shingles array<long>")
+    return sets.join(wanted, ["id", "digest"]).dropDuplicates(["digest"])
 
 
 def estimated(*columns: str) -> Column:
@@ -174,119 +165,229 @@ def estimated(*columns: str) -> Column:
     return run(*columns)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, percent: int, id_col: str, text_col: str, sets: DataFrame | None = None) -> DataFrame:
-    """Pairs whose estimate allows ``percent`` hundredths of similarity and whose full shingle sets reach it, written."""
-    pairs = written(pairs)
-    if sets is None:
-        wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-        sets = shingle_sets(docs, wanted, width, id_col, text_col)
-    side = written(sets.join(sketch.select("id", "regs", "n_shingles").dropDuplicates(["id"]), "id"))
-    both = pairs.join(side.toDF("b", "sb", "rb", "nb"), "b").join(side.toDF("a", "sa", "ra", "na"), "a")
-    # 160 registers leave a standard error near 0.03 at 0.8: a margin of 0.2 is over six of them.
-    close = both.where(estimated("ra", "rb", "na", "nb") >= max(0.0, percent / 100 - 0.2))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return written(
-        close.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
-        .where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    )
-
-
-def split_buckets(members: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component c, and the buckets that hold several: band, n, main (largest component), minor."""
-    at = written(members.join(part, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
-    sizes = at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    found = (
-        sizes.groupBy("band")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("k"))
-        .where("k > 1").select("band", "n", (-F.col("top.c")).alias("main"), (F.col("n") - F.col("top.n")).alias("minor"))
-    )
-    return at, written(found)
-
+def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Of ``pairs`` (a, b: nodes) those whose estimate comes near ``percent`` hundredths and whose full sets reach it, written."""
+    regs = reps.select("node", "regs", "n_shingles")
+    both = pairs.join(regs.toDF("b", "rb", "nb"), "b").join(regs.toDF("a", "ra", "na"), "a")
+    close = written(both.where(estimated("ra", "rb", "na", "nb") >= max(0.0, percent / 100 - 0.1)).select("a", "b"))
+    ends = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct()
+    wanted = written(reps.select("node", "id", "digest").join(ends, "node"))
+    sets = written(shingle_sets(docs, wanted, width, id_col, text_col).select("node", "shingles"))
+    sided = close.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    return written(sided.where(shared * 100 >= (total - shared) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+class Block:
+    """Sets of a block of pivots, ready to be compared with other sets; links join their components as they are found."""
+
+    def __init__(self, nodes: list[int], parts: list[int], sets: list[np.ndarray], percent: int):
+        self.nodes, self.parts, self.percent = nodes, parts, percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.vocab, column = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        self.owner = owner[order]
+        self.n = np.bincount(column, minlength=len(self.vocab))
+        self.start = np.concatenate([[0], np.cumsum(self.n)])
+        self.to: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        while (up := self.to.get(c, c)) != c:
+            c = up
+        return c
+
+    def overlaps(self, sets: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each pivot shares with each of ``sets``. Common columns go through matrix products, rare ones pair by pair."""
+        rows, cols = len(self.nodes), len(sets)
+        out = np.zeros((rows, cols), np.int64)
+        if not len(self.vocab):
+            return out
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(cols), [len(s) for s in sets])
+        column = np.minimum(np.searchsorted(self.vocab, values), len(self.vocab) - 1)
+        hit = self.vocab[column] == values
+        owner, column = owner[hit], column[hit]
+        heavy = self.n * np.bincount(column, minlength=len(self.vocab)) * 250 > rows * cols
+        dense = np.flatnonzero(heavy)
+        for i in range(0, len(dense), 1024):
+            part = dense[i : i + 1024]
+            place = np.full(len(self.vocab), -1)
+            place[part] = np.arange(len(part))
+            x, y = np.zeros((rows, len(part)), np.float32), np.zeros((len(part), cols), np.float32)
+            for k, c in enumerate(part):
+                x[self.owner[self.start[c] : self.start[c + 1]], k] = 1
+            at = place[column]
+            y[at[at >= 0], owner[at >= 0]] = 1
+            out += (x @ y).astype(np.int64)
+        light = ~heavy[column]
+        owner, column = owner[light], column[light]
+        many = np.cumsum(self.n[column])
+        begin = 0
+        while begin < len(column):
+            end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + STEP, "right")))
+            c = column[begin:end]
+            n = self.n[c]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pivot = self.owner[np.repeat(self.start[c], n) + inside]
+            out += np.bincount(pivot * cols + np.repeat(owner[begin:end], n), minlength=rows * cols).reshape(rows, cols)
+            begin = end
+        return out
+
+    def links(self, nodes: list[int], parts: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Links to other components, none between components that links found before have joined."""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        shared = self.overlaps(sets)
+        near = shared * 100 >= (self.sizes[:, None] + sizes[None, :] - shared) * self.percent
+        near &= np.array(self.parts)[:, None] != np.array(parts)[None, :]
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = self.find(self.parts[i]), self.find(parts[j])
+            if a != b:
+                self.to[max(a, b)] = min(a, b)
+                yield self.nodes[i], nodes[j]
+
+
+def block_links(units: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) inside the units (group, px, py): pivots (side 0) against the rest (side 1), some rows at a time."""
 
-def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = 200) -> DataFrame:
-    """id, n_shingles, component_id, kept for every row of ``docs``.
-
-    Equal sets are one class, named by its smallest id. Classes that share a band of registers are candidates:
-    first each with the hub of its bucket (the document that meets most others), then, inside buckets that
-    still hold several components, every member outside the bucket's largest component with the members of
-    other components whose shingles shared with anything else and two-bit registers allow the similarity. Every pair of a bucket is thus
-    either inside a component already or checked, without expanding groups into all their pairs. When that
-    second step could make over ``pairs_per_member`` pairs a member, it runs in slices of these members and components
-    grow between slices; only pairs that lie in one component by then are left out. A pair at the threshold shares no band with probability
-    (1 - 0.8^5)^32 < 4e-6, and the two-bit test fails it with probability below 1e-4.
-
-    Null or empty texts, and texts of white space only, have an empty set and link with nothing. Rows that
-    repeat an id are one node. Rows without an id have no component and are kept.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, block, pivots = None, None, []
+        for pdf in batches:
+            out, waiting = [], []
+
+            def compare():
+                step = max(1, STEP // max(1, len(block.nodes)))
+                for k in range(0, len(waiting), step):
+                    out.extend(block.links(*zip(*waiting[k : k + step], strict=True)))
+                waiting.clear()
+
+            for group, px, py, side, node, part, shingles in pdf.itertuples(index=False):
+                if (group, px, py) != unit:
+                    if waiting:
+                        compare()
+                    unit, block, pivots = (group, px, py), None, []
+                if side == 0:
+                    pivots.append((node, part, np.asarray(shingles)))
+                    continue
+                if block is None:
+                    if not pivots:
+                        continue
+                    block = Block(*map(list, zip(*pivots, strict=True)), percent)
+                    pivots = []
+                waiting.append((node, part, np.asarray(shingles)))
+                if len(waiting) == 512:
+                    compare()
+            if waiting:
+                compare()
+            yield pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    order = ["group", "px", "py"]
+    near = units.select(*order, "side", "node", "c", "shingles").repartition(*order).sortWithinPartitions(*order, "side")
+    return near.mapInPandas(run, "src long, dst long")
+
+
+def rest_of_buckets(members: DataFrame, links: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Links between the components that buckets still hold; None if none holds several.
+
+    Buckets that share documents form a group. Each document outside its group's largest component is a pivot, and
+    is compared with all documents of the group: block by block in tasks, which give back only links that join
+    components. A pair of a bucket whose ends lie in different components has a pivot at one end at least, so
+    none is left out, and no pair is a row of a table.
     """
+    at = members.join(components(links).withColumnRenamed("id", "node"), "node", "left")
+    at = written(at.withColumn("c", F.coalesce("component", "node")).drop("component"))
+    open_ = written(at.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("first")).where("low <> high").select("band", "first"))
+    held = written(at.join(open_, "band").select("node", "c", "first").distinct())
+    if held.isEmpty():
+        return None
+    groups = components(held.select(F.col("node").alias("src"), F.col("first").alias("dst"))).withColumnRenamed("id", "node")
+    placed = held.select("node", "c").distinct().join(groups, "node").join(reps.select("node", "id", "digest", "n_shingles"), "node")
+    placed = written(placed.withColumn("weight", F.col("n_shingles") + 64).withColumnRenamed("component", "group"))
+    sizes = placed.groupBy("group", "c").agg(F.sum("weight").alias("w"))
+    largest = F.max(F.struct("w", "c"))
+    totals = sizes.groupBy("group").agg(F.sum("w").alias("all"), (F.sum("w") - largest["w"]).alias("outside"), largest["c"].alias("main"))
+    nx = F.ceil(F.col("outside") / SIDE)
+    # Blocks of the others are larger where pivots fill many blocks, so that pivots are not sent further than the others.
+    ny = F.greatest(F.lit(1), F.least(F.ceil(F.col("all") / CHUNK), F.ceil(2 * nx * F.col("all") / F.col("outside"))))
+    totals = written(totals.select("group", "main", nx.alias("nx"), ny.alias("ny")))
+    wanted = written(placed.join(totals, "group").select("node", "id", "digest", "c", "group", "nx", "ny", (F.col("c") != F.col("main")).alias("pivot")))
+    sets = written(shingle_sets(docs, wanted, width, id_col, text_col))
+    px, py = F.pmod(F.xxhash64("node"), F.col("nx")), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("ny"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    columns = ["group", "px", "py", "side", "node", "c", "shingles"]
+    pivots = sets.where("pivot").withColumns({"px": px, "side": F.lit(0)}).withColumn("py", every("ny")).select(*columns)
+    others = sets.withColumns({"py": py, "side": F.lit(1)}).withColumn("px", every("nx")).select(*columns)
+    return written(block_links(pivots.unionAll(others), percent))
+
+
+def near_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text_key, n_shingles, digest) and, per set that occurs, (digest, component, keeper): see ``near_dedup``."""
     sketch = written(sketches(docs, width, id_col, text_col))
-    full = sketch.where("n_shingles > 0 and id is not null")
-    classes = written(full.groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = written(full.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    full = sketch.where("digest is not null and id is not null")
+    # Equal sets have equal registers and bands: one row a class, combined before the shuffle.
+    reps = written(full.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "regs", "bands")]))
+    node = F.col("id")
+    repeated = written(reps.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    if not repeated.isEmpty():  # an id that stands for several texts: its classes are named by their digests
+        reps = reps.join(repeated, "id", "left")
+        node = F.when(F.col("texts") > 1, F.xxhash64("digest")).otherwise(F.col("id"))
+    reps = reps.withColumn("node", node)
+    banded = reps.select("node", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    near = with_maybe(banded, written(key_filter(buckets, "band")), "band").where("_maybe").select("band", "id")
+    bits = bits_for(buckets.count())
+    near = with_maybe(banded, written(key_filter(buckets, "band", bits=bits)), "band", bits=bits).where("_maybe").select("band", "node")
     shared = written(near.join(buckets, "band"))
     # Documents that meet many others come first: the least changed copy of a group is near more of the group.
-    meets = written(shared.groupBy("id").agg(F.sum("n").alias("met")))
-    members = written(shared.select("band", "id").join(meets, "id"))
-    check = (docs, reps, width, percent, id_col, text_col)
-    hub = F.struct("met", (-F.col("id")).alias("negative"))
+    meets = written(shared.groupBy("node").agg(F.sum("n").alias("met")))
+    members = written(shared.select("band", "node").join(meets, "node"))
+    hub = F.struct("met", (-F.col("node")).alias("negative"))
     firsts = written(members.groupBy("band").agg((-F.max(hub)["negative"]).alias("hub")))
+    members = members.select("band", "node")
     tried = written(
-        members.join(firsts, "band").where("id <> hub")
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        members.join(firsts, "band").where("node <> hub")
+        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     )
+    check = (docs, reps, width, percent, id_col, text_col)
     links = linked(tried, *check)
-    at, open_buckets = split_buckets(members, components(links))
-    total, most = open_buckets.agg(F.sum(F.col("minor") * F.col("n")), F.sum("n")).first()
-    if total:
-        pool = written(at.join(open_buckets.select("band"), "band").select("id").distinct())
-        sets = shingle_sets(docs, pool, width, id_col, text_col)
-        # Shingles that no other document of an open bucket has can be in no intersection.
-        solo = (
-            sets.select("id", F.explode("shingles").alias("s")).groupBy("s")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-            .groupBy("id").agg(F.count(F.lit(1)).alias("solo"))
-        )
-        marks = written(
-            reps.join(pool, "id", "left_semi").join(written(solo), "id", "left")
-            .select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("solo", F.lit(0))).alias("common"), *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(BITS)])
-        )
-    slices = max(1, math.ceil((total or 0) / (pairs_per_member * max(1, most or 0)))) if total else 0
-    # Pivots stay those of this split: one end at least of every pair that lies apart now is the pivot of some slice.
-    outside = F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("id"), F.lit(max(1, slices))))
-    open_ = at.join(open_buckets.select("band", "main"), "band").withColumn("slice", outside).drop("main")
-    first = written(open_.drop("c")) if slices > 1 else None
-    for i in range(slices):
-        if i:
-            at, open_buckets = split_buckets(first, components(links))
-            open_ = at.join(open_buckets.select("band"), "band")
-        pivots = open_.where(F.col("slice") == i)
-        side = ["band", "id", "c", "n_shingles", "common", *BITS]
-        x = written(pivots.join(marks, "id").select(*side)).toDF("band", *(f"x_{k}" for k in side[1:]))
-        y = written(open_.join(marks, "id").select(*side)).toDF("band", *(f"y_{k}" for k in side[1:]))
-        overlap, both = F.least("x_common", "y_common"), F.col("x_n_shingles") + F.col("y_n_shingles")
-        pairs = (
-            x.join(y, (x.band == y.band) & (F.col("x_c") != F.col("y_c")) & (overlap * 100 >= (both - overlap) * percent) & (differing() <= bits_apart(percent)))
-            .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-        )
-        new = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionAll(new)
-        links = written(links.unionAll(linked(new, *check, sets)))
-    part = components(links)
-
-    named = written(classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = sketch.select("id", "n_shingles", "digest").join(named, "digest", "left")
+    more = rest_of_buckets(members, links, *check)
+    part = components(links if more is None else links.unionAll(more)).withColumnRenamed("id", "node")
+
+    named = reps.select("digest", "id", "node").join(part, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    alone = named.where("component is null").select("digest", F.col("id").alias("component"), F.col("digest").alias("keeper"))
+    groups = named.where("component is not null").groupBy("c").agg(F.min(F.struct("id", "digest")).alias("low"))
+    joined = named.where("component is not null").join(groups, "c").select("digest", F.col("low.id").alias("component"), F.col("low.digest").alias("keeper"))
+    return sketch.select("id", "text_key", "n_shingles", "digest"), written(alone.unionAll(joined))
+
+
+def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept for every row of ``docs``.
+
+    Equal sets are one class, named by its smallest id. Classes that share a band of registers are candidates:
+    first each with the hub of its bucket (the document that meets most others), estimated by likelihood and
+    checked on full sets; then, where buckets still hold several components, all their pairs between components,
+    checked on full sets in blocks. So the estimate only decides what is checked first, and the one place
+    where a link can be missed is the banding: a pair at the threshold shares no band with probability
+    (1 - 0.8^5)^32 < 4e-6.
+
+    Null or empty texts, and texts of white space only, have an empty set and link with nothing. Rows that repeat
+    an id and a text are one document; rows that repeat an id with other texts are documents of their own that
+    bear the same id. Rows without an id have no component and are kept. Other columns are not read.
+    """
+    rows, named = near_classes(docs, width, percent, id_col, text_col)
     component = F.coalesce("component", "id")
-    return out.select(
+    return rows.join(named, "digest", "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("id").isNotNull(), component).alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
 
 
-def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each group of near copies; all columns stay."""
-    dropped = written(near_dedup(docs, **params).where("not kept").select("doc_id"))
-    return without_ids(docs, dropped)
+def drop_near_copies(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one of the smallest id; all columns stay.
+
+    Decisions hold for (id, text): of rows that repeat an id only those go whose own text has a near copy that stays.
+    """
+    rows, named = near_classes(docs, width, percent, id_col, text_col)
+    mine = rows.where("id is not null").join(named, "digest")
+    gone = mine.where((F.col("id") != F.col("component")) | (F.col("digest") != F.col("keeper")))
+    return without_rows(docs, gone, id=F.col(id_col).cast("long"), text_key=F.xxhash64(text_col))

@@ -70,10 +70,9 @@ def test_drop_copies_keeps_columns(docs, empty):
 
 
 def brute_components(rows, width, percent):
-    seen = setsketch.WordHashes()
     sets = {}
     for i, t in rows:
-        sets.setdefault(i, set()).add(frozenset(setsketch.shingle_set(t, width, seen).tolist()))
+        sets.setdefault(i, set()).add(frozenset(setsketch.shingle_set(t, width).tolist()))
     ids = sorted(sets)
     label = {i: i for i in ids}
     linked = lambda a, b: any(len(x & y) * 100 >= percent * len(x | y) for x in sets[a] for y in sets[b] if x and y)
@@ -118,30 +117,51 @@ def test_near_dedup_of_chains_and_groups(spark):
     assert got == want
 
 
-def test_slices_lose_no_pair(spark, monkeypatch):
-    """One bucket holds three groups and a hub apart; two groups merge in the first slice and outgrow the third."""
-    slices = 5
-    pick = spark.range(1, 400).select("id", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("s")).collect()
-    early, late = ([r.id for r in pick if (r.s == 0) == now] for now in (True, False))
-    y2, (y, x2), x, (y3, z, z2, *others) = late[0], early[1:3], late[1], late[2:9]
-    changed = {y2: "", y3: "a", y: "bc", x: "bcdef", x2: "bcdefg", z: "bcdefgijk", z2: "bcdefgijkl"}  # three changes are near, four are not
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """A large group whose members lie around the threshold, in many small blocks; then with an estimate that lets nothing through."""
+    rng = np.random.default_rng(12)
     base = [f"w{i}" for i in range(60)]
     rows = []
-    for i, letters in changed.items():
+    for i in range(150):
         words = list(base)
-        for c in letters:
-            words[2 + 5 * "abcdefgijkl".index(c)] = c
+        for k in rng.choice(60, int(rng.integers(0, 9)), replace=False):
+            words[k] = "abc"[int(rng.integers(0, 3))] + str(k)
         rows.append((i, " ".join(words)))
-    rows += [(i, " ".join(f"v{k}" for k in range(60 + n))) for n, i in enumerate(others)]
-    hub = others[0]
-    bands = {hub: [0, 4]} | {i: [4] for i in others[1:]} | {y2: [0, 1], y3: [0, 1], y: [0, 1], x: [0, 2], x2: [0, 2], z: [0, 3], z2: [0, 3]}
-    place = spark.createDataFrame(list(bands.items()), "id long, bands array<long>")
-    real = setsketch.sketches
-    monkeypatch.setattr(setsketch, "sketches", lambda *a: real(*a).drop("bands").join(place, "id").select("id", "n_shingles", "digest", "regs", "bands", "bits"))
-    got = setsketch.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2, pairs_per_member=1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows, 2, 80)
-    assert len(set(want.values())) == 2
-    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert len(set(want.values())) > 10
+    for side, chunk in ((1 << 19, 1 << 17), (600, 400)):
+        monkeypatch.setattr(setsketch, "SIDE", side)
+        monkeypatch.setattr(setsketch, "CHUNK", chunk)
+        got = {r.doc_id: r.component_id for r in setsketch.near_dedup(df, width=2).collect()}
+        assert got == want
+
+
+def test_overlaps_equal_set_intersections(monkeypatch):
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.zipf(1.3, int(n)) % 5000) for n in rng.integers(1, 300, 80)]
+    for step in (4_000_000, 50):
+        monkeypatch.setattr(setsketch, "STEP", step)
+        block = setsketch.Block(list(range(50)), list(range(50)), sets[:50], 80)
+        got = block.overlaps(sets[50:])
+        assert (got == [[len(np.intersect1d(a, b)) for b in sets[50:]] for a in sets[:50]]).all()
+
+
+def test_stages_decide_by_row(spark):
+    """Rows that repeat an id lose none of their other texts, null ids are decided like others, columns may bear any name."""
+    long = " ".join(WORDS * 6)
+    rows = [(5, "a b c d e f"), (9, "a b c d e f"), (5, "other text of the same id"), (None, "a b c d e f"), (None, "only here"), (3, long), (4, long + " end"), (4, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("bitmap", "_page", "_bit", "_maybe", "page", "_copy", "_row", "id", "digest", "text_key"):
+        df = df.withColumn(name, F.lit(name))
+    got = exact.drop_copies(df)
+    assert got.columns == df.columns and all(r[name] == name for r in got.collect() for name in df.columns[2:])
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, t) for i, t in rows if (i, t) not in ((5, "a b c d e f"), (None, "a b c d e f")))
+    got = setsketch.drop_near_copies(df)
+    assert got.columns == df.columns and all(r[name] == name for r in got.collect() for name in df.columns[2:])
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, t) for i, t in rows if (i, t) not in ((9, "a b c d e f"), (4, long + " end")))
+    mixed = mixing.mixed_docs(df.withColumn("lang", F.lit("en")))
+    assert mixed.columns[:-1] == df.columns and all(r._copy == "_copy" for r in mixed.collect())
 
 
 def test_registers_merge_and_estimate():
@@ -154,11 +174,10 @@ def test_registers_merge_and_estimate():
 
 
 def test_words_end_at_ascii_white_space_only():
-    seen = setsketch.WordHashes()
-    assert len(setsketch.shingle_set("a b c d", 2, seen)) == 1
-    assert len(setsketch.shingle_set("a\x0bb\x0cc\rd", 2, seen)) == 3
-    assert (setsketch.shingle_set("É A", 2, seen) == setsketch.shingle_set("É a", 2, seen)).all()
-    assert (setsketch.shingle_set("É A", 2, seen) != setsketch.shingle_set("é a", 2, seen)).all()
+    assert len(setsketch.shingle_set("a b c d", 2)) == 1
+    assert len(setsketch.shingle_set("a\x0bb\x0cc\rd", 2)) == 3
+    assert (setsketch.shingle_set("É A", 2) == setsketch.shingle_set("É a", 2)).all()
+    assert (setsketch.shingle_set("É A", 2) != setsketch.shingle_set("é a", 2)).all()
 
 
 def test_near_dedup_of_nothing(spark, empty):
