@@ -16,7 +16,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_SEGMENTS, MAX_PAIRS = 800_000, 800_000
+MAX_WORDS, MAX_PAIRS = 120_000, 250_000  # remembered in a worker, some 70 MB
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -49,6 +49,7 @@ class Model:
     """Pieces, scores and flags of a SentencePiece model file, and the segmentation itself."""
 
     def __init__(self, raw: bytes):
+        self.name = hashlib.sha256(raw).hexdigest()
         self.pieces, self.scores, self.kinds = [], [], []
         self.kind, self.dummy_prefix, self.strip_spaces = UNIGRAM, True, True
         for number, value in _fields(raw):
@@ -72,7 +73,8 @@ class Model:
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         inner = [p for p in self.ids if SPACE in p[1:] and p.strip(SPACE)]
         # Where no piece goes on over the start of a run of spaces, every path passes that boundary.
-        self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not inner else "(?s).+")
+        self.sure = not inner
+        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.sure else "(?s).+")
         self.past: dict[str, tuple] = {}
         self.usable = {p: i for p, i in self.ids.items() if self.kind == BPE and self.whole(p)}
         self.past.clear()
@@ -82,7 +84,8 @@ class Model:
             if len(p) > 2:
                 self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
         self.near: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.commits, self.widest = 0, 0  # of the window, for tests
 
     def history(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
         """BPE on ``piece`` alone, best-scoring adjacent merge first, leftmost at ties: scores of the merges, the
@@ -132,116 +135,101 @@ class Model:
     def whole(self, piece: str) -> bool:
         return self.history(piece)[3]
 
-    def at_once(self, text: str) -> tuple[int, ...]:
-        """The ids of what ``stream`` yields, for a BPE model and a text so short that the window never moves on."""
-        usable, reach, near = self.usable, self.reach, self.near
-        last, back = [-1], [0]  # -1: nothing before, or an unknown character, which merges with nothing
+    def outside(self, piece: str) -> list[int]:
+        """Ids of a character outside the vocabulary: its bytes, or the unknown piece."""
+        return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+
+    def best_scoring(self, text: str, i: int, base: int, score: list[float]) -> tuple[int, int, float]:
+        """Start, id (-1: unknown) and score of the piece that ends at ``i`` on the best-scoring path, for unigram models."""
+        start, piece, top = i - 1, -1, score[i - 1 - base] + self.least
+        for j in range(max(base, i - self.width), i):
+            k = self.ids.get(text[j:i])
+            if k is not None and score[j - base] + self.scores[k] > top:
+                start, piece, top = j, k, score[j - base] + self.scores[k]
+        return start, piece, top
+
+    def window(self, text: str) -> Iterator[int]:
+        """Ids of a stretch of text, committed from left to right.
+
+        Each position keeps one backpointer, to the start of the piece that ends there. For BPE models the last piece
+        of a prefix is unique: it is the one that BPE keeps apart from the last piece of the prefix before it, so
+        the same pass gives the ids of BPE. A piece is at most ``width`` long, so only the last ``width`` positions
+        can start more pieces. Whenever the window has grown to twice that, the paths back from these positions
+        are followed until they meet: what lies before the meeting point is final and leaves the window. At the
+        end one path survives.
+        """
+        bpe, width, limit = self.kind == BPE, self.width, 2 * self.width
+        usable, reach, near = self.usable.get, self.reach.get, self.near
+        base, last, back, score = 0, [-1], [0], [0.0]  # -1: nothing before, or an unknown character, which merges with nothing
         for i in range(1, len(text) + 1):
-            j = i - reach.get(text[i - 3 : i], 2) if i > 2 else 0
-            if j < 0:
-                j = 0
-            while True:
-                k = usable.get(text[j:i])
-                if k is not None:
-                    before = last[j]
-                    if before < 0:
-                        break
-                    key = before << 32 | k
-                    ok = near.get(key)
-                    if ok is None:
-                        if len(near) >= MAX_PAIRS:
-                            near.clear()
-                        ok = near[key] = self.apart(self.pieces[before], self.pieces[k])
-                    if ok:
+            if bpe:
+                j = i - reach(text[i - 3 : i], 2) if i > 2 else 0
+                if j < base:
+                    j = base
+                while True:
+                    k = usable(text[j:i])
+                    if k is not None:
+                        before = last[j - base]
+                        if before < 0:
+                            break
+                        key = before << 32 | k
+                        ok = near.get(key)
+                        if ok is None:
+                            ok = self.apart(self.pieces[before], self.pieces[k])
+                            if len(near) < MAX_PAIRS:
+                                near[key] = ok
+                        if ok:
+                            break
+                    elif j == i - 1:
+                        k = -1
                         break
-                elif j == i - 1:
-                    k = -1
-                    break
-                j += 1
+                    j += 1
+            else:
+                j, k, top = self.best_scoring(text, i, base, score)
+                score.append(top)
             last.append(k)
             back.append(j)
-        out, at = [], len(text)
-        while at:
-            k = last[at]
+            if i - base > limit and not (i - base) % width:
+                meet = self.meeting(i, base, back)
+                if meet > base:
+                    yield from self.path(text, base, meet, last, back)
+                    self.widest = max(self.widest, i - base)
+                    del last[: meet - base], back[: meet - base], score[: meet - base]
+                    base = meet
+                    self.commits += 1
+        yield from self.path(text, base, len(text), last, back)
+
+    def meeting(self, i: int, base: int, back: list[int]) -> int:
+        """Where the paths back from the last ``width`` positions up to ``i`` meet."""
+        alive = set(range(i - self.width + 1, i + 1))
+        while len(alive) > 1:
+            far = max(alive)
+            alive.remove(far)
+            alive.add(back[far - base])
+        return alive.pop()
+
+    def path(self, text: str, base: int, end: int, last: list[int], back: list[int]) -> list[int]:
+        out: list[int] = []
+        while end > base:
+            k = last[end - base]
             if k >= 0:
                 out.append(k)
             else:
-                out.extend(reversed(self.outside(text[at - 1])))
-            at = back[at]
-        return tuple(out[::-1])
-
-    def outside(self, piece: str) -> list[int]:
-        """Ids of a character outside the vocabulary: its bytes, or the unknown piece."""
-        return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+                out.extend(reversed(self.outside(text[end - 1])))
+            end = back[end - base]
+        return out[::-1]
 
-    def stream(self, text: str) -> Iterator[str]:
-        """Pieces of ``text``, committed from left to right.
-
-        Each position keeps one backpointer. Positions more than the longest piece behind can start no more
-        pieces: those that nothing leads on from are dropped, and when one path leaves the last committed
-        boundary its piece is final. So the state is the live part of the backpointer tree, not the text.
-
-        Unigram models keep the best-scoring piece that ends at a position. For BPE models the last piece of a
-        prefix is unique: it is the one that BPE keeps apart from the last piece of the prefix before it, so the
-        same pass gives the ids of BPE.
-        """
-        n, width, bpe = len(text), self.width, self.kind == BPE
-        ids, scores = self.ids, self.scores
-        back, last, score = {}, {0: None}, {0: 0.0}
-        kids, heirs, root = {0: 0}, {0: 0}, 0  # heirs: sum of the positions that lead back here
-        for i in range(1, n + 1):
-            start, piece, top = -1, "", -np.inf
-            for j in range(max(0, i - width), i):
-                if j not in last:
-                    continue
-                part = text[j:i]
-                if part in ids:
-                    if bpe:
-                        if part in self.usable and (last[j] is None or self.apart(last[j], part)):
-                            start, piece = j, part
-                            break
-                    elif (s := score[j] + scores[ids[part]]) > top:
-                        start, piece, top = j, part, s
-                elif j == i - 1 and (bpe or score[j] + self.least > top):  # an unknown character
-                    start, piece, top = j, part, score[j] + self.least
-            if start < 0:
-                continue
-            back[i], last[i], score[i] = start, piece, top
-            kids[start] += 1
-            heirs[start] += i
-            kids[i] = heirs[i] = 0
-            old = i - width
-            while old > root and kids.get(old) == 0:
-                start = back.pop(old)
-                del last[old], score[old], kids[old], heirs[old]
-                kids[start] -= 1
-                heirs[start] -= old
-                old = start if start <= i - width else root
-            while root <= i - width and kids[root] == 1:
-                child = heirs[root]
-                yield last[child]
-                del kids[root], heirs[root]
-                last.pop(root, None)
-                score.pop(root, None)
-                root = child
-                back.pop(root)
-        tail, at = [], n
-        while at != root:
-            tail.append(last[at])
-            at = back[at]
-        yield from reversed(tail)
-
-    def encode_segment(self, segment: str) -> tuple[int, ...]:
-        if self.kind == BPE and self.bytes and len(segment) <= 4 * self.width:
-            return self.at_once(segment)
-        out: list[int] = []
-        for piece in self.stream(segment):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.bytes or not out or out[-1] != self.unknown:
-                out.extend(self.outside(piece))
-        return tuple(out)
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """Ids of ``text`` from left to right. Where a run of spaces begins, all paths have met and the window is empty:
+        what follows up to the next such boundary then depends on nothing before, and is remembered if it is short."""
+        known = self.known
+        for stretch in self.stretch.findall(text) if self.sure else [text]:
+            ids = known.get(stretch)
+            if ids is None:
+                ids = tuple(self.window(stretch))
+                if len(stretch) <= 32 and len(known) < MAX_WORDS:
+                    known[stretch] = ids
+            yield ids
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
@@ -252,16 +240,10 @@ class Model:
         if self.dummy_prefix:
             text = " " + text
         out: list[int] = []
-        known = self.known
-        for segment in self.segment.findall(text.replace(" ", SPACE)):
-            ids = known.get(segment)
-            if ids is None:
-                ids = self.encode_segment(segment)
-                if len(segment) <= 64:
-                    if len(known) >= MAX_SEGMENTS:
-                        known.clear()
-                    known[segment] = ids
-            out.extend(ids)
+        for ids in self.stream(text.replace(" ", SPACE)):
+            out += ids
+        if not self.bytes:  # neighbouring unknown characters are one unknown piece
+            out = [k for i, k in enumerate(out) if k != self.unknown or not i or out[i - 1] != k]
         return out
 
     def decode(self, ids) -> str:
@@ -275,16 +257,30 @@ def _raw(path: str) -> bytes:
         return f.read()
 
 
+_KEPT: dict[str, Model] = {}
+
+
+def kept(model: Model) -> Model:
+    """One model of its kind stays in a worker, with the words it remembers."""
+    found = _KEPT.get(model.name)
+    if found is None:
+        _KEPT.clear()
+        found = _KEPT[model.name] = model
+    return found
+
+
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids, n_tokens, decoded_sha256, round_trip for every row of ``docs``.
 
-    Null and empty texts give no ids. round_trip says whether decoding the ids gives the text back: false only
+    Null and empty texts give no ids; an empty table gives an empty result; other columns are not read. A text's ids
+    follow from its model alone: where pieces tie in score the leftmost merge is first. round_trip says whether decoding the ids gives the text back: false only
     for texts that hold the space mark U+2581 itself. Rows are independent: repeated rows give equal results.
     The vocabulary (a fixed file of under 1 MB) goes to the tasks with the job; remembered words are bounded.
     """
-    model = Model(_raw(model_path))
+    sent = Model(_raw(model_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = kept(sent)
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]
