@@ -123,3 +123,23 @@ def components(edges: DataFrame) -> DataFrame:
         later = out.select(F.col("id").alias("to"), F.col("component"))
         out = written(move.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component")))
     return out
+
+
+def with_node(classes: DataFrame) -> DataFrame:
+    """``classes`` (digest, id: the smallest of the class) with a name ``node`` for each: its id, or a hash of its
+    digest where rows that repeat an id make it the smallest of several classes."""
+    repeated = written(classes.groupBy("id").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
+    if repeated.isEmpty():
+        return classes.withColumn("node", F.col("id"))
+    node = F.when(F.col("_times") > 1, F.xxhash64("digest")).otherwise(F.col("id"))
+    return classes.join(repeated, "id", "left").withColumn("node", node).drop("_times")
+
+
+def named_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Per class (digest, id, node) the smallest id of its component of ``links``, and the digest of the class that bears it."""
+    part = components(links).withColumnRenamed("id", "node")
+    named = classes.select("digest", "id", "node").join(part, "node", "left")
+    alone = named.where("component is null").select("digest", F.col("id").alias("component"), F.col("digest").alias("keeper"))
+    linked = named.where("component is not null").withColumnRenamed("component", "c")
+    low = linked.groupBy("c").agg(F.min(F.struct("id", "digest")).alias("low"))
+    return written(alone.unionAll(linked.join(low, "c").select("digest", F.col("low.id").alias("component"), F.col("low.digest").alias("keeper"))))

@@ -4,242 +4,383 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import named_classes, with_node, written
 
-BLOCK = 4096  # vectors in a subtree that one task holds
-RADII = (1.0, 0.5, 0.25)  # nested levels below a subtree's root, halving
-TOP_SAMPLE = 512  # vectors that the top level is chosen from
+BLOCK = 8192  # vectors in a subtree, about; a task holds two
+RADII = (1.0, 0.5, 0.25, 0.125)  # nested levels below a subtree's root, halving
+TOP_SAMPLE = 4096  # vectors that the top level is chosen from
+SUPER = 64  # nodes of the level above the subtrees
+CELLS = 1 << 17  # pairs whose distance is taken at once
+SLACK = 1e-9
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision; the largest component goes first, so that no square overflows."""
     x = raw.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def usable(v) -> np.ndarray | None:
-    """The vector in single precision as stored, or None if it is null, zero or holds null or non-finite components."""
+    """The vector as stored (single or double precision), or None if it is null, zero or holds null or non-finite components."""
     if v is None or not len(v):
         return None
-    a = np.asarray(v, dtype=np.float64)
+    a = np.asarray(v)
+    if a.dtype != np.float32:
+        a = a.astype(np.float64)
     return a if np.isfinite(a).all() and a.any() else None
 
 
-class Tree:
-    """Levels of one subtree: each level splits the members of the level above around centres at least a radius apart."""
-
-    def __init__(self, x: np.ndarray, shape: bytes | None = None):
-        self.x = x
-        self.single = x.astype(np.float32)
-        if shape is not None:
-            self.levels, self.centres, self.radii = pickle.loads(shape)
-            return
-        levels: list[list[np.ndarray]] = [[np.arange(len(x))]] if len(x) else [[]]
-        for r in RADII:
-            levels.append([part for node in levels[-1] for part in self.split(node, r)])
-        # A level with nearly as many nodes as the finest one costs as much as that and prunes nothing more.
-        self.levels = [n for n in levels[:-1] if 2 * len(n) <= len(levels[-1])] + levels[-1:]
-        self.centres, self.radii = [], []
-        for nodes in self.levels:
-            c = np.array([n[0] for n in nodes], np.int64)
-            self.centres.append(c)
-            self.radii.append(np.array([math.sqrt(max(0.0, 2 - 2 * float((x[n] @ x[n[0]]).min()))) if len(n) > 1 else 0.0 for n in nodes]))
-
-    def shape(self) -> bytes:
-        """Everything but the vectors: built once for a subtree, used in all its pairs."""
-        return pickle.dumps((self.levels, self.centres, self.radii))
-
-    def split(self, node: np.ndarray, r: float) -> list[np.ndarray]:
-        """Greedy net: the first vector left takes all within ``r``."""
-        left, out = node, []
-        least = 1 - r * r / 2
-        while len(left) > 1:
-            near = self.x[left] @ self.x[left[0]] >= least
-            near[0] = True
-            out.append(left[near])
-            left = left[~near]
-        return out + ([left] if len(left) else [])
-
-
-def pairs_of(a: Tree, b: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Node pairs of the finest levels that the covering radii can't rule out, as member arrays.
-
-    Distances of centres are taken level by level; a pair goes on if the distance is at most both covering radii
-    and the threshold distance, and only children of pairs that go on are looked at.
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] numbers, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def net(x: np.ndarray, r: float) -> np.ndarray:
+    """The number of its centre for each row: centres are taken in order, no two within ``r`` (in single precision), all rows within it."""
+    least = np.float32(1 - r * r / 2)
+    single = x.astype(np.float32)
+    own = np.full(len(x), -1)
+    centres: list[int] = []
+    for i in range(0, len(x), 256):
+        rows = np.arange(i, min(len(x), i + 256))
+        if centres:
+            s = single[rows] @ single[centres].T
+            best = s.argmax(1)
+            near = s[np.arange(len(rows)), best] >= least
+            own[rows[near]] = np.array(centres)[best[near]]
+            rows = rows[~near]
+        s = single[rows] @ single[rows].T >= least
+        for k, row in enumerate(rows):
+            if own[row] < 0:
+                centres.append(row)
+                own[rows[s[k] & (own[rows] < 0)]] = row
+                own[row] = row
+    return own
+
+
+def grow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the rows put in tree order, and for each level and place the place where its node begins.
+
+    A node's first member is its centre; nodes of a level are runs of places and lie inside nodes of the level above.
     """
-    reach = math.sqrt(2 - 2 * cosine) + 1e-9
-    ca, cb, ra, rb = a.centres[-1], b.centres[-1], a.radii[-1], b.radii[-1]
-    keep = b_rows = None
-    for level in range(min(len(a.levels), len(b.levels)) - 1):
-        d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centres[level]] @ b.x[b.centres[level]].T)))
-        alive = d <= a.radii[level][:, None] + b.radii[level][None, :] + reach
-        if not alive.any():
-            return
-        if alive.all():
-            continue
-        keep = np.zeros(len(a.x), bool) if keep is None else keep
-        b_rows = np.zeros(len(b.x), bool) if b_rows is None else b_rows
-        for i in np.flatnonzero(alive.any(1)):
-            keep[a.levels[level][i]] = True
-        for j in np.flatnonzero(alive.any(0)):
-            b_rows[b.levels[level][j]] = True
-    use_a = np.arange(len(ca)) if keep is None else np.flatnonzero(keep[ca])
-    use_b = np.arange(len(cb)) if b_rows is None else np.flatnonzero(b_rows[cb])
-    if not len(use_a) or not len(use_b):
-        return
-    right, widest = b.single[cb[use_b]].T, float(rb[use_b].max())
-    for i in range(0, len(use_a), 512):
-        rows = use_a[i : i + 512]
-        near = a.single[ca[rows]] @ right
-        # Single precision and the widest radius first, with slack; then the pair's own radii in double precision.
-        least = (1 - (ra[rows] + widest + reach) ** 2 / 2 - 1e-4).astype(np.float32)
-        for p, q in zip(*np.nonzero(near >= least[:, None]), strict=True):
-            d2 = 2 - 2 * float(a.x[ca[rows[p]]] @ b.x[cb[use_b[q]]])
-            if d2 <= (ra[rows[p]] + rb[use_b[q]] + reach) ** 2:
-                yield a.levels[-1][rows[p]], b.levels[-1][use_b[q]]
-
-
-def compare(a: Tree, b: Tree, ids_a: np.ndarray, ids_b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray, cosine: float, same: bool):
-    """Links a vector has on the other side, counted by weight, and edges that connect what is linked."""
-    count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-    label_a, label_b = ids_a.copy(), (ids_a if same else ids_b).copy()
-    if same:
-        label_b = label_a
-    edges: list[np.ndarray] = []
-    far = np.iinfo(np.int64).max
-    for m, n in pairs_of(a, b, cosine):
-        for i in range(0, len(m), 1024):
-            part = m[i : i + 1024]
-            hit = a.x[part] @ b.x[n].T >= cosine
-            if same:
-                hit &= part[:, None] != n[None, :]
-            if not hit.any():
+    order, levels = np.arange(len(x)), []
+    begin = np.zeros(len(x), np.int64)
+    for r in RADII:
+        starts = np.unique(begin)
+        fresh = np.empty_like(begin)
+        for s, e in zip(starts, np.append(starts[1:], len(x)), strict=True):
+            if e - s == 1:
+                fresh[s] = s
+                continue
+            rows = order[s:e]
+            own = net(x[rows], r)
+            turn = np.lexsort((np.arange(e - s) != own, own))  # a centre stands before its members
+            order[s:e] = rows[turn]
+            own = own[turn]
+            fresh[s:e] = s + np.searchsorted(own, own)
+        # Rows were moved inside nodes of the levels above only: their starts stay.
+        levels.append(fresh)
+        begin = fresh
+    return order, np.array(levels)
+
+
+class Tree:
+    """A subtree of vectors in tree order: node starts and covering radii by level, the root first."""
+
+    def __init__(self, x: np.ndarray, levels: np.ndarray, ids: np.ndarray, weights: np.ndarray):
+        self.x, self.single, self.ids, self.weights = x, x.astype(np.float32), ids, weights
+        self.links, self.label = np.zeros(len(x), np.int64), ids.copy()
+        self.starts, self.radii = [], []
+        for begin in (np.zeros(len(x), np.int64), *levels):
+            starts = np.unique(begin)
+            self.starts.append(starts)
+            self.radii.append(np.sqrt(np.maximum.reduceat(((x - x[begin]) ** 2).sum(1), starts)))
+
+    def members(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of members of each node."""
+        ends = np.append(self.starts[level][1:], len(self.x))
+        return self.starts[level][nodes], ends[nodes] - self.starts[level][nodes]
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First number and count of each node's children on the next level."""
+        first, n = self.members(level, nodes)
+        low = np.searchsorted(self.starts[level + 1], first)
+        return low, np.searchsorted(self.starts[level + 1], first + n) - low
+
+
+class Pair:
+    """Dual traversal of two subtrees, or of one with itself: counts links and finds edges that connect what is linked."""
+
+    def __init__(self, a: Tree, b: Tree, cosine: float):
+        self.a, self.b, self.cosine, self.same = a, b, cosine, a is b
+        self.reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+        self.edges: list[np.ndarray] = []
+
+    def run(self) -> np.ndarray:
+        p = q = np.zeros(1, np.int64)
+        for level in range(len(RADII)):
+            p, q = self.descend(level, p, q)
+        self.compare(p, q)
+        return np.concatenate(self.edges) if self.edges else np.empty((0, 2), np.int64)
+
+    def descend(self, level: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children of the node pairs (p, q) that covering radii can't decide."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        pa, na = self.a.children(level, p)
+        qb, nb = self.b.children(level, q)
+        wide = na * nb > CELLS // 8
+        for i in np.flatnonzero(wide):  # both nodes have many children: distances by matrix product, in single precision first
+            found += self.wide(level + 1, np.arange(pa[i], pa[i] + na[i]), np.arange(qb[i], qb[i] + nb[i]))
+        for i, j in self.pairs(pa[~wide], na[~wide], qb[~wide], nb[~wide]):
+            found.append(self.undecided(level + 1, i, j))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def wide(self, level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ca, cb = self.a.starts[level][i], self.b.starts[level][j]
+        right, widest = self.b.single[cb].T, float(self.b.radii[level][j].max())
+        for k in range(0, len(i), 512):
+            least = 1 - (self.a.radii[level][i[k : k + 512]] + widest + self.reach) ** 2 / 2 - 1e-4
+            u, v = np.nonzero(self.a.single[ca[k : k + 512]] @ right >= least.astype(np.float32)[:, None])
+            for m in range(0, len(u), CELLS):
+                yield self.undecided(level, i[k + u[m : m + CELLS]], j[v[m : m + CELLS]])
+
+    def pairs(self, start_a: np.ndarray, na: np.ndarray, start_b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of the runs of numbers (start_a, na) x (start_b, nb), some at a time."""
+        total = np.cumsum(na * nb)
+        begin = 0
+        while begin < len(na):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CELLS, "right")))
+            i = ranges(start_a[begin:end], na[begin:end])
+            width, low = np.repeat(nb[begin:end], na[begin:end]), np.repeat(start_b[begin:end], na[begin:end])
+            yield np.repeat(i, width), ranges(low, width)
+            begin = end
+
+    def undecided(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Drops node pairs that lie too far apart, and counts at once those that link member with member."""
+        if self.same:
+            keep = i <= j
+            i, j = i[keep], j[keep]
+        x, y = self.a.x[self.a.starts[level][i]], self.b.x[self.b.starts[level][j]]
+        d = np.sqrt(((x - y) ** 2).sum(1))
+        cover = self.a.radii[level][i] + self.b.radii[level][j]
+        whole = (d + cover <= self.reach - SLACK) & (cover > 0)
+        for u, v in zip(i[whole], j[whole], strict=True):
+            self.join_all(level, u, v)
+        left = ~whole & (d - cover <= self.reach + SLACK)
+        return i[left], j[left]
+
+    def join_all(self, level: int, u: int, v: int) -> None:
+        """Every member of node u links with every member of node v."""
+        (su,), (nu,) = self.a.members(level, np.array([u]))
+        (sv,), (nv,) = self.b.members(level, np.array([v]))
+        one, two = slice(su, su + nu), slice(sv, sv + nv)
+        if self.same and u == v:
+            self.a.links[one] += self.a.weights[one].sum() - self.a.weights[one]
+        else:
+            self.a.links[one] += self.b.weights[two].sum()
+            self.b.links[two] += self.a.weights[one].sum()
+        low = min(self.a.label[one].min(), self.b.label[two].min())
+        for tree, part in ((self.a, one), (self.b, two)):
+            self.lower(tree, np.arange(part.start, part.stop), np.full(part.stop - part.start, low))
+
+    def lower(self, tree: Tree, at: np.ndarray, label: np.ndarray) -> bool:
+        """Give smaller labels, each an edge from the vector to one that it is connected with."""
+        changed = label < tree.label[at]
+        at, label = at[changed], label[changed]
+        tree.label[at] = label
+        if len(at):
+            self.edges.append(np.stack([tree.ids[at], label], 1))
+        return bool(len(at))
+
+    def compare(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Members of the node pairs of the last level, in double precision."""
+        for i, j in self.pairs(*self.a.members(len(RADII), p), *self.b.members(len(RADII), q)):
+            if self.same:
+                keep = i < j
+                i, j = i[keep], j[keep]
+            hit = np.einsum("ij,ij->i", self.a.x[i], self.b.x[j]) >= self.cosine
+            i, j = i[hit], j[hit]
+            if not len(i):
                 continue
-            count_a[part] += hit @ weight_b[n]
-            if not same:
-                count_b[n] += hit.T @ weight_a[part]
+            np.add.at(self.a.links, i, self.b.weights[j])
+            np.add.at(self.b.links, j, self.a.weights[i])
             while True:
-                low = np.minimum(label_a[part], np.where(hit, label_b[n][None, :], far).min(1))
-                changed = low < label_a[part]
-                edges.append(np.stack([ids_a[part][changed], low[changed]], 1))
-                label_a[part] = low
-                low_b = np.minimum(label_b[n], np.where(hit, label_a[part][:, None], far).min(0))
-                changed_b = low_b < label_b[n]
-                edges.append(np.stack([ids_b[n][changed_b], low_b[changed_b]], 1))
-                label_b[n] = low_b
-                if not changed.any() and not changed_b.any():
+                la, lb = self.a.label.copy(), self.b.label.copy()
+                np.minimum.at(la, i, self.b.label[j])
+                np.minimum.at(lb, j, self.a.label[i])
+                if self.same:
+                    la = np.minimum(la, lb)
+                every = np.arange(len(la))
+                again = self.lower(self.a, every, la)
+                if not self.same:
+                    again |= self.lower(self.b, np.arange(len(lb)), lb)
+                if not again:
                     break
-    return count_a, count_b, np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
-
 
-def near_dedup(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, n_links, component_id, kept for every row of ``vectors``.
 
-    Equal vectors are one class. The top level of the cover tree is a net over a sample of at most TOP_SAMPLE
-    classes; every class goes to its nearest top node, and a node's classes are dealt into subtrees of about
-    BLOCK. Pairs of subtrees whose covering radii rule out the threshold are dropped; the others are traversed
-    together, one pair a task, which counts links and keeps edges that connect, not pairs. Only centres, radii
-    and sizes of the top level reach the driver.
+def centres_of(sample: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` rows of ``sample``, each as far from those before as it can be."""
+    chosen = [0]
+    near = sample @ sample[0]
+    while len(chosen) < most and near.min() < 1 - 1e-6:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
 
-    Null, zero and non-finite vectors link with nothing. Vectors must have one length; repeated ids are rows of
-    one node. A row without an id links with nothing.
-    """
-    spark = vectors.sparkSession
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                a = None if pd.isna(i) else usable(v)
-                raw = None if a is None else a.tobytes()
-                out.append((i, raw, None if raw is None else hashlib.blake2b(raw, digest_size=16).digest()))
-            yield pd.DataFrame(out, columns=["id", "raw", "digest"]).astype({"id": "Int64"})
+def distance(x: Column, y: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
-    rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(clean, "id long, raw binary, digest binary"))
-    classes = written(rows.where("raw is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    found = rows.where("raw is not null").join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("own"), "weight"), "id")
-    reps = written(found.where("digest = own").select("id", "raw", "weight").dropDuplicates(["id"]))
 
-    top = [np.frombuffer(r["raw"]) for r in reps.orderBy(F.xxhash64("id"), "id").limit(TOP_SAMPLE).select("raw").collect()]
-    n = reps.count()
-    centres = net(unit(np.array(top)), max(1, math.ceil(n / BLOCK))) if top else np.empty((0, 0))
+def subtrees(classes: DataFrame, top: np.ndarray, n: int, kind: type) -> DataFrame:
+    """The vectors of ``classes`` in subtrees of about BLOCK: block, place, node, weight, raw, levels; at place 0 also centre and cover."""
+    centres = centres_of(top, max(1, math.ceil(n / BLOCK)))
 
     @F.pandas_udf("int")
     def nearest(raw: pd.Series) -> pd.Series:
-        x = unit(np.frombuffer(b"".join(raw)).reshape(len(raw), -1))
+        x = unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1))
         return pd.Series((x @ centres.T).argmax(1).astype(np.int32))
 
-    placed = written(reps.withColumn("cell", nearest("raw"))) if n else reps.withColumn("cell", F.lit(0))
-    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    parts = F.lit(1)
-    for cell, size in sizes.items():
-        parts = F.when(F.col("cell") == cell, F.lit(math.ceil(size / BLOCK))).otherwise(parts)
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = unit(np.frombuffer(b"".join(pdf["raw"])).reshape(len(pdf), -1))
-        centre = x.mean(0)
-        radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
-        return pd.DataFrame({
-            "block": [int(pdf["cell"].iloc[0]) << 32 | int(pdf["part"].iloc[0])], "n": [len(pdf)], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-            "weights": [pdf["weight"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()], "tree": [Tree(x).shape()], "centre": [centre.tolist()], "radius": [radius],
-        })
-
-    schema = "block long, n long, ids binary, weights binary, xs binary, tree binary, centre array<double>, radius double"
-    blocks = written(dealt.groupBy("cell", "part").applyInPandas(pack, schema))
-    heads = sorted((r["block"], r["centre"], r["radius"]) for r in blocks.select("block", "centre", "radius").collect())
-    reach = math.sqrt(2 - 2 * cosine) + 1e-9
-    todo = []
-    for i, (a, ca, ra) in enumerate(heads):
-        near = [b for b, cb, rb in heads[i:] if math.dist(ca, cb) <= ra + rb + reach]
-        todo += [(a, b) for b in near]
-    pairs = spark.createDataFrame(todo, "a long, b long")
-    left, right = blocks.select(F.col("block").alias("a"), "ids", "weights", "xs", "tree"), blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("weights_b"), F.col("xs").alias("xs_b"), F.col("tree").alias("tree_b"))
-    both = pairs.join(left, "a").join(right, "b").repartition(max(1, len(todo)), "a", "b")
-
-    def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    placed = written(classes.select("node", "weight", "raw").withColumn("cell", nearest("raw")))
+    # One row a centre, TOP_SAMPLE at most.
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("block", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(pdf), -1))
+        order, levels = grow(x)
+        pdf = pdf.iloc[order]
+        first = x[order[0]]
+        cover = float(np.sqrt(((x - first) ** 2).sum(1).max()))
+        out = pdf[["block", "node", "weight", "raw"]].assign(place=np.arange(len(pdf), dtype=np.int32), levels=list(levels.T.astype(np.int32)))
+        out["centre"] = [first if k == 0 else None for k in range(len(pdf))]
+        out["cover"] = [cover if k == 0 else None for k in range(len(pdf))]
+        return out[["block", "place", "node", "weight", "raw", "levels", "centre", "cover"]]
+
+    schema = "block long, place int, node long, weight long, raw binary, levels array<int>, centre array<double>, cover double"
+    return written(dealt.select("block", "node", "weight", "raw").groupBy("block").applyInPandas(build, schema))
+
+
+def block_pairs(blocks: DataFrame, top: np.ndarray, reach: float) -> DataFrame:
+    """(owner, block): pairs of subtrees that covering radii can't keep apart, each once, by way of the level above."""
+    supers = [list(map(float, c)) for c in centres_of(top, SUPER)]
+    table = F.array(*[F.array(*map(F.lit, c)) for c in supers])
+    away = F.transform(table, lambda c: distance(F.col("centre"), c))
+    heads = blocks.where("place = 0").select("block", "centre", "cover").withColumn("away", away)
+    heads = written(heads.withColumn("over", (F.array_position("away", F.array_min("away")) - 1).cast("int")))
+    cover = {r["over"]: r["r"] for r in heads.groupBy("over").agg(F.max(F.get("away", F.col("over")) + F.col("cover")).alias("r")).collect()}
+    radii = F.array(*[F.lit(float(cover.get(k, -1e9))) for k in range(len(supers))])
+    near = F.filter(F.sequence(F.lit(0), F.lit(len(supers) - 1)), lambda k: F.get("away", k) <= F.get(radii, k) + F.col("cover") + reach)
+    left = heads.select(F.col("block").alias("a"), F.col("centre").alias("x"), F.col("cover").alias("rx"), F.explode(near).alias("over"))
+    both = left.join(heads.select(F.col("block").alias("b"), F.col("centre").alias("y"), F.col("cover").alias("ry"), "over"), "over")
+    both = both.where((F.col("a") < F.col("b")) & (distance(F.col("x"), F.col("y")) <= F.col("rx") + F.col("ry") + reach))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    return written(both.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("block")))
+
+
+def traversed(blocks: DataFrame, pairs: DataFrame, kind: type, cosine: float) -> DataFrame:
+    """node, links, to: link counts (to is the node itself), and edges (links 0), from all pairs of subtrees.
+
+    A task holds its owner's subtree and takes the others one after the other, as rows in tree order.
+    """
+    columns = ["owner", "block", "place", "node", "weight", "raw", "levels"]
+    own = blocks.withColumn("owner", F.col("block")).select(*columns, F.lit(0).alias("side"))
+    others = pairs.join(blocks, "block").select(*columns, F.lit(1).alias("side"))
+    n = blocks.where("place = 0").count()
+    sent = own.unionAll(others).repartition(max(1, min(2 * n, 8192)), "owner").sortWithinPartitions("owner", "side", "block", "place")
+
+    def tree(parts: list[pd.DataFrame]) -> Tree:
+        pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
+        x = unit(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(pdf), -1))
+        return Tree(x, np.stack(pdf["levels"].to_numpy()).T.astype(np.int64), pdf["node"].to_numpy(np.int64), pdf["weight"].to_numpy(np.int64))
+
+    def counted(t: Tree) -> pd.DataFrame:
+        at = t.links > 0
+        return pd.DataFrame({"node": t.ids[at], "links": t.links[at], "to": t.ids[at]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts, held = None, [], None
+
+        def finish() -> Iterator[pd.DataFrame]:
+            nonlocal held
+            t = tree(parts)
+            if now[1] == 0:
+                held = t
+            edges = Pair(held, t, cosine).run()
+            yield pd.DataFrame({"node": edges[:, 0], "links": 0, "to": edges[:, 1]})
+            if t is not held:
+                yield counted(t)
+
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids_a, ids_b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_b, np.int64)
-                a = Tree(np.frombuffer(r.xs).reshape(len(ids_a), -1), r.tree)
-                b = a if r.a == r.b else Tree(np.frombuffer(r.xs_b).reshape(len(ids_b), -1), r.tree_b)
-                count_a, count_b, edges = compare(a, b, ids_a, ids_b, np.frombuffer(r.weights, np.int64), np.frombuffer(r.weights_b, np.int64), cosine, r.a == r.b)
-                for ids, count in ((ids_a, count_a), (ids_b, count_b)):
-                    at = count > 0
-                    yield pd.DataFrame({"id": ids[at], "links": count[at], "to": ids[at]})
-                yield pd.DataFrame({"id": edges[:, 0], "links": 0, "to": edges[:, 1]})
-
-    seen = written(both.mapInPandas(traverse, "id long, links long, to long"))
-    links = seen.groupBy("id").agg(F.sum("links").alias("links"))
-    part = components(seen.where("id <> to").select(F.col("id").alias("src"), F.col("to").alias("dst")))
-    named = written(
-        classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(part.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    )
-    out = rows.select("id", "digest").join(named, "digest", "left")
+            for key, part in pdf.groupby(["owner", "side", "block"], sort=False):
+                if key != now:
+                    if parts:
+                        yield from finish()
+                        if key[0] != now[0]:
+                            yield counted(held)
+                    now, parts = key, []
+                parts.append(part)
+        if parts:
+            yield from finish()
+            yield counted(held)
+
+    return written(sent.mapInPandas(run, "node long, links long, to long"))
+
+
+def near_dedup(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, n_links, component_id, kept for every row of ``vectors``.
+
+    Equal vectors are one class. Every class goes to the nearest of the centres that a net over at most TOP_SAMPLE
+    classes gives, and these cells are dealt into subtrees of about BLOCK, with nested levels of halving radii. Spark
+    joins the subtrees whose covering radii can't keep them apart, by way of a level above; tasks traverse each pair
+    from level to level, only children of undecided node pairs are looked at, and node pairs that link member with
+    member are counted at once. Pairs of vectors are counted, never listed.
+
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do those of
+    another length than the commonest (of equally common ones the greatest), nor rows without an id. Rows that
+    repeat an id and a vector are one vector, those that repeat an id with other vectors are vectors of their own that bear
+    one id. An empty table gives an empty result; other columns are not read.
+    """
+    kind = np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 1024):
+                out = []
+                for i, v in pdf.iloc[k : k + 1024].itertuples(index=False):
+                    a = None if pd.isna(i) else usable(v)
+                    raw = None if a is None else a.astype(kind).tobytes()
+                    out.append((i, raw, None if raw is None else hashlib.blake2b(raw, digest_size=16).digest()))
+                yield pd.DataFrame(out, columns=["id", "raw", "digest"]).astype({"id": "Int64"})
+
+    rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(clean, "id long, raw binary, digest binary"))
+    size = F.octet_length("raw")
+    common = rows.where("raw is not null").groupBy(size.alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    alone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    if common is None:
+        return alone
+    fit = rows.where("raw is not null").where(size == common["size"])
+    found = fit.groupBy("digest").agg(F.min("id").alias("id"), F.count_distinct("id").alias("weight"), F.first("raw").alias("raw"))
+    classes = written(with_node(found))
+    top = [np.frombuffer(r["raw"], kind) for r in classes.orderBy(F.xxhash64("node"), "node").limit(TOP_SAMPLE).select("raw").collect()]
+    top = unit(np.array(top))
+    blocks = subtrees(classes, top, classes.count(), kind)
+    pairs = block_pairs(blocks, top, math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK)
+    seen = traversed(blocks, pairs, kind, cosine)
+    links = seen.groupBy("node").agg(F.sum("links").alias("links"))
+    named = named_classes(classes, seen.where("node <> to").select(F.col("node").alias("src"), F.col("to").alias("dst")))
+    counts = classes.select("digest", "node", "weight").join(links, "node", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = rows.join(written(named.join(counts, "digest")), "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
-
-
-def net(x: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` centres: a net over ``x`` whose radius halves from 2 until it has that many."""
-    chosen = [0]
-    r = 2.0
-    near = x @ x[0]
-    while len(chosen) < most and r > 1e-3:
-        r /= 2
-        while len(chosen) < most and (at := near.argmin()) is not None and near[at] < 1 - r * r / 2:
-            chosen.append(int(at))
-            near = np.maximum(near, x @ x[at])
-    return x[chosen]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, components, key_filter, with_maybe, without_rows, written
+from .common import bits_for, components, key_filter, named_classes, with_maybe, with_node, without_rows, written
 
 BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
@@ -326,12 +326,7 @@ def near_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_co
     full = sketch.where("digest is not null and id is not null")
     # Equal sets have equal registers and bands: one row a class, combined before the shuffle.
     reps = written(full.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "regs", "bands")]))
-    node = F.col("id")
-    repeated = written(reps.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
-    if not repeated.isEmpty():  # an id that stands for several texts: its classes are named by their digests
-        reps = reps.join(repeated, "id", "left")
-        node = F.when(F.col("texts") > 1, F.xxhash64("digest")).otherwise(F.col("id"))
-    reps = reps.withColumn("node", node)
+    reps = with_node(reps)
     banded = reps.select("node", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     bits = bits_for(buckets.count())
@@ -350,13 +345,8 @@ def near_classes(docs: DataFrame, width: int, percent: int, id_col: str, text_co
     check = (docs, reps, width, percent, id_col, text_col)
     links = linked(tried, *check)
     more = rest_of_buckets(members, links, *check)
-    part = components(links if more is None else links.unionAll(more)).withColumnRenamed("id", "node")
-
-    named = reps.select("digest", "id", "node").join(part, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    alone = named.where("component is null").select("digest", F.col("id").alias("component"), F.col("digest").alias("keeper"))
-    groups = named.where("component is not null").groupBy("c").agg(F.min(F.struct("id", "digest")).alias("low"))
-    joined = named.where("component is not null").join(groups, "c").select("digest", F.col("low.id").alias("component"), F.col("low.digest").alias("keeper"))
-    return sketch.select("id", "text_key", "n_shingles", "digest"), written(alone.unionAll(joined))
+    named = named_classes(reps, links if more is None else links.unionAll(more))
+    return sketch.select("id", "text_key", "n_shingles", "digest"), named
 
 
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -206,15 +206,32 @@ def test_ids_equal_the_public_encoder(model):
             assert model.decode(model.encode(t)) == t
 
 
-def test_streaming_state_is_bounded_and_equal(model):
-    text = "▁" + "".join(np.random.default_rng(4).choice(list("etaoinsh"), 3000))
-    assert [model.ids[p] for p in model.stream(text)] == list(model.encode(text[1:]))
+def test_window_commits_and_stays_small(model):
+    """One stretch without spaces: the window moves on long before its end, and gives the public encoder's ids."""
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=spm.MODEL_PATH)
+    text = "".join(np.random.default_rng(4).choice(list("etaoinsh"), 30_000))
+    model.commits = model.widest = 0
+    assert list(model.window("▁" + text)) == sp.encode(text)
+    assert model.commits > 500 and model.widest <= 6 * model.width
+
+
+def test_repeated_and_first_words_are_equal(model):
+    text = " ".join(["thorin", "thorin", "ontionly", "a" * 40, "thorin"])
+    first = model.encode(text)
+    assert model.encode(text) == first
+    model.known.clear()
+    model.near.clear()
+    assert model.encode(text) == first
 
 
 def test_unigram_models_take_the_best_path():
     m = spm.Model.__new__(spm.Model)
     m.kind, m.ids, m.scores, m.width, m.least, m.usable = spm.UNIGRAM, {"a": 0, "ab": 1, "b": 2, "ba": 3}, [-1.0, -1.5, -1.0, -3.0], 2, -13.0, {}
-    assert list(m.stream("abba")) == ["ab", "b", "a"]
+    m.reach, m.near, m.bytes, m.unknown, m.commits, m.widest = {}, {}, {}, 9, 0, 0
+    assert list(m.window("abba")) == [1, 2, 0]
+    long = "abba" * 50
+    assert list(m.window(long)) == [1, 2, 0] * 50 and m.commits > 20
+    assert list(m.window("axa")) == [0, 9, 0]
 
 
 def test_encode_rows(docs, empty):
@@ -370,27 +387,62 @@ def test_chat_digests(spark):
 # embeddings
 
 
+def cosines(rows):
+    """n_links and component per id, by brute force over rows of unique ids."""
+    x = np.array([v for _, v in rows], float)
+    u = x / np.abs(x).max(1, keepdims=True)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    ids = np.array([i for i, _ in rows])
+    label = ids.copy()
+    for _ in rows:
+        label = np.minimum(label, np.where(hit, label[None, :], ids.max()).min(1, initial=ids.max()))
+    return {i: (int(n), int(c)) for i, n, c in zip(ids, hit.sum(1), label, strict=True)}
+
+
 def test_cover_tree_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
     heads = rng.normal(size=(40, 16))
-    x = np.vstack([heads, *(heads[i] + rng.normal(size=(n, 16)) * 0.15 for i, n in ((0, 60), (1, 9), (2, 3)))])
-    x = np.vstack([x, x[:5], x[:3] * 2])
+    x = np.vstack([heads, *(heads[i] + rng.normal(size=(n, 16)) * w for i, n, w in ((0, 60, 0.15), (1, 9, 0.15), (2, 3, 0.15), (3, 50, 0.02)))])
+    x = np.vstack([x, x[:5], x[:3] * 2, x[:1] * 1e200, x[1:2] * 1e-200])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    bad = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [float("inf")] + [1.0] * 15), (904, []), (None, rows[0][1])]
-    df = spark.createDataFrame(rows + bad + rows[:1], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hit = u @ u.T >= 0.95
-    np.fill_diagonal(hit, False)
-    label = np.arange(len(x))
-    for _ in range(len(x)):
-        label = np.minimum(label, np.where(hit, label[None, :], len(x)).min(1))
-    for block in (4096, 16):
+    bad = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [float("inf")] + [1.0] * 15), (904, []), (905, [1.0, 2.0]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows + bad + rows[:1], "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "node": F.lit("x"), "block": F.lit(2)})
+    want = cosines(rows)
+    for block, top in ((4096, 4096), (16, 8)):
         monkeypatch.setattr(covertree, "BLOCK", block)
-        got = by_id(covertree.near_dedup(df.where("vec_id IS NULL OR vec_id <> 0 OR vec_id = 0").dropDuplicates(["vec_id"])), "vec_id")
-        assert all(got[i].component_id == label[i] and got[i].n_links == hit[i].sum() for i in range(len(x)))
-        assert all(got[i].component_id == i and got[i].n_links == 0 and got[i].kept for i in range(900, 905))
+        monkeypatch.setattr(covertree, "TOP_SAMPLE", top)
+        got = covertree.near_dedup(df).collect()
+        assert len(got) == df.count()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None and r.vec_id < 900} == want
+        assert all(r.component_id == r.vec_id and r.n_links == 0 and r.kept for r in got if r.vec_id is None or r.vec_id >= 900)
     assert covertree.near_dedup(df.where("false")).count() == 0
-    assert covertree.near_dedup(df).count() == df.count()
+    # an id that stands for two vectors: two nodes
+    two = spark.createDataFrame([(1, rows[0][1]), (1, rows[30][1]), (2, rows[0][1]), (3, rows[30][1])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in covertree.near_dedup(two).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_trees_nest_and_prune():
+    """Levels halve and nest, and the traversal looks at few of the pairs of far groups."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(20, 8)), 30, 0) + rng.normal(size=(600, 8)) * 0.05
+    x = covertree.unit(x)
+    order, levels = covertree.grow(x)
+    tree = covertree.Tree(x[order], levels, np.arange(600), np.ones(600, np.int64))
+    assert sorted(order) == list(range(600)) and len(tree.starts[0]) == 1
+    for k, r in enumerate(covertree.RADII):
+        assert set(tree.starts[k]) <= set(tree.starts[k + 1]) and tree.radii[k + 1].max() <= r + 1e-3
+    pair = covertree.Pair(tree, tree, 0.95)
+    seen = []
+    real = covertree.Pair.undecided
+    pair.undecided = lambda level, i, j: seen.append(len(i)) or real(pair, level, i, j)
+    compared = []
+    pair.compare = lambda p, q: compared.extend([*map(sum, [tree.members(4, p)[1] * tree.members(4, q)[1]])]) or covertree.Pair.compare(pair, p, q)
+    pair.run()
+    hit = x[order] @ x[order].T >= 0.95
+    assert (tree.links == hit.sum(1) - 1).all()
+    assert sum(compared) < 600 * 600 / 4 and sum(seen) < 600 * 600 / 4
 
 
 # mixing
