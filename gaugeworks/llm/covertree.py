@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import named_classes, with_node, written
 
 BLOCK = 8192  # vectors in a subtree, about; a task holds two
-RADII = (1.0, 0.5, 0.25, 0.125)  # nested levels below a subtree's root, halving
+RADII = (0.8, 0.4, 0.2, 0.1)  # nested levels below a subtree's root, halving
 TOP_SAMPLE = 4096  # vectors that the top level is chosen from
 SUPER = 64  # nodes of the level above the subtrees
 CELLS = 1 << 17  # pairs whose distance is taken at once
@@ -144,13 +144,17 @@ class Pair:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def wide(self, level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ca, cb = self.a.starts[level][i], self.b.starts[level][j]
-        right, widest = self.b.single[cb].T, float(self.b.radii[level][j].max())
-        for k in range(0, len(i), 512):
-            least = 1 - (self.a.radii[level][i[k : k + 512]] + widest + self.reach) ** 2 / 2 - 1e-4
-            u, v = np.nonzero(self.a.single[ca[k : k + 512]] @ right >= least.astype(np.float32)[:, None])
-            for m in range(0, len(u), CELLS):
-                yield self.undecided(level, i[k + u[m : m + CELLS]], j[v[m : m + CELLS]])
+        """All pairs of the nodes i and j, by classes of similar radius of j, so that the widest sets the bound for few."""
+        ca, ra, rb = self.a.starts[level][i], self.a.radii[level][i], self.b.radii[level][j]
+        kinds = np.searchsorted((0.0, 0.1, 0.3, 0.6), rb)
+        for kind in np.unique(kinds):
+            own = j[kinds == kind]
+            right, widest = self.b.single[self.b.starts[level][own]].T, float(rb[kinds == kind].max())
+            for k in range(0, len(i), 512):
+                least = 1 - (ra[k : k + 512] + widest + self.reach) ** 2 / 2 - 1e-4
+                u, v = np.nonzero(self.a.single[ca[k : k + 512]] @ right >= least.astype(np.float32)[:, None])
+                for m in range(0, len(u), CELLS):
+                    yield self.undecided(level, i[k + u[m : m + CELLS]], own[v[m : m + CELLS]])
 
     def pairs(self, start_a: np.ndarray, na: np.ndarray, start_b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of the runs of numbers (start_a, na) x (start_b, nb), some at a time."""
