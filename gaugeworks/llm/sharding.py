@@ -15,18 +15,20 @@ def uniform(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def ranked(rows: DataFrame, place: str, order: list[str], at: Column) -> DataFrame:
-    """Add ``rank``, gapless from 0 inside ``place``, by ``at`` (a number in [0, 1)) and then ``order``.
+def ranked(rows: DataFrame, place: str, order: list[str], at: Column, weight: str | None = None) -> DataFrame:
+    """Add ``rank``: how many rows (or how much ``weight``) of the same ``place`` come before, by ``at`` (a number in
+    [0, 1)) and then ``order``; without weight it is gapless from 0.
 
-    Rows are dealt to SLOTS ranges of ``at``; each range is ranked on its own and starts at the sum of the counts
-    before it. Only the table of counts, places times SLOTS rows whatever the input, is summed up in one place.
+    Rows are dealt to SLOTS ranges of ``at``; each range is ranked on its own and starts at the sum of those
+    before it. Only the table of sums, places times SLOTS rows whatever the input, is summed up in one place.
     """
+    each = F.col(weight) if weight else F.lit(1)
     dealt = rows.withColumn("_range", F.least(F.floor(at * SLOTS), F.lit(SLOTS - 1)).cast("int")).withColumn("_at", at)
-    counts = dealt.groupBy(place, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = dealt.groupBy(place, "_range").agg(F.sum(each).alias("_n"))
     before = Window.partitionBy(place).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(place, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(place, "_range").orderBy("_at", *order)
-    own = dealt.withColumn("_own", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy(place, "_range").orderBy("_at", *order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("_own", F.coalesce(F.sum(each).over(inside), F.lit(0)))
     return (
         own.join(F.broadcast(written(starts)), [place, "_range"])
         .withColumn("rank", (F.col("_own") + F.col("_start")).cast("long"))
@@ -78,26 +80,36 @@ def propagate(nodes: DataFrame, total: int, shards: int, rounds: int) -> DataFra
 def evened(state: DataFrame, total: int, shards: int) -> DataFrame:
     """Shards from labels, counts at most one apart: node, link, payload, shard.
 
-    Inside a label, linked rows come first, block by block, rows without a partner last. Rows ranked beyond the
-    label's even share fill the free places of the other shards in that order, so a link is cut only where
-    there are not enough single rows, and then along one range.
+    A block of linked rows (a whole link, unless it is larger than a sixteenth of a share) takes the commonest label
+    of its rows. Blocks of a label stay, link by link, as long as they fit whole into its share. The others fill the
+    places that are left, shard after shard, and single rows fill the rest. So a link is cut only where such a block
+    lies across the end of a shard's free places, one for a shard at most, or where a link outgrows its share.
     """
-    # A block lies in a stretch of [0, 0.5) as wide as its share of the rows, single rows in [0.5, 1).
-    width = F.least("n_link", F.lit(max(1, total // (shards * 16)))) / F.lit(max(1, total))
-    stretch = (uniform("link", "block") + uniform("node") * width) % 1.0
-    at = F.when(F.col("n_link") > 1, stretch / 2).otherwise(0.5 + uniform("link", "node") / 2)
-    here = written(ranked(state, "label", ["link", "node"], at))
-    load = {r[0]: r[1] for r in here.groupBy("label").count().collect()}
-    loads = [load.get(s, 0) for s in range(shards)]
+    linked = state.where("n_link > 1")
+    votes = linked.groupBy("link", "block", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", F.xxhash64("link", "label").alias("h"), "label"))
+    units = votes.groupBy("link", "block").agg(F.sum("n").alias("n"), top["label"].alias("label"))
+    units = written(ranked(units, "label", ["link", "block"], uniform("link"), "n").withColumnRenamed("rank", "start"))
+    load = {r[0]: r[1] for r in units.groupBy("label").agg(F.sum("n")).collect()}
     share = [total // shards] * shards
     # The fullest labels keep one row more: fewer rows have to leave.
-    for s in sorted(range(shards), key=lambda s: (-loads[s], s))[: total % shards]:
+    for s in sorted(range(shards), key=lambda s: (-load.get(s, 0), s))[: total % shards]:
         share[s] += 1
-    own = F.get(F.array(*map(F.lit, share)), F.col("label"))
+    stays = F.col("start") + F.col("n") <= F.get(F.array(*map(F.lit, share)), F.col("label"))
+    kept = {r[0]: r[1] for r in units.where(stays).groupBy("label").agg(F.sum("n")).collect()}
+    free = place_of(share, [kept.get(s, 0) for s in range(shards)])
     columns = ["node", "link", "payload"]
-    stays = here.where(F.col("rank") < own).select(*columns, F.col("label").alias("shard"))
-    moved = ranked(here.where(F.col("rank") >= own).drop("rank").withColumn("all", F.lit(0)), "all", ["link", "node"], at)
-    return stays.unionByName(moved.select(*columns, place_of(share, loads).alias("shard")))
+    rows = linked.drop("label").join(units, ["link", "block"])
+    moved = ranked(units.where(~stays).drop("start").withColumn("all", F.lit(0)), "all", ["link", "block"], uniform("link"), "n")
+    moved = written(moved.select("link", "block", F.col("rank").alias("first")))
+    inside = F.row_number().over(Window.partitionBy("link", "block").orderBy("node")) - 1
+    again = rows.where(~stays).join(moved, ["link", "block"]).withColumn("rank", F.col("first") + inside)
+    before = sum(load.values()) - sum(kept.values())
+    single = ranked(state.where("n_link = 1").withColumn("all", F.lit(0)), "all", ["link", "node"], uniform("link", "node")).withColumn("rank", F.col("rank") + before)
+    return (
+        rows.where(stays).select(*columns, F.col("label").alias("shard"))
+        .unionByName(again.select(*columns, free.alias("shard"))).unionByName(single.select(*columns, free.alias("shard")))
+    )
 
 
 def place_of(share: list[int], loads: list[int]) -> Column:
@@ -114,7 +126,7 @@ def place_of(share: list[int], loads: list[int]) -> Column:
     return found
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row: law ``rows``, links between equal texts.
 
     Null text counts as empty; empty texts are equal texts like any others. Rows that repeat an id are rows of

@@ -480,8 +480,15 @@ def test_shards_are_even_and_links_hold(spark, docs, empty):
     got["text"] = got.doc_id.map(text)
     shards = got.groupby("text").shard.nunique()
     assert shards["hot"] <= 3 and (shards.drop("hot") > 1).mean() < 0.05
+    linked = shards.drop("hot")[got.groupby("text").size().drop("hot") > 1]
+    assert len(linked) == 100 and (linked > 1).sum() <= 3  # one for each boundary between four shards
+    cut = sharding.cut_links(spark.createDataFrame(got[["text", "shard"]]), "text").first()
+    assert cut.links == 101 and cut.cut == (linked > 1).sum() + (shards["hot"] > 1)
+    again = sharding.shard_documents(df.repartition(7), shards=4).toPandas()
+    assert dict(zip(again.doc_id, again.shard, strict=True)) == dict(zip(got.doc_id, got.shard, strict=True))
     small = sharding.shard_documents(docs, shards=16).toPandas()
     assert len(small) == docs.count() and small.groupby("shard").size().max() <= 2
+    assert sorted(small["size"]) == sorted(len((r.text or "").encode()) + 1 for r in docs.collect())
     assert sharding.shard_documents(empty).count() == 0
 
 
