@@ -22,130 +22,191 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "option": ("option", ("select",))}
-OUTSIDE = frozenset("head nav footer aside form button fieldset dialog menu".split())
+OUTSIDE = frozenset("head nav footer aside form button fieldset dialog menu".split())  # elements that HTML has for other things than the main text
+MARKED = frozenset("div section ul ol dl table p".split())  # elements whose names may lower the weight of what they hold
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|copyright|cookies?|consent|gdpr|notices?|alert|popup|modal|"
     r"newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|disqus|login|signup|search|pagination|pager|toolbar|masthead|site-?header|page-?header)(?:$|[\s_-])",
     re.I,
 )
+MARK_WEIGHT = 0.1
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 STOPS = re.compile(r"[.,;:!?…。、，；：！？]")
+PLAIN = frozenset("p li td th pre blockquote dt dd".split() + [f"h{i}" for i in range(1, 7)])  # blocks that hold text, not an article
 
 
-def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool, bool]]:
-    """(tag path, block number, text, inside a link, outside the main text) of every text node, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, name with classes, outside the main text
-    block, out = 0, []
-    for m in TOKEN.finditer(page):
-        if m["text"] is not None:
-            if m["text"].strip():
-                text = entities.unescape(m["text"]) if "&" in m["text"] else m["text"]
-                path = tuple(x[1] for x in stack)
-                out.append((path, block, text, any(x[0] == "a" for x in stack), bool(stack) and stack[-1][2]))
-            elif out and out[-1][1] == block:
-                out.append((out[-1][0], block, " ", out[-1][3], out[-1][4]))
-            continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
-        if tag in BLOCK:
-            block += 1
-        elif tag == "br" and out and out[-1][1] == block:
-            out.append((out[-1][0], block, " ", out[-1][3], out[-1][4]))
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and tag not in BLOCK:
-                    break
-            continue
-        if tag in VOID or m["attrs"].endswith("/"):
-            continue
-        stop, until = ("p", ()) if tag in BLOCK else ("", ())
-        if tag in CLOSES:
-            stop, until = CLOSES[tag]
-        if stop:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == stop:
-                    del stack[i:]
-                    break
-                if stack[i][0] in until or (stop == "p" and stack[i][0] in BLOCK):
-                    break
-        names = " ".join(filter(None, (x for found in NAMES.findall(m["attrs"]) for x in found)))
-        inside = any(x[0] in ("article", "main") for x in stack)
-        skip = (bool(stack) and stack[-1][2]) or tag in OUTSIDE or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and bool(MARKS.search(names)))
-        stack.append((tag, f"{tag}.{names.lower()}" if names else tag, skip))
-    return out
-
-
-def path_scores(nodes: list[tuple[tuple[str, ...], int, str, bool, bool]], width: int = 1) -> dict[tuple[str, ...], float]:
-    """Score per tag path: text per node and punctuation per node, each smoothed, and fused as their geometric mean.
+class Paths:
+    """The tag paths of a page as a tree, and its text nodes in page order: (path, block number, text).
+
+    A path is a number; parents have smaller numbers than children, so one run over the numbers passes values up or
+    down, and the work is linear in the page, however deep elements nest.
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.depth, self.outside, self.link, self.marked = [0], [""], [0], [False], [False], [False]
+        self.number: dict[tuple[int, str], int] = {}
+        self.nodes: list[tuple[int, int, str]] = []
+        self.read(page)
+
+    def child(self, at: int, tag: str, names: str, inside: bool) -> int:
+        key = (at, f"{tag}.{names.lower()}")
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.parent)
+            self.parent.append(at)
+            self.tag.append(tag)
+            self.depth.append(self.depth[at] + 1)
+            self.outside.append(self.outside[at] or tag in OUTSIDE or (tag == "header" and not inside))
+            self.link.append(self.link[at] or tag == "a")
+            self.marked.append(tag in MARKED and bool(MARKS.search(names)))
+        return found
+
+    def read(self, page: str) -> None:
+        stack: list[tuple[str, int]] = []
+        places: dict[str, list[int]] = {}  # open elements of a tag, by place in the stack
+        blocks: list[int] = []  # open block elements
+        block = 0
+
+        def close(i: int) -> None:
+            while len(stack) > i:
+                tag, _ = stack.pop()
+                places[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
+
+        def last(tag: str) -> int:
+            return places[tag][-1] if places.get(tag) else -1
+
+        for m in TOKEN.finditer(page):
+            at = stack[-1][1] if stack else 0
+            if m["text"] is not None:
+                if m["text"].strip():
+                    self.nodes.append((at, block, entities.unescape(m["text"]) if "&" in m["text"] else m["text"]))
+                elif self.nodes and self.nodes[-1][1] == block:
+                    self.nodes.append((self.nodes[-1][0], block, " "))
+                continue
+            if m["tag"] is None:
+                continue
+            tag = m["tag"].lower()
+            if tag in BLOCK:
+                block += 1
+            elif tag == "br" and self.nodes and self.nodes[-1][1] == block:
+                self.nodes.append((self.nodes[-1][0], block, " "))
+            if m["end"]:
+                i = last(tag)
+                if i >= 0 and (tag in BLOCK or not blocks or blocks[-1] < i):  # an inline end tag closes nothing outside its block
+                    close(i)
+                continue
+            if tag in VOID or m["attrs"].endswith("/"):
+                continue
+            if tag in CLOSES:
+                i = last(CLOSES[tag][0])
+                if i > max((last(t) for t in CLOSES[tag][1]), default=-1):
+                    close(i)
+            elif tag in BLOCK and blocks and blocks[-1] == last("p"):
+                close(blocks[-1])
+            names = " ".join(filter(None, (x for found in NAMES.findall(m["attrs"]) for x in found)))
+            inside = bool(places.get("article") or places.get("main"))
+            at = self.child(stack[-1][1] if stack else 0, tag, names, inside)
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append((tag, at))
+
+    def below(self, values: list[float]) -> list[float]:
+        """Sums over the paths that begin with each path."""
+        total = list(values)
+        for i in range(len(total) - 1, 0, -1):
+            total[self.parent[i]] += total[i]
+        return total
+
+    def weights(self) -> list[float]:
+        """1, or MARK_WEIGHT under an element whose names speak of other things; not if it holds most of the page's text."""
+        text = [0.0] * len(self.parent)
+        for path, _, t in self.nodes:
+            if not self.outside[path] and not self.link[path]:
+                text[path] += len(t)
+        held, out = self.below(text), [1.0] * len(text)
+        for i in range(1, len(out)):
+            out[i] = MARK_WEIGHT if self.marked[i] and 2 * held[i] <= held[0] else out[self.parent[i]]
+        return out
+
+    def common(self, a: int, b: int) -> float:
+        """The share of the longer of two paths that they have in common."""
+        longest = max(self.depth[a], self.depth[b], 1)
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return self.depth[a] / longest
+
+
+def path_scores(paths: Paths, weights: list[float], width: int = 1) -> dict[int, float]:
+    """Score per path with text: text per node and punctuation per node, each smoothed, fused as their geometric mean, times its weight.
 
     Smoothing runs over the paths in order of first appearance: Gaussian in the distance, times the share of the
     path that two neighbours have in common. Paths outside the main text score 0; text in links doesn't count.
     """
-    n: dict[tuple[str, ...], list[float]] = {}
-    for path, _, text, link, outside in nodes:
-        got = n.setdefault(path, [0, 0, 0, 0])
+    sums: dict[int, list[float]] = {}
+    for path, _, text in paths.nodes:
+        got = sums.setdefault(path, [0, 0, 0])
         if text == " ":
             continue
         got[0] += 1
-        if not link:
+        if not paths.link[path]:
             got[1] += len(text)
             got[2] += len(STOPS.findall(text))
-        got[3] = max(got[3], outside)
-    paths = list(n)
-    text = [n[p][1] / max(1, n[p][0]) for p in paths]
-    stops = [n[p][2] / max(1, n[p][0]) for p in paths]
-
-    def common(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-        k = 0
-        for x, y in zip(a, b, strict=False):
-            if x != y:
-                break
-            k += 1
-        return k / max(len(a), len(b), 1)
-
+    order = list(sums)
+    ratio = [[sums[p][k] / max(1, sums[p][0]) for p in order] for k in (1, 2)]
     scores = {}
-    for i, p in enumerate(paths):
-        near = range(max(0, i - width), min(len(paths), i + width + 1))
-        w = [math.exp(-((i - j) ** 2)) * common(p, paths[j]) if i != j else 1.0 for j in near]
-        t = sum(a * text[j] for a, j in zip(w, near, strict=True)) / sum(w)
-        s = sum(a * stops[j] for a, j in zip(w, near, strict=True)) / sum(w)
-        scores[p] = 0.0 if n[p][3] else math.sqrt(t * (s + 0.1))
+    for i, p in enumerate(order):
+        near = range(max(0, i - width), min(len(order), i + width + 1))
+        w = [math.exp(-((i - j) ** 2)) * paths.common(p, order[j]) if i != j else 1.0 for j in near]
+        text, stops = (sum(a * r[j] for a, j in zip(w, near, strict=True)) / sum(w) for r in ratio)
+        scores[p] = 0.0 if paths.outside[p] else weights[p] * math.sqrt(text * (stops + 0.1))
     return scores
 
 
 def main_text(page: str | None) -> str:
     """Text of the nodes on selected paths, white space inside a block as one space, blocks two line ends apart.
 
-    A path is selected if its score reaches half the standard deviation of the page's scores. Paths beside the
-    selected ones, under the element that holds them (headings, short items), come along unless they lie outside
-    the main text; a page without a scoring path has no text.
+    A path is selected if its score reaches half the standard deviation of the page's scores; one of lowered weight only
+    if none scores higher, one outside the element that holds nearly all selected text only if it scores half of the best. What stands beside the
+    selected paths under that element (headings, short items) belongs to them, unless
+    its weight is lowered; where that element is the whole body, only what lies between selected nodes, and
+    headings. A page without a scoring path has no text.
     """
-    nodes = leaves(page or "")
-    scores = path_scores(nodes)
+    paths = Paths(page or "")
+    weights = paths.weights()
+    scores = path_scores(paths, weights)
     if not scores or max(scores.values()) <= 0:
         return ""
     values = list(scores.values())
     mean = sum(values) / len(values)
     limit = 0.5 * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    chosen = {p for p, v in scores.items() if v > 0 and v >= limit}
-    weight: dict[tuple[str, ...], int] = {}
-    for path, _, text, _, outside in nodes:
-        if path in chosen and not outside:
-            for k in range(1, len(path) + 1):
-                weight[path[:k]] = weight.get(path[:k], 0) + len(text)
-    whole = max(weight.values(), default=0)
-    root: tuple[str, ...] = ()
-    for path, w in weight.items():
-        # The deepest block that holds nearly all selected text; for one lone paragraph its parent.
-        if w >= 0.9 * whole and len(path) > len(root) and path[-1].partition(".")[0] in BLOCK and path[-1].partition(".")[0] not in ("p", "li", "td", "pre", "blockquote"):
-            root = path
+    best = max(values)
+    chosen = {p for p, v in scores.items() if v > 0 and v >= (limit if weights[p] == 1 else best)}
+    held = [0.0] * len(paths.parent)
+    for path, _, text in paths.nodes:
+        if path in chosen:
+            held[path] += len(text)
+    held = paths.below(held)
+    root = 0
+    for i in range(1, len(held)):  # the deepest element that holds nearly all selected text
+        if held[i] >= 0.9 * held[0] and paths.depth[i] > paths.depth[root] and paths.tag[i] in BLOCK and paths.tag[i] not in PLAIN:
+            root = i
+    under = [False] * len(held)
+    for i in range(len(held)):
+        under[i] = i == root or under[paths.parent[i]]
+    at = [k for k, (path, _, _) in enumerate(paths.nodes) if path in chosen]
+    whole = paths.tag[root] in ("", "html", "body")
     blocks: dict[int, list[str]] = {}
-    for path, block, text, _, outside in nodes:
-        if not outside and (path in chosen or path[: len(root)] == root):
+    for k, (path, block, text) in enumerate(paths.nodes):
+        beside = under[path] and not paths.outside[path] and weights[path] == weights[root]
+        if whole and beside:
+            beside = at[0] <= k <= at[-1] or (paths.tag[path][:1] == "h" and paths.tag[path] in PLAIN)
+        if (path in chosen and (under[path] or 2 * scores[path] >= best)) or beside:
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(x for x in joined if x)
@@ -154,12 +215,15 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``; null and empty pages have an empty text.
 
-    Pages are independent; repeated rows give equal results, other columns are not read.
+    Pages are independent; repeated rows give equal results, other columns are not read; an empty table gives an
+    empty result. Long and deeply nested pages take time in proportion to their length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [main_text(h) for h in pdf[html_col]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": list(map(len, text))})
+            for i in range(0, len(pdf), 256):
+                part = pdf.iloc[i : i + 256]
+                text = [main_text(h) for h in part[html_col]]
+                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": text, "n_chars": list(map(len, text))})
 
     return pages.select("page_id", "url", F.col(html_col)).mapInPandas(run, "page_id long, url string, text string, n_chars long")

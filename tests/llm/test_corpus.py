@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import re
+import time
 import zlib
 
 import numpy as np
@@ -332,6 +334,66 @@ def test_main_text_of_a_page():
     assert tagpaths.main_text(plain) == "Some text, here.\n\nMore text, there."
 
 
+BARE = """<html><body><div><ul><li><a href="/a">One, two.</a></li><li><a href="/b">Three.</a></li></ul></div>
+<div><div><h2 id="related-work">Related work</h2><p>A first paragraph, with several clauses, and stops. It goes on, and on, for a while.</p>
+<p>Another one; it is long as well, with commas, and an <span class="search term">inline word</span> inside. The end.</p><p>Short.</p></div></div>
+<div><span>Imprint 2024</span></div></body></html>"""
+
+
+def test_paths_decide_without_telling_names():
+    want = "Related work\n\nA first paragraph, with several clauses, and stops. It goes on, and on, for a while.\n\nAnother one; it is long as well, with commas, and an inline word inside. The end.\n\nShort."
+    assert tagpaths.main_text(BARE) == want
+    for names in ("content has-sidebar", "no-sidebar", "with-comments", "social-page"):  # on wrappers that hold the article
+        assert tagpaths.main_text(BARE.replace("<div><div>", f'<div class="{names}"><div>')) == want
+    flat = "<body><div><a href='/x'>Home</a></div><h1>Title</h1><p>Some text, here, and there, of some length.</p><p>More text, there, with stops. Yes.</p><div><a href='/y'>Next</a></div></body>"
+    assert tagpaths.main_text(flat) == "Title\n\nSome text, here, and there, of some length.\n\nMore text, there, with stops. Yes."
+
+
+def plain_scores(page):
+    """Tag-path ratios as the method's text has them, with whole paths as tuples, for pages of well-formed elements."""
+    stack, sums = [], {}
+    for m in re.finditer(r"<(/?)(\w+)[^>]*>|([^<]+)", page):
+        if m[3]:
+            if m[3].strip():
+                got = sums.setdefault(tuple(stack), [0, 0, 0])
+                link = "a" in stack
+                got[0], got[1], got[2] = got[0] + 1, got[1] + len(m[3]) * (not link), got[2] + len(tagpaths.STOPS.findall(m[3])) * (not link)
+        elif m[1]:
+            stack.pop()
+        else:
+            stack.append(m[2])
+    order = list(sums)
+    out = {}
+    for i, p in enumerate(order):
+        top = [0.0, 0.0, 0.0]
+        for j in (i - 1, i, i + 1):
+            if 0 <= j < len(order):
+                q = order[j]
+                same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+                w = 1.0 if i == j else np.exp(-1) * same / max(len(p), len(q))
+                top[0] += w
+                top[1] += w * sums[q][1] / sums[q][0]
+                top[2] += w * sums[q][2] / sums[q][0]
+        out[p] = (top[1] / top[0] * (top[2] / top[0] + 0.1)) ** 0.5
+    return list(out.values())
+
+
+def test_scores_equal_a_plain_version():
+    page = re.sub(r' (class|id)="[^"]*"', "", BARE)
+    page = re.sub(r">\s+<", "><", page)
+    paths = tagpaths.Paths(page)
+    assert np.allclose(list(tagpaths.path_scores(paths, paths.weights()).values()), plain_scores(page))
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    for tag in ("div", "b", "p", "li"):
+        deep = f"<{tag}>a, b. " * 20_000 + f"</{tag}>" * 20_000
+        assert "a, b." in tagpaths.main_text(f"<body>{deep}</body>")
+        tagpaths.main_text("<b><div>" + "<i>x, y. " * 20_000 + "</b>" * 20_000)
+    assert time.time() - began < 20
+
+
 def test_broken_markup_is_linear():
     assert tagpaths.main_text("<p>" + "<" * 20_000 + "a, b.</p>") is not None
     assert len(tagpaths.main_text('<p class="' + "x" * 200_000)) > 0
