@@ -121,14 +121,14 @@ class Paths:
         return total
 
     def weights(self) -> list[float]:
-        """1, or MARK_WEIGHT under an element whose names speak of other things; not if it holds most of the page's text."""
+        """1, or MARK_WEIGHT under an element whose names speak of other things; not if elements in it hold most of the page's text."""
         text = [0.0] * len(self.parent)
         for path, _, t in self.nodes:
             if not self.outside[path] and not self.link[path]:
                 text[path] += len(t)
         held, out = self.below(text), [1.0] * len(text)
         for i in range(1, len(out)):
-            out[i] = MARK_WEIGHT if self.marked[i] and 2 * held[i] <= held[0] else out[self.parent[i]]
+            out[i] = MARK_WEIGHT if self.marked[i] and 2 * (held[i] - text[i]) <= held[0] else out[self.parent[i]]
         return out
 
     def common(self, a: int, b: int) -> float:
