@@ -16,7 +16,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_WORDS, MAX_PAIRS = 120_000, 250_000  # remembered in a worker, some 70 MB
+MAX_WORDS, MAX_PAIRS = 240_000, 250_000  # remembered in a worker, some 90 MB
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -72,19 +72,25 @@ class Model:
         self.width = max(map(len, self.ids), default=1)
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         inner = [p for p in self.ids if SPACE in p[1:] and p.strip(SPACE)]
-        # Where no piece goes on over the start of a run of spaces, every path passes that boundary.
+        # A boundary that no piece goes over is one that every path passes. Where pieces hold spaces at their start only,
+        # such are the starts of runs of spaces, and places between a letter and a mark that follows a letter in no piece.
         self.sure = not inner
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.sure else "(?s).+")
+        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        marks = "".join(re.escape(c) for c in ".,;:!?\n\"')(]-" if c not in after)
+        letters = f"{SPACE}*[^\\W\\d_]+(?=[{marks}{SPACE}]|\\Z)|" if marks else ""
+        self.stretch = re.compile(f"{letters}{SPACE}*[^{SPACE}]+|{SPACE}+" if self.sure else "(?s).+")
         self.past: dict[str, tuple] = {}
         self.usable = {p: i for p, i in self.ids.items() if self.kind == BPE and self.whole(p)}
         self.past.clear()
-        # The longest usable piece that ends in given three characters; other endings leave pieces of one or two.
-        self.reach: dict[str, int] = {}
+        # The lengths of usable pieces that end in given three characters, longest first; other endings leave pieces of one or two.
+        reach: dict[str, set[int]] = {}
         for p in self.usable:
             if len(p) > 2:
-                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
+                reach.setdefault(p[-3:], {2, 1}).add(len(p))
+        self.reach = {end: tuple(sorted(n, reverse=True)) for end, n in reach.items()}
         self.near: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.commits, self.widest = 0, 0  # of the window, for tests
 
     def history(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
@@ -160,13 +166,14 @@ class Model:
         """
         bpe, width, limit = self.kind == BPE, self.width, 2 * self.width
         usable, reach, near = self.usable.get, self.reach.get, self.near
+        short = (2, 1)
         base, last, back, score = 0, [-1], [0], [0.0]  # -1: nothing before, or an unknown character, which merges with nothing
         for i in range(1, len(text) + 1):
             if bpe:
-                j = i - reach(text[i - 3 : i], 2) if i > 2 else 0
-                if j < base:
-                    j = base
-                while True:
+                for n in reach(text[i - 3 : i], short) if i > 2 else short:
+                    j = i - n
+                    if j < base:
+                        continue
                     k = usable(text[j:i])
                     if k is not None:
                         before = last[j - base]
@@ -180,10 +187,8 @@ class Model:
                                 near[key] = ok
                         if ok:
                             break
-                    elif j == i - 1:
-                        k = -1
-                        break
-                    j += 1
+                else:  # an unknown character
+                    j, k = i - 1, -1
             else:
                 j, k, top = self.best_scoring(text, i, base, score)
                 score.append(top)
@@ -219,16 +224,19 @@ class Model:
             end = back[end - base]
         return out[::-1]
 
-    def stream(self, text: str) -> Iterator[list[int]]:
-        """Ids of ``text`` from left to right. Where a run of spaces begins, all paths have met and the window is empty:
-        what follows up to the next such boundary then depends on nothing before, and is remembered if it is short."""
-        known = self.known
+    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids of ``text`` from left to right. At a boundary that every path passes the window is empty: what follows up
+        to the next such boundary depends on nothing before, and is remembered if it is short."""
         for stretch in self.stretch.findall(text) if self.sure else [text]:
-            ids = known.get(stretch)
+            ids = self.known.get(stretch)
             if ids is None:
-                ids = tuple(self.window(stretch))
-                if len(stretch) <= 32 and len(known) < MAX_WORDS:
-                    known[stretch] = ids
+                ids = self.older.get(stretch)
+                if ids is None:
+                    ids = tuple(self.window(stretch))
+                if len(stretch) <= 32:
+                    if len(self.known) >= MAX_WORDS // 2:  # what was not used lately goes
+                        self.known, self.older = {}, self.known
+                    self.known[stretch] = ids
             yield ids
 
     def encode(self, text: str | None) -> list[int]:
