@@ -89,8 +89,10 @@ def confusion(df: DataFrame, labels: list[str], a: str = "a", b: str = "b") -> D
 
 
 def many_rater_ac1(df: DataFrame, scale: list[str], item: str = "item", label: str = "label") -> DataFrame:
-    """Gwet AC1 over items with two ratings or more, items weighed alike, margins over the fixed scale."""
-    counts = label_counts(df, [item], label)
+    """Gwet AC1 over items with two ratings or more, items weighed alike, margins over the fixed scale; 0 where chance
+    agreement is certain. A label off the scale is an error."""
+    on_scale = F.when(F.col(label).isin(scale), F.col(label)).otherwise(F.raise_error(F.concat(F.lit("label off the scale: "), F.col(label).cast("string"))))
+    counts = label_counts(df.where(F.col(label).isNotNull()).withColumn(label, on_scale), [item], label)
     total = Window.partitionBy(item)
     shares = counts.withColumn("n", F.sum("c").over(total)).where("n >= 2")
     per_item = shares.groupBy(item).agg((F.sum(F.col("c") * (F.col("c") - 1)) / (F.max("n") * (F.max("n") - 1))).alias("p"))
@@ -99,7 +101,7 @@ def many_rater_ac1(df: DataFrame, scale: list[str], item: str = "item", label: s
     spread = margin.agg(F.sum("w").alias("t"), F.sum(F.col("w") * F.col("w")).alias("w2"))
     q = len(scale)
     pe = (1 - F.col("w2") / (F.col("t") * F.col("t"))) / (q - 1)
-    return agree.join(spread).select("n_items", "p_o", F.when(1 - pe <= EPS, F.lit(None).cast("double")).otherwise((F.col("p_o") - pe) / (1 - pe)).alias("ac1"))
+    return agree.join(spread).select("n_items", "p_o", F.when(1 - pe <= EPS, 0.0).otherwise((F.col("p_o") - pe) / (1 - pe)).alias("ac1"))
 
 
 def marginals(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -130,13 +132,13 @@ def auroc(df: DataFrame, score: str, label: str, keys: list[str] | None = None)
     return wins.groupBy(*keys).agg(F.when((F.sum("p") > 0) & (F.sum("q") > 0), F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auroc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
-def distribution_distance(a: DataFrame, b: DataFrame, label: str = "label") -> DataFrame:
-    """Total variation of two label distributions; abstentions are a category."""
+def distribution_distance(a: DataFrame, b: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """Per key the total variation of two label distributions; abstentions are a category."""
     def share(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).withColumn(name, F.col("c") / F.sum("c").over(Window.partitionBy())).select(label, name)
+        return df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("c")).withColumn(name, F.col("c") / F.sum("c").over(Window.partitionBy(*keys))).select(*keys, label, name)
 
-    both = share(a, "p").join(share(b, "q"), label, "full_outer")
-    return both.agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tv"))
+    both = share(a, "p").join(share(b, "q"), [*keys, label], "full_outer")
+    return both.groupBy(*keys).agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tv"))
 
 
 def nested_means(df: DataFrame, keys: list[str], unit: str, value: str) -> DataFrame:
@@ -145,13 +147,13 @@ def nested_means(df: DataFrame, keys: list[str], unit: str, value: str) -> DataF
     return per.groupBy(*keys).agg(F.avg("_m").alias("mean"), F.count(F.lit(1)).alias("n_units"))
 
 
-def profile_agreement(df: DataFrame, pairs: DataFrame, label: str = "label") -> DataFrame:
-    """within (mean unit agreement), between (mean dot product of label profiles over unit pairs), relative."""
-    within = pairwise_agreement(df, ["unit"], label).agg(F.avg("agreement").alias("within"))
-    counts = label_counts(df, ["unit"], label)
-    prof = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("unit")))
-    x = prof.select(F.col("unit").alias("u"), label, F.col("p").alias("p1"))
-    y = prof.select(F.col("unit").alias("w"), label, F.col("p").alias("p2"))
-    dots = pairs.join(x, "u").join(y, ["w", label]).groupBy("u", "w").agg(F.sum(F.col("p1") * F.col("p2")).alias("d"))
-    between = pairs.join(dots, ["u", "w"], "left").agg(F.avg(F.coalesce("d", F.lit(0.0))).alias("between"))
-    return within.join(between).withColumn("relative", (F.col("within") - F.col("between")) / (1 - F.col("between")))
+def profile_agreement(df: DataFrame, pairs: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """Per key: within (mean unit agreement), between (mean dot product of label profiles over unit pairs), relative."""
+    within = pairwise_agreement(df, [*keys, "unit"], label).groupBy(*keys).agg(F.avg("agreement").alias("within"))
+    counts = label_counts(df, [*keys, "unit"], label)
+    prof = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*keys, "unit")))
+    x = prof.select(*keys, F.col("unit").alias("u"), label, F.col("p").alias("p1"))
+    y = prof.select(*keys, F.col("unit").alias("w"), label, F.col("p").alias("p2"))
+    dots = pairs.join(x, [*keys, "u"]).join(y, [*keys, "w", label]).groupBy(*keys, "u", "w").agg(F.sum(F.col("p1") * F.col("p2")).alias("d"))
+    between = pairs.join(dots, [*keys, "u", "w"], "left").groupBy(*keys).agg(F.avg(F.coalesce("d", F.lit(0.0))).alias("between"))
+    return within.join(between, keys).withColumn("relative", (F.col("within") - F.col("between")) / (1 - F.col("between")))

@@ -73,9 +73,9 @@ def ranking(df: DataFrame, keys: list[str], name: str, value: str, places: int =
 
 
 def separation(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """(max - min of s_hat) / mean width; spread 0: 0; width 0: infinity; fewer than two windows: null."""
+    """(max - min of s_hat) / mean width; spread 0: 0; width 0: infinity; fewer than two defined windows: null."""
     spread, width = F.max("s_hat") - F.min("s_hat"), F.avg(F.col("ci_high") - F.col("ci_low"))
-    value = F.when(F.count(F.lit(1)) < 2, None).when(spread <= EPS, 0.0).when(width <= EPS, float("inf")).otherwise(spread / width)
+    value = F.when(F.count("s_hat") < 2, None).when(spread <= EPS, 0.0).when(width <= EPS, float("inf")).otherwise(spread / width)
     return windows.groupBy(*keys).agg(value.alias("separation"))
 
 

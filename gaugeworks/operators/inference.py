@@ -9,20 +9,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import draw, dot
+from ..sources.tables import written
+
+RANGES, SLOTS = 256, 4096
 
 
 def multiplicities(units: DataFrame, keys: list[str], unit: str, n_boot: int, seed: str) -> DataFrame:
     """keys, b, unit, w: how often replicate b draws the unit. Draw i of n picks the unit ranked md5(seed:keys:b:i) mod n.
 
-    Ranks are taken per key, draws exist per (key, replicate, slot); the counts combine before the shuffle.
+    Ranks are taken in the order of md5(rank:unit), dealt to ranges; draws exist per (key, replicate, slot), and slots
+    come in runs of at most SLOTS; the counts combine before the shuffle.
     """
-    ranked = units.select(*keys, unit).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(unit)) - 1)
+    ranked = ranks(units.select(*keys, unit).distinct(), keys, unit)
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("slot"))
+    runs = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    runs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SLOTS))).alias("_run"))
+    first = F.col("_run") * SLOTS
+    slots = runs.select(*keys, "_n", "b", F.explode(F.sequence(first, F.least(first + SLOTS, F.col("_n")) - 1)).alias("slot"))
     picks = slots.select(*keys, "b", (draw(seed, *keys, "b", "slot") % F.col("_n")).alias("_k")).groupBy(*keys, "b", "_k").agg(F.count(F.lit(1)).alias("w"))
     return picks.join(ranked, [*keys, "_k"]).select(*keys, "b", unit, "w")
 
 
+def ranks(units: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Add ``_k``, gapless from 0 per key, in the order of md5(rank:unit). Units are dealt to RANGES ranges of that number;
+    each is ranked on its own and starts at the sum of the counts before it."""
+    h = draw("rank", unit)
+    dealt = units.withColumns({"_h": h, "_range": F.floor(h / float((1 << 32) // RANGES))})
+    counts = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_h", unit)
+    own = dealt.withColumn("_own", F.row_number().over(inside) - 1)
+    return own.join(starts, [*keys, "_range"]).select(*keys, unit, (F.col("_own") + F.col("_start")).alias("_k"))
+
+
 def poisson_multiplicities(units: DataFrame, keys: list[str], unit: str, n_boot: int, seed: str) -> DataFrame:
     """Like ``multiplicities`` for very many units: independent Poisson(1) weights, without ranks."""
     each = units.select(*keys, unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
@@ -43,6 +63,7 @@ def interval(replicates: DataFrame, keys: list[str], value: str, ci: float = 0.9
 def bootstrap_mean(df: DataFrame, keys: list[str], unit: str, value: str, n_boot: int = 200, seed: str = "boot", ci: float = 0.95) -> DataFrame:
     """mean, ci_low, ci_high, n: units resampled, undefined values dropped, percentiles interpolated."""
     rows = df.where(F.col(value).isNotNull()).groupBy(*keys, unit).agg(F.avg(value).alias("_v"))
+    rows = written(rows)  # three branches read it
     w = multiplicities(rows, keys, unit, n_boot, seed)
     reps = w.join(rows, [*keys, unit]).groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("m"))
     point = rows.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -100,7 +121,7 @@ def kernel_pairs(df: DataFrame, keys: list[str], vector: str, ident: str) -> Dat
 def mmd2(pairs: DataFrame, keys: list[str], gi: str = "gi", gj: str = "gj", bandwidth: DataFrame | None = None) -> DataFrame:
     """Unbiased squared mean discrepancy with an RBF kernel of median bandwidth, from the pair table."""
     base = [k for k in keys if k in pairs.columns]
-    h = bandwidth if bandwidth is not None else pairs.groupBy(*base).agg(F.median("d2").alias("h"))
+    h = bandwidth if bandwidth is not None else pairs.groupBy(*base).agg(F.pow(F.median(F.sqrt("d2")), F.lit(2)).alias("h"))
     on = [c for c in h.columns if c != "h"]
     k = pairs.join(h, on) if on else pairs.join(F.broadcast(h))
     value = F.exp(-F.col("d2") / (2 * F.when(F.col("h") > 0, F.col("h")).otherwise(1.0)))

@@ -126,14 +126,14 @@ def d12(spark, d):
     return got.select("subset", "n", r6("p_o"), r6("kappa"), r6("ac1"))
 
 
-SPANS = "x AS (SELECT l_orderkey AS item, l_linenumber AS rater, date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS a0, date_diff('day', o_orderdate, l_shipdate) + l_quantity AS a1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3)"
+SPANS = "x AS (SELECT l_orderkey AS item, l_linenumber AS rater, date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS a0, date_diff('day', o_orderdate, l_shipdate) + l_quantity AS a1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 @query("d13_interval_agreement", f"""WITH {SPANS}, p AS (SELECT p.a0, p.a1, q.a0 AS b0, q.a1 AS b1 FROM x p JOIN x q ON p.item = q.item AND p.rater < q.rater),
  j AS (SELECT *, greatest(0.0, least(a1, b1) - greatest(a0, b0)) AS sh FROM p), k AS (SELECT *, sh / ((a1 - a0) + (b1 - b0) - sh) AS iou FROM j)
  SELECT count(*) AS pairs, round(avg(iou), 6) AS mean_iou, round(median(iou), 6) AS median_iou, round(avg((sh > 0)::INT), 6) AS overlap, round(avg(abs(a0 - b0)), 6) AS start_error, round(avg(abs(a1 - b1)), 6) AS end_error FROM k""")
 def d13(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 3").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     days = F.date_diff("l_shipdate", "o_orderdate").cast("double")
     x = rows.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("rater"), days.alias("a0"), (days + F.col("l_quantity")).alias("a1"))
     y = x.toDF("item", "rater2", "b0", "b1")
@@ -150,15 +150,15 @@ def d14(spark, d):
     return got.select("axis", r6("s"), r6("majority_share"), r6("entropy"), r6("k_eff"), "n")
 
 
-@query("d15_within_between", f"""WITH {M}, f AS (SELECT * FROM m WHERE axis = 'flag'), c AS (SELECT unit, label, count(*) AS c FROM f GROUP BY ALL), w AS (SELECT unit, {PAIR} AS a FROM c GROUP BY unit),
- p AS (SELECT unit, label, c::DOUBLE / sum(c) OVER (PARTITION BY unit) AS p FROM c), pr AS (SELECT DISTINCT unit AS u, unit + 1 AS w FROM f WHERE unit + 1 IN (SELECT unit FROM f)),
- dd AS (SELECT u, w, coalesce(sum(x.p * y.p), 0) AS d FROM pr LEFT JOIN (SELECT * FROM p) x ON x.unit = u LEFT JOIN (SELECT * FROM p) y ON y.unit = w AND y.label = x.label GROUP BY u, w)
- SELECT round(a, 6) AS within, round(b, 6) AS between, round((a - b) / (1 - b), 6) AS relative FROM (SELECT avg(a) AS a FROM w), (SELECT avg(d) AS b FROM dd)""".replace("AS between", 'AS "between"'))
+@query("d15_within_between", f"""WITH {M}, c AS (SELECT axis, unit, label, count(*) AS c FROM m GROUP BY ALL), w AS (SELECT axis, unit, {PAIR} AS a FROM c GROUP BY axis, unit),
+ p AS (SELECT axis, unit, label, c::DOUBLE / sum(c) OVER (PARTITION BY axis, unit) AS p FROM c), un AS (SELECT DISTINCT axis, unit FROM m), pr AS (SELECT a.axis, a.unit AS u, b.unit AS w FROM un a JOIN un b ON a.axis = b.axis AND b.unit = a.unit + 1),
+ dd AS (SELECT pr.axis, u, w, coalesce(sum(x.p * y.p), 0) AS d FROM pr LEFT JOIN p x ON x.axis = pr.axis AND x.unit = u LEFT JOIN p y ON y.axis = pr.axis AND y.unit = w AND y.label = x.label GROUP BY pr.axis, u, w)
+ SELECT axis, round(a, 6) AS within, round(b, 6) AS between, round((a - b) / (1 - b), 6) AS relative FROM (SELECT axis, avg(a) AS a FROM w GROUP BY axis) JOIN (SELECT axis, avg(d) AS b FROM dd GROUP BY axis) USING (axis)""".replace("AS between", 'AS "between"'))
 def d15(spark, d):
-    rows = measurements(spark, d).where("axis = 'flag'").select("unit", "label")
-    units = rows.select("unit").distinct()
-    pairs = units.select(F.col("unit").alias("u"), (F.col("unit") + 1).alias("w")).join(units.withColumnRenamed("unit", "w"), "w")
-    return ag.profile_agreement(rows, pairs.select("u", "w")).select(r6("within"), r6("between"), r6("relative"))
+    rows = measurements(spark, d).select("axis", "unit", "label")
+    units = rows.select("axis", "unit").distinct()
+    pairs = units.select("axis", F.col("unit").alias("u"), (F.col("unit") + 1).alias("w")).join(units.withColumnRenamed("unit", "w"), ["axis", "w"])
+    return ag.profile_agreement(rows, pairs.select("axis", "u", "w"), ["axis"]).select("axis", r6("within"), r6("between"), r6("relative"))
 
 
 @query("d16_diversity", f"""WITH {M}, u AS (SELECT axis, s, unit, count(DISTINCT label) AS k, count(DISTINCT CASE WHEN label <> 'abstain' THEN label END) AS kc, avg((label = 'abstain')::INT) AS r FROM m GROUP BY ALL)
@@ -227,11 +227,11 @@ def d23(spark, d):
     return k.groupBy("axis", "s").agg(r6(acc, "accuracy"), F.sum("n").alias("n_units"), r6(base, "majority_baseline"), r6(acc - base, "margin"), r6(F.avg("r"), "balanced_accuracy")).withColumn("s", r6("s"))
 
 
-@query("d24_label_distance", f"""WITH {M}, p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM m WHERE role = 'independent' AND axis = 'size' GROUP BY label), q AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS q FROM m WHERE role = 'fork' AND axis = 'size' GROUP BY label)
- SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM p FULL JOIN q USING (label)""")
+@query("d24_label_distance", f"""WITH {M}, p AS (SELECT axis, label, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY axis) AS p FROM m WHERE role = 'independent' GROUP BY axis, label), q AS (SELECT axis, label, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY axis) AS q FROM m WHERE role = 'fork' GROUP BY axis, label)
+ SELECT axis, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tv FROM p FULL JOIN q USING (axis, label) GROUP BY axis""")
 def d24(spark, d):
-    m = measurements(spark, d).where("axis = 'size'")
-    return ag.distribution_distance(m.where("role = 'independent'"), m.where("role = 'fork'")).select(r6("tv"))
+    m = measurements(spark, d)
+    return ag.distribution_distance(m.where("role = 'independent'"), m.where("role = 'fork'"), ["axis"]).select("axis", r6("tv"))
 
 
 @query("d25_mark_errors", """WITH e AS (SELECT o_orderpriority AS source, CASE WHEN l_linenumber = 1 THEN date_diff('day', o_orderdate, l_shipdate) / 30.0 - l_quantity / 25 END AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
@@ -322,13 +322,13 @@ def d32(spark, d):
     return a.groupBy("axis").agg(r6(F.regr_slope("g", "s"), "slope"), r6(delta, "delta"), (delta > 1e-6).alias("increasing"))
 
 
-@query("d33_representation_similarity", f"""WITH {VECTORS}, b AS (SELECT vec_id, label, v[1:32] AS x, v[33:64] AS y FROM vecs WHERE label IN (0, 1)), p AS (SELECT list_cosine_similarity(i.x, j.x) AS cx, list_cosine_similarity(i.y, j.y) AS cy FROM b i JOIN b j ON i.label = j.label AND i.vec_id < j.vec_id),
+@query("d33_representation_similarity", f"""WITH {VECTORS}, b AS (SELECT vec_id, label, v[1:32] AS x, v[33:64] AS y FROM vecs), p AS (SELECT list_cosine_similarity(i.x, j.x) AS cx, list_cosine_similarity(i.y, j.y) AS cy FROM b i JOIN b j ON i.label = j.label AND i.vec_id < j.vec_id),
  r AS (SELECT rank() OVER (ORDER BY round(cx, 9)) + (count(*) OVER (PARTITION BY round(cx, 9)) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(cy, 9)) + (count(*) OVER (PARTITION BY round(cy, 9)) - 1) / 2.0 AS ry FROM p)
  SELECT count(*) AS pairs, round(corr(rx, ry), 6) AS rho FROM r""")
 def d33(spark, d):
     from ..operators.curves import average_rank
 
-    b = vectors(spark, d).where("label IN (0, 1)").select("vec_id", "label", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
+    b = vectors(spark, d).select("vec_id", "label", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
     p = b.join(b.toDF("id2", "label", "x2", "y2"), "label").where("vec_id < id2")
     c = p.select(F.round(exprs.cosine(F.col("x"), F.col("x2")), 9).alias("cx"), F.round(exprs.cosine(F.col("y"), F.col("y2")), 9).alias("cy"))
     r = average_rank(average_rank(c, "cx", "rx"), "cy", "ry")

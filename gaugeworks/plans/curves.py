@@ -309,7 +309,7 @@ def quick_windows(spark, d):
     return by_theta(spark, d).groupBy("theta", "axis").agg(F.avg("c").alias("s_hat"), F.percentile("c", F.lit(0.25)).alias("ci_low"), F.percentile("c", F.lit(0.75)).alias("ci_high"))
 
 
-@query("f08_separation", f"WITH {BY_THETA}, {WIN} SELECT theta, round(CASE WHEN count(*) < 2 THEN NULL WHEN max(s_hat) - min(s_hat) <= 1e-9 THEN 0 WHEN avg(ci_high - ci_low) <= 1e-9 THEN 'inf'::DOUBLE ELSE (max(s_hat) - min(s_hat)) / avg(ci_high - ci_low) END, 6) AS separation FROM w GROUP BY theta")
+@query("f08_separation", f"WITH {BY_THETA}, {WIN} SELECT theta, round(CASE WHEN count(s_hat) < 2 THEN NULL WHEN max(s_hat) - min(s_hat) <= 1e-9 THEN 0 WHEN avg(ci_high - ci_low) <= 1e-9 THEN 'inf'::DOUBLE ELSE (max(s_hat) - min(s_hat)) / avg(ci_high - ci_low) END, 6) AS separation FROM w GROUP BY theta")
 def f08(spark, d):
     return cv.separation(quick_windows(spark, d), ["theta"]).withColumn("separation", r6("separation"))
 

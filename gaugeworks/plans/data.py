@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import checks as ck
 from ..sources import journal as jn
+from ..sources.tables import scratch
 from .bindings import M, measurements, r6, table
 from .catalog import query
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/checkpoints/gaugeworks").rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("a01_journal_scan", "SELECT 'e' || event_id AS gen_id, event_type AS label, CASE WHEN event_id % 3 = 0 THEN 'independent' ELSE 'fork' END AS role, user_id::VARCHAR AS clip, round(day(ts) / 31.0, 6) AS s FROM events WHERE event_id % 3 = 0")
 def a01(spark, d):
     e = table(spark, d, "events")

@@ -21,7 +21,7 @@ def draws(source: str, seed: str, keys: str = "axis", n: int = B) -> str:
     ks = [k.strip() for k in keys.split(",")]
     cat = " || ':' || ".join([f"'{seed}'", *ks, "b", "slot"])
     on = ", ".join(ks)
-    return f"""rk AS (SELECT {on}, unit, row_number() OVER (PARTITION BY {on} ORDER BY unit) - 1 AS k, count(*) OVER (PARTITION BY {on}) AS n FROM (SELECT DISTINCT {on}, unit FROM {source})),
+    return f"""rk AS (SELECT {on}, unit, row_number() OVER (PARTITION BY {on} ORDER BY ('0x' || substr(md5('rank:' || unit), 1, 8))::BIGINT, unit) - 1 AS k, count(*) OVER (PARTITION BY {on}) AS n FROM (SELECT DISTINCT {on}, unit FROM {source})),
  sl AS (SELECT {on}, n, unnest(range({n})) AS b FROM (SELECT DISTINCT {on}, n FROM rk)), st_ AS (SELECT {on}, n, b, unnest(range(n)) AS slot FROM sl),
  pk AS (SELECT {on}, b, ('0x' || substr(md5({cat}), 1, 8))::BIGINT % n AS k, count(*) AS w FROM st_ GROUP BY ALL), wt AS (SELECT {on}, b, unit, w FROM pk JOIN rk USING ({on}, k))"""
 
@@ -30,40 +30,34 @@ def ci(value: str, source: str, keys: str = "axis") -> str:
     return f"SELECT {keys}, quantile_cont({value}, 0.025) AS ci_low, quantile_cont({value}, 0.975) AS ci_high, count({value}) AS replicates FROM {source} GROUP BY {keys}"
 
 
-# The flag axis alone keeps the draw table small.
-FLAG = "SELECT * FROM curves WHERE axis = 'flag'"
-UNITS = f"{CURVES}, v AS (SELECT axis, unit, avg(gain) AS v FROM ({FLAG}) GROUP BY ALL)"
-
-
-def flag_curves(spark, d):
-    return curves(spark, d).where("axis = 'flag'")
+UNITS = f"{CURVES}, v AS (SELECT axis, unit, avg(gain) AS v FROM curves GROUP BY ALL)"
 
 
 @query("h01_bootstrap_mean", f"""WITH {UNITS}, {draws("v", "boot")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
  SELECT axis, round(avg(v), 6) AS mean, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high, count(*) AS n FROM v JOIN c USING (axis) GROUP BY axis""")
 def h01(spark, d):
-    got = nf.bootstrap_mean(flag_curves(spark, d), ["axis"], "unit", "gain", B, "boot")
+    got = nf.bootstrap_mean(curves(spark, d), ["axis"], "unit", "gain", B, "boot")
     return got.select("axis", r6("mean"), r6("ci_low"), r6("ci_high"), "n")
 
 
 @query("h02_bootstrap_statistic")
 def h02(spark, d):
-    v = flag_curves(spark, d).groupBy("axis", "unit").agg(F.avg("gain").alias("v"))
+    v = curves(spark, d).groupBy("axis", "unit").agg(F.avg("gain").alias("v"))
     return nf.bootstrap_statistic(v, ["axis"], "unit", "v", lambda x: float(np.median(x)), 20)
 
 
-@query("h03_window_ci", f"""WITH {COMMIT}, v AS (SELECT axis, unit, c AS v FROM t WHERE axis = 'flag' AND c IS NOT NULL), {draws("v", "win")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
+@query("h03_window_ci", f"""WITH {COMMIT}, v AS (SELECT axis, unit, c AS v FROM t WHERE c IS NOT NULL), {draws("v", "win")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
  SELECT axis, round(avg(v), 6) AS s_hat, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high, count(*) AS n, count(*) < 30 AS underpowered FROM v JOIN c USING (axis) GROUP BY axis""")
 def h03(spark, d):
-    v = commit_read(spark, d).where("axis = 'flag'")
+    v = commit_read(spark, d)
     got = nf.bootstrap_mean(v, ["axis"], "unit", "c", B, "win")
     return got.select("axis", r6("mean", "s_hat"), r6("ci_low"), r6("ci_high"), "n", (F.col("n") < 30).alias("underpowered"))
 
 
-@query("h04_gap_ci", f"""WITH {COMMIT}, v AS (SELECT axis, unit, c, r FROM t WHERE axis = 'flag'), {draws("v", "gap")}, rp AS (SELECT axis, b, sum(w * r) FILTER (r IS NOT NULL) / sum(w) FILTER (r IS NOT NULL) - sum(w * c) FILTER (c IS NOT NULL) / sum(w) FILTER (c IS NOT NULL) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
+@query("h04_gap_ci", f"""WITH {COMMIT}, v AS (SELECT axis, unit, c, r FROM t), {draws("v", "gap")}, rp AS (SELECT axis, b, sum(w * r) FILTER (r IS NOT NULL) / sum(w) FILTER (r IS NOT NULL) - sum(w * c) FILTER (c IS NOT NULL) / sum(w) FILTER (c IS NOT NULL) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
  SELECT axis, round(avg(r) - avg(c), 6) AS gap, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high FROM v JOIN (SELECT axis, ci_low, ci_high FROM c) q USING (axis) GROUP BY axis""")
 def h04(spark, d):
-    v = commit_read(spark, d).where("axis = 'flag'")
+    v = commit_read(spark, d)
     w = nf.multiplicities(v, ["axis"], "unit", B, "gap").join(v, ["axis", "unit"])
     mean = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w") * F.col(c))) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
     reps = w.groupBy("axis", "b").agg((mean("r") - mean("c")).alias("m"))
@@ -84,11 +78,11 @@ def h05(spark, d):
     return nf.interval(kept, ["axis"], "m").select(r6("ci_low"), r6("ci_high"), "replicates")
 
 
-@query("h06_survival_bootstrap", f"""WITH {COMMIT}, v AS (SELECT axis, unit, coalesce(c, 1.0) AS t, (c IS NOT NULL)::INT AS e FROM t JOIN ind USING (unit, axis) WHERE axis = 'flag' AND a_ind < 1 - 1e-9), {draws("v", "km")},
+@query("h06_survival_bootstrap", f"""WITH {COMMIT}, v AS (SELECT axis, unit, coalesce(c, 1.0) AS t, (c IS NOT NULL)::INT AS e FROM t JOIN ind USING (unit, axis) WHERE a_ind < 1 - 1e-9), {draws("v", "km")},
  k AS (SELECT axis, b, t, sum(w * e) AS ev, sum(w) AS n FROM wt JOIN v USING (axis, unit) GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY axis, b ORDER BY t DESC) AS risk FROM k), s AS (SELECT *, product(1 - ev / risk::DOUBLE) OVER (PARTITION BY axis, b ORDER BY t) AS surv FROM r),
  md AS (SELECT axis, b, min(CASE WHEN surv <= 0.5 + 1e-12 AND ev > 0 THEN t END) AS m FROM s GROUP BY ALL), q AS ({ci("m", "md")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, replicates FROM q""")
 def h06(spark, d):
-    v = statuses(spark, d).where("axis = 'flag' AND st <> 'determined'").withColumn("time", F.coalesce("c", F.lit(1.0)))
+    v = statuses(spark, d).where("st <> 'determined'").withColumn("time", F.coalesce("c", F.lit(1.0)))
     w = nf.multiplicities(v, ["axis"], "unit", B, "km").join(v, ["axis", "unit"])
     med = cv.survival_median(w, ["axis", "b"], "time", F.col("st") == "crossing", F.col("w"))
     return nf.interval(med, ["axis"], "median").select("axis", r6("ci_low"), r6("ci_high"), "replicates")
@@ -97,7 +91,7 @@ def h06(spark, d):
 @query("h07_pair_weighted", f"""WITH {UNITS}, pr AS (SELECT a.axis, a.unit AS u, b.unit AS w2, abs(a.v - b.v) AS x FROM v a JOIN v b ON a.axis = b.axis AND b.unit = a.unit + 1), {draws("v", "pair")},
  rp AS (SELECT p.axis, x.b, sum(x.w * y.w * p.x) / sum(x.w * y.w) AS m FROM pr p JOIN wt x ON x.axis = p.axis AND x.unit = p.u JOIN wt y ON y.axis = p.axis AND y.unit = p.w2 AND y.b = x.b GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_low > 0 AS significant FROM q""")
 def h07(spark, d):
-    v = flag_curves(spark, d).groupBy("axis", "unit").agg(F.avg("gain").alias("v"))
+    v = curves(spark, d).groupBy("axis", "unit").agg(F.avg("gain").alias("v"))
     nxt = v.select("axis", F.col("unit").alias("w2"), (F.col("unit") - 1).alias("unit"), F.col("v").alias("y"))
     pairs = v.join(nxt, ["axis", "unit"]).select("axis", F.col("unit").alias("u"), "w2", F.abs(F.col("v") - F.col("y")).alias("x"))
     w = nf.multiplicities(v, ["axis"], "unit", B, "pair")
@@ -107,19 +101,19 @@ def h07(spark, d):
     return nf.interval(reps, ["axis"], "m").select("axis", r6("ci_low"), r6("ci_high"), (F.col("ci_low") > 0).alias("significant"))
 
 
-@query("h08_slope_bootstrap", f"""WITH {CURVES}, f AS ({FLAG}), {draws("f", "slope")}, m1 AS (SELECT f.axis, b, s, sum(w * gain) / sum(w) AS g FROM f JOIN wt USING (axis, unit) GROUP BY ALL), rp AS (SELECT axis, b, regr_slope(g, s) AS m FROM m1 GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM q""")
+@query("h08_slope_bootstrap", f"""WITH {CURVES}, f AS (SELECT * FROM curves), {draws("f", "slope")}, m1 AS (SELECT f.axis, b, s, sum(w * gain) / sum(w) AS g FROM f JOIN wt USING (axis, unit) GROUP BY ALL), rp AS (SELECT axis, b, regr_slope(g, s) AS m FROM m1 GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM q""")
 def h08(spark, d):
-    f = flag_curves(spark, d)
+    f = curves(spark, d)
     w = nf.multiplicities(f, ["axis"], "unit", B, "slope")
     means = f.join(w, ["axis", "unit"]).groupBy("axis", "b", "s").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("g"))
     reps = means.groupBy("axis", "b").agg(F.regr_slope("g", "s").alias("m"))
     return nf.interval(reps, ["axis"], "m").select("axis", r6("ci_low"), r6("ci_high"))
 
 
-@query("h09_determination_budget", f"""WITH {COMMIT}, e AS (SELECT axis, unit, max(a_ind) AS i, arg_min(a_fork, s) AS f0, arg_max(a_fork, s) AS f1, min(CASE WHEN gain >= 0.7 THEN s END) AS c FROM ({FLAG}) GROUP BY ALL), v AS (SELECT axis, unit, greatest(0.0, least(1.0, f0 - i)) AS v FROM e), {draws("v", "det")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), q AS ({ci("m", "rp")})
+@query("h09_determination_budget", f"""WITH {COMMIT}, e AS (SELECT axis, unit, max(a_ind) AS i, arg_min(a_fork, s) AS f0, arg_max(a_fork, s) AS f1, min(CASE WHEN gain >= 0.7 THEN s END) AS c FROM curves GROUP BY ALL), v AS (SELECT axis, unit, greatest(0.0, least(1.0, f0 - i)) AS v FROM e), {draws("v", "det")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), q AS ({ci("m", "rp")})
  SELECT axis, count(*) AS n, round(avg(i), 6) AS conditioning, round(avg(greatest(0.0, least(1.0, f0 - i))), 6) AS seed, round(max(ci_low), 6) AS seed_lo, round(max(ci_high), 6) AS seed_hi, round(avg(greatest(0.0, least(1.0, f1 - f0))), 6) AS trajectory, round(avg(greatest(0.0, least(1.0, 1 - f1))), 6) AS residual, round(avg(c), 6) AS s_commit FROM e JOIN q USING (axis) GROUP BY axis""")
 def h09(spark, d):
-    e = flag_curves(spark, d).groupBy("axis", "unit").agg(F.max("a_ind").alias("i"), F.min_by("a_fork", "s").alias("f0"), F.max_by("a_fork", "s").alias("f1"), F.min(F.when(F.col("gain") >= 0.7, F.col("s"))).alias("c"))
+    e = curves(spark, d).groupBy("axis", "unit").agg(F.max("a_ind").alias("i"), F.min_by("a_fork", "s").alias("f0"), F.max_by("a_fork", "s").alias("f1"), F.min(F.when(F.col("gain") >= 0.7, F.col("s"))).alias("c"))
     e = e.withColumns({"seed": exprs.clip01(F.col("f0") - F.col("i")), "traj": exprs.clip01(F.col("f1") - F.col("f0")), "res": exprs.clip01(1 - F.col("f1"))})
     boot = nf.bootstrap_mean(e, ["axis"], "unit", "seed", B, "det").select("axis", "ci_low", "ci_high")
     point = e.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("i"), "conditioning"), r6(F.avg("seed"), "seed"), r6(F.avg("traj"), "trajectory"), r6(F.avg("res"), "residual"), r6(F.avg("c"), "s_commit"))
@@ -141,12 +135,12 @@ def h11(spark, d):
     return k.select("flag", "k", "n", low.alias("low"), high.alias("high"))
 
 
-CELLS = f"""{VECTORS}, x AS (SELECT label // 2 AS cell, label % 2 AS grp, vec_id AS i, v FROM vecs WHERE vec_id < 250), pr AS (SELECT a.cell, a.i, b.i AS j, a.grp AS gi, b.grp AS gj, list_distance(a.v, b.v) ** 2 AS d2 FROM x a JOIN x b ON a.cell = b.cell AND a.i < b.i), h AS (SELECT cell, median(d2) AS h FROM pr GROUP BY cell)"""
+CELLS = f"""{VECTORS}, x AS (SELECT label // 2 AS cell, label % 2 AS grp, vec_id AS i, v FROM vecs), pr AS (SELECT a.cell, a.i, b.i AS j, a.grp AS gi, b.grp AS gj, list_distance(a.v, b.v) ** 2 AS d2 FROM x a JOIN x b ON a.cell = b.cell AND a.i < b.i), h AS (SELECT cell, median(sqrt(d2)) ** 2 AS h FROM pr GROUP BY cell)"""
 MMD = "avg(exp(-d2 / (2 * h))) FILTER (gi = 0 AND gj = 0) + avg(exp(-d2 / (2 * h))) FILTER (gi = 1 AND gj = 1) - 2 * avg(exp(-d2 / (2 * h))) FILTER (gi <> gj)"
 
 
 def cells(spark, d):
-    x = vectors(spark, d).where("vec_id < 250").select(F.floor(F.col("label") / 2).cast("int").alias("cell"), (F.col("label") % 2).alias("grp"), "vec_id", "v")
+    x = vectors(spark, d).select(F.floor(F.col("label") / 2).cast("int").alias("cell"), (F.col("label") % 2).alias("grp"), "vec_id", "v")
     return x, nf.kernel_pairs(x, ["cell"], "v", "vec_id")
 
 

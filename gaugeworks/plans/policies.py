@@ -58,12 +58,12 @@ def g05(spark, d):
 
 
 # Selection: an order's lines are the candidates of a unit.
-POOL = """pool0 AS (SELECT l_orderkey AS unit, l_suppkey AS cand, max(l_extendedprice) / 100000 AS score, bool_or(l_returnflag = 'N') AS ax, bool_or(l_discount < 0.06) AS bx, bool_or(l_quantity >= 20) AS cx FROM lineitem WHERE l_orderkey < 3000 GROUP BY ALL),
+POOL = """pool0 AS (SELECT l_orderkey AS unit, l_suppkey AS cand, max(l_extendedprice) / 100000 AS score, bool_or(l_returnflag = 'N') AS ax, bool_or(l_discount < 0.06) AS bx, bool_or(l_quantity >= 20) AS cx FROM lineitem GROUP BY ALL),
  pool AS (SELECT *, ax AND bx AND cx AS ok FROM pool0)"""
 
 
 def pool(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("cand")).agg((F.max("l_extendedprice") / 100000).alias("score"), F.bool_or(F.col("l_returnflag") == "N").alias("ax"), F.bool_or(F.col("l_discount") < 0.06).alias("bx"), F.bool_or(F.col("l_quantity") >= 20).alias("cx"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("cand")).agg((F.max("l_extendedprice") / 100000).alias("score"), F.bool_or(F.col("l_returnflag") == "N").alias("ax"), F.bool_or(F.col("l_discount") < 0.06).alias("bx"), F.bool_or(F.col("l_quantity") >= 20).alias("cx"))
     return p.withColumn("ok", F.col("ax") & F.col("bx") & F.col("cx"))
 
 
@@ -149,10 +149,10 @@ def i07(spark, d):
     return x.groupBy("policy").agg(F.count(F.lit(1)).alias("n_units"), r6(F.avg(F.col("ok").cast("int")), "correctness"), r6(F.avg((F.col("score") >= F.col("best") - 1e-12).cast("int")), "retention"), r6(F.avg((F.col("any_ok") & ~F.col("ok")).cast("int")), "missed"), r6(F.avg(F.col("best") - F.col("score")), "regret"))
 
 
-@query("i08_noisy_gates", f"""WITH {POOL}, nz AS (SELECT unit * 100 + rep AS unit, cand, score, ok, rep, ax <> ({u32("'noise:' || (unit * 100 + rep) || ':' || cand")} / 4294967296.0::DOUBLE >= 0.8) AS ax FROM pool, (SELECT unnest(range(5)) AS rep) WHERE unit < 1000), g AS (SELECT * FROM (SELECT *, bool_or(ax) OVER (PARTITION BY unit) AS a FROM nz) WHERE ax OR NOT a), b AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, {u32("'tie:' || unit || ':' || cand")}, cand) AS p FROM g)
+@query("i08_noisy_gates", f"""WITH {POOL}, nz AS (SELECT unit * 100 + rep AS unit, cand, score, ok, rep, ax <> ({u32("'noise:' || (unit * 100 + rep) || ':' || cand")} / 4294967296.0::DOUBLE >= 0.8) AS ax FROM pool, (SELECT unnest(range(5)) AS rep)), g AS (SELECT * FROM (SELECT *, bool_or(ax) OVER (PARTITION BY unit) AS a FROM nz) WHERE ax OR NOT a), b AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, {u32("'tie:' || unit || ':' || cand")}, cand) AS p FROM g)
  SELECT rep, count(*) AS n, round(avg(ok::INT), 6) AS correctness FROM b WHERE p = 1 GROUP BY rep""")
 def i08(spark, d):
-    p = pool(spark, d).where("unit < 1000").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("unit", F.col("unit") * 100 + F.col("rep"))
+    p = pool(spark, d).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("unit", F.col("unit") * 100 + F.col("rep"))
     flip = exprs.draw("noise", "unit", "cand") / float(1 << 32) >= 0.8
     kept = po.never_empty(p.withColumn("ax", F.col("ax") != flip), F.col("ax"))
     return po.best(kept, "noisy").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("ok").cast("int")), "correctness"))
