@@ -154,7 +154,7 @@ class Model:
                 start, piece, top = j, k, score[j - base] + self.scores[k]
         return start, piece, top
 
-    def window(self, text: str) -> Iterator[int]:
+    def window(self, text: str) -> list[int]:
         """Ids of a stretch of text, committed from left to right.
 
         Each position keeps one backpointer, to the start of the piece that ends there. For BPE models the last piece
@@ -165,6 +165,7 @@ class Model:
         end one path survives.
         """
         bpe, width, limit = self.kind == BPE, self.width, 2 * self.width
+        out: list[int] = []
         usable, reach, near = self.usable.get, self.reach.get, self.near
         short = (2, 1)
         base, last, back, score = 0, [-1], [0], [0.0]  # -1: nothing before, or an unknown character, which merges with nothing
@@ -197,12 +198,13 @@ class Model:
             if i - base > limit and not (i - base) % width:
                 meet = self.meeting(i, base, back)
                 if meet > base:
-                    yield from self.path(text, base, meet, last, back)
+                    out += self.path(text, base, meet, last, back)
                     self.widest = max(self.widest, i - base)
                     del last[: meet - base], back[: meet - base], score[: meet - base]
                     base = meet
                     self.commits += 1
-        yield from self.path(text, base, len(text), last, back)
+        out += self.path(text, base, len(text), last, back)
+        return out
 
     def meeting(self, i: int, base: int, back: list[int]) -> int:
         """Where the paths back from the last ``width`` positions up to ``i`` meet."""
@@ -224,11 +226,13 @@ class Model:
             end = back[end - base]
         return out[::-1]
 
-    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+    def stream(self, text: str) -> list[int]:
         """Ids of ``text`` from left to right. At a boundary that every path passes the window is empty: what follows up
         to the next such boundary depends on nothing before, and is remembered if it is short."""
+        out: list[int] = []
+        known = self.known.get
         for stretch in self.stretch.findall(text) if self.sure else [text]:
-            ids = self.known.get(stretch)
+            ids = known(stretch)
             if ids is None:
                 ids = self.older.get(stretch)
                 if ids is None:
@@ -236,8 +240,10 @@ class Model:
                 if len(stretch) <= 32:
                     if len(self.known) >= MAX_WORDS // 2:  # what was not used lately goes
                         self.known, self.older = {}, self.known
+                        known = self.known.get
                     self.known[stretch] = ids
-            yield ids
+            out += ids
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
@@ -247,9 +253,7 @@ class Model:
             return []
         if self.dummy_prefix:
             text = " " + text
-        out: list[int] = []
-        for ids in self.stream(text.replace(" ", SPACE)):
-            out += ids
+        out = self.stream(text.replace(" ", SPACE))
         if not self.bytes:  # neighbouring unknown characters are one unknown piece
             out = [k for i, k in enumerate(out) if k != self.unknown or not i or out[i - 1] != k]
         return out
