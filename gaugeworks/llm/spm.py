@@ -16,7 +16,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_WORDS, MAX_PAIRS = 240_000, 250_000  # remembered in a worker, some 90 MB
+MAX_WORDS, MAX_PAIRS = 200_000, 200_000  # remembered in a worker, some 70 MB
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
