@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,9 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_WORDS, MAX_PAIRS = 200_000, 200_000  # remembered in a worker, some 70 MB
+MAX_WORDS, MAX_PAIRS, MAX_HEADS = 200_000, 200_000, 30_000  # remembered in a worker, some 80 MB
+TAIL = 4  # last characters that name the pieces which can end there
+HEAD = 6  # first characters of a stretch whose window state is remembered
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -45,6 +49,27 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
         i += n
 
 
+class Remembered(dict):
+    """Ids of short stretches, made by ``window`` when first asked for; what was not used lately goes."""
+
+    def __init__(self, window: Callable[[str], list[int]]):
+        self.window, self.older = window, {}
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        ids = self.older.get(stretch)
+        if ids is None:
+            ids = tuple(self.window(stretch))
+        if len(stretch) <= 32:
+            if len(self) >= MAX_WORDS // 2:
+                self.older = self.copy()
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+    def __reduce__(self):
+        return Remembered, (self.window,)
+
+
 class Model:
     """Pieces, scores and flags of a SentencePiece model file, and the segmentation itself."""
 
@@ -82,15 +107,17 @@ class Model:
         self.past: dict[str, tuple] = {}
         self.usable = {p: i for p, i in self.ids.items() if self.kind == BPE and self.whole(p)}
         self.past.clear()
-        # The lengths of usable pieces that end in given three characters, longest first; other endings leave pieces of one or two.
+        # The lengths of usable pieces that are longer than TAIL, by their last characters, longest first.
         reach: dict[str, set[int]] = {}
         for p in self.usable:
-            if len(p) > 2:
-                reach.setdefault(p[-3:], {2, 1}).add(len(p))
+            if len(p) > TAIL:
+                reach.setdefault(p[-TAIL:], set()).add(len(p))
         self.reach = {end: tuple(sorted(n, reverse=True)) for end, n in reach.items()}
-        self.near: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.tails: dict[str, tuple[tuple, ...]] = {}
+        self.near: dict[int, dict[int, bool]] = defaultdict(dict)  # by the later piece, then the earlier one
+        self.pairs = 0
+        self.heads: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(self.window)
         self.commits, self.widest = 0, 0  # of the window, for tests
 
     def history(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
@@ -145,14 +172,55 @@ class Model:
         """Ids of a character outside the vocabulary: its bytes, or the unknown piece."""
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
-    def best_scoring(self, text: str, i: int, base: int, score: list[float]) -> tuple[int, int, float]:
-        """Start, id (-1: unknown) and score of the piece that ends at ``i`` on the best-scoring path, for unigram models."""
-        start, piece, top = i - 1, -1, score[i - 1 - base] + self.least
-        for j in range(max(base, i - self.width), i):
-            k = self.ids.get(text[j:i])
-            if k is not None and score[j - base] + self.scores[k] > top:
-                start, piece, top = j, k, score[j - base] + self.scores[k]
-        return start, piece, top
+    def by_score(self, text: str, i: int, end: int, base: int, last: list[int], back: list[int], score: list[float]) -> None:
+        """Backpointers of the positions from ``i`` up to ``end``, for unigram models: the best-scoring path."""
+        for i in range(i, end):
+            start, piece, top = i - 1, -1, score[i - 1 - base] + self.least
+            for j in range(max(base, i - self.width), i):
+                k = self.ids.get(text[j:i])
+                if k is not None and score[j - base] + self.scores[k] > top:
+                    start, piece, top = j, k, score[j - base] + self.scores[k]
+            last.append(piece)
+            back.append(start)
+            score.append(top)
+
+    def endings(self, tail: str) -> tuple[tuple, ...]:
+        """Lengths of usable pieces that can end in ``tail``, longest first; those no longer than the tail with their ids."""
+        found = [(n, -1) for n in self.reach.get(tail, ())]
+        found += [(n, self.usable[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in self.usable]
+        if len(self.tails) >= MAX_HEADS:
+            self.tails.clear()
+        self.tails[tail] = tuple(found)
+        return self.tails[tail]
+
+    def by_merges(self, text: str, i: int, end: int, base: int, last: list[int], back: list[int]) -> None:
+        """Backpointers of the positions from ``i`` up to ``end``, for BPE models: the longest piece that BPE keeps apart from the one before."""
+        usable, tails, near = self.usable.get, self.tails.get, self.near
+        for i in range(i, end):
+            tail = text[i - TAIL : i] if i > TAIL else text[:i]
+            for n, k in tails(tail) or self.endings(tail):
+                j = i - n
+                if j < base:
+                    continue
+                if k < 0:
+                    k = usable(text[j:i], -1)
+                    if k < 0:
+                        continue
+                before = last[j - base]
+                if before < 0:
+                    break
+                ok = near[k].get(before)
+                if ok is None:
+                    ok = self.apart(self.pieces[before], self.pieces[k])
+                    if self.pairs < MAX_PAIRS:
+                        self.pairs += 1
+                        near[k][before] = ok
+                if ok:
+                    break
+            else:  # an unknown character
+                j, k = i - 1, -1
+            last.append(k)
+            back.append(j)
 
     def window(self, text: str) -> list[int]:
         """Ids of a stretch of text, committed from left to right.
@@ -160,51 +228,38 @@ class Model:
         Each position keeps one backpointer, to the start of the piece that ends there. For BPE models the last piece
         of a prefix is unique: it is the one that BPE keeps apart from the last piece of the prefix before it, so
         the same pass gives the ids of BPE. A piece is at most ``width`` long, so only the last ``width`` positions
-        can start more pieces. Whenever the window has grown to twice that, the paths back from these positions
+        can start more pieces. Whenever the window has grown past twice that, the paths back from these positions
         are followed until they meet: what lies before the meeting point is final and leaves the window. At the
-        end one path survives.
+        end one path survives. Stretches with the same first characters share the window's state behind them.
         """
-        bpe, width, limit = self.kind == BPE, self.width, 2 * self.width
-        out: list[int] = []
-        usable, reach, near = self.usable.get, self.reach.get, self.near
-        short = (2, 1)
+        width, n, out = self.width, len(text), []
         base, last, back, score = 0, [-1], [0], [0.0]  # -1: nothing before, or an unknown character, which merges with nothing
-        for i in range(1, len(text) + 1):
+        bpe = self.kind == BPE
+        if bpe and n > HEAD:
+            state = self.heads.get(text[:HEAD])
+            if state is None:
+                self.by_merges(text, 1, HEAD + 1, 0, last, back)
+                if len(self.heads) >= MAX_HEADS:
+                    self.heads.clear()
+                self.heads[text[:HEAD]] = (*last, *back)
+            else:
+                last, back = list(state[: HEAD + 1]), list(state[HEAD + 1 :])
+        while len(last) + base <= n:
+            i = len(last) + base
+            end = min(i + width, n + 1)
             if bpe:
-                for n in reach(text[i - 3 : i], short) if i > 2 else short:
-                    j = i - n
-                    if j < base:
-                        continue
-                    k = usable(text[j:i])
-                    if k is not None:
-                        before = last[j - base]
-                        if before < 0:
-                            break
-                        key = before << 32 | k
-                        ok = near.get(key)
-                        if ok is None:
-                            ok = self.apart(self.pieces[before], self.pieces[k])
-                            if len(near) < MAX_PAIRS:
-                                near[key] = ok
-                        if ok:
-                            break
-                else:  # an unknown character
-                    j, k = i - 1, -1
+                self.by_merges(text, i, end, base, last, back)
             else:
-                j, k, top = self.best_scoring(text, i, base, score)
-                score.append(top)
-            last.append(k)
-            back.append(j)
-            if i - base > limit and not (i - base) % width:
-                meet = self.meeting(i, base, back)
+                self.by_score(text, i, end, base, last, back, score)
+            if end - base > 2 * width:
+                meet = self.meeting(end - 1, base, back)
                 if meet > base:
                     out += self.path(text, base, meet, last, back)
-                    self.widest = max(self.widest, i - base)
+                    self.widest = max(self.widest, end - 1 - base)
                     del last[: meet - base], back[: meet - base], score[: meet - base]
                     base = meet
                     self.commits += 1
-        out += self.path(text, base, len(text), last, back)
-        return out
+        return out + self.path(text, base, n, last, back)
 
     def meeting(self, i: int, base: int, back: list[int]) -> int:
         """Where the paths back from the last ``width`` positions up to ``i`` meet."""
@@ -229,21 +284,7 @@ class Model:
     def stream(self, text: str) -> list[int]:
         """Ids of ``text`` from left to right. At a boundary that every path passes the window is empty: what follows up
         to the next such boundary depends on nothing before, and is remembered if it is short."""
-        out: list[int] = []
-        known = self.known.get
-        for stretch in self.stretch.findall(text) if self.sure else [text]:
-            ids = known(stretch)
-            if ids is None:
-                ids = self.older.get(stretch)
-                if ids is None:
-                    ids = tuple(self.window(stretch))
-                if len(stretch) <= 32:
-                    if len(self.known) >= MAX_WORDS // 2:  # what was not used lately goes
-                        self.known, self.older = {}, self.known
-                        known = self.known.get
-                    self.known[stretch] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.stretch.findall(text) if self.sure else [text])))
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
