@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..operators import decisions as de
 from ..operators import policy as po
 from ..operators import probes as pr
 from ..operators import sampling as sm
 from .bindings import CURVES, RATED, documents_rated, r6, table, vectors
 from .catalog import query
-from .curves import BY_THETA, COMMIT, STATUS, WIN, by_theta, commit_read, curves, quick_windows, statuses
-from ..operators import curves as cv
+from .curves import COMMIT, STATUS, THETAS, commit_read, curves, statuses
 
 
 def u32(text: str) -> str:
@@ -210,22 +209,39 @@ def j05(spark, d):
 # Verdicts
 
 
-@query("k01_feasibility", f"WITH {RATED}, g AS (SELECT lang, avg((a = b)::INT) >= 0.6 AS ok FROM rated GROUP BY lang) SELECT concat_ws(';', CASE WHEN count(*) FILTER (ok) >= 3 THEN 'AXES_OK' ELSE 'TOO_FEW_AXES' END, CASE WHEN (SELECT count(*) FROM rated) > 50 THEN 'MANIFEST_OK' ELSE 'MANIFEST_SMALL' END) AS tokens, count(*) FILTER (ok) AS reliable FROM g")
+@query("k01_feasibility", f"""WITH {RATED}, g AS (SELECT source, lang, avg((a = b)::INT) >= 0.6 AS ok FROM rated GROUP BY ALL), n AS (SELECT source, count(*) FILTER (ok) AS reliable FROM g GROUP BY source),
+ c AS (SELECT source, count(*) >= 20 AS trajectory, avg(toxic) <= 0.1 AS valid, min(n_chars) > 50 AS manifest FROM rated GROUP BY source),
+ t AS (SELECT source, reliable, concat_ws(';', CASE WHEN NOT trajectory THEN 'NO_TRAJECTORY_ACCESS' END, CASE WHEN NOT valid THEN 'FIX_SCORE_CONVERSION' END, CASE WHEN NOT manifest OR reliable < 2 THEN 'STOP_PROJECT' END) AS tokens FROM c JOIN n USING (source))
+ SELECT source, CASE WHEN tokens = '' THEN 'GO_MAPS_PHASE' ELSE tokens END AS tokens, reliable FROM t""")
 def k01(spark, d):
     rows = documents_rated(spark, d)
-    g = rows.groupBy("lang").agg((F.avg((F.col("a") == F.col("b")).cast("int")) >= 0.6).alias("ok"), F.count(F.lit(1)).alias("n"))
-    ok = F.count_if(F.col("ok"))
-    return g.agg(F.concat_ws(";", F.when(ok >= 3, "AXES_OK").otherwise("TOO_FEW_AXES"), F.when(F.sum("n") > 50, "MANIFEST_OK").otherwise("MANIFEST_SMALL")).alias("tokens"), ok.alias("reliable"))
-
-
-@query("k02_map_decision", f"""WITH {BY_THETA}, {WIN}, s AS (SELECT theta, CASE WHEN max(s_hat) - min(s_hat) <= 1e-9 THEN 0 ELSE (max(s_hat) - min(s_hat)) / avg(ci_high - ci_low) END AS sep, min(s_hat) AS lo FROM w GROUP BY theta HAVING avg(ci_high - ci_low) > 1e-9),
- n AS (SELECT theta, bool_and(coalesce(ok, true)) AS ordered FROM (SELECT theta, ci_high <= lead(ci_low) OVER (PARTITION BY theta ORDER BY s_hat, axis) AS ok FROM w) GROUP BY theta)
- SELECT theta, CASE WHEN lo < 0.05 THEN 'EARLY' WHEN ordered AND sep >= 1 THEN 'ORDERED' WHEN sep >= 0.15 THEN 'PARTIAL' ELSE 'FLAT' END AS token FROM s JOIN n USING (theta)""")
+    g = rows.groupBy("source", F.col("lang").alias("axis")).agg((F.avg((F.col("a") == F.col("b")).cast("int")) >= 0.6).alias("passed"))
+    valid = F.when(F.avg("toxic") <= 0.1, "OK").otherwise("FIX_SCORE_CONVERSION")
+    c = rows.groupBy("source").agg((F.count(F.lit(1)) >= 20).alias("trajectory_ok"), valid.alias("validation_token"), (F.min("n_chars") > 50).alias("manifest_ok"))
+    return de.feasibility(c, g, ["source"], 2).withColumn("tokens", F.array_join("tokens", ";"))
+
+
+@query("k02_map_decision", f"""WITH {CURVES}, th AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS theta), x AS (SELECT theta::DOUBLE AS theta, unit, axis, min(CASE WHEN gain >= theta THEN s END) AS c, min(CASE WHEN a_fork >= theta THEN s END) AS r FROM curves, th GROUP BY ALL),
+ w AS (SELECT theta, axis, avg(c) AS s, quantile_cont(c, 0.25) AS lo, quantile_cont(c, 0.75) AS hi, count(c) < 30 AS few, avg(r) AS rs, count(r) < 30 AS few_r FROM x GROUP BY ALL),
+ v AS (SELECT *, rs IS NOT NULL AND NOT few_r AS has, rs - s AS lag FROM w WHERE s IS NOT NULL AND NOT few),
+ o AS (SELECT theta, bool_and(coalesce(hi <= nxt, true)) AS ordered FROM (SELECT theta, hi, lead(lo) OVER (PARTITION BY theta ORDER BY s, axis) AS nxt FROM v) GROUP BY theta),
+ f AS (SELECT theta, count(*) AS n, max(s) - min(s) AS spread, min(s) >= 0.85 AS near_end, avg(hi - lo) AS width, bool_or(has AND s < 0.85 AND rs < 0.8 AND lag BETWEEN -0.05 AND 0.15) AS readout,
+  bool_or(axis LIKE '%disc%' AND has AND s < 0.85 AND rs < 0.8 AND lag BETWEEN -0.05 AND 0.15) AS limited_read, bool_or(s < 0.85 AND axis NOT LIKE '%disc%') AS other_early, bool_or(CASE WHEN has THEN lag > 0.15 ELSE s < 0.85 END) AS lags FROM v GROUP BY theta),
+ t AS (SELECT theta, concat_ws(';', CASE WHEN n IS NULL THEN 'STOP_PROJECT' END, CASE WHEN spread <= 0.05 OR near_end THEN 'STOP_ADSR' END,
+  CASE WHEN n >= 2 AND spread > 0.05 AND NOT near_end AND ordered AND (width <= 1e-9 OR spread / width > 1) THEN 'GO_MAP' END, CASE WHEN readout THEN 'GO_READOUT' END, CASE WHEN limited_read AND NOT other_early THEN 'GO_RESTRICTED' END, CASE WHEN lags THEN 'GO_DIAGNOSTIC' END) AS tokens
+  FROM (SELECT DISTINCT theta FROM w) LEFT JOIN f USING (theta) LEFT JOIN o USING (theta))
+ SELECT theta, CASE WHEN tokens = '' THEN 'STOP_PROJECT' ELSE tokens END AS tokens FROM t""")
 def k02(spark, d):
-    w = quick_windows(spark, d)
-    s = cv.separation(w, ["theta"]).join(w.groupBy("theta").agg(F.min("s_hat").alias("lo")), "theta").join(cv.non_overlap(w, ["theta"]), "theta")
-    sep = F.col("separation")
-    return s.where("separation < double('infinity')").select("theta", F.when(F.col("lo") < 0.05, "EARLY").when(F.col("ordered") & (sep >= 1), "ORDERED").when(sep >= 0.15, "PARTIAL").otherwise("FLAT").alias("token"))
+    th = F.explode(F.array(*map(F.lit, THETAS)))
+    first = lambda c: F.min(F.when(F.col(c) >= F.col("theta"), F.col("s")))
+    x = curves(spark, d).withColumn("theta", th).groupBy("theta", "unit", "axis").agg(first("gain").alias("c"), first("a_fork").alias("r"))
+    w = x.groupBy("theta", "axis").agg(
+        F.avg("c").alias("s_hat"), F.percentile("c", F.lit(0.25)).alias("ci_low"), F.percentile("c", F.lit(0.75)).alias("ci_high"), (F.count("c") < 30).alias("underpowered"),
+        F.avg("r").alias("r"), (F.count("r") < 30).alias("few"),
+    )
+    reads = w.select("theta", "axis", F.lit("labels").alias("probe"), F.lit("fork").alias("target"), F.col("r").alias("s_hat"), F.col("few").alias("underpowered"))
+    got = de.map_decision(w.drop("r", "few"), reads, ["theta"], restricted=("disc",))
+    return got.select("theta", F.array_join("tokens", ";").alias("tokens"))
 
 
 @query("k03_micromap_criteria", f"""WITH {CURVES}, a AS (SELECT axis, arg_min(g, s) AS g0, arg_max(g, s) AS g1, count(*) AS k, max(g) - min(g) AS info FROM (SELECT axis, s, avg(gain) AS g FROM curves GROUP BY ALL) GROUP BY axis), f AS (SELECT axis, concat_ws(',', CASE WHEN g1 < g0 THEN 'monotonicity' END, CASE WHEN g1 < 0.3 THEN 'endpoints' END, CASE WHEN info < 0.02 THEN 'informativeness' END, CASE WHEN k < 7 THEN 'completeness' END) AS failed FROM a)
@@ -254,5 +270,3 @@ def k06(spark, d):
     a = statuses(spark, d).groupBy("axis").agg((F.count_if(F.col("st") == "determined") / F.count(F.lit(1))).alias("det"), (F.count_if(F.col("st") == "crossing") / F.count(F.lit(1))).alias("crs"))
     return a.select("axis", F.when(F.col("det") > 0.5, "DEGENERATE").when(F.col("crs") >= 0.8, "STRONG").when(F.col("crs") >= 0.4, "PARTIAL").otherwise("WEAK").alias("token"))
 
-
-__all__ = ["Window", "by_theta"]
