@@ -81,3 +81,46 @@ def map_decision(commit: DataFrame, read: DataFrame, keys: list[str], alpha_ok:
         ("GO_DIAGNOSTIC", F.col("lags")),
     )
     return every.select(*keys, F.when(F.size(found) == 0, F.array(F.lit("STOP_PROJECT"))).otherwise(found).alias("tokens"), "separation")
+
+
+def trend_verdict(points: DataFrame, keys: list[str], quantity: str, x: str, y: str, expected: int = 3, eps: float = 1e-3) -> DataFrame:
+    """keys, verdict, rising, falling: supported if all ``expected`` quantities rise with x, refuted if any falls, else inconclusive.
+
+    A quantity rises (falls) if its least-squares slope lies beyond eps and its last value above (below) its first;
+    null and NaN points are left out, and fewer than two points show no trend.
+    """
+    finite = ~F.isnan(F.coalesce(F.col(y), F.lit(float("nan"))))
+    trend = points.groupBy(*keys, quantity).agg(
+        F.regr_slope(F.when(finite, F.col(y)), x).alias("slope"),
+        (F.max_by(y, F.when(finite, F.col(x))) - F.min_by(y, F.when(finite, F.col(x)))).alias("delta"),
+    )
+    rising = F.count_if((F.col("slope") > eps) & (F.col("delta") > 0))
+    falling = F.count_if((F.col("slope") < -eps) & (F.col("delta") < 0))
+    got = trend.groupBy(*keys).agg(rising.alias("rising"), falling.alias("falling"))
+    verdict = F.when(F.col("rising") >= expected, "F1_SUPPORTED").when(F.col("falling") > 0, "F1_REFUTED").otherwise("F1_INCONCLUSIVE")
+    return got.select(*keys, verdict.alias("verdict"), "rising", "falling")
+
+
+def bridge_token(mean_recovery: Column) -> Column:
+    """Tier of a mean headroom recovery."""
+    return F.when(mean_recovery >= 0.5, "BRIDGE_METHOD").when(mean_recovery >= 0.2, "BRIDGE_PARTIAL").otherwise("BRIDGE_WEAK")
+
+
+def conditioning_token(best: Column, chance: Column, internal_best: Column, margin: float = 0.15, gap: float = 0.15) -> Column:
+    """A bottleneck if the best accuracy is near chance and well below the internal one; unknown values show none."""
+    return F.when((best <= chance + margin) & (best <= internal_best - gap), "COND_BOTTLENECK").otherwise("COND_NOT_BOTTLENECK")
+
+
+def seed_floor_token(best: Column, chance: Column, slope_low: Column, margin: float = 0.10) -> Column:
+    """Tokens of a floor above chance and of a slope whose interval lies above zero, joined by +."""
+    floor, rises = F.when(best - chance > margin, "SEED_FLOOR_CONFIRMED"), F.when(slope_low > 0, "SEED_AMPLIFICATION")
+    return F.when(floor.isNull() & rises.isNull(), "NO_SEED_FLOOR").otherwise(F.concat_ws("+", floor, rises))
+
+
+def categorical_token(majority_share: Column, effective_labels: Column, most_share: float, least_labels: float) -> Column:
+    """Degenerate if one label holds too much or too few labels are in effect."""
+    return F.when((majority_share >= most_share) | (effective_labels < least_labels), "DEGENERATE").otherwise("INFORMATIVE")
+
+
+def material_token(relative_agreement: Column, least: float) -> Column:
+    return F.when(relative_agreement < least, "DEGENERATE").otherwise("INFORMATIVE")

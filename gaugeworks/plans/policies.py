@@ -9,9 +9,9 @@ from ..operators import decisions as de
 from ..operators import policy as po
 from ..operators import probes as pr
 from ..operators import sampling as sm
-from .bindings import CURVES, RATED, documents_rated, r6, table, vectors
+from .bindings import CURVES, RATED, documents_rated, measurements, r6, table, vectors
 from .catalog import query
-from .curves import COMMIT, STATUS, THETAS, commit_read, curves, statuses
+from .curves import COMMIT, THETAS, commit_read, curves
 
 
 def u32(text: str) -> str:
@@ -258,15 +258,31 @@ def k04(spark, d):
     return c.agg(F.when(F.min("n") < 50, "GUARD_FAIL").when(F.bool_and(F.col("x") <= 0.25), "EXCHANGEABLE_OK").otherwise("EXCHANGEABLE_FAIL").alias("token"), F.count(F.lit(1)).alias("cells"))
 
 
-@query("k05_trend_verdict", f"WITH {CURVES}, a AS (SELECT axis, s, avg(gain) AS g FROM curves GROUP BY ALL), t AS (SELECT axis, arg_max(g, s) - arg_min(g, s) AS d FROM a GROUP BY axis) SELECT CASE WHEN count(*) FILTER (d > 0.01) >= 2 THEN 'SUPPORTED' WHEN count(*) FILTER (d < -0.01) >= 2 THEN 'REFUTED' ELSE 'INCONCLUSIVE' END AS verdict, count(*) AS trends FROM t")
+@query("k05_trend_verdict", f"""WITH {CURVES}, p AS (SELECT axis, s, unnest([{{'q': 'seed_predictability', 'y': avg(a_fork)}}, {{'q': 'alpha_star', 'y': avg(gain)}}, {{'q': 'seed_share', 'y': avg(a_fork - a_ind)}}]) AS e FROM curves GROUP BY axis, s),
+ t AS (SELECT axis, e.q AS q, regr_slope(e.y, s) AS slope, arg_max(e.y, s) - arg_min(e.y, s) AS delta FROM p GROUP BY axis, e.q), c AS (SELECT axis, count(*) FILTER (slope > 1e-3 AND delta > 0) AS rising, count(*) FILTER (slope < -1e-3 AND delta < 0) AS falling FROM t GROUP BY axis)
+ SELECT axis, CASE WHEN rising >= 3 THEN 'F1_SUPPORTED' WHEN falling > 0 THEN 'F1_REFUTED' ELSE 'F1_INCONCLUSIVE' END AS verdict, rising, falling FROM c""")
 def k05(spark, d):
-    t = curves(spark, d).groupBy("axis", "s").agg(F.avg("gain").alias("g")).groupBy("axis").agg((F.max_by("g", "s") - F.min_by("g", "s")).alias("d"))
-    return t.agg(F.when(F.count_if(F.col("d") > 0.01) >= 2, "SUPPORTED").when(F.count_if(F.col("d") < -0.01) >= 2, "REFUTED").otherwise("INCONCLUSIVE").alias("verdict"), F.count(F.lit(1)).alias("trends"))
+    means = curves(spark, d).groupBy("axis", "s").agg(F.avg("a_fork").alias("seed_predictability"), F.avg("gain").alias("alpha_star"), F.avg(F.col("a_fork") - F.col("a_ind")).alias("seed_share"))
+    points = means.unpivot(["axis", "s"], ["seed_predictability", "alpha_star", "seed_share"], "q", "y")
+    return de.trend_verdict(points, ["axis"], "q", "s", "y")
 
 
-@query("k06_threshold_tokens", f"""WITH {STATUS}, a AS (SELECT axis, count(*) FILTER (st = 'determined')::DOUBLE / count(*) AS det, count(*) FILTER (st = 'crossing')::DOUBLE / count(*) AS crs FROM st GROUP BY axis)
- SELECT axis, CASE WHEN det > 0.5 THEN 'DEGENERATE' WHEN crs >= 0.8 THEN 'STRONG' WHEN crs >= 0.4 THEN 'PARTIAL' ELSE 'WEAK' END AS token FROM a""")
+@query("k06_threshold_tokens", f"""WITH {CURVES}, b AS (SELECT axis, s, avg(gain) AS g, avg(a_fork) AS f, avg(a_ind) AS i FROM curves GROUP BY ALL), a AS (SELECT axis, avg(g) AS g, max(g) AS best, max(f) AS internal, arg_min(f, s) AS first, avg(i) AS chance FROM b GROUP BY axis),
+ sl AS (SELECT axis, quantile_cont(k, 0.025) AS low FROM (SELECT axis, unit, regr_slope(gain, s) AS k FROM curves GROUP BY ALL) WHERE k IS NOT NULL AND NOT isnan(k) GROUP BY axis),
+ l AS (SELECT axis, max(n)::DOUBLE / sum(n) AS share, pow(sum(n), 2) / sum(n::DOUBLE * n) AS k FROM (SELECT axis, label, count(*) AS n FROM m GROUP BY ALL) GROUP BY axis)
+ SELECT axis, CASE WHEN g >= 0.5 THEN 'BRIDGE_METHOD' WHEN g >= 0.2 THEN 'BRIDGE_PARTIAL' ELSE 'BRIDGE_WEAK' END AS bridge, CASE WHEN best <= chance + 0.15 AND best <= internal - 0.15 THEN 'COND_BOTTLENECK' ELSE 'COND_NOT_BOTTLENECK' END AS conditioning,
+  CASE WHEN first - chance > 0.1 AND low > 0 THEN 'SEED_FLOOR_CONFIRMED+SEED_AMPLIFICATION' WHEN first - chance > 0.1 THEN 'SEED_FLOOR_CONFIRMED' WHEN low > 0 THEN 'SEED_AMPLIFICATION' ELSE 'NO_SEED_FLOOR' END AS seed_floor,
+  CASE WHEN share >= 0.5 OR k < 2 THEN 'DEGENERATE' ELSE 'INFORMATIVE' END AS labels, CASE WHEN chance < 0.5 THEN 'DEGENERATE' ELSE 'INFORMATIVE' END AS material FROM a JOIN sl USING (axis) JOIN l USING (axis)""")
 def k06(spark, d):
-    a = statuses(spark, d).groupBy("axis").agg((F.count_if(F.col("st") == "determined") / F.count(F.lit(1))).alias("det"), (F.count_if(F.col("st") == "crossing") / F.count(F.lit(1))).alias("crs"))
-    return a.select("axis", F.when(F.col("det") > 0.5, "DEGENERATE").when(F.col("crs") >= 0.8, "STRONG").when(F.col("crs") >= 0.4, "PARTIAL").otherwise("WEAK").alias("token"))
-
+    rows = curves(spark, d)
+    by_s = rows.groupBy("axis", "s").agg(F.avg("gain").alias("g"), F.avg("a_fork").alias("f"), F.avg("a_ind").alias("i"))
+    a = by_s.groupBy("axis").agg(F.avg("g").alias("g"), F.max("g").alias("best"), F.max("f").alias("internal"), F.min_by("f", "s").alias("first"), F.avg("i").alias("chance"))
+    slopes = rows.groupBy("axis", "unit").agg(F.regr_slope("gain", "s").alias("k")).where("k is not null and not isnan(k)")
+    low = slopes.groupBy("axis").agg(F.percentile("k", F.lit(0.025)).alias("low"))
+    n = measurements(spark, d).groupBy("axis", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("axis")
+    n = n.agg((F.max("n") / F.sum("n")).alias("share"), (F.pow(F.sum("n"), F.lit(2)) / F.sum(F.col("n").cast("double") * F.col("n"))).alias("k"))
+    c = F.col
+    return a.join(low, "axis").join(n, "axis").select(
+        "axis", de.bridge_token(c("g")).alias("bridge"), de.conditioning_token(c("best"), c("chance"), c("internal")).alias("conditioning"),
+        de.seed_floor_token(c("first"), c("chance"), c("low")).alias("seed_floor"), de.categorical_token(c("share"), c("k"), 0.5, 2).alias("labels"), de.material_token(c("chance"), 0.5).alias("material"),
+    )

@@ -51,3 +51,34 @@ def test_feasibility(spark, trajectory, token, manifest, passed, tokens):
     r = spark.createDataFrame([("x", f"a{i}", p) for i, p in enumerate(passed)], "k string, axis string, passed boolean")
     got = de.feasibility(c, r, ["k"]).collect()
     assert [(x.tokens, x.reliable) for x in got] == [(tokens, sum(p is True for p in passed))]
+
+
+def test_trend_verdict(spark):
+    rows = []
+    for key, trends in {"up": (1, 1, 1), "one down": (1, 1, -1), "flat": (1, 1, 0), "two": (1, 1)}.items():
+        rows += [(key, f"q{i}", x, slope * x) for i, slope in enumerate(trends) for x in (1.0, 2.0, 4.0)]
+    rows += [("short", f"q{i}", 1.0, 1.0) for i in range(3)]
+    rows += [("gaps", f"q{i}", x, y) for i in range(3) for x, y in ((0.0, float("nan")), (1.0, 1.0), (2.0, 3.0), (3.0, None))]
+    rows += [("tilted", f"q{i}", x, y) for i in range(3) for x, y in ((1.0, 1.0), (2.0, 0.0), (3.0, 9.0), (4.0, 0.5))]
+    got = {r.k: r.verdict for r in de.trend_verdict(spark.createDataFrame(rows, "k string, q string, x double, y double"), ["k"], "q", "x", "y").collect()}
+    none = "F1_INCONCLUSIVE"
+    assert got == {"up": "F1_SUPPORTED", "one down": "F1_REFUTED", "flat": none, "two": none, "short": none, "gaps": "F1_SUPPORTED", "tilted": none}
+
+
+def test_threshold_tokens(spark):
+    from pyspark.sql import functions as F
+
+    lit, none = F.lit, F.lit(None).cast("double")
+    cols = {
+        "b1": de.bridge_token(lit(0.5)), "b2": de.bridge_token(lit(0.2)), "b3": de.bridge_token(lit(0.19)),
+        "c1": de.conditioning_token(lit(0.3), lit(0.2), lit(0.6)), "c2": de.conditioning_token(lit(0.5), lit(0.2), lit(0.9)), "c3": de.conditioning_token(lit(0.3), lit(0.2), none),
+        "s1": de.seed_floor_token(lit(0.4), lit(0.2), lit(0.1)), "s2": de.seed_floor_token(lit(0.4), lit(0.2), lit(-0.1)), "s3": de.seed_floor_token(lit(0.25), lit(0.2), lit(0.1)), "s4": de.seed_floor_token(none, lit(0.2), none),
+        "d1": de.categorical_token(lit(0.9), lit(3.0), 0.9, 1.5), "d2": de.categorical_token(lit(0.5), lit(1.4), 0.9, 1.5), "d3": de.categorical_token(lit(0.5), lit(2.0), 0.9, 1.5),
+        "m1": de.material_token(lit(0.1), 0.2), "m2": de.material_token(lit(0.2), 0.2),
+    }
+    got = spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).collect()[0].asDict()
+    assert list(got.values()) == [
+        "BRIDGE_METHOD", "BRIDGE_PARTIAL", "BRIDGE_WEAK", "COND_BOTTLENECK", "COND_NOT_BOTTLENECK", "COND_NOT_BOTTLENECK",
+        "SEED_FLOOR_CONFIRMED+SEED_AMPLIFICATION", "SEED_FLOOR_CONFIRMED", "SEED_AMPLIFICATION", "NO_SEED_FLOOR",
+        "DEGENERATE", "DEGENERATE", "INFORMATIVE", "DEGENERATE", "INFORMATIVE",
+    ]
