@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, covertree, exact, mixing, quality, setsketch, sharding, spm, tagpaths, toxicity
+from . import chat, covertree, exact, lexical, mixing, quality, setsketch, sharding, spm, tagpaths, toxicity, urlfilter
 from .common import documents, table
 
 
@@ -54,6 +55,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+#: What a url may not begin with, and what may follow nevertheless.
+URL_RULES = [
+    urlfilter.Rule("allow", "org"), urlfilter.Rule("block", "example.org", "/es/"), urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"), urlfilter.Rule("block", "com", "/de/"),
+]
+#: Pages of hosts with such a word are listed; other spellings of their urls are caught by their canonical form.
+LISTED_WORDS = "casino|bets|pills|spam|adult|ads-"
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(urlfilter.url_host(F.col("url")).rlike(LISTED_WORDS))
+    return urlfilter.judge_urls(pages, listed, URL_RULES, keep=["page_id"]).drop("canonical")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_main_text": op2_main_text,
@@ -65,6 +85,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op12_url_filter": op12_url_filter,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -72,4 +94,34 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_url_filter": r"""
+        WITH p AS (
+          SELECT page_id, url,
+            translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+            list_sort(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), ''), '&'), lambda q: NOT regexp_matches(q, '^((utm_[a-z]+|ref|gclid|fbclid)(=|$)|$)'))) AS asked
+          FROM pages),
+        c AS (
+          SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+                         || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END ELSE '' END AS canonical
+          FROM p),
+        r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(v, h, p)),
+        fits AS (
+          SELECT page_id, max_by(h || p, len(h || p)) AS rule, max_by(v, len(h || p)) AS v
+          FROM c, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+        listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, 'casino|bets|pills|spam|adult|ads-') AND canonical <> '')
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM c LEFT JOIN fits USING (page_id)""",
+    "op13_lexical_search": r"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        size AS (SELECT doc_id, count(*)::BIGINT AS n FROM d GROUP BY doc_id),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM size),
+        tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+        s AS (
+          SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
