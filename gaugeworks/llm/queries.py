@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, exact, lexical, mixing, quality, setsketch, sharding, spm, tagpaths, toxicity, urlfilter
+from . import chat, covertree, exact, lexical, mixing, quality, repair, setsketch, sharding, spm, tagpaths, toxicity, urlfilter
 from .common import documents, table
 
 
@@ -55,6 +57,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    turns, report = repair.repair(repair.damaged(rows))
+    every = rows.select("conv_id").distinct()
+    for part in (report.withColumnRenamed("conv", "_r"), repair.digests(turns).withColumnRenamed("conv", "_d")):
+        every = every.join(part, F.col("conv_id").eqNullSafe(F.col(part.columns[0])), "left")
+    none = hashlib.sha256().hexdigest()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select("conv_id", *(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in counts),
+                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(none)).alias("repaired_sha256"))
+
+
 #: What a url may not begin with, and what may follow nevertheless.
 URL_RULES = [
     urlfilter.Rule("allow", "org"), urlfilter.Rule("block", "example.org", "/es/"), urlfilter.Rule("block", "example.org", "/en/1"),
@@ -85,6 +99,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_url_filter": op12_url_filter,
     "op13_lexical_search": op13_lexical_search,
 }
