@@ -23,18 +23,27 @@ def gain_curves(df: DataFrame, on_saturated: str = "zero") -> DataFrame:
 
 
 def interpolated_crossing(df: DataFrame, keys: list[str], value: str, theta: Column | float, falling: bool = False) -> DataFrame:
-    """First s where the value reaches theta, linear between grid points; null if it never does.
+    """keys, crossing: first s where the value reaches theta, linear between grid points; null if it never does.
 
     A first point already across gives its own s. Undefined points are skipped; a crossing right after an
     undefined point is undefined.
     """
+    return interpolated_crossings(df, keys, {"crossing": (value, theta)}, falling)
+
+
+def interpolated_crossings(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, Column | float]], falling: bool = False) -> DataFrame:
+    """Several crossings (name: value, theta) of the same curves in one pass, as ``interpolated_crossing``."""
     w = Window.partitionBy(*keys).orderBy("s")
-    v, level = F.col(value), theta if isinstance(theta, Column) else F.lit(theta)
-    across = v <= level if falling else v >= level
-    prev_v, prev_s = F.lag(value).over(w), F.lag("s").over(w)
-    at = F.when(prev_s.isNull(), F.col("s")).otherwise(prev_s + (level - prev_v) / F.when(v != prev_v, v - prev_v) * (F.col("s") - prev_s))
-    marked = df.withColumn("_hit", F.when(across, F.struct(F.col("s").alias("s"), at.alias("at"))))
-    return marked.groupBy(*keys).agg(F.min("_hit")["at"].alias("crossing"))
+    prev_s = F.lag("s").over(w)
+    marked, found = df, []
+    for name, (value, theta) in wanted.items():
+        v, level = F.col(value), theta if isinstance(theta, Column) else F.lit(theta)
+        across = v <= level if falling else v >= level
+        prev_v = F.lag(value).over(w)
+        at = F.when(prev_s.isNull(), F.col("s")).otherwise(prev_s + (level - prev_v) / F.when(v != prev_v, v - prev_v) * (F.col("s") - prev_s))
+        marked = marked.withColumn(f"_hit_{name}", F.when(across, F.struct(F.col("s").alias("s"), at.alias("at"))))
+        found.append(F.min(f"_hit_{name}")["at"].alias(name))
+    return marked.groupBy(*keys).agg(*found)
 
 
 def grid_crossing(df: DataFrame, keys: list[str], value: str, theta: Column | float, below: bool = False) -> DataFrame:
@@ -51,7 +60,11 @@ def status(a_ind: Column, crossing: Column) -> Column:
 def survival(df: DataFrame, keys: list[str], time: str, event: Column, weight: Column | None = None) -> DataFrame:
     """Product-limit curve per key: t, at_risk, events, survival. Rows without an event are censored at their time."""
     w = weight if weight is not None else F.lit(1)
-    per = df.groupBy(*keys, F.col(time).alias("t")).agg(F.sum(F.when(event, w).otherwise(0)).alias("events"), F.sum(w).alias("n"))
+    return survival_of_counts(df.groupBy(*keys, F.col(time).alias("t")).agg(F.sum(F.when(event, w).otherwise(0)).alias("events"), F.sum(w).alias("n")), keys)
+
+
+def survival_of_counts(per: DataFrame, keys: list[str]) -> DataFrame:
+    """The curve from counts (or weights) per time: t, n (rows that end there) and events."""
     later = Window.partitionBy(*keys).orderBy(F.desc("t"))
     risk = per.withColumn("at_risk", F.sum("n").over(later))
     so_far = Window.partitionBy(*keys).orderBy("t")
@@ -59,7 +72,10 @@ def survival(df: DataFrame, keys: list[str], time: str, event: Column, weight: C
 
 
 def survival_median(df: DataFrame, keys: list[str], time: str, event: Column, weight: Column | None = None) -> DataFrame:
-    curve = survival(df, keys, time, event, weight)
+    return median_of_curve(survival(df, keys, time, event, weight), keys)
+
+
+def median_of_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
     return curve.groupBy(*keys).agg(F.min(F.when((F.col("survival") <= 0.5 + 1e-12) & (F.col("events") > 0), F.col("t"))).alias("median"))
 
 

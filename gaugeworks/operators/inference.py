@@ -1,4 +1,4 @@
-"""Resampling by counter-based draws, kernel two-sample tests, rank tests, exact intervals."""
+"""Kernel two-sample tests, rank tests, exact intervals."""
 
 from __future__ import annotations
 
@@ -8,81 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import draw, dot
-from ..sources.tables import written
-
-RANGES, SLOTS = 256, 4096
-
-
-def multiplicities(units: DataFrame, keys: list[str], unit: str, n_boot: int, seed: str) -> DataFrame:
-    """keys, b, unit, w: how often replicate b draws the unit. Draw i of n picks the unit ranked md5(seed:keys:b:i) mod n.
-
-    Ranks are taken in the order of md5(rank:unit), dealt to ranges; draws exist per (key, replicate, slot), and slots
-    come in runs of at most SLOTS; the counts combine before the shuffle.
-    """
-    ranked = ranks(units.select(*keys, unit).distinct(), keys, unit)
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    runs = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    runs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SLOTS))).alias("_run"))
-    first = F.col("_run") * SLOTS
-    slots = runs.select(*keys, "_n", "b", F.explode(F.sequence(first, F.least(first + SLOTS, F.col("_n")) - 1)).alias("slot"))
-    picks = slots.select(*keys, "b", (draw(seed, *keys, "b", "slot") % F.col("_n")).alias("_k")).groupBy(*keys, "b", "_k").agg(F.count(F.lit(1)).alias("w"))
-    return picks.join(ranked, [*keys, "_k"]).select(*keys, "b", unit, "w")
-
-
-def ranks(units: DataFrame, keys: list[str], unit: str) -> DataFrame:
-    """Add ``_k``, gapless from 0 per key, in the order of md5(rank:unit). Units are dealt to RANGES ranges of that number;
-    each is ranked on its own and starts at the sum of the counts before it."""
-    h = draw("rank", unit)
-    dealt = units.withColumns({"_h": h, "_range": F.floor(h / float((1 << 32) // RANGES))})
-    counts = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_range").orderBy("_h", unit)
-    own = dealt.withColumn("_own", F.row_number().over(inside) - 1)
-    return own.join(starts, [*keys, "_range"]).select(*keys, unit, (F.col("_own") + F.col("_start")).alias("_k"))
-
-
-def poisson_multiplicities(units: DataFrame, keys: list[str], unit: str, n_boot: int, seed: str) -> DataFrame:
-    """Like ``multiplicities`` for very many units: independent Poisson(1) weights, without ranks."""
-    each = units.select(*keys, unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = draw(seed, *keys, "b", unit) / float(1 << 32)
-    w, p, total = F.lit(0), math.exp(-1), 0.0
-    for k in range(1, 12):
-        total += p
-        p /= k
-        w = w + (u >= total).cast("int")
-    return each.withColumn("w", w).where("w > 0")
-
-
-def interval(replicates: DataFrame, keys: list[str], value: str, ci: float = 0.95) -> DataFrame:
-    tail = (1 - ci) / 2
-    return replicates.groupBy(*keys).agg(F.percentile(value, F.lit(tail)).alias("ci_low"), F.percentile(value, F.lit(1 - tail)).alias("ci_high"), F.count(value).alias("replicates"))
-
-
-def bootstrap_mean(df: DataFrame, keys: list[str], unit: str, value: str, n_boot: int = 200, seed: str = "boot", ci: float = 0.95) -> DataFrame:
-    """mean, ci_low, ci_high, n: units resampled, undefined values dropped, percentiles interpolated."""
-    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, unit).agg(F.avg(value).alias("_v"))
-    rows = written(rows)  # three branches read it
-    w = multiplicities(rows, keys, unit, n_boot, seed)
-    reps = w.join(rows, [*keys, unit]).groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("m"))
-    point = rows.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return point.join(interval(reps, keys, "m", ci), keys)
-
-
-def bootstrap_statistic(df: DataFrame, keys: list[str], unit: str, value: str, statistic, n_boot: int = 50, seed: str = "stat") -> DataFrame:
-    """Interval of any Python statistic of the resampled unit values: one replicate a group, its rows only."""
-    w = multiplicities(df, keys, unit, n_boot, seed).join(df.select(*keys, unit, value), [*keys, unit])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[[*keys, "b"]].head(1).copy()
-        out["stat"] = float(statistic(pdf[value].repeat(pdf["w"]).to_numpy()))
-        return out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
-    reps = w.groupBy(*keys, "b").applyInPandas(one, f"{schema}, b int, stat double")
-    return interval(reps, keys, "stat")
-
+from ..functions.exprs import draw
 
 def clopper_pearson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
     """Exact binomial interval by bisection on the cumulative binomial; edges 0 and 1."""
@@ -138,5 +64,3 @@ def normal_tail(z: Column) -> Column:
 
     return tail(z)
 
-
-__all__ = ["bootstrap_mean", "bootstrap_statistic", "clopper_pearson", "dot", "draw", "interval", "kernel_pairs", "mmd2", "multiplicities", "normal_tail", "poisson_multiplicities"]

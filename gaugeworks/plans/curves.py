@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import curves as cv
+from ..operators import resampling as rs
 from .bindings import CURVES, M, VECTORS, measurements, r6, table, vectors
 from .catalog import query
+from .draws import ci, draws
 
 
 def curves(spark, d):
@@ -212,6 +214,16 @@ def commit_read(spark, d):
     return curves(spark, d).groupBy("unit", "axis").agg(F.min(F.when(F.col("gain") >= 0.7, F.col("s"))).alias("c"), F.min(F.when(F.col("a_fork") >= 0.6, F.col("s"))).alias("r"))
 
 
+#: x (unit, axis, c, r): interpolated first points at which the gain reaches 0.7 and the fork agreement 0.6.
+CROSSED = f"""{CURVES}, l_ AS (SELECT unit, axis, s, gain, a_fork, lag(s) OVER w AS ps, lag(gain) OVER w AS pg, lag(a_fork) OVER w AS pf FROM curves WINDOW w AS (PARTITION BY unit, axis ORDER BY s)),
+ x AS (SELECT unit, axis, arg_min(CASE WHEN ps IS NULL THEN s ELSE ps + (0.7 - pg) / (gain - pg) * (s - ps) END, s) FILTER (gain >= 0.7 AND (pg IS NULL OR pg < 0.7)) AS c,
+  arg_min(CASE WHEN ps IS NULL THEN s ELSE ps + (0.6 - pf) / (a_fork - pf) * (s - ps) END, s) FILTER (a_fork >= 0.6 AND (pf IS NULL OR pf < 0.6)) AS r FROM l_ GROUP BY ALL)"""
+
+
+def crossed(spark, d):
+    return cv.interpolated_crossings(curves(spark, d), ["unit", "axis"], {"c": ("gain", 0.7), "r": ("a_fork", 0.6)})
+
+
 @query("e08_gap_table", f"WITH {COMMIT} SELECT axis, round(avg(c), 6) AS s_commit, round(avg(r), 6) AS s_read, round(avg(r) - avg(c), 6) AS gap FROM t GROUP BY axis HAVING count(c) >= 20 AND count(r) >= 20")
 def e08(spark, d):
     t = commit_read(spark, d)
@@ -282,6 +294,7 @@ def f05_median(spark, d):
 
 
 THETAS = (0.5, 0.6, 0.7, 0.8, 0.9)
+SWEEP_B = 200
 BY_THETA = f"""{CURVES}, th AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS theta), x AS (SELECT theta::DOUBLE AS theta, unit, axis, min(CASE WHEN gain >= theta THEN s END) AS c FROM curves, th GROUP BY ALL)"""
 
 
@@ -302,26 +315,33 @@ def f07(spark, d):
     return cv.ranking(m, ["theta"], "axis", "v").select("theta", "axis", "v", "rank", "ordering")
 
 
-WIN = "w AS (SELECT theta, axis, avg(c) AS s_hat, quantile_cont(c, 0.25) AS ci_low, quantile_cont(c, 0.75) AS ci_high FROM x GROUP BY ALL)"
+MIN_N = 20
+#: w: windows per theta and axis over interpolated crossings, intervals over units; ws: result windows only.
+WIN = f"""{CURVES}, th AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS theta), l_ AS (SELECT unit, axis, s, gain, lag(s) OVER w AS ps, lag(gain) OVER w AS pg FROM curves WINDOW w AS (PARTITION BY unit, axis ORDER BY s)),
+ x AS (SELECT theta, unit, axis, arg_min(CASE WHEN ps IS NULL THEN s ELSE ps + (theta - pg) / (gain - pg) * (s - ps) END, s) FILTER (gain >= theta AND (pg IS NULL OR pg < theta)) AS c FROM l_, th GROUP BY ALL), {draws("x", "sweep", SWEEP_B)},
+ rp AS (SELECT theta, axis, b, sum(w * c) / nullif(sum(w) FILTER (c IS NOT NULL), 0) AS m FROM wt JOIN x USING (unit) GROUP BY ALL),
+ w AS (SELECT theta, axis, point AS s_hat, ci_low, ci_high, n, n < {MIN_N} AS underpowered FROM ({ci("m", "rp", "theta, axis")}) JOIN (SELECT theta, axis, count(*) AS n FROM x GROUP BY ALL) USING (theta, axis)), ws AS (SELECT * FROM w WHERE NOT underpowered AND s_hat IS NOT NULL)"""
 
 
-def quick_windows(spark, d):
-    return by_theta(spark, d).groupBy("theta", "axis").agg(F.avg("c").alias("s_hat"), F.percentile("c", F.lit(0.25)).alias("ci_low"), F.percentile("c", F.lit(0.75)).alias("ci_high"))
+def sweep(spark, d):
+    """Windows of every theta and axis, and those that are results."""
+    shown = rs.threshold_sweep(curves(spark, d), ["axis"], THETAS, n_boot=SWEEP_B, min_n=MIN_N)
+    return shown, shown.where("not underpowered and s_hat is not null")
 
 
-@query("f08_separation", f"WITH {BY_THETA}, {WIN} SELECT theta, round(CASE WHEN count(s_hat) < 2 THEN NULL WHEN max(s_hat) - min(s_hat) <= 1e-9 THEN 0 WHEN avg(ci_high - ci_low) <= 1e-9 THEN 'inf'::DOUBLE ELSE (max(s_hat) - min(s_hat)) / avg(ci_high - ci_low) END, 6) AS separation FROM w GROUP BY theta")
+@query("f08_separation", f"WITH {WIN} SELECT theta, round(CASE WHEN count(s_hat) < 2 THEN NULL WHEN max(s_hat) - min(s_hat) <= 1e-9 THEN 0 WHEN avg(ci_high - ci_low) <= 1e-9 THEN 'inf'::DOUBLE ELSE (max(s_hat) - min(s_hat)) / avg(ci_high - ci_low) END, 4) AS separation FROM ws GROUP BY theta")
 def f08(spark, d):
-    return cv.separation(quick_windows(spark, d), ["theta"]).withColumn("separation", r6("separation"))
+    return cv.separation(sweep(spark, d)[1], ["theta"]).withColumn("separation", F.round("separation", 4))
 
 
-@query("f09_non_overlap", f"WITH {BY_THETA}, {WIN}, n AS (SELECT theta, ci_high <= lead(ci_low) OVER (PARTITION BY theta ORDER BY s_hat, axis) AS ok FROM w) SELECT theta, bool_and(coalesce(ok, true)) AS ordered FROM n GROUP BY theta")
+@query("f09_non_overlap", f"WITH {WIN}, n AS (SELECT theta, ci_high <= lead(ci_low) OVER (PARTITION BY theta ORDER BY s_hat, axis) AS ok FROM ws) SELECT theta, bool_and(coalesce(ok, true)) AS ordered FROM n GROUP BY theta")
 def f09(spark, d):
-    return cv.non_overlap(quick_windows(spark, d), ["theta"])
+    return cv.non_overlap(sweep(spark, d)[1], ["theta"])
 
 
-@query("f10_threshold_sweep", f"WITH {BY_THETA}, {WIN} SELECT theta, axis, round(s_hat, 6) AS s_hat, round(ci_high - ci_low, 6) AS width FROM w")
+@query("f10_threshold_sweep", f"WITH {WIN} SELECT theta, axis, round(s_hat, 6) AS s_hat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n, underpowered FROM w")
 def f10(spark, d):
-    return quick_windows(spark, d).select("theta", "axis", r6("s_hat"), r6(F.col("ci_high") - F.col("ci_low"), "width"))
+    return sweep(spark, d)[0].select("theta", "axis", r6("s_hat"), r6("ci_low"), r6("ci_high"), "n", "underpowered")
 
 
 @query("f11_monotonicity", f"WITH {CURVES}, l AS (SELECT axis, s, a_fork - lag(a_fork) OVER (PARTITION BY unit, axis ORDER BY s) AS dv FROM curves) SELECT axis, round(s, 6) AS s, round(avg(dv), 6) AS mean_step, count(dv) AS n FROM l GROUP BY axis, s")

@@ -9,115 +9,99 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import curves as cv
 from ..operators import inference as nf
-from .bindings import CURVES, VECTORS, measurements, r6, table, vectors
+from ..operators import resampling as rs
+from .bindings import CURVES, VECTORS, r6, table, vectors
 from .catalog import query
-from .curves import COMMIT, commit_read, curves, statuses
-
-B = 60
-
-
-def draws(source: str, seed: str, keys: str = "axis", n: int = B) -> str:
-    """CTEs rk, wt: multiplicities (keys, b, unit, w) of the relation's units."""
-    ks = [k.strip() for k in keys.split(",")]
-    cat = " || ':' || ".join([f"'{seed}'", *ks, "b", "slot"])
-    on = ", ".join(ks)
-    return f"""rk AS (SELECT {on}, unit, row_number() OVER (PARTITION BY {on} ORDER BY ('0x' || substr(md5('rank:' || unit), 1, 8))::BIGINT, unit) - 1 AS k, count(*) OVER (PARTITION BY {on}) AS n FROM (SELECT DISTINCT {on}, unit FROM {source})),
- sl AS (SELECT {on}, n, unnest(range({n})) AS b FROM (SELECT DISTINCT {on}, n FROM rk)), st_ AS (SELECT {on}, n, b, unnest(range(n)) AS slot FROM sl),
- pk AS (SELECT {on}, b, ('0x' || substr(md5({cat}), 1, 8))::BIGINT % n AS k, count(*) AS w FROM st_ GROUP BY ALL), wt AS (SELECT {on}, b, unit, w FROM pk JOIN rk USING ({on}, k))"""
-
-
-def ci(value: str, source: str, keys: str = "axis") -> str:
-    return f"SELECT {keys}, quantile_cont({value}, 0.025) AS ci_low, quantile_cont({value}, 0.975) AS ci_high, count({value}) AS replicates FROM {source} GROUP BY {keys}"
-
+from .draws import B, ci, draws
+from .curves import COMMIT, CROSSED, crossed, curves, statuses
 
 UNITS = f"{CURVES}, v AS (SELECT axis, unit, avg(gain) AS v FROM curves GROUP BY ALL)"
 
 
-@query("h01_bootstrap_mean", f"""WITH {UNITS}, {draws("v", "boot")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
- SELECT axis, round(avg(v), 6) AS mean, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high, count(*) AS n FROM v JOIN c USING (axis) GROUP BY axis""")
+@query("h01_bootstrap_mean", f"""WITH {UNITS}, {draws("v", "boot")}, rp AS (SELECT axis, b, sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0) AS m FROM wt JOIN v USING (unit) GROUP BY ALL), c AS ({ci("m", "rp")})
+ SELECT axis, round(point, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n FROM c JOIN (SELECT axis, count(v) AS n FROM v GROUP BY axis) USING (axis)""")
 def h01(spark, d):
-    got = nf.bootstrap_mean(curves(spark, d), ["axis"], "unit", "gain", B, "boot")
+    got = rs.bootstrap_mean(curves(spark, d), ["axis"], "unit", "gain", B, "boot")
     return got.select("axis", r6("mean"), r6("ci_low"), r6("ci_high"), "n")
 
 
-@query("h02_bootstrap_statistic")
+MEDIAN_OF = f"""{UNITS}, {draws("v", "stat", 20)}, o AS (SELECT axis, b, v, w, sum(w) OVER (PARTITION BY axis, b ORDER BY v, unit) AS hi, sum(w) OVER (PARTITION BY axis, b) AS n FROM wt JOIN v USING (unit) WHERE b >= 0 AND w > 0),
+ rp AS (SELECT axis, b, (min(v) FILTER (hi >= (n + 1) // 2) + min(v) FILTER (hi >= n // 2 + 1)) / 2 AS m FROM o GROUP BY ALL), c AS ({ci("m", "rp")})"""
+
+
+@query("h02_bootstrap_statistic", f"WITH {MEDIAN_OF} SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, replicates FROM c")
 def h02(spark, d):
     v = curves(spark, d).groupBy("axis", "unit").agg(F.avg("gain").alias("v"))
-    return nf.bootstrap_statistic(v, ["axis"], "unit", "v", lambda x: float(np.median(x)), 20)
+    return rs.bootstrap_statistic(v, ["axis"], "unit", "v", lambda x: float(np.median(x)), 20).select("axis", r6("ci_low"), r6("ci_high"), "replicates")
 
 
-@query("h03_window_ci", f"""WITH {COMMIT}, v AS (SELECT axis, unit, c AS v FROM t WHERE c IS NOT NULL), {draws("v", "win")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
- SELECT axis, round(avg(v), 6) AS s_hat, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high, count(*) AS n, count(*) < 30 AS underpowered FROM v JOIN c USING (axis) GROUP BY axis""")
+@query("h03_window_ci", f"""WITH {CROSSED}, {draws("x", "win")}, rp AS (SELECT axis, b, sum(w * c) / nullif(sum(w) FILTER (c IS NOT NULL), 0) AS m FROM wt JOIN x USING (unit) GROUP BY ALL), c AS ({ci("m", "rp")})
+ SELECT axis, round(point, 6) AS s_hat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n, crossed, n < 30 AS underpowered FROM c JOIN (SELECT axis, count(*) AS n, count(c) AS crossed FROM x GROUP BY axis) USING (axis)""")
 def h03(spark, d):
-    v = commit_read(spark, d)
-    got = nf.bootstrap_mean(v, ["axis"], "unit", "c", B, "win")
-    return got.select("axis", r6("mean", "s_hat"), r6("ci_low"), r6("ci_high"), "n", (F.col("n") < 30).alias("underpowered"))
+    got = rs.crossing_windows(crossed(spark, d), ["axis"], value="c", n_boot=B, seed="win", min_n=30)
+    return got.select("axis", r6("s_hat"), r6("ci_low"), r6("ci_high"), "n", "crossed", "underpowered")
 
 
-@query("h04_gap_ci", f"""WITH {COMMIT}, v AS (SELECT axis, unit, c, r FROM t), {draws("v", "gap")}, rp AS (SELECT axis, b, sum(w * r) FILTER (r IS NOT NULL) / sum(w) FILTER (r IS NOT NULL) - sum(w * c) FILTER (c IS NOT NULL) / sum(w) FILTER (c IS NOT NULL) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), c AS ({ci("m", "rp")})
- SELECT axis, round(avg(r) - avg(c), 6) AS gap, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high FROM v JOIN (SELECT axis, ci_low, ci_high FROM c) q USING (axis) GROUP BY axis""")
+@query("h04_gap_ci", f"""WITH {CROSSED}, {draws("x", "gap")}, rp AS (SELECT axis, b, sum(w * r) / nullif(sum(w) FILTER (r IS NOT NULL), 0) - sum(w * c) / nullif(sum(w) FILTER (c IS NOT NULL), 0) AS m FROM wt JOIN x USING (unit) GROUP BY ALL), c AS ({ci("m", "rp")})
+ SELECT axis, round(point, 6) AS gap, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, replicates FROM c""")
 def h04(spark, d):
-    v = commit_read(spark, d)
-    w = nf.multiplicities(v, ["axis"], "unit", B, "gap").join(v, ["axis", "unit"])
-    mean = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w") * F.col(c))) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
-    reps = w.groupBy("axis", "b").agg((mean("r") - mean("c")).alias("m"))
-    point = v.groupBy("axis").agg((F.avg("r") - F.avg("c")).alias("gap"))
-    return point.join(nf.interval(reps, ["axis"], "m"), "axis").select("axis", r6("gap"), r6("ci_low"), r6("ci_high"))
+    sums = rs.replicate_sums(crossed(spark, d), ["axis"], ["unit"], ["c", "r"], B, "gap")
+    got = rs.windows(sums, ["axis"], rs.mean("r") - rs.mean("c"))
+    return got.select("axis", r6("point", "gap"), r6("ci_low"), r6("ci_high"), "replicates")
 
 
-@query("h05_balanced_bootstrap", f"""WITH x AS (SELECT lang AS unit0, doc_id AS unit, quality AS label, (n_chars > 700)::INT = quality AS ok, 'q' AS axis FROM labels JOIN documents USING (doc_id)), {draws("x", "bal", n=2 * B)},
- r AS (SELECT b, label, sum(w * ok::INT)::DOUBLE / sum(w) AS rec FROM wt JOIN x USING (axis, unit) GROUP BY ALL), v AS (SELECT b, avg(rec) AS m FROM r GROUP BY b HAVING count(*) = 2), k AS (SELECT *, row_number() OVER (ORDER BY b) AS n FROM v)
+@query("h05_balanced_bootstrap", f"""WITH x AS (SELECT doc_id AS unit, quality AS label, ((n_chars > 700)::INT = quality)::INT AS ok FROM labels JOIN documents USING (doc_id)), {draws("x", "bal", 2 * B)},
+ r AS (SELECT b, label, sum(w * ok)::DOUBLE / nullif(sum(w), 0) AS rec FROM wt JOIN x USING (unit) WHERE b >= 0 GROUP BY ALL), v AS (SELECT b, avg(rec) AS m FROM r GROUP BY b HAVING count(rec) = 2), k AS (SELECT *, row_number() OVER (ORDER BY b) AS n FROM v)
  SELECT round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS replicates FROM k WHERE n <= {B}""")
 def h05(spark, d):
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    x = x.select(F.col("doc_id").alias("unit"), F.col("quality").alias("label"), ((F.col("n_chars") > 700).cast("int") == F.col("quality")).cast("int").alias("ok"), F.lit("q").alias("axis"))
-    w = nf.multiplicities(x, ["axis"], "unit", 2 * B, "bal").join(x, ["axis", "unit"])
-    rec = w.groupBy("axis", "b", "label").agg((F.sum(F.col("w") * F.col("ok")) / F.sum("w")).alias("rec"))
-    valid = rec.groupBy("axis", "b").agg(F.avg("rec").alias("m"), F.count(F.lit(1)).alias("k")).where("k = 2")
-    kept = valid.withColumn("n", F.row_number().over(Window.partitionBy("axis").orderBy("b"))).where(F.col("n") <= B)
-    return nf.interval(kept, ["axis"], "m").select(r6("ci_low"), r6("ci_high"), "replicates")
+    x = x.select(F.col("doc_id").alias("unit"), F.col("quality").alias("label"), ((F.col("n_chars") > 700).cast("int") == F.col("quality")).cast("int").alias("ok"))
+    sums = rs.replicate_sums(x, ["label"], ["unit"], ["ok"], 2 * B, "bal").where("b >= 0 and n > 0")
+    valid = sums.groupBy("b").agg(F.avg(rs.mean("ok")).alias("m"), F.count(F.lit(1)).alias("k")).where("k = 2")
+    kept = valid.withColumn("n", F.row_number().over(Window.orderBy("b"))).where(F.col("n") <= B)  # at most 2 B rows
+    return rs.windows(kept, [], F.col("m")).select(r6("ci_low"), r6("ci_high"), "replicates")
 
 
 @query("h06_survival_bootstrap", f"""WITH {COMMIT}, v AS (SELECT axis, unit, coalesce(c, 1.0) AS t, (c IS NOT NULL)::INT AS e FROM t JOIN ind USING (unit, axis) WHERE a_ind < 1 - 1e-9), {draws("v", "km")},
- k AS (SELECT axis, b, t, sum(w * e) AS ev, sum(w) AS n FROM wt JOIN v USING (axis, unit) GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY axis, b ORDER BY t DESC) AS risk FROM k), s AS (SELECT *, product(1 - ev / risk::DOUBLE) OVER (PARTITION BY axis, b ORDER BY t) AS surv FROM r),
- md AS (SELECT axis, b, min(CASE WHEN surv <= 0.5 + 1e-12 AND ev > 0 THEN t END) AS m FROM s GROUP BY ALL), q AS ({ci("m", "md")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, replicates FROM q""")
+ k AS (SELECT axis, b, t, sum(w * e) AS ev, sum(w) AS n FROM wt JOIN v USING (unit) GROUP BY ALL HAVING sum(w) > 0), r AS (SELECT *, sum(n) OVER (PARTITION BY axis, b ORDER BY t DESC) AS risk FROM k), s AS (SELECT *, product(1 - ev / risk::DOUBLE) OVER (PARTITION BY axis, b ORDER BY t) AS surv FROM r),
+ md AS (SELECT axis, b, min(CASE WHEN surv <= 0.5 + 1e-12 AND ev > 0 THEN t END) AS m FROM s GROUP BY ALL), q AS ({ci("m", "md")}) SELECT axis, round(point, 6) AS median, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, replicates FROM q""")
 def h06(spark, d):
-    v = statuses(spark, d).where("st <> 'determined'").withColumn("time", F.coalesce("c", F.lit(1.0)))
-    w = nf.multiplicities(v, ["axis"], "unit", B, "km").join(v, ["axis", "unit"])
-    med = cv.survival_median(w, ["axis", "b"], "time", F.col("st") == "crossing", F.col("w"))
-    return nf.interval(med, ["axis"], "median").select("axis", r6("ci_low"), r6("ci_high"), "replicates")
+    v = statuses(spark, d).where("st <> 'determined'").select("axis", "unit", F.coalesce("c", F.lit(1.0)).alias("t"), (F.col("st") == "crossing").cast("int").alias("e"))
+    sums = rs.replicate_sums(v, ["axis", "t"], ["unit"], ["e"], B, "km").where("n > 0")
+    curve = cv.survival_of_counts(sums.select("axis", "b", "t", "n", F.col("sum_e").alias("events")), ["axis", "b"])
+    got = rs.windows(cv.median_of_curve(curve, ["axis", "b"]), ["axis"], F.col("median"))
+    return got.select("axis", r6("point", "median"), r6("ci_low"), r6("ci_high"), "replicates")
 
 
 @query("h07_pair_weighted", f"""WITH {UNITS}, pr AS (SELECT a.axis, a.unit AS u, b.unit AS w2, abs(a.v - b.v) AS x FROM v a JOIN v b ON a.axis = b.axis AND b.unit = a.unit + 1), {draws("v", "pair")},
- rp AS (SELECT p.axis, x.b, sum(x.w * y.w * p.x) / sum(x.w * y.w) AS m FROM pr p JOIN wt x ON x.axis = p.axis AND x.unit = p.u JOIN wt y ON y.axis = p.axis AND y.unit = p.w2 AND y.b = x.b GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_low > 0 AS significant FROM q""")
+ rp AS (SELECT p.axis, x.b, sum(x.w * y.w * p.x) / nullif(sum(x.w * y.w) FILTER (p.x IS NOT NULL), 0) AS m FROM pr p JOIN wt x ON x.unit = p.u JOIN wt y ON y.unit = p.w2 AND y.b = x.b GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(point, 6) AS heterogeneity, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_low > 0 AS significant FROM q""")
 def h07(spark, d):
     v = curves(spark, d).groupBy("axis", "unit").agg(F.avg("gain").alias("v"))
     nxt = v.select("axis", F.col("unit").alias("w2"), (F.col("unit") - 1).alias("unit"), F.col("v").alias("y"))
     pairs = v.join(nxt, ["axis", "unit"]).select("axis", F.col("unit").alias("u"), "w2", F.abs(F.col("v") - F.col("y")).alias("x"))
-    w = nf.multiplicities(v, ["axis"], "unit", B, "pair")
-    both = pairs.join(w.toDF("axis", "b", "u", "w_u"), ["axis", "u"]).join(w.toDF("axis", "b", "w2", "w_w"), ["axis", "w2", "b"])
-    weight = F.col("w_u") * F.col("w_w")
-    reps = both.groupBy("axis", "b").agg((F.sum(weight * F.col("x")) / F.sum(weight)).alias("m"))
-    return nf.interval(reps, ["axis"], "m").select("axis", r6("ci_low"), r6("ci_high"), (F.col("ci_low") > 0).alias("significant"))
+    got = rs.windows(rs.replicate_sums(pairs, ["axis"], ["u", "w2"], ["x"], B, "pair"), ["axis"], rs.mean("x"))
+    return got.select("axis", r6("point", "heterogeneity"), r6("ci_low"), r6("ci_high"), (F.col("ci_low") > 0).alias("significant"))
 
 
-@query("h08_slope_bootstrap", f"""WITH {CURVES}, f AS (SELECT * FROM curves), {draws("f", "slope")}, m1 AS (SELECT f.axis, b, s, sum(w * gain) / sum(w) AS g FROM f JOIN wt USING (axis, unit) GROUP BY ALL), rp AS (SELECT axis, b, regr_slope(g, s) AS m FROM m1 GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM q""")
+@query("h08_slope_bootstrap", f"""WITH {CURVES}, {draws("curves", "slope")}, m1 AS (SELECT axis, b, s, sum(w * gain) / nullif(sum(w) FILTER (gain IS NOT NULL), 0) AS g FROM curves JOIN wt USING (unit) GROUP BY ALL), rp AS (SELECT axis, b, regr_slope(g, s) AS m FROM m1 GROUP BY ALL), q AS ({ci("m", "rp")}) SELECT axis, round(point, 6) AS slope, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM q""")
 def h08(spark, d):
-    f = curves(spark, d)
-    w = nf.multiplicities(f, ["axis"], "unit", B, "slope")
-    means = f.join(w, ["axis", "unit"]).groupBy("axis", "b", "s").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("g"))
-    reps = means.groupBy("axis", "b").agg(F.regr_slope("g", "s").alias("m"))
-    return nf.interval(reps, ["axis"], "m").select("axis", r6("ci_low"), r6("ci_high"))
+    sums = rs.replicate_sums(curves(spark, d), ["axis", "s"], ["unit"], ["gain"], B, "slope")
+    slopes = sums.groupBy("axis", "b").agg(F.regr_slope(rs.mean("gain"), F.col("s")).alias("m"))
+    return rs.windows(slopes, ["axis"], F.col("m")).select("axis", r6("point", "slope"), r6("ci_low"), r6("ci_high"))
+
 
+SHARES = """e AS (SELECT axis, unit, max(a_ind) AS i, arg_min(a_fork, s) AS f0, arg_max(a_fork, s) AS f1, min(CASE WHEN gain >= 0.7 THEN s END) AS c FROM curves GROUP BY ALL),
+ v AS (SELECT axis, unit, i, greatest(0.0, least(1.0, f0 - i)) AS seed, greatest(0.0, least(1.0, f1 - f0)) AS traj, greatest(0.0, least(1.0, 1 - f1)) AS res, c FROM e)"""
 
-@query("h09_determination_budget", f"""WITH {COMMIT}, e AS (SELECT axis, unit, max(a_ind) AS i, arg_min(a_fork, s) AS f0, arg_max(a_fork, s) AS f1, min(CASE WHEN gain >= 0.7 THEN s END) AS c FROM curves GROUP BY ALL), v AS (SELECT axis, unit, greatest(0.0, least(1.0, f0 - i)) AS v FROM e), {draws("v", "det")}, rp AS (SELECT axis, b, sum(w * v) / sum(w) AS m FROM wt JOIN v USING (axis, unit) GROUP BY ALL), q AS ({ci("m", "rp")})
- SELECT axis, count(*) AS n, round(avg(i), 6) AS conditioning, round(avg(greatest(0.0, least(1.0, f0 - i))), 6) AS seed, round(max(ci_low), 6) AS seed_lo, round(max(ci_high), 6) AS seed_hi, round(avg(greatest(0.0, least(1.0, f1 - f0))), 6) AS trajectory, round(avg(greatest(0.0, least(1.0, 1 - f1))), 6) AS residual, round(avg(c), 6) AS s_commit FROM e JOIN q USING (axis) GROUP BY axis""")
+
+@query("h09_determination_budget", f"""WITH {CURVES}, {SHARES}, {draws("v", "det")},
+ rp AS (SELECT axis, b, {", ".join(f"sum(w * {c}) / nullif(sum(w) FILTER ({c} IS NOT NULL), 0) AS {c}" for c in ("i", "seed", "traj", "res", "c"))} FROM wt JOIN v USING (unit) GROUP BY ALL),
+ {", ".join(f"q_{c} AS ({ci(c, 'rp')})" for c in ("i", "seed", "traj", "c"))}
+ SELECT axis, n, round(q_i.point, 6) AS conditioning, round(q_i.ci_low, 6) AS cond_lo, round(q_i.ci_high, 6) AS cond_hi, round(q_seed.point, 6) AS seed, round(q_seed.ci_low, 6) AS seed_lo, round(q_seed.ci_high, 6) AS seed_hi, round(q_traj.point, 6) AS trajectory, round(q_traj.ci_low, 6) AS traj_lo, round(q_traj.ci_high, 6) AS traj_hi,
+ round(residual, 6) AS residual, round(q_c.point, 6) AS s_commit, round(q_c.ci_low, 6) AS scommit_lo, round(q_c.ci_high, 6) AS scommit_hi FROM (SELECT axis, count(*) AS n, avg(res) AS residual FROM v GROUP BY axis) JOIN q_i USING (axis) JOIN q_seed USING (axis) JOIN q_traj USING (axis) JOIN q_c USING (axis)""")
 def h09(spark, d):
-    e = curves(spark, d).groupBy("axis", "unit").agg(F.max("a_ind").alias("i"), F.min_by("a_fork", "s").alias("f0"), F.max_by("a_fork", "s").alias("f1"), F.min(F.when(F.col("gain") >= 0.7, F.col("s"))).alias("c"))
-    e = e.withColumns({"seed": exprs.clip01(F.col("f0") - F.col("i")), "traj": exprs.clip01(F.col("f1") - F.col("f0")), "res": exprs.clip01(1 - F.col("f1"))})
-    boot = nf.bootstrap_mean(e, ["axis"], "unit", "seed", B, "det").select("axis", "ci_low", "ci_high")
-    point = e.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("i"), "conditioning"), r6(F.avg("seed"), "seed"), r6(F.avg("traj"), "trajectory"), r6(F.avg("res"), "residual"), r6(F.avg("c"), "s_commit"))
-    return point.join(boot, "axis").select("axis", "n", "conditioning", "seed", r6("ci_low", "seed_lo"), r6("ci_high", "seed_hi"), "trajectory", "residual", "s_commit")
+    return rs.determination_budget(curves(spark, d), ["axis"], 0.7, B, "det").select(
+        "axis", "n", *(r6(c) for c in ("conditioning", "cond_lo", "cond_hi", "seed", "seed_lo", "seed_hi", "trajectory", "traj_lo", "traj_hi", "residual", "s_commit", "scommit_lo", "scommit_hi")))
 
 
 @query("h10_wilson", """WITH k AS (SELECT l_suppkey AS supp, count(*) FILTER (l_returnflag = 'R') AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), z AS (SELECT *, 1.959963984540054 AS z, k / n AS p FROM k)
@@ -201,5 +185,3 @@ def h16_p(spark, d):
     mean, var = F.col("n1") * F.col("n0") / 2, F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12
     return t.select("s", nf.normal_tail((F.col("u") - mean - 0.5) / F.sqrt(var)).alias("p_value"))
 
-
-__all__ = ["measurements"]

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import hooks
 from ..operators import agreement as ag
-from ..operators import inference as nf
+from ..operators import resampling as rs
 from ..streaming import ingest
 from .bindings import r6, table
 from .catalog import query
 from .data import scratch
+from .draws import ci, draws
 
 
 def events(spark, d):
@@ -54,10 +55,11 @@ def l03(spark, d):
     return latest.withColumn("done", F.col("arrived") >= 5)
 
 
-@query("m01_pluggable_statistic")
+@query("m01_pluggable_statistic", f"""WITH v AS (SELECT o_orderpriority AS axis, o_custkey AS unit, avg(o_totalprice) AS v FROM orders GROUP BY ALL), {draws("v", "stat", 10)},
+ rp AS (SELECT axis, b, max(v) - min(v) AS m FROM wt JOIN v USING (unit) WHERE b >= 0 AND w > 0 GROUP BY ALL), c AS ({ci("m", "rp")}) SELECT axis, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, replicates FROM c""")
 def m01(spark, d):
     v = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("axis"), F.col("o_custkey").alias("unit")).agg(F.avg("o_totalprice").alias("v"))
-    return nf.bootstrap_statistic(v, ["axis"], "unit", "v", lambda x: float(x.max() - x.min()), 10)
+    return rs.bootstrap_statistic(v, ["axis"], "unit", "v", lambda x: float(x.max() - x.min()), 10).select("axis", r6("ci_low"), r6("ci_high"), "replicates")
 
 
 @query("m02_pluggable_measurer", "SELECT doc_id, CASE WHEN len(text) = 0 THEN 'empty' WHEN contains(text, 'the') THEN 'english' ELSE 'other' END AS label FROM documents WHERE text IS NOT NULL")

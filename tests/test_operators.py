@@ -11,6 +11,7 @@ from gaugeworks.operators import agreement as ag
 from gaugeworks.operators import checks as ck
 from gaugeworks.operators import curves as cv
 from gaugeworks.operators import inference as nf
+from gaugeworks.operators import resampling as rs
 from gaugeworks.operators import sampling as sm
 from gaugeworks.sources import journal as jn
 
@@ -93,9 +94,9 @@ def test_ordering_text(spark):
 
 def test_bootstrap_brackets_the_mean_and_repeats(spark):
     df = spark.createDataFrame([("x", i, float(i % 10)) for i in range(60)], "axis string, unit int, v double")
-    a, b = (one(nf.bootstrap_mean(df.repartition(n), ["axis"], "unit", "v", 80)) for n in (1, 3))
+    a, b = (one(rs.bootstrap_mean(df.repartition(n), ["axis"], "unit", "v", 80)) for n in (1, 3))
     assert a.ci_low < a.mean == 4.5 < a.ci_high and a == b
-    single = one(nf.bootstrap_mean(df.where("unit = 7"), ["axis"], "unit", "v", 10))
+    single = one(rs.bootstrap_mean(df.where("unit = 7"), ["axis"], "unit", "v", 10))
     assert single.ci_low == single.ci_high == 7.0
 
 
