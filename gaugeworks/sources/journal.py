@@ -14,13 +14,17 @@ MISSING = ("", "none", "nan")
 def read_journal(spark: SparkSession, path: str, role: str | None = None) -> DataFrame:
     """Journal lines as typed columns; broken lines keep their text in ``broken``. Keys come from fields, never from gen_id."""
     raw = spark.read.schema(f"{JOURNAL}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
-    flat = raw.select("gen_id", "axis_id", "target.kind", "target.label", "target.embedding", "extra.role", "extra.clip", "extra.j", "extra.k", "extra.s", "extra.cfg", "ts", "broken")
+    flat = flattened(raw)
     return flat.where(F.col("role") == role) if role else flat
 
 
-def journal_line(rows: DataFrame) -> DataFrame:
-    """Columns of measurements as journal JSON lines in ``value``."""
-    return rows.select(F.to_json(F.struct(
+def flattened(raw: DataFrame) -> DataFrame:
+    return raw.select("gen_id", "axis_id", "target.kind", "target.label", "target.embedding", "extra.role", "extra.clip", "extra.j", "extra.k", "extra.s", "extra.cfg", "ts", "broken")
+
+
+def journal_line(rows: DataFrame, *keep: str) -> DataFrame:
+    """Columns of measurements as journal JSON lines in ``value``; columns ``keep`` stay beside it."""
+    return rows.select(*keep, F.to_json(F.struct(
         "gen_id", "axis_id",
         F.struct("axis_id", "kind", "label", F.lit(None).cast("array<double>").alias("embedding")).alias("target"),
         F.struct("role", "clip", F.lit(None).cast("int").alias("j"), F.lit(None).cast("int").alias("k"), "s", F.lit(None).cast("double").alias("cfg")).alias("extra"),
