@@ -78,6 +78,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).when(norms.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
+def root_probabilities(a: Column) -> Column:
+    """A vector's squares as shares of their sum, and the root of each share; null for a zero vector."""
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    return F.when(total > 0, F.transform(a, lambda x: F.sqrt(x * x / total)))
+
+
 def safe_id(text: Column) -> Column:
     return F.translate(text, "/:", "__")
 

@@ -32,7 +32,13 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str], to
 
 
 def rater_integrity(df: DataFrame, rater: str, item: str) -> DataFrame:
-    """Per rater: items, and whether the item set equals that of the first rater by name."""
-    per = df.groupBy(rater).agg(F.count_distinct(item).alias("items"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(item).cast("string"))), ","), 256).alias("item_set"))
+    """Per rater: items, and whether the item set equals that of the first rater by name.
+
+    Sets are compared by their size and two sums over 64-bit hashes of their items, so none is put together.
+    """
+    text = F.col(item).cast("string")
+    once = df.select(rater, text.alias("_i")).distinct()
+    sums = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("_i").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("_i", F.lit(1))).alias("x"))
+    per = once.groupBy(rater).agg(F.count("_i").alias("items"), sums.alias("item_set"))
     first = per.agg(F.min_by("item_set", rater).alias("first_set"))
     return per.join(F.broadcast(first)).select(rater, "items", (F.col("item_set") == F.col("first_set")).alias("same_items"))

@@ -100,11 +100,3 @@ def non_overlap(windows: DataFrame, keys: list[str], strict: bool = False) -> Da
     nxt = F.lead("ci_low").over(Window.partitionBy(*keys).orderBy("s_hat", "axis"))
     ok = F.col("ci_high") < nxt if strict else F.col("ci_high") <= nxt
     return windows.withColumn("_ok", F.coalesce(ok, F.lit(True))).groupBy(*keys).agg(F.bool_and("_ok").alias("ordered"))
-
-
-def average_rank(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Ranks with ties at their mean, from counts per distinct value: only distinct values are put in order."""
-    keys = keys or []
-    per = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return df.join(per.select(*keys, value, (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(out)), [*keys, value])

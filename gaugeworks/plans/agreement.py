@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import agreement as ag
+from ..operators import ordering as od
 from .bindings import CURVES, M, RATED, VECTORS, documents_rated, measurements, r6, table, vectors
 from .catalog import query
 
@@ -140,7 +141,9 @@ def d13(spark, d):
     p = x.join(y, "item").where("rater < rater2")
     iou = exprs.interval_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
     shared = F.least("a1", "b1") > F.greatest("a0", "b0")
-    return p.agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg(iou), "mean_iou"), r6(F.median(iou), "median_iou"), r6(F.avg(shared.cast("int")), "overlap"), r6(F.avg(F.abs(F.col("a0") - F.col("b0"))), "start_error"), r6(F.avg(F.abs(F.col("a1") - F.col("b1"))), "end_error"))
+    pairs = p.select(iou.alias("iou"), shared.cast("int").alias("shared"), F.abs(F.col("a0") - F.col("b0")).alias("start"), F.abs(F.col("a1") - F.col("b1")).alias("end"))
+    means = pairs.agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("iou"), "mean_iou"), r6(F.avg("shared"), "overlap"), r6(F.avg("start"), "start_error"), r6(F.avg("end"), "end_error"))
+    return means.join(od.quantiles(pairs, [], "iou", {"median_iou": 0.5}).select(r6("median_iou")))
 
 
 @query("d14_marginals", f"""WITH {M}, c AS (SELECT axis, s, label, count(*) AS c FROM m GROUP BY ALL), p AS (SELECT axis, s, c, c::DOUBLE / sum(c) OVER (PARTITION BY axis, s) AS p FROM c)
@@ -241,24 +244,31 @@ def d25(spark, d):
     e = F.when(F.col("l_linenumber") == 1, F.date_diff("l_shipdate", "o_orderdate") / 30.0 - F.col("l_quantity") / 25)
     x = rows.select(F.col("o_orderpriority").alias("source"), e.alias("e"))
     a = F.abs("e")
-    return x.groupBy("source").agg(r6(F.count("e") / F.count(F.lit(1)), "coverage"), r6(F.avg(a), "mae"), r6(F.median(a), "median_abs"), r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), "rmse"), r6(F.stddev_pop("e"), "std"), r6(F.avg("e"), "bias"), (F.median(a) <= 0.35).alias("adopt"), r6(F.greatest(F.lit(0.5), 2 * F.stddev_pop("e")), "bin"))
+    means = x.groupBy("source").agg(r6(F.count("e") / F.count(F.lit(1)), "coverage"), r6(F.avg(a), "mae"), r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), "rmse"), r6(F.stddev_pop("e"), "std"), r6(F.avg("e"), "bias"), r6(F.greatest(F.lit(0.5), 2 * F.stddev_pop("e")), "bin"))
+    medians = od.quantiles(x.withColumn("a", a), ["source"], "a", {"m": 0.5})
+    return means.join(medians, "source", "left").select("source", "coverage", "mae", r6("m", "median_abs"), "rmse", "std", "bias", (F.col("m") <= 0.35).alias("adopt"), "bin")
 
 
 @query("d26_anchor_coverage", """WITH e AS (SELECT user_id, event_type AS source, count(*) AS n, max(value) AS top, avg(value) AS mean FROM events GROUP BY ALL)
  SELECT source, count(*) AS units, sum(n)::BIGINT AS events, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi, round(avg(mean), 6) AS mean_uncertainty, round(max(top), 6) AS max_uncertainty FROM e GROUP BY source""")
 def d26(spark, d):
-    per = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("source")).agg(F.collect_list("value").alias("v"))
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    return per.groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.sum(F.size("v")).alias("events"), F.count_if(F.size("v") == 1).alias("single"), F.count_if(F.size("v") > 1).alias("multi"), r6(F.avg(mean), "mean_uncertainty"), r6(F.max(F.array_max("v")), "max_uncertainty"))
+    per = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
+    return per.groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("events"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multi"), r6(F.avg("mean"), "mean_uncertainty"), r6(F.max("top"), "max_uncertainty"))
 
 
-@query("d27_headroom", f"""WITH {CURVES} SELECT axis, count(*) FILTER (a_ind > 0.9) AS pinned, count(*) FILTER (a_ind <= 0.9) AS open, round(avg(a_ind), 6) AS mean, coalesce(array_to_string(list_sort(list(unit) FILTER (a_ind > 0.9)), ','), '') AS pinned_units FROM ind GROUP BY axis""")
+@query("d27_headroom", f"""WITH {CURVES} SELECT axis, count(*) FILTER (a_ind > 0.9) AS pinned, count(*) FILTER (a_ind <= 0.9) AS open, round(avg(a_ind), 6) AS mean FROM ind GROUP BY axis""")
 def d27(spark, d):
     from .curves import baselines
 
     pinned = F.col("a_ind") > 0.9
-    units = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(pinned, F.col("unit")))), lambda x: x.cast("string")), ",")
-    return baselines(spark, d).groupBy("axis").agg(F.count_if(pinned).alias("pinned"), F.count_if(~pinned).alias("open"), r6(F.avg("a_ind"), "mean"), units.alias("pinned_units"))
+    return baselines(spark, d).groupBy("axis").agg(F.count_if(pinned).alias("pinned"), F.count_if(~pinned).alias("open"), r6(F.avg("a_ind"), "mean"))
+
+
+@query("d27_pinned_registry", f"WITH {CURVES} SELECT axis, unit, round(a_ind, 6) AS a_ind FROM ind WHERE a_ind > 0.9")
+def d27_registry(spark, d):
+    from .curves import baselines
+
+    return baselines(spark, d).where("a_ind > 0.9").select("axis", "unit", r6("a_ind"))
 
 
 @query("d28_reliability_gate", f"""WITH {CURVES}, t AS (SELECT axis, avg(a_ind) AS retest FROM ind GROUP BY axis), r AS (SELECT axis, avg(a) AS robust FROM (SELECT axis, unit, {PAIR} AS a FROM (SELECT axis, unit, label, count(*) AS c FROM m GROUP BY ALL) GROUP BY ALL) GROUP BY axis),
@@ -326,12 +336,10 @@ def d32(spark, d):
  r AS (SELECT rank() OVER (ORDER BY round(cx, 9)) + (count(*) OVER (PARTITION BY round(cx, 9)) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(cy, 9)) + (count(*) OVER (PARTITION BY round(cy, 9)) - 1) / 2.0 AS ry FROM p)
  SELECT count(*) AS pairs, round(corr(rx, ry), 6) AS rho FROM r""")
 def d33(spark, d):
-    from ..operators.curves import average_rank
-
     b = vectors(spark, d).select("vec_id", "label", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
     p = b.join(b.toDF("id2", "label", "x2", "y2"), "label").where("vec_id < id2")
     c = p.select(F.round(exprs.cosine(F.col("x"), F.col("x2")), 9).alias("cx"), F.round(exprs.cosine(F.col("y"), F.col("y2")), 9).alias("cy"))
-    r = average_rank(average_rank(c, "cx", "rx"), "cy", "ry")
+    r = od.average_rank(od.average_rank(c, "cx", "rx"), "cy", "ry")
     return r.agg(F.count(F.lit(1)).alias("pairs"), r6(F.corr("rx", "ry"), "rho"))
 
 

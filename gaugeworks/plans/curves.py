@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import curves as cv
+from ..operators import ordering as od
 from ..operators import resampling as rs
+from ..operators import sampling as sm
 from .bindings import CURVES, M, VECTORS, measurements, r6, table, vectors
 from .catalog import query
 from .draws import ci, draws
@@ -135,7 +137,7 @@ def c12_blind(spark, d):
 def c13(spark, d):
     key = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_custkey").cast("string"))
     k = table(spark, d, "customer").select("c_custkey", key.alias("key"))
-    return k.withColumn("place", F.row_number().over(Window.orderBy(*exprs.natural_order(F.col("key")), "c_custkey")).cast("long"))
+    return od.numbered(k, [], [*(c.asc_nulls_first() for c in exprs.natural_order(F.col("key"))), "c_custkey"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("c14_commit_read", f"""WITH {CURVES}, g AS (SELECT axis, s, avg(gain) AS c, avg(a_fork) AS r FROM curves GROUP BY ALL) SELECT axis, round(s, 6) AS s, CASE WHEN c < 0.3 THEN CASE WHEN r >= 0.55 THEN 'R1' ELSE 'uncommitted' END WHEN r < 0.55 THEN 'R2' ELSE 'early_action' END AS cell FROM g""")
@@ -185,18 +187,20 @@ U32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 @query("e05_derangement", f"WITH r AS (SELECT s_suppkey AS unit, row_number() OVER (ORDER BY {U32.format(chr(39) + 'donor:' + chr(39) + ' || s_suppkey')}, s_suppkey) AS k, count(*) OVER () AS n FROM supplier) SELECT a.unit, b.unit AS donor FROM r a JOIN r b ON b.k = a.k % a.n + 1")
 def e05(spark, d):
     units = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"))
-    r = units.withColumn("k", F.row_number().over(Window.orderBy(exprs.draw("donor", "unit"), "unit")))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    a = r.withColumn("n", n)
-    b = r.select(F.col("unit").alias("donor"), F.col("k").alias("to"))
-    return a.join(b, F.col("to") == F.col("k") % F.col("n") + 1).select("unit", "donor")
+    return sm.derangement(units, "unit", "donor")
 
 
-@query("e06_unit_pairs", f"WITH p AS (SELECT a.s_suppkey AS u, b.s_suppkey AS w, {U32.format(chr(39) + 'pair:' + chr(39) + ' || a.s_suppkey || ' + chr(39) + ':' + chr(39) + ' || b.s_suppkey')} AS h FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey) SELECT u, w FROM p ORDER BY h, u, w LIMIT 50")
+E06 = f"""WITH r AS (SELECT s_suppkey AS unit, s_nationkey AS g, row_number() OVER (PARTITION BY s_nationkey ORDER BY {U32.format("'pair:' || s_suppkey")}, s_suppkey) - 1 AS i FROM supplier),
+ z AS (SELECT g, n * (n - 1) // 2 AS pairs FROM (SELECT g, count(*) AS n FROM r GROUP BY g) WHERE n > 1), sp AS (SELECT g, sum(pairs) OVER (ORDER BY g)::BIGINT AS stop, pairs FROM z), tot AS (SELECT max(stop) AS t FROM sp),
+ few AS (SELECT x FROM (SELECT unnest(range((SELECT t FROM tot))) AS x) WHERE (SELECT t FROM tot) <= 200 ORDER BY ('0x' || substr(md5('pair:' || x), 1, 15))::BIGINT, x LIMIT 50),
+ many AS (SELECT x FROM (SELECT ('0x' || substr(md5('pair:' || k), 1, 15))::BIGINT % (SELECT t FROM tot) AS x, min(k) AS k FROM (SELECT unnest(range(164)) AS k) GROUP BY 1) WHERE (SELECT t FROM tot) > 200 ORDER BY k LIMIT 50),
+  at_ AS (SELECT g, x - (stop - pairs) AS y FROM (FROM few UNION ALL FROM many) JOIN sp ON x >= stop - pairs AND x < stop), ij AS (SELECT g, y, floor((1 + sqrt(1 + 8.0::DOUBLE * y)) / 2)::BIGINT AS j FROM at_)
+ SELECT least(a.unit, b.unit) AS u, greatest(a.unit, b.unit) AS w FROM ij JOIN r a ON a.g = ij.g AND a.i = y - j * (j - 1) // 2 JOIN r b ON b.g = ij.g AND b.i = j"""
+
+
+@query("e06_unit_pairs", E06)
 def e06(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("u"), "s_nationkey")
-    p = s.join(s.withColumnRenamed("u", "w"), "s_nationkey").where("u < w")
-    return p.orderBy(exprs.draw("pair", "u", "w"), "u", "w").select("u", "w").limit(50)
+    return sm.sampled_pairs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), "s_nationkey"), "unit", 50, "pair", ["s_nationkey"])
 
 
 @query("e07_set_algebra", "(SELECT l_partkey AS unit FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09) INTERSECT (SELECT p_partkey FROM part WHERE p_size > 5 UNION SELECT p_partkey FROM part WHERE p_type = 'PROMO')")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import curves as cv
 from ..operators import inference as nf
+from ..operators import kernels as kn
+from ..operators import ordering as od
 from ..operators import resampling as rs
 from .bindings import CURVES, VECTORS, r6, table, vectors
 from .catalog import query
@@ -119,62 +121,72 @@ def h11(spark, d):
     return k.select("flag", "k", "n", low.alias("low"), high.alias("high"))
 
 
-CELLS = f"""{VECTORS}, x AS (SELECT label // 2 AS cell, label % 2 AS grp, vec_id AS i, v FROM vecs), pr AS (SELECT a.cell, a.i, b.i AS j, a.grp AS gi, b.grp AS gj, list_distance(a.v, b.v) ** 2 AS d2 FROM x a JOIN x b ON a.cell = b.cell AND a.i < b.i), h AS (SELECT cell, median(sqrt(d2)) ** 2 AS h FROM pr GROUP BY cell)"""
+#: A vector's squares as probabilities; kernels are taken over the roots of probabilities.
+ROOTS = f"{VECTORS}, q AS (SELECT vec_id, label, list_transform(v, lambda z: sqrt(z * z / n)) AS v FROM (SELECT *, list_sum(list_transform(v, lambda z: z * z)) AS n FROM vecs) WHERE n > 0)"
 MMD = "avg(exp(-d2 / (2 * h))) FILTER (gi = 0 AND gj = 0) + avg(exp(-d2 / (2 * h))) FILTER (gi = 1 AND gj = 1) - 2 * avg(exp(-d2 / (2 * h))) FILTER (gi <> gj)"
 
 
-def cells(spark, d):
-    x = vectors(spark, d).select(F.floor(F.col("label") / 2).cast("int").alias("cell"), (F.col("label") % 2).alias("grp"), "vec_id", "v")
-    return x, nf.kernel_pairs(x, ["cell"], "v", "vec_id")
+def tests_sql(seed: str, n_perm: int) -> str:
+    """CTEs from x (cell, grp, i, v): pr (pairs), h (bandwidth), o (cell, obs) and s (cell, p, m) of the permutations."""
+    return f"""pr AS (SELECT a.cell, a.i, b.i AS j, a.grp AS gi, b.grp AS gj, list_distance(a.v, b.v) ** 2 AS d2 FROM x a JOIN x b ON a.cell = b.cell AND a.i < b.i), h AS (SELECT cell, median(sqrt(d2)) ** 2 AS h FROM pr GROUP BY cell),
+ o AS (SELECT cell, {MMD} AS obs FROM pr JOIN h USING (cell) GROUP BY cell), n0 AS (SELECT cell, count(*) FILTER (grp = 0) AS n0 FROM x GROUP BY cell),
+ pm AS (SELECT cell, i, p, (row_number() OVER (PARTITION BY cell, p ORDER BY ('0x' || substr(md5('{seed}:' || cell || ':' || p || ':' || i), 1, 8))::BIGINT, i) > n0)::INT AS g FROM x JOIN n0 USING (cell), (SELECT unnest(range({n_perm})) AS p)),
+ z AS (SELECT pr.cell, p1.p, p1.g AS gi, p2.g AS gj, d2, h FROM pr JOIN h USING (cell) JOIN pm p1 ON p1.cell = pr.cell AND p1.i = pr.i JOIN pm p2 ON p2.cell = pr.cell AND p2.i = pr.j AND p2.p = p1.p), s AS (SELECT cell, p, {MMD} AS m FROM z GROUP BY ALL),
+ pv AS (SELECT cell, max(obs) AS mmd2, (1 + count(*) FILTER (round(m, 9) >= round(obs, 9))) / (1.0::DOUBLE + count(*)) AS p_value FROM s JOIN o USING (cell) GROUP BY cell)"""
 
 
-@query("h12_mmd", f"WITH {CELLS} SELECT cell, round({MMD}, 6) AS mmd2 FROM pr JOIN h USING (cell) GROUP BY cell")
-def h12(spark, d):
-    return nf.mmd2(cells(spark, d)[1], ["cell"]).withColumn("mmd2", r6("mmd2"))
+PERMS, GUARD_PERMS = 200, 60
+CELLS = f"{ROOTS}, x AS (SELECT label // 2 AS cell, label % 2 AS grp, vec_id AS i, v FROM q), {tests_sql('perm', PERMS)}"
+
+
+def roots(spark, d):
+    return vectors(spark, d).withColumn("v", exprs.root_probabilities(F.col("v"))).where("v is not null")
 
 
-PERM = f"""{CELLS}, o AS (SELECT cell, round({MMD}, 9) AS obs FROM pr JOIN h USING (cell) GROUP BY cell), n0 AS (SELECT cell, count(*) FILTER (grp = 0) AS n0 FROM x GROUP BY cell),
- pm AS (SELECT cell, i, p, (row_number() OVER (PARTITION BY cell, p ORDER BY ('0x' || substr(md5('perm:' || cell || ':' || p || ':' || i), 1, 8))::BIGINT, i) > n0)::INT AS g FROM x JOIN n0 USING (cell), (SELECT unnest(range(20)) AS p)),
- z AS (SELECT pr.cell, p1.p, p1.g AS gi, p2.g AS gj, d2, h FROM pr JOIN h USING (cell) JOIN pm p1 ON p1.cell = pr.cell AND p1.i = pr.i JOIN pm p2 ON p2.cell = pr.cell AND p2.i = pr.j AND p2.p = p1.p), s AS (SELECT cell, p, round({MMD}, 9) AS m FROM z GROUP BY ALL)"""
+def cells(spark, d):
+    x = roots(spark, d).select(F.floor(F.col("label") / 2).cast("int").alias("cell"), (F.col("label") % 2).alias("grp"), "vec_id", "v")
+    return kn.permutation_tests(x, ["cell"], "vec_id", "grp", "v", PERMS, "perm")
 
 
-def permuted(spark, d, n=20):
-    x, pairs = cells(spark, d)
-    h = pairs.groupBy("cell").agg(F.median("d2").alias("h"))
-    sizes = x.groupBy("cell").agg(F.count_if(F.col("grp") == 0).alias("n0"))
-    each = x.select("cell", F.col("vec_id").alias("i")).join(sizes, "cell").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    place = F.row_number().over(Window.partitionBy("cell", "p").orderBy(nf.draw("perm", "cell", "p", "i"), "i"))
-    g = each.select("cell", "p", "i", (place > F.col("n0")).cast("int").alias("g"))
-    z = pairs.select("cell", "i", "j", "d2").join(g.withColumnRenamed("g", "gi"), ["cell", "i"]).join(g.toDF("cell", "p", "j", "gj"), ["cell", "j", "p"])
-    return nf.mmd2(pairs, ["cell"], bandwidth=h).select("cell", F.round("mmd2", 9).alias("obs")), nf.mmd2(z, ["cell", "p"], bandwidth=h).select("cell", "p", F.round("mmd2", 9).alias("m"))
+@query("h12_mmd", f"WITH {CELLS} SELECT cell, round(obs, 6) AS mmd2 FROM o")
+def h12(spark, d):
+    x = roots(spark, d).select(F.floor(F.col("label") / 2).cast("int").alias("cell"), (F.col("label") % 2).alias("grp"), "vec_id", "v")
+    blocks = kn.kernel_blocks(x, ["cell"], "vec_id", "grp", "v", 0)
+    return kn.mmd_permutations(blocks, ["cell"], kn.bandwidths(blocks, ["cell"])).select("cell", r6("mmd2"))
 
 
-@query("h13_permutation_p", f"WITH {PERM} SELECT cell, round((1 + count(*) FILTER (m >= obs)) / (1.0 + count(*)), 6) AS p_value FROM s JOIN o USING (cell) GROUP BY cell")
+@query("h13_permutation_p", f"WITH {CELLS} SELECT cell, round(mmd2, 6) AS mmd2, round(p_value, 6) AS p_value FROM pv")
 def h13(spark, d):
-    obs, null = permuted(spark, d)
-    return null.join(obs, "cell").groupBy("cell").agg(r6((1 + F.count_if(F.col("m") >= F.col("obs"))) / (1 + F.count(F.lit(1))), "p_value"))
+    return kn.p_values(cells(spark, d), ["cell"]).select("cell", r6("mmd2"), r6("p_value"))
 
 
-@query("h14_null_calibration", f"WITH {PERM} SELECT cell, round(quantile_cont(m, 0.95), 6) AS threshold FROM s GROUP BY cell")
+@query("h14_null_calibration", f"WITH {CELLS} SELECT cell, round(quantile_cont(m, 0.95), 6) AS threshold FROM s GROUP BY cell")
 def h14(spark, d):
-    return permuted(spark, d)[1].groupBy("cell").agg(r6(F.percentile("m", F.lit(0.95)), "threshold"))
+    return cells(spark, d).where("p >= 0").groupBy("cell").agg(r6(F.percentile("mmd2", F.lit(0.95)), "threshold"))
 
 
-@query("h15_power_and_null", f"""WITH {PERM}, k AS (SELECT cell, p, row_number() OVER (PARTITION BY cell ORDER BY m, p) / 20.0 AS f, (1 + count(*) OVER (PARTITION BY cell ORDER BY m DESC)) / 21.0 AS pv FROM s)
- SELECT cell, round(avg((pv <= 0.25)::INT), 6) AS reject_rate, round(max(abs(f - (1 - pv))), 6) AS ks FROM k GROUP BY cell""")
+@query("h15_power_control", f"""WITH {ROOTS}, un AS (SELECT DISTINCT label FROM q), prs AS (SELECT a.label AS u, b.label AS w FROM un a JOIN un b ON a.label < b.label),
+ x AS (SELECT u || ':' || w AS cell, (label = w)::INT AS grp, vec_id AS i, v FROM prs JOIN q ON label IN (u, w)), {tests_sql('power', GUARD_PERMS)}
+ SELECT count(*) AS pairs, round(avg((p_value < 0.05)::INT), 6) AS reject_rate, round(median(mmd2), 6) AS median, round(quantile_cont(mmd2, 0.95), 6) AS p95 FROM pv""")
 def h15(spark, d):
-    _, null = permuted(spark, d)
-    f = F.row_number().over(Window.partitionBy("cell").orderBy("m", "p")) / 20.0
-    pv = (1 + F.count(F.lit(1)).over(Window.partitionBy("cell").orderBy(F.desc("m")))) / 21.0
-    k = null.select("cell", f.alias("f"), pv.alias("pv"))
-    return k.groupBy("cell").agg(r6(F.avg((F.col("pv") <= 0.25).cast("int")), "reject_rate"), r6(F.max(F.abs(F.col("f") - (1 - F.col("pv")))), "ks"))
+    got = kn.power_control(roots(spark, d), "label", "vec_id", "v", GUARD_PERMS, max_pairs=60)
+    return got.select("pairs", r6("reject_rate"), r6("median"), r6("p95"))
+
+
+@query("h15_half_split_null", f"""WITH {ROOTS}, k AS (SELECT label AS cell, vec_id AS i, v, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('half:' || label || ':' || vec_id), 1, 8))::BIGINT, vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM q),
+ x AS (SELECT cell, (k >= n // 2)::INT AS grp, i, v FROM k WHERE n >= 4 AND k < 2 * (n // 2)), {tests_sql('half', GUARD_PERMS)},
+ e AS (SELECT p_value AS p, sum(count(*)) OVER (ORDER BY p_value) AS upto, count(*) AS c, sum(count(*)) OVER () AS n FROM pv GROUP BY p_value), d AS (SELECT max(n)::BIGINT AS n, max(greatest(upto / n - p, p - (upto - c) / n)) AS ks FROM e), l AS (SELECT n, ks, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * ks AS x FROM d)
+ SELECT n, round(ks, 6) AS ks, round(greatest(0, least(1, (SELECT 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * x * x)) FROM (SELECT unnest(range(1, 101)) AS k)))), 6) AS ks_p FROM l""")
+def h15_null(spark, d):
+    p = kn.half_split_p(roots(spark, d), "label", "vec_id", "v", GUARD_PERMS)
+    return kn.uniformity(p).select(F.col("n").cast("long").alias("n"), r6("ks"), r6("ks_p"))
 
 
 @query("h16_shift_test", """WITH x AS (SELECT o_orderpriority AS s, o_totalprice AS v, (o_orderstatus = 'F')::INT AS g FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY s ORDER BY v) + (count(*) OVER (PARTITION BY s, v) - 1) / 2.0 AS r FROM x)
  SELECT s, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, round(sum(r) FILTER (g = 1) - count(*) FILTER (g = 1) * (count(*) FILTER (g = 1) + 1) / 2.0, 1) AS u, count(*) FILTER (v > 400000) AS over, count(*) FILTER (v > 450000) AS far_over, max(v) AS worst FROM r GROUP BY s""".replace(" AS over,", ' AS "over",'))
 def h16(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("s"), F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") == "F").cast("int").alias("g"))
-    r = cv.average_rank(o, "v", "r", ["s"])
+    r = od.average_rank(o, "v", "r", ["s"])
     n1 = F.count_if(F.col("g") == 1)
     return r.groupBy("s").agg(n1.alias("n1"), F.count_if(F.col("g") == 0).alias("n0"), F.round(F.sum(F.when(F.col("g") == 1, F.col("r"))) - n1 * (n1 + 1) / 2, 1).alias("u"), F.count_if(F.col("v") > 400000).alias("over"), F.count_if(F.col("v") > 450000).alias("far_over"), F.max("v").alias("worst"))
 

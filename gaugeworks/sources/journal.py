@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered, running_total
+
 TARGET = "axis_id string, kind string, label string, embedding array<double>"
 EXTRA = "role string, clip string, j int, k int, s double, cfg double"
 JOURNAL = f"gen_id string, axis_id string, target struct<{TARGET.replace(' ', ':').replace(',:', ',')}>, extra struct<{EXTRA.replace(' ', ':').replace(',:', ',')}>, ts timestamp"
@@ -80,15 +82,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def pending(manifest: DataFrame, done: DataFrame, key: str, shards: int, shard: int) -> DataFrame:
     """Units of one shard that are not done: position by key, modulo the number of shards."""
-    place = F.row_number().over(Window.orderBy(key)) - 1
-    todo = manifest.withColumn("_place", place).where(F.col("_place") % shards == shard).drop("_place")
+    todo = numbered(manifest, [], [key], "_place").where(F.col("_place") % shards == shard).drop("_place")
     return todo.join(done.select(key), key, "left_anti")
 
 
 def within_budget(calls: DataFrame, order: list[str], left: int) -> DataFrame:
     """Distinct calls by content key, as many as the budget still allows."""
     keyed = calls.groupBy("call_key").agg(*[F.min(c).alias(c) for c in order])
-    return keyed.withColumn("_n", F.row_number().over(Window.orderBy(*order, "call_key"))).where(F.col("_n") <= left).drop("_n")
+    return numbered(keyed, [], [*order, "call_key"], "_n").where(F.col("_n") < left).drop("_n")
 
 
 def storage_rollup(df: DataFrame, category: str, size: str) -> DataFrame:
@@ -97,5 +98,4 @@ def storage_rollup(df: DataFrame, category: str, size: str) -> DataFrame:
 
 def running_cap(df: DataFrame, keys: list[str], order: str, size: str, cap: int) -> DataFrame:
     """Running total per key and whether it is over the cap."""
-    total = F.sum(size).over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("running", total).withColumn("over", F.col("running") > cap)
+    return running_total(df, keys, [order], size, "running").withColumn("over", F.col("running") > cap)
