@@ -10,8 +10,10 @@ from ..operators import policy as po
 from ..operators import probes as pr
 from ..operators import sampling as sm
 from .bindings import CURVES, RATED, documents_rated, measurements, r6, table, vectors
+from ..sources.tables import written
 from .catalog import query
 from .curves import COMMIT, THETAS, commit_read, curves
+from .draws import ci, draws
 
 
 def u32(text: str) -> str:
@@ -57,13 +59,28 @@ def g05(spark, d):
 
 
 # Selection: an order's lines are the candidates of a unit.
-POOL = """pool0 AS (SELECT l_orderkey AS unit, l_suppkey AS cand, max(l_extendedprice) / 100000 AS score, bool_or(l_returnflag = 'N') AS ax, bool_or(l_discount < 0.06) AS bx, bool_or(l_quantity >= 20) AS cx FROM lineitem GROUP BY ALL),
- pool AS (SELECT *, ax AND bx AND cx AS ok FROM pool0)"""
+#: c: candidates of an order are its suppliers, with two labels and two vectors; pool: which axes are right, and the reward.
+POOL = """c AS (SELECT l_orderkey AS unit, l_suppkey AS cand, max(l_returnflag) AS flag, CASE WHEN max(l_quantity) < 25 THEN 'small' ELSE 'large' END AS size,
+  [max(l_quantity) / 50, max(l_discount) * 10, max(l_tax) * 12] AS shape, [max(l_extendedprice) / 100000, max(l_quantity) / 50, max(l_discount) * 10, max(l_tax) * 12] AS f FROM lineitem GROUP BY ALL),
+ n_ AS (SELECT *, count(*) OVER (PARTITION BY unit) AS n FROM c QUALIFY n > 1),
+ mf AS (SELECT unit, flag AS maj FROM (SELECT unit, flag, row_number() OVER (PARTITION BY unit ORDER BY count(*) DESC, flag) AS k FROM n_ GROUP BY unit, flag) WHERE k = 1),
+ ms AS (SELECT unit, size AS maj FROM (SELECT unit, size, row_number() OVER (PARTITION BY unit ORDER BY count(*) DESC, size) AS k FROM n_ GROUP BY unit, size) WHERE k = 1),
+ tot AS (SELECT unit, [sum(shape[1]), sum(shape[2]), sum(shape[3])] AS shape, [sum(f[1]), sum(f[2]), sum(f[3]), sum(f[4])] AS f FROM n_ GROUP BY unit),
+ cs AS (SELECT n_.unit, cand, flag, size, round(greatest(-1.0, least(1.0, list_cosine_similarity(n_.shape, tot.shape))), 9) AS sh, round(greatest(-1.0, least(1.0, list_cosine_similarity(n_.f, tot.f))), 9) AS score FROM n_ JOIN tot USING (unit)),
+ th AS (SELECT unit, round(median(sh), 9) AS t, min(sh) AS lo, max(sh) AS hi FROM cs GROUP BY unit),
+ p0 AS (SELECT cs.unit, cand, flag = mf.maj AS flag, size = ms.maj AS size, sh >= t AS shape, (sh - lo) / (hi - lo + 1e-12) AS shape_score, score FROM cs JOIN mf USING (unit) JOIN ms USING (unit) JOIN th USING (unit)),
+ pool AS (SELECT *, flag AND size AND shape AS ok FROM p0)"""
+AXES = ["flag", "size", "shape"]
+GATES = [(0.25, ["flag"]), (0.5, ["size", "shape"])]
+STEPS, TAU, TEMPERATURE, NOISE = 25, 0.98, 0.05, 0.2
 
 
 def pool(spark, d):
-    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("cand")).agg((F.max("l_extendedprice") / 100000).alias("score"), F.bool_or(F.col("l_returnflag") == "N").alias("ax"), F.bool_or(F.col("l_discount") < 0.06).alias("bx"), F.bool_or(F.col("l_quantity") >= 20).alias("cx"))
-    return p.withColumn("ok", F.col("ax") & F.col("bx") & F.col("cx"))
+    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("cand")).agg(
+        F.max("l_returnflag").alias("flag"), F.when(F.max("l_quantity") < 25, "small").otherwise("large").alias("size"),
+        F.array(F.max("l_quantity") / 50, F.max("l_discount") * 10, F.max("l_tax") * 12).alias("shape"),
+        F.array(F.max("l_extendedprice") / 100000, F.max("l_quantity") / 50, F.max("l_discount") * 10, F.max("l_tax") * 12).alias("f"))
+    return po.build_pool(c, ["flag", "size"], ["shape"], "f")
 
 
 def top(source: str, policy: str) -> str:
@@ -72,26 +89,32 @@ def top(source: str, policy: str) -> str:
 
 PLACE = "row_number() OVER (PARTITION BY unit ORDER BY " + u32("'{0}:' || unit || ':' || cand") + ", cand)"
 BUDGET = f"bud AS (SELECT * EXCLUDE (k) FROM (SELECT *, {PLACE.format('bok')} AS k FROM pool) WHERE k <= 2)"
-PRUNE = f"prn AS (SELECT * EXCLUDE (k, n) FROM (SELECT *, {PLACE.format('half')} AS k, count(*) OVER (PARTITION BY unit) AS n FROM pool) WHERE k <= ceil(n * 0.5))"
-THRESH = "thr AS (SELECT * EXCLUDE (a) FROM (SELECT *, bool_or(score >= 0.3) OVER (PARTITION BY unit) AS a FROM pool) WHERE score >= 0.3 OR NOT a)"
-SOFT = f"""sf AS (SELECT *, exp((score - max(score) OVER (PARTITION BY unit)) / 0.2) AS e FROM pool), sc AS (SELECT *, sum(e) OVER (PARTITION BY unit ORDER BY cand) / sum(e) OVER (PARTITION BY unit) AS hi FROM sf), sl AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY unit ORDER BY cand), 0) AS lo FROM sc),
- dr AS (SELECT unit, {u32("'smc:' || unit || ':' || i")} / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT unit FROM pool), (SELECT unnest(range(3)) AS i)), sof AS (SELECT unit, cand, score, ax, bx, cx, ok FROM sl WHERE EXISTS (SELECT 1 FROM dr WHERE dr.unit = sl.unit AND u >= lo AND u < hi))"""
-G1 = "g1 AS (SELECT * EXCLUDE (a) FROM (SELECT *, bool_or(ax) OVER (PARTITION BY unit) AS a FROM pool) WHERE ax OR NOT a)"
-G2 = "g2 AS (SELECT * EXCLUDE (a) FROM (SELECT *, bool_or(bx AND cx) OVER (PARTITION BY unit) AS a FROM g1) WHERE (bx AND cx) OR NOT a)"
-COST = "cst AS (SELECT p.unit, (np - n1) * 6 + (n1 - n2) * 12 + n2 * 25 AS cost FROM (SELECT unit, count(*) AS np FROM pool GROUP BY unit) p JOIN (SELECT unit, count(*) AS n1 FROM g1 GROUP BY unit) a USING (unit) JOIN (SELECT unit, count(*) AS n2 FROM g2 GROUP BY unit) b USING (unit))"
-GATES = [(0.25, ["ax"]), (0.5, ["bx", "cx"])]
+PRUNE = f"prn AS (SELECT * EXCLUDE (k, n) FROM (SELECT *, {PLACE.format('half')} AS k, count(*) OVER (PARTITION BY unit) AS n FROM pool) WHERE k > least(round_even(n * 0.5, 0), n - 1))"
+THRESH = f"thr AS (SELECT * EXCLUDE (a, r) FROM (SELECT *, bool_or(score >= {TAU}) OVER (PARTITION BY unit) AS a, row_number() OVER (PARTITION BY unit ORDER BY score DESC, cand) AS r FROM pool) WHERE CASE WHEN a THEN score >= {TAU} ELSE r = 1 END)"
 
 
-@query("i01_pool", f"WITH {POOL} SELECT unit, cand, round(score, 8) AS score, ok FROM pool")
+def soft(draws: str) -> str:
+    return f"""sf AS (SELECT *, exp((score - max(score) OVER (PARTITION BY unit)) / {TEMPERATURE}) AS e FROM pool), sc AS (SELECT *, sum(e) OVER (PARTITION BY unit ORDER BY cand) / sum(e) OVER (PARTITION BY unit) AS hi FROM sf), sl AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY unit ORDER BY cand), 0) AS lo FROM sc),
+ dr AS (SELECT unit, {u32("'smc:' || unit || ':' || i")} / 4294967296.0::DOUBLE AS u FROM (SELECT unit, unnest({draws}) AS i FROM (SELECT unit, count(*) AS n FROM pool GROUP BY unit))), sof AS (SELECT * EXCLUDE (e, hi, lo) FROM sl WHERE EXISTS (SELECT 1 FROM dr WHERE dr.unit = sl.unit AND u >= lo AND u < hi))"""
+
+
+def gates_sql(flag: str, size: str, shape: str, out: str, source: str = "pool") -> str:
+    """CTE ``out``: the pool with k (kept), nfe and sc (scored) of the two gates, by the three named columns."""
+    return f"""{out}1 AS (SELECT *, count(*) OVER (PARTITION BY unit) AS n0, bool_or({flag}) OVER (PARTITION BY unit) AS a1, row_number() OVER (PARTITION BY unit ORDER BY score DESC, cand) AS r1 FROM {source}), {out}2 AS (SELECT *, CASE WHEN n0 <= 1 THEN true WHEN a1 THEN {flag} ELSE r1 = 1 END AS k1 FROM {out}1),
+ {out}3 AS (SELECT *, sum(k1::INT) OVER (PARTITION BY unit) AS n1, bool_or(k1 AND {size} AND {shape}) OVER (PARTITION BY unit) AS a2, row_number() OVER (PARTITION BY unit ORDER BY k1 DESC, score DESC, cand) AS r2 FROM {out}2),
+ {out} AS (SELECT * EXCLUDE (n0, a1, r1, k1, n1, a2, r2), CASE WHEN n1 <= 1 THEN k1 WHEN a2 THEN k1 AND {size} AND {shape} ELSE r2 = 1 END AS k, CASE WHEN NOT k1 THEN 6 WHEN n1 > 1 AND NOT CASE WHEN a2 THEN {size} AND {shape} ELSE r2 = 1 END THEN 12 ELSE 25 END AS nfe,
+  (n0 > 1)::INT + (k1 AND n1 > 1)::INT + (CASE WHEN n1 <= 1 THEN k1 WHEN a2 THEN k1 AND {size} AND {shape} ELSE r2 = 1 END)::INT AS sc FROM {out}3)"""
+
+
+@query("i01_pool", f"WITH {POOL} SELECT unit, cand, flag, size, shape, round(shape_score, 6) AS shape_score, ok, score FROM pool")
 def i01(spark, d):
-    return pool(spark, d).select("unit", "cand", F.round("score", 8).alias("score"), "ok")
+    return pool(spark, d).select("unit", "cand", "flag", "size", "shape", r6("shape_score"), "ok", "score")
 
 
 @query("i02_gates", f"WITH {COMMIT}, m1 AS (SELECT axis, avg(c) AS c FROM t GROUP BY axis), g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]) AS s), x AS (SELECT axis, min(s)::DOUBLE AS gate FROM m1, g WHERE s >= c GROUP BY axis) SELECT gate, string_agg(axis, ',' ORDER BY axis) AS axes FROM x GROUP BY gate")
 def i02(spark, d):
-    grid = F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8, 1.0)))
-    m = commit_read(spark, d).groupBy("axis").agg(F.avg("c").alias("c")).withColumn("gate", F.array_min(F.filter(grid, lambda s: s >= F.col("c"))))
-    return m.where("gate IS NOT NULL").groupBy("gate").agg(F.array_join(F.array_sort(F.collect_list("axis")), ",").alias("axes"))
+    m = commit_read(spark, d).groupBy("axis").agg(F.avg("c").alias("s_commit"))
+    return po.gates_from_commit(m, (0.2, 0.4, 0.6, 0.8, 1.0)).select("gate", F.array_join("axes", ",").alias("axes"))
 
 
 @query("i03_best_of_n", f"WITH {POOL} SELECT unit, cand, ok FROM ({top('pool', 'bon')})")
@@ -111,61 +134,64 @@ def i05(spark, d):
 
 @query("i05_threshold", f"WITH {POOL}, {THRESH} SELECT unit, cand FROM thr")
 def i05_threshold(spark, d):
-    return po.never_empty(pool(spark, d), F.col("score") >= 0.3).select("unit", "cand")
+    return po.never_empty(pool(spark, d), F.col("score") >= TAU).select("unit", "cand")
 
 
-@query("i05_softmax_resample", f"WITH {POOL}, {SOFT} SELECT unit, cand FROM sof")
+@query("i05_softmax_resample", f"WITH {POOL}, {soft('range(3)')} SELECT unit, cand FROM sof")
 def i05_softmax(spark, d):
-    return po.softmax_resample(pool(spark, d), 3, 0.2, "smc").select("unit", "cand")
+    return po.softmax_resample(pool(spark, d), 3, TEMPERATURE, "smc").select("unit", "cand")
 
 
-@query("i06_funnel", f"WITH {POOL}, {G1}, {G2}, {COST} SELECT unit, cand, ok, cost FROM ({top('g2', 'funnel')}) JOIN cst USING (unit)")
+@query("i06_funnel", f"WITH {POOL}, {gates_sql('flag', 'size', 'shape', 'g')}, gk AS (SELECT * FROM g WHERE k) SELECT unit, cand, ok, cost FROM ({top('gk', 'funnel')}) JOIN (SELECT unit, sum(nfe)::BIGINT AS cost FROM g GROUP BY unit) USING (unit)")
 def i06(spark, d):
-    alive, cost = po.funnel(pool(spark, d), GATES, 25)
+    alive, cost = po.funnel(pool(spark, d), GATES, STEPS)
     return po.best(alive, "funnel").join(cost, "unit").select("unit", "cand", "ok", F.col("cost").cast("long").alias("cost"))
 
 
-ALL = f"""{POOL}, {BUDGET}, {PRUNE}, {THRESH}, {SOFT}, {G1}, {G2}, al AS ({top('pool', 'bon')} UNION ALL {top('bud', 'bok')} UNION ALL {top('prn', 'prune')} UNION ALL {top('thr', 'threshold')} UNION ALL {top('sof', 'softmax')} UNION ALL {top('g2', 'funnel')}),
- ref AS (SELECT unit, max(score) AS best, arg_max(cand, score) AS bc, bool_or(ok) AS any_ok FROM pool GROUP BY unit)"""
+def read_as(axis: str) -> str:
+    return f"({axis} <> ({u32(chr(39) + 'noise:' + axis + ':' + chr(39) + ' || unit || ' + chr(39) + ':' + chr(39) + ' || cand')} / 4294967296.0::DOUBLE < {NOISE}))"
+
+
+#: out: outcomes (unit, policy, ...) of every policy, as the replay operator gives them.
+OUTCOMES = f"""{POOL}, {gates_sql('flag', 'size', 'shape', 'g')}, {soft('range(1, n + 1)')}, rd AS (SELECT *, {read_as('flag')} AS rf, {read_as('size')} AS rz, {read_as('shape')} AS rs FROM pool), {gates_sql('rf', 'rz', 'rs', 'ng', 'rd')},
+ b AS (SELECT g.*, count(*) OVER w AS n, {PLACE.format('bok')} AS bk, {PLACE.format('half')} AS hf, sum(nfe) OVER w AS paid, bool_or(score >= {TAU}) OVER w AS a, row_number() OVER (PARTITION BY unit ORDER BY score DESC, cand) AS r, row_number() OVER (PARTITION BY unit ORDER BY ok DESC, score DESC, cand) AS rc FROM g WINDOW w AS (PARTITION BY unit)),
+ fl AS (SELECT unit, cand, policy, kept, nfe, sc FROM (
+   SELECT unit, cand, unnest(['full_bon', 'final_rerank']) AS policy, true AS kept, 25 AS nfe, 1 AS sc FROM b
+   UNION ALL SELECT unit, cand, 'same_compute_bon', bk <= greatest(1, least(n, ceil(paid / 25.0))), CASE WHEN bk <= greatest(1, least(n, ceil(paid / 25.0))) THEN 25 ELSE 0 END, (bk <= greatest(1, least(n, ceil(paid / 25.0))))::INT FROM b
+   UNION ALL SELECT unit, cand, policy, kept, CASE WHEN kept THEN 25 ELSE 6 END, 1 + kept::INT FROM (SELECT unit, cand, 'random_prune' AS policy, hf > least(round_even(n * 0.5, 0), n - 1) AS kept FROM b UNION ALL SELECT unit, cand, 'diffrs_scalar', CASE WHEN a THEN score >= {TAU} ELSE r = 1 END FROM b UNION ALL SELECT b.unit, b.cand, 'smc_scalar', s.cand IS NOT NULL FROM b LEFT JOIN sof s ON s.unit = b.unit AND s.cand = b.cand)
+   UNION ALL SELECT unit, cand, 'oracle_axis_gated', k, nfe, sc FROM g UNION ALL SELECT unit, cand, 'non_oracle_axis_gated', k, nfe, sc FROM ng)),
+ j AS (SELECT fl.*, b.ok, b.flag, b.size, b.shape, b.score, b.r, b.rc, row_number() OVER (PARTITION BY fl.unit, policy ORDER BY kept DESC, score DESC, {u32("'tie:' || fl.unit || ':' || fl.cand")}, fl.cand) AS w FROM fl JOIN b ON b.unit = fl.unit AND b.cand = fl.cand),
+ out AS (SELECT unit, policy, max(cand) FILTER (w = 1) AS winner, bool_or(w = 1 AND ok) AS correct, bool_or(w = 1 AND flag) AS c_flag, bool_or(w = 1 AND size) AS c_size, bool_or(w = 1 AND shape) AS c_shape, sum(kept::INT) AS completed, sum(nfe) AS nfe, sum(sc) AS sc, bool_or(kept AND r = 1) AS retained, bool_or(NOT kept AND ok AND rc = 1) AS fp, bool_or(ok)::INT - bool_or(w = 1 AND ok)::INT AS regret FROM j GROUP BY unit, policy)"""
 
 
-def winners(spark, d):
-    p = pool(spark, d)
-    alive, _ = po.funnel(p, GATES, 25)
-    sets = {"bon": p, "bok": po.budgeted(p, 2, "bok"), "prune": po.random_prune(p, 0.5, "half"), "threshold": po.never_empty(p, F.col("score") >= 0.3), "softmax": po.softmax_resample(p, 3, 0.2, "smc"), "funnel": alive}
-    out = None
-    for name, s in sets.items():
-        w = po.best(s, name).select("unit", "cand", "ok", "score", "policy")
-        out = w if out is None else out.unionByName(w)
-    return p, out
+def outcomes(spark, d):
+    return po.replay(written(pool(spark, d)), GATES, AXES, STEPS, TAU, TEMPERATURE, 0.5, NOISE)
 
 
-@query("i07_policy_metrics", f"WITH {ALL} SELECT policy, count(*) AS n_units, round(avg(ok::INT), 6) AS correctness, round(avg((al.score >= best - 1e-12)::INT), 6) AS retention, round(avg((any_ok AND NOT ok)::INT), 6) AS missed, round(avg(best - al.score), 6) AS regret FROM al JOIN ref USING (unit) GROUP BY policy")
+@query("i07_policy_metrics", f"""WITH {OUTCOMES} SELECT policy, count(*) AS n_units, round(avg(correct::INT), 6) AS correctness, round(avg(c_flag::INT), 6) AS correct_flag, round(avg(c_size::INT), 6) AS correct_size, round(avg(c_shape::INT), 6) AS correct_shape, round(avg(completed), 6) AS completed, sum(nfe)::BIGINT AS total_nfe,
+ sum(sc)::BIGINT AS scoring_calls, round(avg(retained::INT), 6) AS winner_retention, round(avg(fp::INT), 6) AS false_prune_rate, round(avg(regret), 6) AS regret FROM out GROUP BY policy""")
 def i07(spark, d):
-    p, w = winners(spark, d)
-    ref = p.groupBy("unit").agg(F.max("score").alias("best"), F.bool_or("ok").alias("any_ok"))
-    x = w.join(ref, "unit")
-    return x.groupBy("policy").agg(F.count(F.lit(1)).alias("n_units"), r6(F.avg(F.col("ok").cast("int")), "correctness"), r6(F.avg((F.col("score") >= F.col("best") - 1e-12).cast("int")), "retention"), r6(F.avg((F.col("any_ok") & ~F.col("ok")).cast("int")), "missed"), r6(F.avg(F.col("best") - F.col("score")), "regret"))
+    m = po.policy_metrics(outcomes(spark, d), AXES)
+    exact = ("policy", "n_units", "total_nfe", "scoring_calls")
+    return m.select(*exact, *(r6(c) for c in m.columns if c not in exact))
 
 
-@query("i08_noisy_gates", f"""WITH {POOL}, nz AS (SELECT unit * 100 + rep AS unit, cand, score, ok, rep, ax <> ({u32("'noise:' || (unit * 100 + rep) || ':' || cand")} / 4294967296.0::DOUBLE >= 0.8) AS ax FROM pool, (SELECT unnest(range(5)) AS rep)), g AS (SELECT * FROM (SELECT *, bool_or(ax) OVER (PARTITION BY unit) AS a FROM nz) WHERE ax OR NOT a), b AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, {u32("'tie:' || unit || ':' || cand")}, cand) AS p FROM g)
+@query("i08_noisy_gates", f"""WITH {POOL}, nz AS (SELECT unit * 100 + rep AS unit, cand, score, ok, rep, flag <> ({u32("'noise:' || (unit * 100 + rep) || ':' || cand")} / 4294967296.0::DOUBLE >= 0.8) AS ax FROM pool, (SELECT unnest(range(5)) AS rep)), g AS (SELECT * FROM (SELECT *, bool_or(ax) OVER (PARTITION BY unit) AS a, row_number() OVER (PARTITION BY unit ORDER BY score DESC, cand) AS r FROM nz) WHERE CASE WHEN a THEN ax ELSE r = 1 END), b AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, {u32("'tie:' || unit || ':' || cand")}, cand) AS p FROM g)
  SELECT rep, count(*) AS n, round(avg(ok::INT), 6) AS correctness FROM b WHERE p = 1 GROUP BY rep""")
 def i08(spark, d):
     p = pool(spark, d).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("unit", F.col("unit") * 100 + F.col("rep"))
     flip = exprs.draw("noise", "unit", "cand") / float(1 << 32) >= 0.8
-    kept = po.never_empty(p.withColumn("ax", F.col("ax") != flip), F.col("ax"))
+    kept = po.never_empty(p.withColumn("ax", F.col("flag") != flip), F.col("ax"))
     return po.best(kept, "noisy").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("ok").cast("int")), "correctness"))
 
 
-@query("i09_headroom_recovery", f"WITH {ALL}, m AS (SELECT policy, avg(ok::INT) AS x FROM al GROUP BY policy), o AS (SELECT avg(any_ok::INT) AS oracle FROM ref), f AS (SELECT max(x) AS floor FROM m WHERE policy IN ('bok', 'prune', 'threshold')) SELECT policy, round(CASE WHEN oracle - floor > 1e-9 THEN greatest(0.0, least(1.0, (x - floor) / (oracle - floor))) END, 6) AS recovery FROM m, o, f")
+@query("i09_headroom_recovery", f"""WITH {OUTCOMES}, lg AS (SELECT unit, policy, unnest([{{'m': 'correct', 'x': correct::INT}}, {{'m': 'flag', 'x': c_flag::INT}}, {{'m': 'size', 'x': c_size::INT}}, {{'m': 'shape', 'x': c_shape::INT}}]) AS e FROM out WHERE policy NOT IN ('final_rerank', 'random_prune')), {draws("out", "recovery", 200)},
+ mb AS (SELECT policy, e.m AS measure, b, sum(w * e.x)::DOUBLE / nullif(sum(w), 0) AS x FROM lg JOIN wt USING (unit) GROUP BY ALL), pb AS (SELECT measure, b, max(x) FILTER (policy = 'non_oracle_axis_gated') AS x, max(x) FILTER (policy = 'oracle_axis_gated') AS top, max(x) FILTER (policy NOT LIKE '%gated') AS floor FROM mb GROUP BY ALL),
+ rp AS (SELECT measure, b, floor, CASE WHEN top - floor > 1e-9 THEN greatest(0.0, least(1.0, (x - floor) / (top - floor))) END AS m FROM pb), cw AS ({ci("m", "rp", "measure")})
+ SELECT measure, round(point, 6) AS recovery, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(floor, 6) AS floor, replicates FROM cw JOIN (SELECT measure, floor FROM rp WHERE b = -1) USING (measure)""")
 def i09(spark, d):
-    p, w = winners(spark, d)
-    m = w.groupBy("policy").agg(F.avg(F.col("ok").cast("int")).alias("x"))
-    oracle = p.groupBy("unit").agg(F.bool_or("ok").alias("a")).agg(F.avg(F.col("a").cast("int")).alias("oracle"))
-    floor = m.where("policy IN ('bok', 'prune', 'threshold')").agg(F.max("x").alias("floor"))
-    x = m.join(F.broadcast(oracle)).join(F.broadcast(floor))
-    room = F.col("oracle") - F.col("floor")
-    return x.select("policy", r6(F.when(room > 1e-9, exprs.clip01((F.col("x") - F.col("floor")) / room)), "recovery"))
+    got = po.headroom_recovery(outcomes(spark, d), AXES, n_boot=200)
+    return got.select("measure", r6("recovery"), r6("ci_low"), r6("ci_high"), r6("floor"), "replicates")
 
 
 # Probes
