@@ -202,19 +202,23 @@ def j01(spark, d):
     return pr.ridge_probe(vectors(spark, d), "v", "label", "vec_id % 5 < 3", list(range(10)))
 
 
+def layered(spark, d):
+    """Quarters of a vector as layers; the second half of the steps sees them twice as clearly (noise by hash halved)."""
+    v = vectors(spark, d)
+    noise = lambda i, s: F.transform(F.slice("v", 1 + 16 * i, 16), lambda x: x + (0.6 - 0.5 * s) * (exprs.draw("noise", F.lit(i), F.lit(s), "vec_id") / float(1 << 32) - 0.5))
+    cells = F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(s).alias("s"), noise(i, s).alias("x")) for i in range(4) for s in (0.2, 0.9)])
+    return v.select("vec_id", "label", F.explode(cells).alias("l")).select("vec_id", "label", "l.layer", "l.s", "l.x")
+
+
 @query("j02_probe_sweep")
 def j02(spark, d):
-    v = vectors(spark, d)
-    layers = F.array(*[F.struct(F.lit(i).alias("layer"), F.slice("v", 1 + 16 * i, 16).alias("x")) for i in range(4)])
-    each = v.select("vec_id", "label", F.explode(layers).alias("l")).select("vec_id", "label", "l.layer", "l.x")
-    acc = pr.ridge_probe(each, "x", "label", "vec_id % 5 < 3", list(range(10)), keys=["layer"])
-    best = acc.agg(F.max(F.struct("accuracy", (-F.col("layer")).alias("l")))["l"].alias("l"))
-    return acc.join(F.broadcast(best)).select("layer", "accuracy", "n", (F.col("layer") == -F.col("l")).alias("best"))
+    return pr.probe_sweep(layered(spark, d), "x", "label", "vec_id % 5 < 3", list(range(10)), hidden=64, epochs=25)
 
 
 @query("j03_mlp_probe")
 def j03(spark, d):
-    return pr.mlp_probe(vectors(spark, d), "v", "label", "vec_id % 5 < 3", 64, 10)
+    got = pr.mlp_predictions(vectors(spark, d), "v", "label", "vec_id % 5 < 3", list(range(10)), epochs=40)
+    return got.agg(F.avg(pr.right("label")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 @query("j04_random_projection")
@@ -224,12 +228,11 @@ def j04(spark, d):
 
 @query("j05_probe_settings")
 def j05(spark, d):
-    p = pr.gaussian_projection(vectors(spark, d), "v", 64, 16, 5)
+    p = pr.gaussian_projection(vectors(spark, d), "v", 64, 16, 5).withColumn("unit", F.floor(F.col("vec_id") / 5))
     sets = F.array(F.struct(F.lit("raw").alias("setting"), F.slice("v", 1, 16).alias("x")), F.struct(F.lit("projected").alias("setting"), F.col("projected").alias("x")))
-    each = p.select("vec_id", "label", F.explode(sets).alias("s")).select("vec_id", "label", "s.setting", "s.x")
-    acc = pr.ridge_probe(each, "x", "label", "vec_id % 5 < 3", list(range(10)), keys=["setting"])
-    low, high = exprs.wilson(F.col("accuracy") * F.col("n"), F.col("n"))
-    return acc.select("setting", "accuracy", low.alias("ci_low"), high.alias("ci_high"), "n")
+    each = written(p.select("vec_id", "unit", "label", F.explode(sets).alias("s")).select("vec_id", "unit", "label", "s.setting", "s.x"))
+    got = pr.ridge_predictions(each, "x", "label", "unit % 5 < 3", list(range(10)), keys=["setting"], keep=["unit"])
+    return pr.probe_report(got, each.where("unit % 5 < 3"), "label", ["setting"], "unit")
 
 
 # Verdicts
