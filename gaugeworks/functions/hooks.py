@@ -9,22 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def measured(df: DataFrame, payload: str, measure: Callable[[str], str]) -> DataFrame:
-    """Add label and error of ``measure(payload)``; equal payloads are measured once. Errors become text, rows stay."""
+def measured(df: DataFrame, payload: str, measure: Callable[[str], str | list[float]]) -> DataFrame:
+    """Add label, embedding and error of ``measure(payload)``: text makes a label, a sequence of numbers an embedding.
 
-    @F.pandas_udf("struct<label string, error string>")
+    Equal payloads are measured once. Errors become the name of their kind, rows stay; a null payload is not measured.
+    """
+
+    @F.pandas_udf("struct<label string, embedding array<double>, error string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            labels, errors = [], []
+            rows = []
             for p in part:
                 try:
-                    labels.append(measure(p))
-                    errors.append(None)
+                    got = None if p is None else measure(p)
+                    rows.append((got, None, None) if got is None or isinstance(got, str) else (None, [float(x) for x in got], None))
                 except Exception as e:  # the measurer is user code
-                    labels.append(None)
-                    errors.append(type(e).__name__)
-            yield pd.DataFrame({"label": labels, "error": errors})
+                    rows.append((None, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["label", "embedding", "error"])
 
     keyed = df.withColumn("_key", F.sha2(F.col(payload), 256))
-    once = keyed.groupBy("_key").agg(F.min(payload).alias("_p")).withColumn("_m", run("_p"))
-    return keyed.join(once.select("_key", "_m.label", "_m.error"), "_key", "left").drop("_key")
+    once = keyed.where(F.col(payload).isNotNull()).groupBy("_key").agg(F.min(payload).alias("_p")).withColumn("_m", run("_p"))
+    return keyed.join(once.select("_key", "_m.label", "_m.embedding", "_m.error"), "_key", "left").drop("_key")

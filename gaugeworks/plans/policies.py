@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..operators import agreement as ag
+from ..operators import curves as cv
 from ..operators import decisions as de
+from ..operators import ordering as od
 from ..operators import policy as po
 from ..operators import probes as pr
 from ..operators import sampling as sm
+from ..operators import verdicts as ve
+from ..operators.resampling import CUTS
 from .bindings import CURVES, RATED, documents_rated, measurements, r6, table, vectors
 from ..sources.tables import written
 from .catalog import query
-from .curves import COMMIT, THETAS, commit_read, curves
+from .curves import COMMIT, MIN_N, THETAS, WIN, commit_read, curves, sweep
 from .draws import ci, draws
 
 
@@ -250,9 +255,20 @@ def k01(spark, d):
     return de.feasibility(c, g, ["source"], 2).withColumn("tokens", F.array_join("tokens", ";"))
 
 
-@query("k02_map_decision", f"""WITH {CURVES}, th AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS theta), x AS (SELECT theta::DOUBLE AS theta, unit, axis, min(CASE WHEN gain >= theta THEN s END) AS c, min(CASE WHEN a_fork >= theta THEN s END) AS r FROM curves, th GROUP BY ALL),
- w AS (SELECT theta, axis, avg(c) AS s, quantile_cont(c, 0.25) AS lo, quantile_cont(c, 0.75) AS hi, count(c) < 30 AS few, avg(r) AS rs, count(r) < 30 AS few_r FROM x GROUP BY ALL),
- v AS (SELECT *, rs IS NOT NULL AND NOT few_r AS has, rs - s AS lag FROM w WHERE s IS NOT NULL AND NOT few),
+#: rd: per theta and axis the mean interpolated point at which the fork agreement reaches theta, and whether it has few units.
+READS = f"""lr_ AS (SELECT unit, axis, s, a_fork, lag(s) OVER w AS ps, lag(a_fork) OVER w AS pf FROM curves WINDOW w AS (PARTITION BY unit, axis ORDER BY s)),
+ xr AS (SELECT theta, unit, axis, arg_min(CASE WHEN ps IS NULL THEN s ELSE ps + (theta - pf) / (a_fork - pf) * (s - ps) END, s) FILTER (a_fork >= theta AND (pf IS NULL OR pf < theta)) AS r FROM lr_, th GROUP BY ALL), rd AS (SELECT theta, axis, avg(r) AS rs, count(*) < {MIN_N} AS few_r FROM xr GROUP BY ALL)"""
+
+
+def read_windows(spark, d):
+    names = {f"t{i}": t for i, t in enumerate(THETAS)}
+    found = cv.interpolated_crossings(curves(spark, d), ["axis", "unit"], {n: ("a_fork", t) for n, t in names.items()})
+    each = found.select("axis", "unit", F.explode(F.array(*(F.struct(F.lit(float(t)).alias("theta"), F.col(n).alias("r")) for n, t in names.items()))).alias("x")).select("axis", "unit", "x.*")
+    return each.groupBy("theta", "axis").agg(F.avg("r").alias("s_hat"), (F.count(F.lit(1)) < MIN_N).alias("underpowered"))
+
+
+@query("k02_map_decision", f"""WITH {WIN}, {READS},
+ v AS (SELECT theta, axis, s_hat AS s, ci_low AS lo, ci_high AS hi, rs, rs IS NOT NULL AND NOT few_r AS has, rs - s_hat AS lag FROM ws JOIN rd USING (theta, axis)),
  o AS (SELECT theta, bool_and(coalesce(hi <= nxt, true)) AS ordered FROM (SELECT theta, hi, lead(lo) OVER (PARTITION BY theta ORDER BY s, axis) AS nxt FROM v) GROUP BY theta),
  f AS (SELECT theta, count(*) AS n, max(s) - min(s) AS spread, min(s) >= 0.85 AS near_end, avg(hi - lo) AS width, bool_or(has AND s < 0.85 AND rs < 0.8 AND lag BETWEEN -0.05 AND 0.15) AS readout,
   bool_or(axis LIKE '%disc%' AND has AND s < 0.85 AND rs < 0.8 AND lag BETWEEN -0.05 AND 0.15) AS limited_read, bool_or(s < 0.85 AND axis NOT LIKE '%disc%') AS other_early, bool_or(CASE WHEN has THEN lag > 0.15 ELSE s < 0.85 END) AS lags FROM v GROUP BY theta),
@@ -261,30 +277,102 @@ def k01(spark, d):
   FROM (SELECT DISTINCT theta FROM w) LEFT JOIN f USING (theta) LEFT JOIN o USING (theta))
  SELECT theta, CASE WHEN tokens = '' THEN 'STOP_PROJECT' ELSE tokens END AS tokens FROM t""")
 def k02(spark, d):
-    th = F.explode(F.array(*map(F.lit, THETAS)))
-    first = lambda c: F.min(F.when(F.col(c) >= F.col("theta"), F.col("s")))
-    x = curves(spark, d).withColumn("theta", th).groupBy("theta", "unit", "axis").agg(first("gain").alias("c"), first("a_fork").alias("r"))
-    w = x.groupBy("theta", "axis").agg(
-        F.avg("c").alias("s_hat"), F.percentile("c", F.lit(0.25)).alias("ci_low"), F.percentile("c", F.lit(0.75)).alias("ci_high"), (F.count("c") < 30).alias("underpowered"),
-        F.avg("r").alias("r"), (F.count("r") < 30).alias("few"),
-    )
-    reads = w.select("theta", "axis", F.lit("labels").alias("probe"), F.lit("fork").alias("target"), F.col("r").alias("s_hat"), F.col("few").alias("underpowered"))
-    got = de.map_decision(w.drop("r", "few"), reads, ["theta"], restricted=("disc",))
+    reads = read_windows(spark, d).select("theta", "axis", F.lit("labels").alias("probe"), F.lit("fork").alias("target"), "s_hat", "underpowered")
+    got = de.map_decision(written(sweep(spark, d)[0]), reads, ["theta"], restricted=("disc",))
     return got.select("theta", F.array_join("tokens", ";").alias("tokens"))
 
 
-@query("k03_micromap_criteria", f"""WITH {CURVES}, a AS (SELECT axis, arg_min(g, s) AS g0, arg_max(g, s) AS g1, count(*) AS k, max(g) - min(g) AS info FROM (SELECT axis, s, avg(gain) AS g FROM curves GROUP BY ALL) GROUP BY axis), f AS (SELECT axis, concat_ws(',', CASE WHEN g1 < g0 THEN 'monotonicity' END, CASE WHEN g1 < 0.3 THEN 'endpoints' END, CASE WHEN info < 0.02 THEN 'informativeness' END, CASE WHEN k < 7 THEN 'completeness' END) AS failed FROM a)
- SELECT axis, CASE WHEN failed = '' THEN 'MICROMAP_PASS' ELSE 'MICROMAP_FAIL(' || failed || ')' END AS token FROM f""")
+@query("k02_phase_tokens", f"""WITH {WIN}, {READS}, a AS (SELECT theta, axis, s_hat, ci_low, ci_high FROM w WHERE s_hat IS NOT NULL), nx AS (SELECT *, round(theta + 0.1, 1)::DOUBLE AS nxt FROM a),
+ oa AS (SELECT theta, string_agg(axis, '<' ORDER BY s_hat, axis) AS ord FROM a GROUP BY theta), ob AS (SELECT n.theta, string_agg(n.axis, '<' ORDER BY b.s_hat, b.axis) AS ord FROM nx n JOIN a b ON b.theta = n.nxt AND b.axis = n.axis GROUP BY n.theta),
+ ap AS (SELECT theta, bool_and(coalesce(ci_high < nlo, true)) AND count(*) >= 2 AS ordered FROM (SELECT *, lead(ci_low) OVER (PARTITION BY theta ORDER BY s_hat, axis) AS nlo FROM a) GROUP BY theta),
+ rr AS (SELECT theta, bool_or(rs <= 0.85) AS readable FROM rd JOIN a USING (theta, axis) WHERE rs IS NOT NULL GROUP BY theta),
+ j AS (SELECT theta, coalesce(ordered, false) AS ordered, CASE WHEN ob.ord IS NOT NULL THEN oa.ord = ob.ord END AS stable, coalesce(readable, false) AS readable FROM oa LEFT JOIN ob USING (theta) LEFT JOIN ap USING (theta) LEFT JOIN rr USING (theta))
+ SELECT theta, ordered, stable, concat_ws(';', CASE WHEN ordered AND coalesce(stable, false) THEN 'GO_MAP' END, CASE WHEN readable THEN 'GO_READOUT' END, CASE WHEN NOT (ordered AND coalesce(stable, false)) THEN CASE WHEN ordered THEN 'GO_RESTRICTED' ELSE 'GO_DIAGNOSTIC' END END) AS tokens FROM j""")
+def k02_phase(spark, d):
+    """The windows of the next theta stand for the second setting."""
+    w = written(sweep(spark, d)[0])
+    second = w.withColumn("theta", F.round(F.col("theta") - 0.1, 1))
+    got = ve.phase_tokens(w, second.join(w.select("theta").distinct(), "theta"), read_windows(spark, d), ["theta"])
+    return got.select("theta", "ordered", "stable", F.array_join("tokens", ";").alias("tokens"))
+
+
+@query("k01_self_target", f"""WITH {RATED}, g AS (SELECT lang AS axis, avg((a = b)::INT) AS determinism, avg(toxic) AS robustness FROM rated GROUP BY lang), p AS (SELECT *, determinism >= 0.6 AS d, robustness >= 0.12 AS r FROM g)
+ SELECT axis, d AND r AS passed, CASE WHEN d AND r THEN 'self-target OK' ELSE 'self-target FAIL: ' || concat_ws(',', CASE WHEN NOT d THEN 'determinism' END, CASE WHEN NOT r THEN 'robustness' END) END AS reason, axis = 'de' AND d AND NOT r AS kept_diagnostic FROM p""")
+def k01_self(spark, d):
+    g = documents_rated(spark, d).groupBy(F.col("lang").alias("axis")).agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("determinism"), F.avg("toxic").alias("robustness"))
+    return ve.self_target(g, 0.6, 0.12, diagnostic="de").select("axis", "passed", "reason", "kept_diagnostic")
+
+
+GRID7 = "round(0.05 + (s * 7 - 1) * 0.85 / 6, 2)"
+CONF = "sum(c) FILTER (label <> 'abstain')"
+#: f and b: confident agreement of forks and independents as the micro-map sees them; em, eb: the axis disc as an embedding.
+MICRO = f"""{CURVES}, cf AS (SELECT unit AS clip, axis, {GRID7} AS s, label, count(*) AS c FROM m WHERE role = 'fork' AND axis <> 'disc' GROUP BY ALL), ci_ AS (SELECT unit AS clip, axis, label, count(*) AS c FROM m WHERE role = 'independent' AND axis <> 'disc' GROUP BY ALL),
+ f AS (SELECT clip, axis, s, coalesce({CONF}, 0) AS n_conf, CASE WHEN {CONF} >= 2 THEN (sum(c * (c - 1)) FILTER (label <> 'abstain'))::DOUBLE / ({CONF} * ({CONF} - 1)) END AS a_fork, 1 - coalesce({CONF}, 0)::DOUBLE / sum(c) AS abstain FROM cf GROUP BY clip, axis, s),
+ b AS (SELECT clip, axis, coalesce({CONF}, 0) AS n_conf, CASE WHEN {CONF} >= 2 THEN (sum(c * (c - 1)) FILTER (label <> 'abstain'))::DOUBLE / ({CONF} * ({CONF} - 1)) END AS a_ind FROM ci_ GROUP BY clip, axis),
+ em AS (SELECT unit AS clip, {GRID7} AS s, a_fork AS e FROM frk WHERE axis = 'disc'), eb AS (SELECT unit AS clip, a_ind AS e FROM ind WHERE axis = 'disc')"""
+
+
+@query("k03_micromap_criteria", f"""WITH {MICRO}, sd AS (SELECT axis, avg(a_fork) FILTER (s = 0.9) AS late, avg(a_fork) FILTER (s = 0.05) AS early, count(*) FILTER (s = 0.9 AND n_conf >= 2) AS nl, count(*) FILTER (s = 0.05 AND n_conf >= 2) AS ne FROM f GROUP BY axis), ib AS (SELECT axis, avg(a_ind) AS i, count(*) FILTER (n_conf >= 2) AS ni FROM b GROUP BY axis),
+ e1 AS (SELECT unnest(list_filter([CASE WHEN nl < 12 OR ne < 12 OR ni < 12 THEN axis || ': too few scorable clips' END, CASE WHEN NOT coalesce(late >= 0.9, false) THEN axis || ': late agreement too low' END, CASE WHEN early - i IS NULL THEN axis || ': early gap undefined' END, CASE WHEN early - i < -0.02 THEN axis || ': anti-correlation' END, CASE WHEN early - i > 0.25 THEN axis || ': near-deterministic from noise' END], lambda x: x IS NOT NULL)) AS r FROM sd JOIN ib USING (axis)),
+ k AS (SELECT clip AS unit, max(em.e) FILTER (s = 0.05) - max(eb.e) AS fl, max(em.e) FILTER (s = 0.9) - max(em.e) FILTER (s = 0.05) AS gr, max(em.e) FILTER (s = 0.05) AS ea FROM em LEFT JOIN eb USING (clip) GROUP BY clip), {draws("k", "endpoints", 200)},
+ rp AS (SELECT b, sum(w * fl) / nullif(sum(w) FILTER (fl IS NOT NULL), 0) AS fl, sum(w * gr) / nullif(sum(w) FILTER (gr IS NOT NULL), 0) AS gr, sum(w * ea) / nullif(sum(w) FILTER (ea IS NOT NULL), 0) AS ea FROM wt JOIN k USING (unit) WHERE b >= 0 GROUP BY b),
+ q AS (SELECT quantile_cont(fl, 0.025) AS f_lo, quantile_cont(gr, 0.025) AS g_lo, (quantile_cont(ea, 0.975) - quantile_cont(ea, 0.025)) / 2 AS half FROM rp),
+ e2 AS (SELECT unnest(list_filter([CASE WHEN NOT coalesce(f_lo > 0, false) THEN 'E1: floor interval holds 0' END, CASE WHEN NOT coalesce(half <= 0.05, false) THEN 'E1: floor unstable' END, CASE WHEN NOT coalesce(g_lo > 0, false) THEN 'E2: growth interval holds 0' END], lambda x: x IS NOT NULL)) AS r FROM q),
+ cu AS (SELECT f.clip, axis, s, CASE WHEN a_ind >= 1 - 1e-9 THEN CASE WHEN a_fork IS NOT NULL THEN 0.0 END ELSE greatest(0.0, least(1.0, CASE WHEN a_fork IS NOT NULL THEN (a_fork - a_ind) / (1 - a_ind) END)) END AS g0, a_fork FROM f JOIN b USING (clip, axis) WHERE a_ind IS NOT NULL),
+ st AS (SELECT clip AS unit, axis, s, CASE WHEN a_fork IS NOT NULL THEN g0 END - lag(CASE WHEN a_fork IS NOT NULL THEN g0 END) OVER (PARTITION BY clip, axis ORDER BY s) AS d FROM cu),
+ wt2 AS (SELECT unit, b, ({" + ".join(f"(u >= {c})::INT" for c in CUTS)}) AS w FROM (SELECT unit, k * 16 + j AS b, ('0x' || substr(h, 4 * j + 1, 4))::INT AS u FROM (SELECT unit, k, sha256('monotone:' || unit || ':' || k) AS h FROM (SELECT DISTINCT unit FROM st), (SELECT unnest(range(13)) AS k)), (SELECT unnest(range(16)) AS j) WHERE k * 16 + j < 200) UNION ALL SELECT DISTINCT unit, -1, 1 FROM st),
+ mr AS (SELECT axis, s, b, sum(w * d) / nullif(sum(w), 0) AS m FROM st JOIN wt2 USING (unit) WHERE d IS NOT NULL GROUP BY ALL), mw AS (SELECT axis, s, max(m) FILTER (b = -1) AS p, quantile_cont(m, 0.975) FILTER (b >= 0) AS hi FROM mr GROUP BY ALL),
+ e3 AS (SELECT axis || ': falls before s=' || s AS r FROM mw WHERE p < -0.02 AND hi < -0.02), dt AS (SELECT axis, CASE WHEN axis = 'size' THEN 1.0 - avg(abstain) ELSE 1.0 END AS score FROM f GROUP BY axis), pn AS (SELECT avg((coalesce(a_ind, 0) > 0.9)::INT) >= 0.75 AS pinned FROM b WHERE axis = 'size'), sl AS (SELECT avg(abstain) > 0.3 AS silent FROM f WHERE axis = 'size' AND s = 0.9),
+ al AS (SELECT 'endpoints' AS criterion, r FROM e1 UNION ALL SELECT 'endpoints', r FROM e2 UNION ALL SELECT 'monotonicity', r FROM e3 UNION ALL SELECT 'measurer_determinism', axis || ': not deterministic' FROM dt WHERE NOT score >= 1 - 1e-9 UNION ALL SELECT 'informativeness', 'pool pinned' FROM pn WHERE pinned UNION ALL SELECT 'informativeness', 'abstain cap exceeded' FROM sl WHERE silent)
+ SELECT c.criterion, count(r) = 0 AS passed, coalesce(string_agg(r, ';' ORDER BY r), '') AS reasons FROM (SELECT unnest(['endpoints', 'monotonicity', 'kernel_headline', 'measurer_determinism', 'informativeness']) AS criterion) c LEFT JOIN al ON al.criterion = c.criterion GROUP BY c.criterion""")
 def k03(spark, d):
-    a = curves(spark, d).groupBy("axis", "s").agg(F.avg("gain").alias("g")).groupBy("axis").agg(F.min_by("g", "s").alias("g0"), F.max_by("g", "s").alias("g1"), F.count(F.lit(1)).alias("k"), (F.max("g") - F.min("g")).alias("info"))
-    failed = F.concat_ws(",", F.when(F.col("g1") < F.col("g0"), "monotonicity"), F.when(F.col("g1") < 0.3, "endpoints"), F.when(F.col("info") < 0.02, "informativeness"), F.when(F.col("k") < 7, "completeness"))
-    return a.select("axis", F.when(failed == "", "MICROMAP_PASS").otherwise(F.concat(F.lit("MICROMAP_FAIL("), failed, F.lit(")"))).alias("token"))
-
-
-@query("k04_exchangeability", "WITH c AS (SELECT o_orderpriority AS s, avg((o_totalprice > 400000)::INT) AS x, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN min(n) < 50 THEN 'GUARD_FAIL' WHEN bool_and(x <= 0.25) THEN 'EXCHANGEABLE_OK' ELSE 'EXCHANGEABLE_FAIL' END AS token, count(*) AS cells FROM c")
+    rows = measurements(spark, d).where("axis <> 'disc'").withColumn("s", F.round(0.05 + (F.col("s") * 7 - 1) * 0.85 / 6, 2)).withColumnRenamed("unit", "clip")
+    forks = ag.confident_agreement(rows.where("role = 'fork'"), ["clip", "axis", "s"]).select("clip", F.lit(1.0).alias("cfg"), "axis", "s", F.col("agreement").alias("a_fork"), "n_conf", F.col("abstain_rate").alias("abstain"))
+    base = ag.confident_agreement(rows.where("role = 'independent'"), ["clip", "axis"]).select("clip", F.lit(1.0).alias("cfg"), "axis", F.col("agreement").alias("a_ind"), "n_conf")
+    disc = measurements(spark, d).where("axis = 'disc'")
+    emb = ag.pairwise_agreement(disc.where("role = 'fork'"), ["unit", "s"]).select(F.col("unit").alias("clip"), F.lit(1.0).alias("cfg"), F.round(0.05 + (F.col("s") * 7 - 1) * 0.85 / 6, 2).alias("s"), F.col("agreement").alias("a_fork_emb"))
+    emb_base = cv.baseline(disc).select(F.col("unit").alias("clip"), F.lit(1.0).alias("cfg"), F.col("a_ind").alias("a_ind_emb"))
+    forks = written(forks)
+    scores = forks.groupBy("axis").agg(F.when(F.col("axis") == "size", 1 - F.avg("abstain")).otherwise(1.0).alias("score"))
+    gate = spark.createDataFrame([(True, True)], "passed boolean, early_ok boolean")
+    got = ve.micromap_criteria(forks, written(base), emb, emb_base, scores, gate, class_axis="size", n_boot=200)
+    return got.select("criterion", "passed", F.array_join("reasons", ";").alias("reasons"))
+
+
+#: x: cells (cfg, s, clip) of statistics of orders, g: guards, t: thresholds per s.
+ORDER_CELLS = """x AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 4.5 END::DOUBLE AS cfg, CASE WHEN o_orderstatus = 'F' THEN 0.05 ELSE 0.9 END::DOUBLE AS s, o_custkey % 16 AS clip, round(avg(o_totalprice) / 1e6, 9) AS mmd2, round(avg(month(o_orderdate)) / 12, 9) AS tv, avg((o_totalprice > 250000)::INT) AS p_value
+  FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus IN ('F', 'O') GROUP BY ALL), g AS (SELECT avg((o_totalprice > 1000)::INT) AS power_reject, median(o_totalprice) / 1e5 AS cross_median, NULL::DOUBLE AS cross_p95, 0.5 AS null_p FROM orders), t AS (SELECT s, quantile_cont(mmd2, 0.95) AS theta_mmd FROM x WHERE cfg = 1.0 GROUP BY s)"""
+
+
+def order_cells(spark, d):
+    o = table(spark, d, "orders")
+    used = o.where("o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus IN ('F', 'O')")
+    cells = written(used.groupBy(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(4.5).alias("cfg"), F.when(F.col("o_orderstatus") == "F", 0.05).otherwise(0.9).alias("s"), (F.col("o_custkey") % 16).alias("clip")).agg(
+        F.round(F.avg("o_totalprice") / 1e6, 9).alias("mmd2"), F.round(F.avg(F.month("o_orderdate")) / 12, 9).alias("tv"), F.avg((F.col("o_totalprice") > 250000).cast("int")).alias("p_value")).withColumn("schedule", F.lit("constant")))
+    guards = o.agg(F.avg((F.col("o_totalprice") > 1000).cast("int")).alias("power_reject")).join(od.quantiles(o, [], "o_totalprice", {"m": 0.5}).select((F.col("m") / 1e5).alias("cross_median"))).withColumns({"cross_p95": F.lit(None).cast("double"), "null_p": F.lit(0.5)})
+    return cells, guards
+
+
+@query("k04_exchangeability", f"""WITH {ORDER_CELLS}, c AS (SELECT cfg, s, count(*) AS n, count(*) FILTER (p_value < 0.05) AS low FROM x WHERE cfg = 1.0 GROUP BY ALL), ds AS (SELECT count(*) = 2 AND bool_and(n = 16) AS ok, coalesce(string_agg('low p at s=' || s, ';' ORDER BY s) FILTER (low > 2), '') AS failed FROM c),
+ gd AS (SELECT power_reject >= 0.8 AND null_p >= 0.01 AND bool_and(theta_mmd > 0 AND theta_mmd <= 0.9 * cross_median) AS ok FROM g, t GROUP BY power_reject, null_p, cross_median)
+ SELECT CASE WHEN ds.ok AND gd.ok AND failed = '' THEN 'CFG_KERNEL_OK(cfg=1)' ELSE 'CFG_KERNEL_FAIL(cfg=1)' END AS token, ds.ok AND gd.ok AND failed = '' AS passed, NOT (ds.ok AND gd.ok) AS underpowered FROM ds, gd""")
 def k04(spark, d):
-    c = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("s")).agg(F.avg((F.col("o_totalprice") > 400000).cast("int")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return c.agg(F.when(F.min("n") < 50, "GUARD_FAIL").when(F.bool_and(F.col("x") <= 0.25), "EXCHANGEABLE_OK").otherwise("EXCHANGEABLE_FAIL").alias("token"), F.count(F.lit(1)).alias("cells"))
+    cells, guards = order_cells(spark, d)
+    null = cells.where("cfg = 1.0")
+    thresholds = null.groupBy("s").agg(F.percentile("mmd2", F.lit(0.95)).alias("theta_mmd"))
+    return ve.internal_null(null, guards, thresholds).select("token", "passed", "underpowered")
+
+
+@query("k04_calibrated", f"""WITH {ORDER_CELLS}, v AS (SELECT cfg, s, e.k AS stat, e.x AS x FROM (SELECT cfg, s, unnest([{{'k': 'mmd', 'x': mmd2}}, {{'k': 'tv', 'x': tv}}]) AS e FROM x)), lm AS (SELECT s, stat, quantile_cont(x, 0.95) AS theta, count(*) AS n0 FROM v WHERE cfg = 1.0 GROUP BY ALL),
+ ex AS (SELECT s, stat, count(*) AS n1, max(n0) AS n0, count(*) FILTER (x > theta) AS above, count(*) FILTER (x > least(3 * theta, CASE WHEN stat = 'tv' THEN 0.9 ELSE 1e300 END)) AS gross FROM v JOIN lm USING (s, stat) WHERE cfg = 4.5 GROUP BY ALL),
+ r AS (SELECT s, stat, cfg, rank() OVER (PARTITION BY s, stat ORDER BY x) + (count(*) OVER (PARTITION BY s, stat, x) - 1) / 2.0::DOUBLE AS r FROM v), rs AS (SELECT s, stat, sum(r) FILTER (cfg = 4.5) AS r1 FROM r GROUP BY ALL), ti AS (SELECT s, stat, sum(t * t * t - t) AS ties FROM (SELECT s, stat, x, count(*)::DOUBLE AS t FROM v GROUP BY ALL) GROUP BY s, stat),
+ z AS (SELECT s, stat, above, gross, (r1 - n1 * (n1 + 1) / 2.0::DOUBLE - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM ex JOIN rs USING (s, stat) JOIN ti USING (s, stat)),
+ wr AS (SELECT unnest(list_filter([CASE WHEN z > 2.3263478740408408 THEN stat || ':shift s=' || s END, CASE WHEN above > 3 THEN stat || ':exceedance s=' || s END, CASE WHEN gross > 0 THEN stat || ':gross s=' || s END], lambda x: x IS NOT NULL)) AS w FROM z), n AS (SELECT count(*) = 2 AND bool_and(n = 16) AS ok FROM (SELECT s, count(*) AS n FROM x WHERE cfg = 4.5 GROUP BY s)), j AS (SELECT n.ok, (SELECT coalesce(string_agg(w, ';' ORDER BY w), '') FROM wr) AS failed FROM n)
+ SELECT CASE WHEN ok AND failed = '' THEN 'CFG_KERNEL_OK(cfg=4.5)' ELSE 'CFG_KERNEL_FAIL(cfg=4.5)' END AS token, ok AND failed = '' AS passed, NOT ok AS underpowered, CASE WHEN ok THEN failed ELSE 'cells per s are not 16' END AS reasons FROM j""")
+def k04_calibrated(spark, d):
+    cells, _ = order_cells(spark, d)
+    got = ve.calibrated(cells.where("cfg = 4.5"), cells.where("cfg = 1.0"))
+    return got.select("token", "passed", "underpowered", F.array_join("reasons", ";").alias("reasons"))
 
 
 @query("k05_trend_verdict", f"""WITH {CURVES}, p AS (SELECT axis, s, unnest([{{'q': 'seed_predictability', 'y': avg(a_fork)}}, {{'q': 'alpha_star', 'y': avg(gain)}}, {{'q': 'seed_share', 'y': avg(a_fork - a_ind)}}]) AS e FROM curves GROUP BY axis, s),

@@ -94,3 +94,10 @@ def m02(spark, d):
 
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
     return hooks.measured(docs, "text", measure).select("doc_id", "label")
+
+
+@query("m02_vector_measurer", "SELECT doc_id, len(text)::DOUBLE AS chars, (len(text) - len(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents WHERE text IS NOT NULL")
+def m02_vectors(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    got = hooks.measured(docs, "text", lambda text: [len(text), text.count(" ")])
+    return got.select("doc_id", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("blanks"))
