@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
 _ESCAPE = re.compile("|".join(map(re.escape, ("\\", *sorted(CONTROL, key=len, reverse=True)))))
 _UNESCAPE = re.compile(r"\\(\\?)")
+_UNESCAPE_ROLE = re.compile(r"\\(\\|n|)")
 _TURN = re.compile(r"<s>(.*?)\n(.*?)</s>\n", re.S)
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant"}
 
@@ -72,7 +73,8 @@ def canonical(record) -> list[tuple[str, str]] | None:
         roles = values_at(record, role[1:]) if role[0] == "@" else [role] * len(texts[0])
         for r, *parts in zip(roles, *texts, strict=False):
             kept = ["" if p is None else str(p) for p in parts]
-            turns.append((ROLES.get(r, r) or "", "\n".join([kept[0], *(p for p in kept[1:] if p)])))
+            named = ROLES.get(r, r) if role.endswith(".from") else r  # only this layout has names of its own for the roles
+            turns.append((named or "", "\n".join([kept[0], *(p for p in kept[1:] if p)])))
     return turns
 
 
@@ -94,7 +96,8 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
-    return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
+    role = lambda m: "\n" if m[1] == "n" else m[1]
+    return [(_UNESCAPE_ROLE.sub(role, r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
 def format_chats(records: DataFrame, key: str, order: str, record: str) -> DataFrame:
@@ -167,6 +170,9 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def conversation_records(conversations: DataFrame) -> DataFrame:
-    """The rows of ``conversations`` as JSON records of the turn layout; null roles and texts count as empty."""
-    text = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.select("conv_id", "turn", F.to_json(text).alias("record"))
+    """The rows of ``conversations`` as JSON records, null roles and texts as empty: by the conversation's hash in the turn
+    layout or as a list of one message, so that records of two layouts meet in one table."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turn = F.to_json(F.struct(role.alias("role"), text.alias("text")))
+    message = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
+    return conversations.select("conv_id", "turn", F.when(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, turn).otherwise(message).alias("record"))

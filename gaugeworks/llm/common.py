@@ -104,6 +104,29 @@ def without_rows(docs: DataFrame, dropped: DataFrame, **keys: Column) -> DataFra
     return sure.unionAll(rest.join(gone, same, "left_anti").select("_row.*"))
 
 
+def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each (id, text), null equal to null and null text to an empty one: of several the least in the order of all
+    columns. Whole rows are shuffled only where the bitmap can't rule out that they repeat, and combine before that."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("_text"))
+    repeated = written(packed.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id", "hash"))
+    n = repeated.count()
+    if not n:
+        return docs
+    bits = bits_for(n)
+    marked = with_maybe(packed, written(key_filter(repeated, "id", "hash", bits=bits)), "id", "hash", bits=bits)
+    rest = marked.where("_maybe").groupBy("id", F.sha2("_text", 256)).agg(F.min("_row").alias("_row"))
+    return marked.where(~F.col("_maybe")).select("_row.*").unionAll(rest.select("_row.*"))
+
+
+def bounded_rows(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of a written table with columns _id and _h (a hash of the text): one row of each pair, those whose
+    id hashes lowest. Only pairs of numbers, ``most`` of them, pass through the driver."""
+    keys = rows.select("_id", "_h").distinct().orderBy(F.xxhash64("_id"), "_id", "_h").limit(most).collect()
+    kept = rows.sparkSession.createDataFrame([tuple(k) for k in keys], rows.select("_id", "_h").schema)
+    return rows.join(F.broadcast(kept), ["_id", "_h"]).dropDuplicates(["_id", "_h"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (src, dst): one row (id, component) per end, component its smallest id.
 

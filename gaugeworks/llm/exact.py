@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, key_filter, with_maybe, without_rows, written
+from .common import bits_for, key_filter, one_of_each, with_maybe, without_rows, written
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256) -> DataFrame:
@@ -56,7 +56,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; all columns stay.
 
-    Decisions hold for (id, text): of rows that repeat an id only those go whose own text stays elsewhere.
+    Decisions hold for (id, text): of rows that repeat an id only those go whose own text stays elsewhere. Of rows that
+    repeat both one stays, the least in the order of all columns: a table read twice leaves what it leaves read once.
     """
     dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"))
-    return without_rows(docs, dropped, id=F.col(id_col), digest=F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    left = without_rows(docs, dropped, id=F.col(id_col), digest=F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return one_of_each(left, id_col, text_col)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_rows, fold, written
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -112,7 +112,8 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         .orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     )
     known = docs.sparkSession.createDataFrame([tuple(r) for r in known.collect()], "_id long, _y int")
-    sample = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    sample = bounded_rows(written(texts.withColumn("_h", F.xxhash64("_text"))), max_train)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -138,7 +139,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """id, held_out, score, predicted for every row of ``docs``, from whole texts alone.
 
     Learns from at most ``max_train`` labelled rows outside fold ``held`` (those whose id hashes lowest; of repeated
-    labels the least counts); features of these rows, a bounded number, go to the driver. Null text counts as empty,
+    labels the least counts, rows that repeat id and text count once, and the bound holds for rows, however many bear one
+    id); features of these rows go to the driver. Null text counts as empty,
     labels other than 0 and 1 are ignored, repeated rows are scored alike, ids that hash alike are ordered by
     id, an empty label table scores every row above 0.5, an empty table of documents gives an empty result.
     Other columns are not read.

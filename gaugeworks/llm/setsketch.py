@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, components, key_filter, named_classes, with_maybe, with_node, without_rows, written
+from .common import bits_for, components, key_filter, named_classes, one_of_each, with_maybe, with_node, without_rows, written
 
 BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
@@ -375,9 +375,10 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
 def drop_near_copies(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, the one of the smallest id; all columns stay.
 
-    Decisions hold for (id, text): of rows that repeat an id only those go whose own text has a near copy that stays.
+    Decisions hold for (id, text): of rows that repeat an id only those go whose own text has a near copy that stays. Of rows
+    that repeat both one stays, the least in the order of all columns.
     """
     rows, named = near_classes(docs, width, percent, id_col, text_col)
     mine = rows.where("id is not null").join(named, "digest")
     gone = mine.where((F.col("id") != F.col("component")) | (F.col("digest") != F.col("keeper")))
-    return without_rows(docs, gone, id=F.col(id_col).cast("long"), text_key=F.xxhash64(text_col))
+    return one_of_each(without_rows(docs, gone, id=F.col(id_col).cast("long"), text_key=F.xxhash64(text_col)), id_col, text_col)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import bounded_rows, fold, written
 
 LENGTH, SPAN, DECAY = 4, 8, 0.6  # of the subsequences: letters, letters from first to last at most, weight per letter spanned
 LETTERS = 32
@@ -343,7 +343,9 @@ def toxicity_scores(
 
     Learns from at most ``max_train`` labelled rows outside fold ``held`` (half of them toxic where there are as
     many; those whose id hashes lowest), each read whole: tasks turn texts into sets of words, kernels of sentences
-    and document features, and the driver fits these. Null and empty texts are scored like texts without words. Repeated rows get equal scores. Without
+    and document features, and the driver fits these. Rows that repeat id and text count once there, and the bound holds
+    for rows, however many bear one id; ties of the id's hash go by id. Other columns are not read, and an empty table of
+    documents gives an empty result. Null and empty texts are scored like texts without words. Repeated rows get equal scores. Without
     labels of both kinds every score is the share of toxic labels.
     """
     known = (
@@ -354,10 +356,8 @@ def toxicity_scores(
     n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     sample = sorted((r[0], r[1]) for part in chosen for r in part)
     sample = docs.sparkSession.createDataFrame([(k, i, y) for k, (i, y) in enumerate(sample)], "_k long, _id long, _y int")
-    train = written(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .join(F.broadcast(sample), "_id").select("_k", F.xxhash64("_text").alias("_h"), "_y", "_text")
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    train = written(bounded_rows(written(texts.withColumn("_h", F.xxhash64("_text"))), max_train).select("_k", "_h", "_y", "_text"))
     texts = text_words(train)
     y = [t[1] for t in texts]
     share = n.get(1, 0) / max(1, sum(n.values()))
