@@ -23,6 +23,8 @@ BLOCK = frozenset(
 )
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "option": ("option", ("select",))}
 OUTSIDE = frozenset("head nav footer aside form button fieldset dialog menu".split())  # elements that HTML has for other things than the main text
+WRAPS = frozenset("form fieldset dialog".split())  # of these, elements that servers also wrap around a whole page
+HEADED = frozenset("article main h1".split())  # what an element holds that is more than its names say
 MARKED = frozenset("div section ul ol dl table p".split())  # elements whose names may lower the weight of what they hold
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|copyright|cookies?|consent|gdpr|notices?|alert|popup|modal|"
@@ -47,6 +49,7 @@ class Paths:
         self.number: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[int, int, str]] = []
         self.read(page)
+        self.unwrap()
 
     def child(self, at: int, tag: str, names: str, inside: bool) -> int:
         key = (at, f"{tag}.{names.lower()}")
@@ -56,7 +59,7 @@ class Paths:
             self.parent.append(at)
             self.tag.append(tag)
             self.depth.append(self.depth[at] + 1)
-            self.outside.append(self.outside[at] or tag in OUTSIDE or (tag == "header" and not inside))
+            self.outside.append(tag in OUTSIDE or (tag == "header" and not inside))
             self.link.append(self.link[at] or tag == "a")
             self.marked.append(tag in MARKED and bool(MARKS.search(names)))
         return found
@@ -113,6 +116,25 @@ class Paths:
                 blocks.append(len(stack))
             stack.append((tag, at))
 
+    def unwrap(self) -> None:
+        """An element is outside the main text with all it holds, but for a form, fieldset or dialog that holds most of what is
+        in no other such element."""
+        def inherited(own: list[bool]) -> list[bool]:
+            out = list(own)
+            for i in range(1, len(out)):
+                out[i] = out[i] or out[self.parent[i]]
+            return out
+
+        firm = inherited([o and t not in WRAPS for o, t in zip(self.outside, self.tag, strict=True)])
+        if any(o and t in WRAPS for o, t in zip(self.outside, self.tag, strict=True)):
+            text = [0.0] * len(self.parent)
+            for path, _, t in self.nodes:
+                if not firm[path] and not self.link[path]:
+                    text[path] += len(t)
+            held = self.below(text)
+            self.outside = [o and not (t in WRAPS and 2 * held[i] > held[0]) for i, (o, t) in enumerate(zip(self.outside, self.tag, strict=True))]
+        self.outside = inherited(self.outside)
+
     def below(self, values: list[float]) -> list[float]:
         """Sums over the paths that begin with each path."""
         total = list(values)
@@ -121,14 +143,20 @@ class Paths:
         return total
 
     def weights(self) -> list[float]:
-        """1, or MARK_WEIGHT under an element whose names speak of other things; not if elements in it hold most of the page's text."""
+        """1, or MARK_WEIGHT under an element whose names speak of other things.
+
+        Such names are overruled where elements in it hold most of the page's text, if it holds an article or the page's
+        heading, or nearly all text of a page without either; so comments that are longer than their article stay marked, a layout's wrapper does not.
+        """
         text = [0.0] * len(self.parent)
         for path, _, t in self.nodes:
             if not self.outside[path] and not self.link[path]:
                 text[path] += len(t)
         held, out = self.below(text), [1.0] * len(text)
+        heads = self.below([float(t in HEADED) for t in self.tag])
         for i in range(1, len(out)):
-            out[i] = MARK_WEIGHT if self.marked[i] and 2 * (held[i] - text[i]) <= held[0] else out[self.parent[i]]
+            wrapper = 2 * (held[i] - text[i]) > held[0] and (heads[i] > 0 or (not heads[0] and held[i] >= 0.9 * held[0]))
+            out[i] = MARK_WEIGHT if self.marked[i] and not wrapper else out[self.parent[i]]
         return out
 
     def common(self, a: int, b: int) -> float:
@@ -165,6 +193,12 @@ def path_scores(paths: Paths, weights: list[float], width: int = 1) -> dict[int,
         w = [math.exp(-((i - j) ** 2)) * paths.common(p, order[j]) if i != j else 1.0 for j in near]
         text, stops = (sum(a * r[j] for a, j in zip(w, near, strict=True)) / sum(w) for r in ratio)
         scores[p] = 0.0 if paths.outside[p] else weights[p] * math.sqrt(text * (stops + 0.1))
+    for p in order:
+        if paths.link[p]:  # a link is worth what the text around it is worth: nothing in a list of links
+            q = p
+            while paths.link[q]:
+                q = paths.parent[q]
+            scores[p] = scores[q] if q in sums and sums[q][1] else 0.0
     return scores
 
 
@@ -174,8 +208,8 @@ def main_text(page: str | None) -> str:
     A path is selected if its score reaches half the standard deviation of the page's scores; one of lowered weight only
     if none scores higher, one outside the element that holds nearly all selected text only if it scores half of the best. What stands beside the
     selected paths under that element (headings, short items) belongs to them, unless
-    its weight is lowered; where that element is the whole body, only what lies between selected nodes, and
-    headings. A page without a scoring path has no text.
+    its weight is lowered, and lists of links where they lie between selected nodes; where that element is the whole
+    body, only what lies between selected nodes, and headings. A page without a scoring path has no text.
     """
     paths = Paths(page or "")
     weights = paths.weights()
@@ -204,6 +238,8 @@ def main_text(page: str | None) -> str:
     blocks: dict[int, list[str]] = {}
     for k, (path, block, text) in enumerate(paths.nodes):
         beside = under[path] and not paths.outside[path] and weights[path] == weights[root]
+        if beside and paths.link[path] and not scores[path]:  # a list of links belongs to the text only inside it
+            beside = at[0] <= k <= at[-1]
         if whole and beside:
             beside = at[0] <= k <= at[-1] or (paths.tag[path][:1] == "h" and paths.tag[path] in PLAIN)
         if (path in chosen and (under[path] or 2 * scores[path] >= best)) or beside:

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat, common, exact, quality, setsketch, toxicity
+from gaugeworks.llm import chat, common, exact, quality, setsketch, tagpaths, toxicity
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -68,3 +68,32 @@ def test_roles_stay_as_they_are_and_may_hold_line_ends(spark):
 def test_only_the_layout_with_names_of_its_own_is_renamed():
     assert chat.canonical({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}) == [("user", "a"), ("assistant", "b")]
     assert chat.canonical({"messages": [{"role": "human", "content": "a"}]}) == [("human", "a")]
+
+
+# main text: cases where names and tags must not decide alone
+
+LONG = "<p>I think, that this, is a long comment. And it goes on, and on.</p>"
+ARTICLE = "<p>The article, as it stands. It has some text, and stops.</p><p>More of it, here. And <a href=q>a link</a></p>"
+TEXT = "The article, as it stands. It has some text, and stops.\n\nMore of it, here. And a link"
+
+
+def test_comments_that_are_longer_than_their_article_go():
+    page = f"<html><body><article><h1>Head</h1>{ARTICLE}<div class='comments'>{LONG * 12}</div></article></body></html>"
+    assert "comment" not in tagpaths.main_text(page) and TEXT in tagpaths.main_text(page)
+
+
+def test_a_form_around_the_page_is_no_form_but_a_small_one_is():
+    menu = "<div><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></div>"
+    assert tagpaths.main_text(f"<html><body><form id=f>{menu}<div>{ARTICLE}</div></form></body></html>") == TEXT
+    assert tagpaths.main_text(f"<html><body><div>{ARTICLE}</div><form><p>Subscribe now, please.</p></form></body></html>") == TEXT
+
+
+def test_a_menu_of_links_stays_out_of_a_text_without_stops():
+    page = "<body><ul><li><a href=a>Home page</a></li><li><a href=b>Contact us</a></li></ul><div><p>words without any marks in them at all just going on and on</p><p>another paragraph of such words that goes on</p></div></body>"
+    assert tagpaths.main_text(page) == "words without any marks in them at all just going on and on\n\nanother paragraph of such words that goes on"
+
+
+def test_wrappers_named_after_what_else_they_hold_keep_their_text():
+    for name in ("content has-sidebar", "with-comments", "social-page"):
+        assert TEXT in tagpaths.main_text(f"<body><div class='{name}'>{ARTICLE}</div></body>")
+        assert TEXT in tagpaths.main_text(f"<body><div class='{name}'><h1>Head</h1>{ARTICLE}</div><div class='comments'>{LONG}</div></body>")
