@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_WORDS, MAX_PAIRS, MAX_HEADS = 200_000, 200_000, 30_000  # remembered in a worker, some 80 MB
+MAX_WORDS, MAX_PAIRS, MAX_HEADS = 1_000_000, 200_000, 30_000  # remembered in a worker, some 250 MB
 TAIL = 4  # last characters that name the pieces which can end there
 HEAD = 6  # first characters of a stretch whose window state is remembered
 
@@ -50,18 +50,18 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Remembered(dict):
-    """Ids of short stretches, made by ``window`` when first asked for; what was not used lately goes."""
+    """Ids of short stretches as 32-bit numbers, made by ``window`` when first asked for; what was not used lately goes."""
 
     def __init__(self, window: Callable[[str], list[int]]):
         self.window, self.older = window, {}
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
+    def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
         if ids is None:
-            ids = tuple(self.window(stretch))
+            ids = array("i", self.window(stretch)).tobytes()
         if len(stretch) <= 32:
             if len(self) >= MAX_WORDS // 2:
-                self.older = self.copy()
+                self.older = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
@@ -281,27 +281,30 @@ class Model:
             end = back[end - base]
         return out[::-1]
 
-    def stream(self, text: str) -> list[int]:
+    def stream(self, text: str) -> np.ndarray:
         """Ids of ``text`` from left to right. At a boundary that every path passes the window is empty: what follows up
         to the next such boundary depends on nothing before, and is remembered if it is short."""
-        return list(chain.from_iterable(map(self.known.__getitem__, self.stretch.findall(text) if self.sure else [text])))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.stretch.findall(text) if self.sure else [text])), np.int32)
 
     def encode(self, text: str | None) -> list[int]:
+        return self.ids_of(text).tolist()
+
+    def ids_of(self, text: str | None) -> np.ndarray:
         text = text or ""
         if self.strip_spaces:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         if self.dummy_prefix:
             text = " " + text
         out = self.stream(text.replace(" ", SPACE))
         if not self.bytes:  # neighbouring unknown characters are one unknown piece
-            out = [k for i, k in enumerate(out) if k != self.unknown or not i or out[i - 1] != k]
+            out = out[(out != self.unknown) | (np.append(-1, out[:-1]) != self.unknown)]
         return out
 
     def decode(self, ids) -> str:
         """Text of ``ids``; bytes that are no UTF-8 become replacement characters, control pieces nothing."""
-        text = b"".join([self.raw_of[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw_of.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -339,10 +342,10 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
                 part = pdf.iloc[i : i + 256]
                 out = []
                 for doc, text in zip(part["id"], part["_text"], strict=True):
-                    ids = model.encode(text)
-                    back = model.decode(ids)
+                    ids = model.ids_of(text)
+                    back = model.decode(ids.tolist())
                     digest = hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
-                    out.append((doc, np.array(ids, np.int32), len(ids), digest, back == (text or "")))
+                    out.append((doc, ids, len(ids), digest, back == (text or "")))
                 yield pd.DataFrame(out, columns=["id", "ids", "n_tokens", "decoded_sha256", "round_trip"]).astype({"id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
