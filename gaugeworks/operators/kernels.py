@@ -209,3 +209,49 @@ def uniformity(p: DataFrame, value: str = "p_value", least: int = 5) -> DataFram
     term = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("_l") * F.col("_l"))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + term(k))
     return stated.withColumn("_l", x).withColumn("ks_p", F.when(F.col("ks").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))).drop("_l")
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, places: int) -> np.ndarray:
+    """Cosines of rows, 0 where a norm is 0, as whole numbers of 10^-places from 0."""
+    unit = lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1.0)
+    return (np.round(np.clip(unit(x) @ unit(y).T, -1, 1), places) * 10**places).round().astype("i8") + 10**places
+
+
+def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within: list[str] | None = None, places: int = 4) -> DataFrame:
+    """pairs, rho: Spearman's correlation, over all unit pairs (of one group each), of the cosines that two embeddings give.
+
+    No pair leaves a tile. Cosines are rounded to ``places``, so they take at most 2 x 10^places + 1 values: a first pass
+    counts them and gives each its mean rank, a table of that size which a second pass applies and sums over.
+    Rows with a null or undefined vector are left out; null where there are fewer than two pairs or no spread.
+    """
+    keys = within or []
+    ok = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    both = df.where(ok(a) & ok(b)).withColumn("_grp", F.lit(0)).withColumn("_both", F.concat(F.array(F.size(a).cast("double")), F.col(a).cast("array<double>"), F.col(b).cast("array<double>")))
+    one = [] if keys else ["_one"]
+    both = both if keys else both.withColumn("_one", F.lit(0))
+    blocks = kernel_blocks(both, keys or one, ident, "_grp", "_both", 0)
+
+    def sides(x, y, same):
+        d = 1 + int(x[1][0, 0])
+        for part in (slice(1, d), slice(d, None)):
+            c = _cosines(x[1][:, part], y[1][:, part], places)
+            yield c[np.triu_indices(len(c), 1)] if same else c.ravel()
+
+    def counted(x, y, same, row):
+        out = [pd.DataFrame({"side": i, "v": v, "n": n}) for i, c in enumerate(sides(x, y, same)) for v, n in [np.unique(c, return_counts=True)]]
+        return pd.concat(out).astype({"side": "i4", "v": "i8", "n": "i8"})
+
+    found = over_tiles(blocks, keys or one, "side int, v long, n long", counted).groupBy("side", "v").agg(F.sum("n").alias("n")).collect()
+    ranks, pairs = np.zeros((2, 2 * 10**places + 1)), sum(r["n"] for r in found if r["side"] == 0)
+    for side in (0, 1):
+        before = 0
+        for v, n in sorted((r["v"], r["n"]) for r in found if r["side"] == side):
+            ranks[side, v] = before + (n + 1) / 2 - (pairs + 1) / 2  # from the mean rank
+            before += n
+
+    def summed(x, y, same, row):
+        p, q = (ranks[i, c] for i, c in enumerate(sides(x, y, same)))
+        return pd.DataFrame({"n": [len(p)], "xx": [p @ p], "yy": [q @ q], "xy": [p @ q]})
+
+    total = over_tiles(blocks, keys or one, "n long, xx double, yy double, xy double", summed).agg(*(F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")))
+    return total.select(F.coalesce("n", F.lit(0)).alias("pairs"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs
 from ..operators import agreement as ag
-from ..operators import ordering as od
+from ..operators import kernels as kn
+from ..operators import measures as ms
 from .bindings import CURVES, M, RATED, VECTORS, documents_rated, measurements, r6, table, vectors
 from .catalog import query
 
@@ -137,13 +137,7 @@ def d13(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     days = F.date_diff("l_shipdate", "o_orderdate").cast("double")
     x = rows.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("rater"), days.alias("a0"), (days + F.col("l_quantity")).alias("a1"))
-    y = x.toDF("item", "rater2", "b0", "b1")
-    p = x.join(y, "item").where("rater < rater2")
-    iou = exprs.interval_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
-    shared = F.least("a1", "b1") > F.greatest("a0", "b0")
-    pairs = p.select(iou.alias("iou"), shared.cast("int").alias("shared"), F.abs(F.col("a0") - F.col("b0")).alias("start"), F.abs(F.col("a1") - F.col("b1")).alias("end"))
-    means = pairs.agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("iou"), "mean_iou"), r6(F.avg("shared"), "overlap"), r6(F.avg("start"), "start_error"), r6(F.avg("end"), "end_error"))
-    return means.join(od.quantiles(pairs, [], "iou", {"median_iou": 0.5}).select(r6("median_iou")))
+    return ms.interval_agreement(x, "item", "rater", "a0", "a1").select("pairs", *(r6(c) for c in ("mean_iou", "median_iou", "overlap", "start_error", "end_error")))
 
 
 @query("d14_marginals", f"""WITH {M}, c AS (SELECT axis, s, label, count(*) AS c FROM m GROUP BY ALL), p AS (SELECT axis, s, c, c::DOUBLE / sum(c) OVER (PARTITION BY axis, s) AS p FROM c)
@@ -167,8 +161,8 @@ def d15(spark, d):
 @query("d16_diversity", f"""WITH {M}, u AS (SELECT axis, s, unit, count(DISTINCT label) AS k, count(DISTINCT CASE WHEN label <> 'abstain' THEN label END) AS kc, avg((label = 'abstain')::INT) AS r FROM m GROUP BY ALL)
  SELECT axis, round(s, 6) AS s, round(avg(k), 6) AS mean_all, round(avg(kc), 6) AS mean_confident, min(kc) AS least, max(kc) AS most, round(avg(r), 6) AS abstain_rate FROM u GROUP BY axis, s""")
 def d16(spark, d):
-    u = measurements(spark, d).groupBy("axis", "s", "unit").agg(F.count_distinct("label").alias("k"), F.count_distinct(F.when(F.col("label") != "abstain", F.col("label"))).alias("kc"), F.avg((F.col("label") == "abstain").cast("int")).alias("r"))
-    return u.groupBy("axis", "s").agg(r6(F.avg("k"), "mean_all"), r6(F.avg("kc"), "mean_confident"), F.min("kc").alias("least"), F.max("kc").alias("most"), r6(F.avg("r"), "abstain_rate")).withColumn("s", r6("s"))
+    got = ms.diversity(measurements(spark, d), ["axis", "s"])
+    return got.select("axis", r6("s"), r6("mean_all"), r6("mean_confident"), "least", "most", r6("abstain_rate"))
 
 
 @query("d17_majority", f"""WITH {M}, c AS (SELECT unit, axis, label, count(*) AS c FROM m WHERE role = 'fork' GROUP BY ALL)
@@ -212,7 +206,7 @@ def d21(spark, d):
 def d22(spark, d):
     from .curves import curves
 
-    return curves(spark, d).groupBy("axis", "s").agg(r6(F.avg("a_fork"), "a_fork"), r6(F.avg("a_ind"), "a_ind"), r6(F.avg("gain"), "gain"), F.count(F.lit(1)).alias("n")).withColumn("s", r6("s"))
+    return ms.gain_surface(curves(spark, d), ["axis", "s"]).select("axis", r6("s"), r6("a_fork"), r6("a_ind"), r6("gain"), "n")
 
 
 READOUT = f"""{M}, fin AS (SELECT unit, axis, label AS final FROM (SELECT unit, axis, label, count(*) AS c FROM m WHERE role = 'independent' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY unit, axis ORDER BY c DESC, label) = 1),
@@ -242,26 +236,22 @@ def d24(spark, d):
 def d25(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     e = F.when(F.col("l_linenumber") == 1, F.date_diff("l_shipdate", "o_orderdate") / 30.0 - F.col("l_quantity") / 25)
-    x = rows.select(F.col("o_orderpriority").alias("source"), e.alias("e"))
-    a = F.abs("e")
-    means = x.groupBy("source").agg(r6(F.count("e") / F.count(F.lit(1)), "coverage"), r6(F.avg(a), "mae"), r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), "rmse"), r6(F.stddev_pop("e"), "std"), r6(F.avg("e"), "bias"), r6(F.greatest(F.lit(0.5), 2 * F.stddev_pop("e")), "bin"))
-    medians = od.quantiles(x.withColumn("a", a), ["source"], "a", {"m": 0.5})
-    return means.join(medians, "source", "left").select("source", "coverage", "mae", r6("m", "median_abs"), "rmse", "std", "bias", (F.col("m") <= 0.35).alias("adopt"), "bin")
+    got = ms.mark_errors(rows.select(F.col("o_orderpriority").alias("source"), e.alias("e")), ["source"], "e")
+    return got.select("source", "adopt", *(r6(c) for c in ("coverage", "mae", "median_abs", "rmse", "std", "bias", "bin")))
 
 
 @query("d26_anchor_coverage", """WITH e AS (SELECT user_id, event_type AS source, count(*) AS n, max(value) AS top, avg(value) AS mean FROM events GROUP BY ALL)
  SELECT source, count(*) AS units, sum(n)::BIGINT AS events, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi, round(avg(mean), 6) AS mean_uncertainty, round(max(top), 6) AS max_uncertainty FROM e GROUP BY source""")
 def d26(spark, d):
-    per = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
-    return per.groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("events"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multi"), r6(F.avg("mean"), "mean_uncertainty"), r6(F.max("top"), "max_uncertainty"))
+    got = ms.anchor_coverage(table(spark, d, "events").withColumnRenamed("event_type", "source"), "user_id", "source", "value")
+    return got.select("source", "units", "events", "single", "multi", r6("mean_uncertainty"), r6("max_uncertainty"))
 
 
 @query("d27_headroom", f"""WITH {CURVES} SELECT axis, count(*) FILTER (a_ind > 0.9) AS pinned, count(*) FILTER (a_ind <= 0.9) AS open, round(avg(a_ind), 6) AS mean FROM ind GROUP BY axis""")
 def d27(spark, d):
     from .curves import baselines
 
-    pinned = F.col("a_ind") > 0.9
-    return baselines(spark, d).groupBy("axis").agg(F.count_if(pinned).alias("pinned"), F.count_if(~pinned).alias("open"), r6(F.avg("a_ind"), "mean"))
+    return ms.headroom(baselines(spark, d), ["axis"]).select("axis", "pinned", "open", r6("mean"))
 
 
 @query("d27_pinned_registry", f"WITH {CURVES} SELECT axis, unit, round(a_ind, 6) AS a_ind FROM ind WHERE a_ind > 0.9")
@@ -282,10 +272,8 @@ def d28(spark, d):
     t = baselines(spark, d).groupBy("axis").agg(F.avg("a_ind").alias("retest"))
     r = ag.pairwise_agreement(m, ["axis", "unit"]).groupBy("axis").agg(F.avg("agreement").alias("robust"))
     v = m.groupBy("axis").agg(F.avg(F.col("label").isin("A", "large", "high").cast("int")).alias("valid"))
-    limits = {"retest": 0.4, "robust": 0.4, "valid": 0.5}
-    fails = [F.when(F.coalesce(F.col(k) < x, F.lit(True)), k) for k, x in limits.items()]
-    got = t.join(r, "axis").join(v, "axis").withColumn("reason", F.concat_ws("; ", *fails))
-    return got.select("axis", r6("retest"), r6("robust"), r6("valid"), (F.col("reason") == "").alias("reliable"), "reason")
+    got = ms.reliability_gate(t.join(r, "axis").join(v, "axis"), {"retest": 0.4, "robust": 0.4, "valid": 0.5})
+    return got.select("axis", r6("retest"), r6("robust"), r6("valid"), "reliable", "reason")
 
 
 SWAPS = "x AS (SELECT o_orderpriority AS axis, year(o_orderdate) AS s, o_orderstatus AS swapped, lag(o_orderstatus) OVER w AS source, lead(o_orderstatus) OVER w AS donor FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), y AS (SELECT * FROM x WHERE source IS NOT NULL AND donor IS NOT NULL)"
@@ -301,26 +289,23 @@ def swaps(spark, d):
 
 @query("d29_follow_retain", f"WITH {SWAPS} SELECT axis, s, round(avg((swapped = donor)::INT), 6) AS follow_rate, round(avg((swapped = source)::INT), 6) AS retention_rate, round(avg((swapped <> source AND swapped <> donor)::INT), 6) AS neither_rate, count(*) AS n FROM y GROUP BY axis, s")
 def d29(spark, d):
-    f, r = F.col("swapped") == F.col("donor"), F.col("swapped") == F.col("source")
-    return swaps(spark, d).groupBy("axis", "s").agg(r6(F.avg(f.cast("int")), "follow_rate"), r6(F.avg(r.cast("int")), "retention_rate"), r6(F.avg((~f & ~r).cast("int")), "neither_rate"), F.count(F.lit(1)).alias("n"))
+    s = F.col("swapped")
+    got = ms.follow_rates(swaps(spark, d), ["axis", "s"], ms.matches(s, F.col("donor")), ms.matches(s, F.col("source")))
+    return got.select("axis", "s", r6("follow_rate"), r6("retention_rate"), r6("neither_rate"), "n")
 
 
 @query("d30_collision_corrected", f"""WITH {SWAPS}, f AS (SELECT axis, sum(p * p) AS floor FROM (SELECT axis, swapped, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY axis) AS p FROM y GROUP BY axis, swapped) GROUP BY axis)
  SELECT axis, count(*) AS n, count(*) FILTER (source = donor) AS collisions, round(avg((swapped = donor AND swapped <> source)::INT), 6) AS strict_follow, round(avg((swapped = source AND swapped <> donor)::INT), 6) AS strict_retain,
   round(avg((swapped = donor)::INT) FILTER (source <> donor), 6) AS follow_where_differ, round(max(floor), 6) AS floor FROM y JOIN f USING (axis) GROUP BY axis""")
 def d30(spark, d):
-    y = swaps(spark, d)
-    f, r = F.col("swapped") == F.col("donor"), F.col("swapped") == F.col("source")
-    differ = F.col("source") != F.col("donor")
-    p = ag.marginals(y, ["axis"], "swapped").select("axis", (1 / F.col("k_eff")).alias("floor"))
-    got = y.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.count_if(~differ).alias("collisions"), r6(F.avg((f & ~r).cast("int")), "strict_follow"), r6(F.avg((r & ~f).cast("int")), "strict_retain"), r6(F.avg(F.when(differ, f.cast("int"))), "follow_where_differ"))
-    return got.join(p, "axis").withColumn("floor", r6("floor"))
+    got = ms.corrected_rates(swaps(spark, d), ["axis"])
+    return got.select("axis", "n", "collisions", r6("strict_follow"), r6("strict_retain"), r6("follow_where_differ"), r6("floor"))
 
 
 @query("d31_completion", "SELECT role, count(*) AS total, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) AS completed, round(avg((length(trim(coalesce(text, ''))) > 0)::INT), 6) AS coverage, count(*) FILTER (contains(text, '.')) AS sentences FROM conversations GROUP BY role")
 def d31(spark, d):
     done = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"), r6(F.avg(done.cast("int")), "coverage"), F.count_if(F.contains("text", F.lit("."))).alias("sentences"))
+    return ms.completion(table(spark, d, "conversations"), ["role"], done, sentences=F.contains("text", F.lit("."))).withColumn("coverage", r6("coverage"))
 
 
 @query("d32_trend", f"WITH {CURVES}, a AS (SELECT axis, s, avg(gain) AS g FROM curves GROUP BY ALL) SELECT axis, round(regr_slope(g, s), 6) AS slope, round(arg_max(g, s) - arg_min(g, s), 6) AS delta, arg_max(g, s) - arg_min(g, s) > 1e-6 AS increasing FROM a GROUP BY axis")
@@ -328,25 +313,21 @@ def d32(spark, d):
     from .curves import curves
 
     a = curves(spark, d).groupBy("axis", "s").agg(F.avg("gain").alias("g"))
-    delta = F.max_by("g", "s") - F.min_by("g", "s")
-    return a.groupBy("axis").agg(r6(F.regr_slope("g", "s"), "slope"), r6(delta, "delta"), (delta > 1e-6).alias("increasing"))
+    return ms.trend(a, ["axis"], "s", "g").select("axis", r6("slope"), r6("delta"), "increasing")
 
 
 @query("d33_representation_similarity", f"""WITH {VECTORS}, b AS (SELECT vec_id, label, v[1:32] AS x, v[33:64] AS y FROM vecs), p AS (SELECT list_cosine_similarity(i.x, j.x) AS cx, list_cosine_similarity(i.y, j.y) AS cy FROM b i JOIN b j ON i.label = j.label AND i.vec_id < j.vec_id),
- r AS (SELECT rank() OVER (ORDER BY round(cx, 9)) + (count(*) OVER (PARTITION BY round(cx, 9)) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(cy, 9)) + (count(*) OVER (PARTITION BY round(cy, 9)) - 1) / 2.0 AS ry FROM p)
+ r AS (SELECT rank() OVER (ORDER BY round(cx, 4)) + (count(*) OVER (PARTITION BY round(cx, 4)) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(cy, 4)) + (count(*) OVER (PARTITION BY round(cy, 4)) - 1) / 2.0 AS ry FROM p)
  SELECT count(*) AS pairs, round(corr(rx, ry), 6) AS rho FROM r""")
 def d33(spark, d):
     b = vectors(spark, d).select("vec_id", "label", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
-    p = b.join(b.toDF("id2", "label", "x2", "y2"), "label").where("vec_id < id2")
-    c = p.select(F.round(exprs.cosine(F.col("x"), F.col("x2")), 9).alias("cx"), F.round(exprs.cosine(F.col("y"), F.col("y2")), 9).alias("cy"))
-    r = od.average_rank(od.average_rank(c, "cx", "rx"), "cy", "ry")
-    return r.agg(F.count(F.lit(1)).alias("pairs"), r6(F.corr("rx", "ry"), "rho"))
+    return kn.representation_similarity(b, "vec_id", "x", "y", ["label"]).select("pairs", r6("rho"))
 
 
 @query("d34_status_merge", "SELECT o_custkey AS shard, coalesce(min(CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END), max(CASE WHEN o_orderstatus = 'O' THEN 'OK' END), 'MISSING') AS status FROM orders GROUP BY o_custkey")
 def d34(spark, d):
-    t = F.col("o_orderstatus")
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("shard")).agg(F.coalesce(F.min(F.when(t != "O", t)), F.max(F.when(t == "O", "OK")), F.lit("MISSING")).alias("status"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("shard"), F.when(F.col("o_orderstatus") == "O", "OK").otherwise(F.col("o_orderstatus")).alias("token"))
+    return ms.status_merge(o, ["shard"], "token")
 
 
 @query("d35_taxonomy", f"""WITH {CURVES}, c AS (SELECT axis, unit, max(a_ind) AS a_ind, min(CASE WHEN gain >= 0.7 THEN s END) AS t, arg_min(a_fork, s) - max(a_ind) AS seed FROM curves GROUP BY ALL)
@@ -354,9 +335,7 @@ def d34(spark, d):
 def d35(spark, d):
     from .curves import curves
 
-    c = curves(spark, d).groupBy("axis", "unit").agg(F.max("a_ind").alias("a_ind"), F.min(F.when(F.col("gain") >= 0.7, F.col("s"))).alias("t"), (F.min_by("a_fork", "s") - F.max("a_ind")).alias("seed"))
-    t = F.col("t")
-    return c.groupBy("axis").agg(F.count_if(F.col("a_ind") >= 0.9).alias("pinned"), F.count_if(F.col("seed") >= 0.3).alias("seed"), F.count_if(t <= 0.4).alias("early"), F.count_if((t > 0.4) & (t < 0.7)).alias("mid"), F.count_if(t >= 0.7).alias("late"), F.count_if(t.isNull()).alias("never"))
+    return ms.taxonomy(curves(spark, d), ["axis"])
 
 
 ACCEPT = [("ECONOMY", "small"), ("ECONOMY", "blue"), ("SMALL", "small"), ("STANDARD", "red"), ("STANDARD", "blue"), ("LARGE", "large"), ("PROMO", "red"), ("MEDIUM", "green")]
@@ -366,8 +345,7 @@ ACCEPT = [("ECONOMY", "small"), ("ECONOMY", "blue"), ("SMALL", "small"), ("STAND
  q AS (SELECT category, CASE WHEN p_size % 9 = 0 THEN 'abstain' ELSE label END AS label FROM p)
  SELECT category, count(*) AS n, round(avg((a.label IS NOT NULL)::INT), 6) AS accuracy, round(avg((a.label IS NOT NULL)::INT) FILTER (q.label <> 'abstain'), 6) AS confident_accuracy, round(avg((q.label = 'abstain')::INT), 6) AS abstain_rate, avg((a.label IS NOT NULL)::INT) >= 0.1 AS passed FROM q LEFT JOIN acc a USING (category, label) GROUP BY category""")
 def d36(spark, d):
-    accept = spark.createDataFrame([(*x, True) for x in ACCEPT], "category string, label string, ok boolean")
+    accept = spark.createDataFrame(ACCEPT, "category string, label string")
     p = table(spark, d, "part").select(F.col("p_type").alias("category"), F.when(F.col("p_size") % 9 == 0, "abstain").otherwise(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("label"))
-    ok = F.coalesce("ok", F.lit(False)).cast("int")
-    sure = F.col("label") != "abstain"
-    return p.join(F.broadcast(accept), ["category", "label"], "left").groupBy("category").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(ok), "accuracy"), r6(F.avg(F.when(sure, ok)), "confident_accuracy"), r6(F.avg((~sure).cast("int")), "abstain_rate"), (F.avg(ok) >= 0.1).alias("passed"))
+    got = ms.accept_accuracy(p, accept, "category", "label", 0.1)
+    return got.select("category", "n", r6("accuracy"), r6("confident_accuracy"), r6("abstain_rate"), "passed")

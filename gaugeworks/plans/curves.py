@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import curves as cv
+from ..operators import measures as ms
 from ..operators import ordering as od
 from ..operators import resampling as rs
 from ..operators import sampling as sm
-from .bindings import CURVES, M, VECTORS, measurements, r6, table, vectors
+from ..operators import tables as tb
+from .bindings import CURVES, VECTORS, measurements, r6, table, vectors
 from .catalog import query
 from .draws import ci, draws
 
@@ -34,9 +36,8 @@ def c01(spark, d):
 @query("c02_shares", f"""WITH {CURVES}, e AS (SELECT unit, axis, max(a_ind) AS i, arg_min(a_fork, s) AS f0, arg_max(a_fork, s) AS f1 FROM curves GROUP BY ALL), c AS (SELECT *, greatest(0, least(1, x)) FROM (SELECT *, 1 AS x FROM e))
  SELECT unit, axis, round(greatest(0.0, least(1.0, i)), 6) AS conditioning, round(greatest(0.0, least(1.0, f0 - i)), 6) AS seed, round(greatest(0.0, least(1.0, f1 - f0)), 6) AS trajectory, round(greatest(0.0, least(1.0, 1 - f1)), 6) AS residual, round(CASE WHEN 1 - i > 1e-9 THEN greatest(0.0, least(1.0, (f1 - i) / (1 - i))) END, 6) AS end_gain FROM e""")
 def c02(spark, d):
-    e = curves(spark, d).groupBy("unit", "axis").agg(F.max("a_ind").alias("i"), F.min_by("a_fork", "s").alias("f0"), F.max_by("a_fork", "s").alias("f1"))
-    i, f0, f1 = F.col("i"), F.col("f0"), F.col("f1")
-    return e.select("unit", "axis", r6(exprs.clip01(i), "conditioning"), r6(exprs.clip01(f0 - i), "seed"), r6(exprs.clip01(f1 - f0), "trajectory"), r6(exprs.clip01(1 - f1), "residual"), r6(F.when(1 - i > 1e-9, exprs.gain(f1, i)), "end_gain"))
+    got = ms.shares(curves(spark, d), ["unit", "axis"])
+    return got.select("unit", "axis", *(r6(c) for c in ("conditioning", "seed", "trajectory", "residual", "end_gain")))
 
 
 SPAN = "x AS (SELECT o_orderkey AS item, l_linenumber AS k, date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS a0, date_diff('day', o_orderdate, l_shipdate) + l_quantity AS a1, lead(date_diff('day', o_orderdate, l_shipdate)::DOUBLE) OVER w AS b0, lead(date_diff('day', o_orderdate, l_shipdate) + l_quantity) OVER w AS b1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate))"
@@ -90,12 +91,10 @@ def c07(spark, d):
  g AS (SELECT vec_id, grp, max(p) AS p FROM q GROUP BY ALL), r AS (SELECT vec_id, max(p) AS top, arg_max(grp, p) AS grp FROM g GROUP BY vec_id), u AS (SELECT vec_id, max(g.p) AS second FROM g JOIN r USING (vec_id) WHERE g.grp <> r.grp GROUP BY vec_id), h AS (SELECT vec_id, sum(-p * ln(p)) FILTER (p > 0) AS entropy FROM q GROUP BY vec_id)
  SELECT vec_id, CASE WHEN top - second < 0.02 THEN 'abstain' ELSE 'g' || grp END AS label, round(top - second, 6) AS margin, round(entropy, 6) AS entropy FROM r JOIN u USING (vec_id) JOIN h USING (vec_id)""")
 def c08(spark, d):
-    x = vectors(spark, d).withColumn("n", exprs.dot(F.col("v"), F.col("v"))).where("n > 0").select("vec_id", "n", F.posexplode("v").alias("i", "x"))
-    q = x.select("vec_id", F.floor(F.col("i") / 8).alias("grp"), (F.col("x") * F.col("x") / F.col("n")).alias("p")).where("grp <> 7")
-    g = q.groupBy("vec_id", "grp").agg(F.max("p").alias("p"), F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log("p"))).alias("h"))
-    best = g.groupBy("vec_id").agg(F.max(F.struct("p", "grp")).alias("top"), F.sort_array(F.collect_list("p"), asc=False).alias("ps"), F.sum("h").alias("entropy"))
-    margin = F.col("top.p") - F.get("ps", F.lit(1))
-    return best.select("vec_id", F.when(margin < 0.02, "abstain").otherwise(F.concat(F.lit("g"), F.col("top.grp").cast("string"))).alias("label"), r6(margin, "margin"), r6("entropy"))
+    total = exprs.dot(F.col("v"), F.col("v"))
+    p = vectors(spark, d).withColumn("n", total).where("n > 0").select("vec_id", F.transform("v", lambda x: x * x / F.col("n")).alias("p"))
+    got = ms.top_class(p, ["vec_id"], "p", F.floor(F.col("pos") / 8), [7], 0.02, F.concat(F.lit("g"), F.col("_g").cast("string")))
+    return got.select("vec_id", "label", r6("margin"), r6("entropy"))
 
 
 @query("c09_judge_json", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN (props->>'k')::BIGINT END AS k, event_id % 4 <> 3 AS parsed FROM events")
@@ -116,11 +115,8 @@ def c10(spark, d):
 @query("c11_pooling", f"""WITH {VECTORS}, u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs), p AS (SELECT label, i, avg(x) AS mean, max(x) AS top FROM u GROUP BY ALL),
  c AS (SELECT label, i, mean AS x FROM p UNION ALL SELECT label, 64 + i, top FROM p), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label) SELECT label, i - 1 AS pos, round(x / n, 6) AS x FROM c JOIN n USING (label)""")
 def c11(spark, d):
-    u = vectors(spark, d).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("mean"), F.max("x").alias("top"))
-    packed = F.array_sort(F.collect_list(F.struct("i", "mean", "top")))
-    both = u.groupBy("label").agg(packed.alias("p")).select("label", F.concat(F.transform("p", lambda r: r["mean"]), F.transform("p", lambda r: r["top"])).alias("v"))
-    norm = F.sqrt(exprs.dot(F.col("v"), F.col("v")))
-    return both.withColumn("n", norm).select("label", "n", F.posexplode("v").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), r6(F.col("x") / F.col("n"), "x"))
+    got = ms.pooled(vectors(spark, d), ["label"], "v").select("label", F.posexplode("v").alias("pos", "x"))
+    return got.select("label", F.col("pos").cast("long").alias("pos"), r6("x"))
 
 
 @query("c12_ids", "SELECT page_id, replace(replace(url, '/', '_'), ':', '_') AS safe, sha256(lower(trim(url))) AS rater FROM pages")
@@ -143,8 +139,7 @@ def c13(spark, d):
 @query("c14_commit_read", f"""WITH {CURVES}, g AS (SELECT axis, s, avg(gain) AS c, avg(a_fork) AS r FROM curves GROUP BY ALL) SELECT axis, round(s, 6) AS s, CASE WHEN c < 0.3 THEN CASE WHEN r >= 0.55 THEN 'R1' ELSE 'uncommitted' END WHEN r < 0.55 THEN 'R2' ELSE 'early_action' END AS cell FROM g""")
 def c14(spark, d):
     g = curves(spark, d).groupBy("axis", "s").agg(F.avg("gain").alias("c"), F.avg("a_fork").alias("r"))
-    cell = F.when(F.col("c") < 0.3, F.when(F.col("r") >= 0.55, "R1").otherwise("uncommitted")).when(F.col("r") < 0.55, "R2").otherwise("early_action")
-    return g.select("axis", r6("s"), cell.alias("cell"))
+    return g.select("axis", r6("s"), ms.commit_read_cell(F.col("c"), F.col("r"), 0.3, 0.55).alias("cell"))
 
 
 # Joins
@@ -157,28 +152,20 @@ def e01(spark, d):
 
 @query("e02_mandatory_label", "SELECT d.doc_id, l.quality, CASE WHEN l.doc_id IS NULL THEN 'label_missing' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def e02(spark, d):
-    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("found"))
-    return docs.join(labels, "doc_id", "left").select("doc_id", "quality", F.when(F.col("found"), "ok").otherwise("label_missing").alias("status"))
+    return tb.with_labels(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"])
 
 
 @query("e03_grid_lookup", "WITH g AS (SELECT unnest([5.0, 10, 20, 50, 100]) AS s) SELECT event_id, arg_min(s, abs(s - value)) AS nearest, min(s) FILTER (s >= value) AS next, max(s) FILTER (s < value) AS previous FROM events, g GROUP BY event_id")
 def e03(spark, d):
-    grid = F.array(*[F.lit(x) for x in (5.0, 10.0, 20.0, 50.0, 100.0)])
-    v = F.col("value")
-    near = F.array_min(F.transform(grid, lambda s: F.struct(F.abs(s - v).alias("d"), s.alias("s"))))["s"]
-    return table(spark, d, "events").select("event_id", near.alias("nearest"), F.array_min(F.filter(grid, lambda s: s >= v)).alias("next"), F.array_max(F.filter(grid, lambda s: s < v)).alias("previous"))
+    found = tb.grid_lookups(F.col("value"), [5, 10, 20, 50, 100])
+    return table(spark, d, "events").select("event_id", *(c.alias(n) for n, c in found.items()))
 
 
 @query("e04_nearest_event", """WITH v AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'), p AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase')
  SELECT v.event_id, min(abs(v.t - p.t)) AS gap FROM v LEFT JOIN p USING (user_id) GROUP BY v.event_id""")
 def e04(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).where("event_type IN ('view', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    other = F.when(F.col("event_type") == "purchase", F.col("t"))
-    before = F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(other, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("t") - before, after - F.col("t"))
-    return e.withColumn("gap", gap).where("event_type = 'view'").select("event_id", "gap")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return tb.nearest_event(e, "user_id", "event_id", "t", F.col("event_type") == "view", F.col("event_type") == "purchase")
 
 
 U32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -206,9 +193,8 @@ def e06(spark, d):
 @query("e07_set_algebra", "(SELECT l_partkey AS unit FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09) INTERSECT (SELECT p_partkey FROM part WHERE p_size > 5 UNION SELECT p_partkey FROM part WHERE p_type = 'PROMO')")
 def e07(spark, d):
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
-    screened = li.where("l_linestatus = 'O'").select(F.col("l_partkey").alias("unit")).subtract(li.where("l_discount > 0.09").select("l_partkey"))
-    chosen = p.where("p_size > 5").select("p_partkey").union(p.where("p_type = 'PROMO'").select("p_partkey")).distinct()
-    return screened.intersect(chosen)
+    screened, dropped = (li.where(w).select(F.col("l_partkey").alias("unit")) for w in ("l_linestatus = 'O'", "l_discount > 0.09"))
+    return tb.manifest(screened, dropped, *(p.where(w).select("p_partkey") for w in ("p_size > 5", "p_type = 'PROMO'")))
 
 
 COMMIT = f"""{CURVES}, t AS (SELECT unit, axis, min(CASE WHEN gain >= 0.7 THEN s END) AS c, min(CASE WHEN a_fork >= 0.6 THEN s END) AS r FROM curves GROUP BY ALL)"""
@@ -230,19 +216,14 @@ def crossed(spark, d):
 
 @query("e08_gap_table", f"WITH {COMMIT} SELECT axis, round(avg(c), 6) AS s_commit, round(avg(r), 6) AS s_read, round(avg(r) - avg(c), 6) AS gap FROM t GROUP BY axis HAVING count(c) >= 20 AND count(r) >= 20")
 def e08(spark, d):
-    t = commit_read(spark, d)
-    side = lambda c: t.groupBy("axis").agg(F.avg(c).alias(f"s_{c}"), F.count(c).alias("n")).where("n >= 20").drop("n")
-    return side("c").join(side("r"), "axis").select("axis", r6("s_c", "s_commit"), r6("s_r", "s_read"), r6(F.col("s_r") - F.col("s_c"), "gap"))
+    got = tb.gap_table(commit_read(spark, d), ["axis"], "c", "r", 20)
+    return got.select("axis", r6("s_commit"), r6("s_read"), r6("gap"))
 
 
 @query("e09_diagnostics", f"""WITH {COMMIT}, st AS (SELECT axis, count(*) AS n, count(*) FILTER (a_ind >= 1 - 1e-9) AS determined, count(*) FILTER (a_ind < 1 - 1e-9 AND c IS NOT NULL) AS crossing, count(*) FILTER (a_ind < 1 - 1e-9 AND c IS NULL) AS censored FROM t JOIN ind USING (unit, axis) GROUP BY axis), gr AS (SELECT axis, count(DISTINCT s) AS grid FROM curves GROUP BY axis)
  SELECT axis, grid, n, determined, crossing, censored, determined + crossing + censored = n AS consistent FROM st JOIN gr USING (axis)""")
 def e09(spark, d):
-    st = commit_read(spark, d).join(baselines(spark, d), ["unit", "axis"]).withColumn("st", cv.status(F.col("a_ind"), F.col("c")))
-    n = {k: F.count_if(F.col("st") == k).alias(k) for k in ("determined", "crossing", "censored")}
-    got = st.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), *n.values())
-    grid = curves(spark, d).groupBy("axis").agg(F.count_distinct("s").alias("grid"))
-    return got.join(grid, "axis", "full_outer").withColumn("consistent", F.col("determined") + F.col("crossing") + F.col("censored") == F.col("n"))
+    return tb.diagnostics(commit_read(spark, d), baselines(spark, d), curves(spark, d), "c")
 
 
 # Crossings and survival
@@ -262,9 +243,8 @@ def f02(spark, d):
 
 @query("f03_endpoint_controls", f"WITH {CURVES}, a AS (SELECT axis, s, avg(gain) AS g FROM curves GROUP BY ALL) SELECT axis, round(arg_min(g, abs(s - 0.1)), 6) AS low, round(arg_min(g, abs(s - 0.95)), 6) AS high, arg_min(g, abs(s - 0.1)) <= 0.5 AND arg_min(g, abs(s - 0.95)) >= 0.2 AS sane FROM a GROUP BY axis")
 def f03(spark, d):
-    a = curves(spark, d).groupBy("axis", "s").agg(F.avg("gain").alias("g"))
-    low, high = (F.min_by("g", F.abs(F.col("s") - x)) for x in (0.1, 0.95))
-    return a.groupBy("axis").agg(r6(low, "low"), r6(high, "high"), ((low <= 0.5) & (high >= 0.2)).alias("sane"))
+    got = ms.endpoint_controls(curves(spark, d), ["axis"], "gain", 0.1, 0.95, 0.5, 0.2)
+    return got.select("axis", r6("low"), r6("high"), "sane")
 
 
 STATUS = f"""{COMMIT}, st AS (SELECT unit, axis, c, CASE WHEN a_ind >= 1 - 1e-9 THEN 'determined' WHEN c IS NOT NULL THEN 'crossing' ELSE 'censored' END AS st FROM t JOIN ind USING (unit, axis))"""
@@ -348,21 +328,21 @@ def f10(spark, d):
     return sweep(spark, d)[0].select("theta", "axis", r6("s_hat"), r6("ci_low"), r6("ci_high"), "n", "underpowered")
 
 
-@query("f11_monotonicity", f"WITH {CURVES}, l AS (SELECT axis, s, a_fork - lag(a_fork) OVER (PARTITION BY unit, axis ORDER BY s) AS dv FROM curves) SELECT axis, round(s, 6) AS s, round(avg(dv), 6) AS mean_step, count(dv) AS n FROM l GROUP BY axis, s")
+@query("f11_monotonicity", f"""WITH {CURVES}, l AS (SELECT axis, unit, s, a_fork - lag(a_fork) OVER (PARTITION BY unit, axis ORDER BY s) AS dv FROM curves), {draws("l", "monotone", SWEEP_B)},
+ rp AS (SELECT axis, s, b, sum(w * dv) / nullif(sum(w), 0) AS m FROM l JOIN wt USING (unit) WHERE dv IS NOT NULL GROUP BY ALL), c AS ({ci("m", "rp", "axis, s")})
+ SELECT axis, round(s, 6) AS s, round(point, 6) AS mean_step, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n, ci_high < -0.02 AS violation FROM c JOIN (SELECT axis, s, count(dv) AS n FROM l GROUP BY ALL) USING (axis, s)""")
 def f11(spark, d):
-    step = F.col("a_fork") - F.lag("a_fork").over(Window.partitionBy("unit", "axis").orderBy("s"))
-    return curves(spark, d).withColumn("dv", step).groupBy("axis", "s").agg(r6(F.avg("dv"), "mean_step"), F.count("dv").alias("n")).withColumn("s", r6("s"))
+    got = ms.monotonicity(curves(spark, d), ["axis"], "a_fork", n_boot=SWEEP_B)
+    return got.select("axis", r6("s"), r6("mean_step"), r6("ci_low"), r6("ci_high"), "n", "violation")
 
 
 @query("f12_best_per_step", f"WITH {CURVES}, g AS (SELECT axis, s, round(avg(gain), 6) AS score FROM curves GROUP BY ALL) SELECT round(s, 6) AS s, axis AS best, score FROM g QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, axis) = 1")
 def f12(spark, d):
     g = curves(spark, d).groupBy("axis", "s").agg(r6(F.avg("gain"), "score"))
-    first = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("score"), "axis"))
-    return g.withColumn("r", first).where("r = 1").select(r6("s"), F.col("axis").alias("best"), "score")
+    return ms.best_per_step(g, ["s"], "axis", "score").select(r6("s"), F.col("axis").alias("best"), "score")
 
 
 @query("f13_smallest_setting", "WITH a AS (SELECT l_discount AS alpha, count(DISTINCT l_suppkey)::DOUBLE / count(*) AS diversity, avg((l_returnflag <> 'R')::INT) AS validity FROM lineitem GROUP BY 1) SELECT min(alpha) FILTER (diversity >= 0.001 AND validity >= 0.5) AS alpha, CASE WHEN count(*) FILTER (diversity >= 0.001 AND validity >= 0.5) = 0 THEN 'NONE' ELSE 'OK' END AS token FROM a")
 def f13(spark, d):
     a = table(spark, d, "lineitem").groupBy(F.col("l_discount").alias("alpha")).agg((F.count_distinct("l_suppkey") / F.count(F.lit(1))).alias("diversity"), F.avg((F.col("l_returnflag") != "R").cast("int")).alias("validity"))
-    ok = (F.col("diversity") >= 0.001) & (F.col("validity") >= 0.5)
-    return a.agg(F.min(F.when(ok, F.col("alpha"))).alias("alpha"), F.when(F.count_if(ok) == 0, "NONE").otherwise("OK").alias("token"))
+    return ms.smallest_setting(a, "alpha", diversity=0.001, validity=0.5)

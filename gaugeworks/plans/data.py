@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import checks as ck
+from ..operators import tables as tb
 from ..sources import journal as jn
 from ..sources.tables import scratch
 from .bindings import M, measurements, r6, table
@@ -70,9 +71,7 @@ REGISTRY = [("flag", "TIER1", "label", "exact_match"), ("size", "TIER1", "label"
 @query("a06_config", f"""WITH {M}, reg(axis, tier, kind, metric) AS (VALUES {", ".join(map(str, REGISTRY))}) SELECT axis, tier, kind, metric, (kind = 'embedding') = (metric = 'cosine') AS coupled, count(m.unit) AS n FROM reg LEFT JOIN m USING (axis) GROUP BY ALL""")
 def a06(spark, d):
     reg = spark.createDataFrame(REGISTRY, "axis string, tier string, kind string, metric string")
-    n = measurements(spark, d).groupBy("axis").agg(F.count(F.lit(1)).alias("n"))
-    coupled = (F.col("kind") == "embedding") == (F.col("metric") == "cosine")
-    return F.broadcast(reg).join(n, "axis", "left").select("axis", "tier", "kind", "metric", coupled.alias("coupled"), F.coalesce("n", F.lit(0)).alias("n"))
+    return tb.registry_check(reg, measurements(spark, d)).select("axis", "tier", "kind", "metric", "coupled", "n")
 
 
 @query("a07_result_sink", "WITH w AS (SELECT o_orderpriority AS axis, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1) SELECT o_orderpriority AS axis, o_orderstatus AS s, count(*) AS n, printf('%.4f', round(max(o_totalprice), 4)) AS top, low, high FROM orders JOIN w ON axis = o_orderpriority GROUP BY ALL")
@@ -81,7 +80,7 @@ def a07(spark, d):
     cells = o.groupBy(F.col("o_orderpriority").alias("axis"), F.col("o_orderstatus").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.format_string("%.4f", F.round(F.max("o_totalprice"), 4)).alias("top"))
     windows = o.groupBy(F.col("o_orderpriority").alias("axis")).agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
     path = scratch(spark, "sink")
-    cells.join(windows, "axis", "left").write.parquet(path)
+    tb.write_results(cells, windows, ["axis"], path, ["axis", "s", "n", "top", "low", "high"])
     return spark.read.parquet(path)
 
 
@@ -151,7 +150,7 @@ def b03(spark, d):
 def b04(spark, d):
     s = table(spark, d, "supplier")
     ledger = s.where("s_suppkey % 4 <> 0").select("s_suppkey", (F.col("s_acctbal") >= 0).alias("ok"))
-    return s.select("s_suppkey").join(ledger, "s_suppkey", "left").select("s_suppkey", F.when(F.col("ok").isNull(), "not_in_ledger").when(F.col("ok"), "ratified").otherwise("not_ok").alias("reason"))
+    return tb.certified(s.select("s_suppkey"), ledger, ["s_suppkey"])
 
 
 @query("b05_rater_integrity", "WITH s AS (SELECT role, count(DISTINCT conv_id) AS items, list_sort(list(DISTINCT conv_id::VARCHAR)) AS xs FROM conversations GROUP BY role) SELECT sha256(lower(trim(role))) AS rater, items, xs = (SELECT arg_min(xs, role) FROM s) AS same_items FROM s")
@@ -161,10 +160,7 @@ def b05(spark, d):
 
 @query("b06_event_catalog", "SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'view') AS anchors, count(*) FILTER (value < 50) AS inside, count(DISTINCT event_id) = count(*) AS unique_ids, count(*) >= 5 AS declared_ok FROM events GROUP BY user_id")
 def b06(spark, d):
-    e = table(spark, d, "events")
-    listed = e.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("items"), F.count(F.lit(1)).alias("declared"))
-    out = listed.select("user_id", "declared", F.inline("items"))
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "view").alias("anchors"), F.count_if(F.col("value") < 50).alias("inside"), (F.count_distinct("event_id") == F.count(F.lit(1))).alias("unique_ids"), (F.max("declared") >= 5).alias("declared_ok"))
+    return tb.event_catalog(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "view", F.col("value") < 50, 5)
 
 
 MIN_N = [("flag", 100), ("size", 150), ("disc", 5000)]
@@ -172,22 +168,19 @@ MIN_N = [("flag", 100), ("size", 150), ("disc", 5000)]
 
 @query("b07_underpowered", f"""WITH {M}, mn(axis, min_n) AS (VALUES {", ".join(map(str, MIN_N))}) SELECT axis, min_n, count(DISTINCT unit) AS n, count(DISTINCT unit) < min_n AS underpowered FROM m JOIN mn USING (axis) GROUP BY axis, min_n""")
 def b07(spark, d):
-    least = spark.createDataFrame(MIN_N, "axis string, min_n int")
-    n = measurements(spark, d).groupBy("axis").agg(F.count_distinct("unit").alias("n"))
-    return n.join(F.broadcast(least), "axis").select("axis", "min_n", "n", (F.col("n") < F.col("min_n")).alias("underpowered"))
+    return tb.underpowered(measurements(spark, d), spark.createDataFrame(MIN_N, "axis string, min_n int"), ["axis"])
 
 
 @query("b08_eligibility", "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_size > 10 AND p_brand <> 'Brand#1' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08)")
 def b08(spark, d):
     excluded = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").where("p_type = 'ECONOMY' AND p_size > 10 AND p_brand <> 'Brand#1'").join(excluded, "p_partkey", "left_anti").select("p_partkey")
+    rule = (F.col("p_type") == "ECONOMY") & (F.col("p_size") > 10) & (F.col("p_brand") != "Brand#1")
+    return tb.eligible(table(spark, d, "part"), rule, excluded, ["p_partkey"]).select("p_partkey")
 
 
 @query("b09_preflight", """WITH t AS (SELECT doc_id, 'quality' AS task FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id + 1000000, 'quality' FROM labels WHERE doc_id < 20), g AS (SELECT doc_id, string_agg(task, '+' ORDER BY task) AS tasks FROM t GROUP BY doc_id)
  SELECT g.doc_id, tasks, CASE WHEN d.doc_id IS NULL THEN 'index_join_missing' WHEN n_chars < 200 THEN 'caption_missing' WHEN source = 'src0' THEN 'missing_payload' END AS reason FROM g LEFT JOIN documents d USING (doc_id)""")
 def b09(spark, d):
-    labels, docs = table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", "n_chars", "source", F.lit(True).alias("found"))
-    t = labels.where("quality = 1").select("doc_id", F.lit("quality").alias("task")).unionByName(labels.where("toxic = 1").select("doc_id", F.lit("toxic").alias("task"))).unionByName(labels.where("doc_id < 20").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("quality").alias("task")))
-    g = t.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("task")), "+").alias("tasks"))
-    reason = F.coalesce(F.when(F.col("found").isNull(), "index_join_missing"), F.when(F.col("n_chars") < 200, "caption_missing"), F.when(F.col("source") == "src0", "missing_payload"))
-    return g.join(docs, "doc_id", "left").select("doc_id", "tasks", reason.alias("reason"))
+    labels = table(spark, d, "labels")
+    tasks = [labels.where("quality = 1").select("doc_id", F.lit("quality").alias("task")), labels.where("toxic = 1").select("doc_id", F.lit("toxic").alias("task")), labels.where("doc_id < 20").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("quality").alias("task"))]
+    return tb.preflight(tasks, table(spark, d, "documents").select("doc_id", "n_chars", "source"), "doc_id", {"caption_missing": F.col("n_chars") < 200, "missing_payload": F.col("source") == "src0"})

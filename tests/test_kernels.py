@@ -5,7 +5,6 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from gaugeworks.operators import kernels as kn
 from gaugeworks.operators import ordering as od
