@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+MARK = SPACE.encode()
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format: kinds of piece
-MAX_WORDS, MAX_PAIRS, MAX_HEADS = 1_000_000, 200_000, 30_000  # remembered in a worker, some 250 MB
+MAX_WORDS, MAX_PAIRS, MAX_HEADS = 1_000_000, 200_000, 150_000  # remembered in a worker, some 300 MB
 TAIL = 4  # last characters that name the pieces which can end there
 HEAD = 6  # first characters of a stretch whose window state is remembered
 
@@ -92,7 +93,7 @@ class Model:
                 self.dummy_prefix, self.strip_spaces = bool(got.get(3, 1)), bool(got.get(4, 1))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        self.raw_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.raw_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.unknown = self.kinds.index(UNKNOWN)
         self.width = max(map(len, self.ids), default=1)
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
@@ -304,8 +305,13 @@ class Model:
 
     def decode(self, ids) -> str:
         """Text of ``ids``; bytes that are no UTF-8 become replacement characters, control pieces nothing."""
-        text = b"".join(map(self.raw_of.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return self.raw_text(ids).decode("utf-8", "replace")
+
+    def raw_text(self, ids) -> bytes:
+        raw = b"".join(map(self.raw_of.__getitem__, ids))
+        if MARK in raw:  # spelled in bytes
+            raw = raw.replace(MARK, b" ")
+        return raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw
 
 
 def _raw(path: str) -> bytes:
@@ -343,9 +349,11 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
                 out = []
                 for doc, text in zip(part["id"], part["_text"], strict=True):
                     ids = model.ids_of(text)
-                    back = model.decode(ids.tolist())
-                    digest = hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
-                    out.append((doc, ids, len(ids), digest, back == (text or "")))
+                    raw = model.raw_text(ids.tolist())
+                    back = raw.decode("utf-8", "replace")
+                    same = back == (text or "")
+                    digest = hashlib.sha256(raw if same else back.encode("utf-8", "replace")).hexdigest()
+                    out.append((doc, ids, len(ids), digest, same))
                 yield pd.DataFrame(out, columns=["id", "ids", "n_tokens", "decoded_sha256", "round_trip"]).astype({"id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
