@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import named_classes, with_node, written
@@ -17,6 +17,7 @@ BLOCK = 8192  # vectors in a subtree, about; a task holds two
 RADII = (0.8, 0.4, 0.2, 0.1)  # nested levels below a subtree's root, halving
 TOP_SAMPLE = 4096  # vectors that the top level is chosen from
 SUPER = 64  # nodes of the level above the subtrees
+FAN, SPLIT_SAMPLE = 64, 1024  # centres that a large cell is split by, and the vectors that they are chosen from
 CELLS = 1 << 17  # pairs whose distance is taken at once
 SLACK = 1e-9
 
@@ -244,6 +245,62 @@ def distance(x: Column, y: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
 
+def split(placed: DataFrame, kind: type) -> DataFrame:
+    """``placed`` (node, weight, raw, cell) with cells of more than BLOCK vectors split by distance, again and again, until every
+    cell is small or too close together to be parted.
+
+    A pass takes centres, each as far from the others as it can be, from a bounded sample of each large cell, and moves its
+    vectors to the nearest. Centres travel to the parts of their cell as rows before the vectors, so a cell of any size
+    is dealt over many tasks and none holds more than its centres. Only large cells are read again.
+    """
+    done, left, dims = [], placed, None
+    while True:
+        sizes = written(left.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+        big = sizes.where(F.col("n") > BLOCK)
+        if big.isEmpty():
+            done.append(left)
+            break
+        rows = left.join(big, "cell")
+        dims = dims or len(rows.select("raw").first()["raw"]) // np.dtype(kind).itemsize
+        done.append(left.join(big, "cell", "left_anti"))
+        chosen = rows.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(len(done))), "node"))).where(F.col("_k") <= SPLIT_SAMPLE)
+
+        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(pdf), -1))
+            centres = centres_of(x, int(min(FAN, 2 * math.ceil(pdf["n"].iloc[0] / BLOCK))))
+            return pd.DataFrame({"cell": pdf["cell"].iloc[0], "n": pdf["n"].iloc[0], "centres": [centres.tobytes()], "k": len(centres)})
+
+        centres = written(chosen.select("cell", "n", "raw").groupBy("cell").applyInPandas(pick, "cell long, n long, centres binary, k int"))
+        close = written(centres.where("k < 2").select("cell"))
+        done.append(left.join(close, "cell", "left_semi"))
+        parts = F.ceil(F.col("n") / BLOCK).cast("long")
+        heads = centres.where("k > 1").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("weight"), F.col("centres").alias("raw"))
+        body = rows.join(close, "cell", "left_anti").select("cell", F.pmod(F.xxhash64("node"), parts).alias("part"), "node", "weight", "raw")
+        near = heads.unionByName(body).repartition("cell", "part").sortWithinPartitions("cell", "part", F.asc_nulls_first("node"))
+
+        def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres = None
+            for pdf in batches:
+                start = 0
+                at = [*np.flatnonzero(pdf["node"].isna().to_numpy()), len(pdf)]
+                for end in at:
+                    part = pdf.iloc[start:end]
+                    if len(part):
+                        x = unit(np.frombuffer(b"".join(part["raw"]), kind).reshape(len(part), -1))
+                        yield part[["node", "weight", "raw", "cell"]].assign(k=(x @ centres.T).argmax(1)).astype({"node": "int64", "weight": "int64"})
+                    if end < len(pdf):
+                        first = pdf["raw"].iloc[end]
+                        centres = np.frombuffer(first).reshape(-1, dims)
+                    start = end + 1
+
+        moved = near.mapInPandas(move, "node long, weight long, raw binary, cell long, k int")
+        left = written(moved.select("node", "weight", "raw", F.xxhash64("cell", "k").alias("cell")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return written(out)
+
+
 def subtrees(classes: DataFrame, top: np.ndarray, n: int, kind: type) -> DataFrame:
     """The vectors of ``classes`` in subtrees of about BLOCK: block, place, node, weight, raw, levels; at place 0 also centre and cover."""
     centres = centres_of(top, max(1, math.ceil(n / BLOCK)))
@@ -253,10 +310,10 @@ def subtrees(classes: DataFrame, top: np.ndarray, n: int, kind: type) -> DataFra
         x = unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1))
         return pd.Series((x @ centres.T).argmax(1).astype(np.int32))
 
-    placed = written(classes.select("node", "weight", "raw").withColumn("cell", nearest("raw")))
-    # One row a centre, TOP_SAMPLE at most.
-    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = placed.join(F.broadcast(parts), "cell").withColumn("block", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = split(written(classes.select("node", "weight", "raw").withColumn("cell", nearest("raw").cast("long"))), kind)
+    # What no centre parts any more lies closer together than 1e-3: dealt by hash, its blocks link node with node.
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1").withColumnRenamed("cell", "_cell")
+    dealt = placed.join(parts, F.col("cell") == F.col("_cell"), "left").withColumn("block", F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(pdf), -1))
@@ -343,7 +400,8 @@ def near_dedup(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_i
     """id, n_links, component_id, kept for every row of ``vectors``.
 
     Equal vectors are one class. Every class goes to the nearest of the centres that a net over at most TOP_SAMPLE
-    classes gives, and these cells are dealt into subtrees of about BLOCK, with nested levels of halving radii. Spark
+    classes gives; cells of more than BLOCK are split by distance until they are small, and each becomes a subtree with
+    nested levels of halving radii. Spark
     joins the subtrees whose covering radii can't keep them apart, by way of a level above; tasks traverse each pair
     from level to level, only children of undecided node pairs are looked at, and node pairs that link member with
     member are counted at once. Pairs of vectors are counted, never listed.

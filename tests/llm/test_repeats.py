@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat, common, exact, quality, setsketch, tagpaths, toxicity
+from gaugeworks.llm import chat, common, covertree, exact, quality, setsketch, tagpaths, toxicity
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -97,3 +97,34 @@ def test_wrappers_named_after_what_else_they_hold_keep_their_text():
     for name in ("content has-sidebar", "with-comments", "social-page"):
         assert TEXT in tagpaths.main_text(f"<body><div class='{name}'>{ARTICLE}</div></body>")
         assert TEXT in tagpaths.main_text(f"<body><div class='{name}'><h1>Head</h1>{ARTICLE}</div><div class='comments'>{LONG}</div></body>")
+
+
+def test_a_dense_cell_is_split_by_distance(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    centres = base + 0.35 * rng.normal(size=(30, 16))
+    x = np.concatenate([c + 0.02 * rng.normal(size=(40, 16)) for c in centres] + [rng.normal(size=(60, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    monkeypatch.setattr(covertree, "BLOCK", 50)
+    monkeypatch.setattr(covertree, "TOP_SAMPLE", 3)  # the first net puts nearly all into one cell
+    seen = {}
+    real = covertree.block_pairs
+
+    def watched(blocks, top, reach):
+        pairs = real(blocks, top, reach)
+        seen.update(blocks=blocks.where("place = 0").count(), largest=blocks.groupBy("block").count().agg(F.max("count")).first()[0], pairs=pairs.count())
+        return pairs
+
+    monkeypatch.setattr(covertree, "block_pairs", watched)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_dedup(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    assert {i: n for i, (n, _) in got.items()} == {i: int(links[i].sum()) - 1 for i in range(len(x))}
+    comp = np.arange(len(x))
+    while True:
+        new = np.array([comp[links[i]].min() for i in range(len(x))])
+        if (new == comp).all():
+            break
+        comp = new
+    assert {i: c for i, (_, c) in got.items()} == dict(enumerate(comp.tolist()))
+    assert seen["largest"] <= 50 and seen["pairs"] < 0.5 * seen["blocks"] * (seen["blocks"] - 1) / 2
