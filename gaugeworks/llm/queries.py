@@ -109,6 +109,39 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 20 AS f
+              FROM conversations, tab),
+        d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM k, (SELECT unnest(range(2)) AS copy) WHERE f <> 0 AND (copy = 0 OR f = 3)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z FROM d),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pre FROM o),
+        r AS (SELECT *, z = '' OR again AS gone, CASE WHEN z <> '' AND NOT again AND z NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS short FROM p),
+        w AS (
+          SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 'r': ''} AS e, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS v FROM (SELECT DISTINCT conv_id FROM r)
+          UNION ALL
+          SELECT conv_id, i, {'c': e.c + 4, 'a': e.a || 'D', 'r': e.r},
+            list_min([{'c': s.c + 4, 'a': s.a || 'D', 'r': s.r}, CASE WHEN NOT gone AND ini = 's' THEN {'c': e.c + short, 'a': e.a || 'K', 'r': e.r || chr(10) || role || ':' || text} END]),
+            list_min(list_concat([{'c': u.c + 4, 'a': u.a || 'D', 'r': u.r}], flatten(list_transform([e, s, v], lambda x: [
+              CASE WHEN NOT gone AND ini = 'u' AND x.c IS NOT NULL THEN {'c': x.c + short, 'a': x.a || 'K', 'r': x.r || chr(10) || role || ':' || text} END,
+              CASE WHEN NOT gone AND x.c IS NOT NULL THEN {'c': x.c + 3 + short, 'a': x.a || 'R', 'r': x.r || chr(10) || 'user:' || text} END])))),
+            list_min([{'c': v.c + 4, 'a': v.a || 'D', 'r': v.r},
+              CASE WHEN NOT gone AND ini = 'a' AND u.c IS NOT NULL THEN {'c': u.c + short, 'a': u.a || 'K', 'r': u.r || chr(10) || role || ':' || text} END,
+              CASE WHEN NOT gone AND u.c IS NOT NULL THEN {'c': u.c + 3 + short, 'a': u.a || 'R', 'r': u.r || chr(10) || 'assistant:' || text} END])
+          FROM (
+            SELECT conv_id, i + 1 AS i, e, s, u, list_min(list_filter([v, {'c': u.c + 3, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}], lambda x: x.c IS NOT NULL)) AS v
+            FROM (SELECT conv_id, i, e, s, v, list_min(list_filter([u, {'c': e.c + 3, 'a': e.a || 'I', 'r': e.r || chr(10) || 'user:'}, {'c': s.c + 3, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'}, {'c': v.c + 3, 'a': v.a || 'I', 'r': v.r || chr(10) || 'user:'}], lambda x: x.c IS NOT NULL)) AS u
+              FROM (SELECT conv_id, i, e, CASE WHEN s.c IS NOT NULL THEN s END AS s, CASE WHEN u.c IS NOT NULL THEN u END AS u, CASE WHEN v.c IS NOT NULL THEN v END AS v FROM w))) q
+          JOIN r USING (conv_id, i)),
+        n AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (z = '') AS blank, count(*) FILTER (z <> '' AND again) AS duplicate, count(*) FILTER (short > 0) AS truncated,
+                count(*) FILTER (pre IS NOT NULL AND pre || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+        fin AS (SELECT conv_id, list_min(list_filter([e, v, {'c': u.c + 3, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}, {'c': s.c + 6, 'a': s.a || 'II', 'r': s.r || chr(10) || 'user:' || chr(10) || 'assistant:'}], lambda x: x.c IS NOT NULL)) AS x
+                FROM w JOIN n USING (conv_id) WHERE i = n.n)
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(substr(x.r, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id) LEFT JOIN fin USING (conv_id)""",
     "op12_url_filter": r"""
         WITH p AS (
           SELECT page_id, url,
