@@ -106,7 +106,9 @@ def format_chats(records: DataFrame, key: str, order: str, record: str) -> DataF
     A record holds a conversation or one turn of it; records of a key are put in order of ``order``, then of
     their text. Rows of one key meet in one task but pass through it one at a time, sorted by Spark. Records of
     unknown layout and broken JSON give one row with a null role, the layout's fingerprint (or "broken") and
-    the record itself, unformatted.
+    the record itself, unformatted. A null key is a key of its own, null orders come first, repeated records are turns
+    of their own; texts of any length are formatted whole. Other columns are not read, and an empty table gives
+    an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

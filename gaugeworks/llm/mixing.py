@@ -164,7 +164,10 @@ def mix_rates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """id, tokens, posterior, domain (likeliest), rate, copies for every row of ``docs``.
 
     Null and empty texts have no tokens and the prior as posterior. An empty table gives an empty result; with no
-    labelled row there are no domains and every rate is 1.
+    labelled row there are no domains and every rate is 1. Rows are independent once the rates are fitted: rows that
+    repeat id and text get equal results and weigh in each, rows of one id with other texts their own; texts of any
+    length are read whole. Of equal posteriors the first domain by name is the likeliest. Other columns than id,
+    text and domain are not read.
     """
     model, steps, _ = fit_mix(docs, least=least, id_col=id_col, text_col=text_col, **params)
     p = docs.select(F.col(id_col), F.size(words(F.col(text_col))).cast("long").alias("tokens"), posterior(F.col(text_col), model).alias("posterior"))
@@ -175,7 +178,10 @@ def mix_rates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mixed_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 1.0, **params) -> DataFrame:
-    """``docs`` with every row repeated as often as its rate says; all columns stay, no text is shuffled."""
+    """``docs`` with every row repeated as often as its rate says; all columns stay, whatever their names, no text is shuffled.
+
+    A row travels as one struct. Rows that repeat an id are repeated alike; null ids draw the same number.
+    """
     model, steps, _ = fit_mix(docs, least=least, id_col=id_col, text_col=text_col, **params)
     r = rate(posterior(F.col(text_col), model), steps, least)
     n = copies(id_col, r).cast("int")

@@ -130,7 +130,9 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 16, id_c
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row: law ``rows``, links between equal texts.
 
     Null text counts as empty; empty texts are equal texts like any others. Rows that repeat an id are rows of
-    their own, null ids too. ``slot`` is gapless from 0 inside a shard. An empty table gives an empty result.
+    their own, null ids too. ``slot`` is gapless from 0 inside a shard, in the order of a hash of id and text, then of the
+    id; rows equal in both take any of their places. Texts of any length count by their bytes and travel as a hash.
+    Other columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

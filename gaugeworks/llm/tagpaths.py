@@ -252,7 +252,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``; null and empty pages have an empty text.
 
     Pages are independent; repeated rows give equal results, other columns are not read; an empty table gives an
-    empty result. Long and deeply nested pages take time in proportion to their length.
+    empty result. Of paths with equal scores all are chosen or none. Long and deeply nested pages take time in proportion to their length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
