@@ -262,7 +262,7 @@ class Landmarks:
 def sentence_kernels(train: DataFrame, marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """K^-1/2 times the kernels of every sentence of ``train`` (_k, _h, _y, _text), its text's number, its label as 1 or -1.
 
-    Tasks split whole texts into sentences; only the small vectors come to the driver.
+    Tasks split whole texts into sentences and write the small vectors, which the driver reads one partition at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +270,7 @@ def sentence_kernels(train: DataFrame, marks: Landmarks) -> tuple[np.ndarray, np
 
         def block(found: list[tuple]) -> pd.DataFrame:
             at = np.array([x[:3] for x in found], np.int64)
-            return pd.DataFrame({"at": [at.tobytes()], "x": [(marks.kernels([x[3] for x in found], where) @ whiten).tobytes()]})
+            return pd.DataFrame({"n": [len(at)], "at": [at.tobytes()], "x": [(marks.kernels([x[3] for x in found], where) @ whiten).tobytes()]})
 
         for pdf in batches:
             found: list[tuple] = []
@@ -284,9 +284,13 @@ def sentence_kernels(train: DataFrame, marks: Landmarks) -> tuple[np.ndarray, np
             if found:
                 yield block(found)
 
-    rows = train.mapInPandas(run, "at binary, x binary").collect()
-    at = np.frombuffer(b"".join(r["at"] for r in rows), np.int64).reshape(-1, 3)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, len(marks.marks))
+    blocks = written(train.mapInPandas(run, "n long, at binary, x binary"))
+    n = blocks.agg(F.sum("n")).first()[0] or 0
+    at, x, end = np.empty((n, 3), np.int64), np.empty((n, len(marks.marks)), np.float32), 0
+    for r in blocks.toLocalIterator():
+        at[end : end + r["n"]] = np.frombuffer(r["at"], np.int64).reshape(-1, 3)
+        x[end : end + r["n"]] = np.frombuffer(r["x"], np.float32).reshape(-1, x.shape[1])
+        end += r["n"]
     owner = np.unique(at[:, :2], axis=0, return_inverse=True)[1].ravel()
     return x, owner, np.where(at[:, 2] > 0, 1, -1)
 
