@@ -6,6 +6,8 @@ all distances, found by counting ranges of their bits.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,11 @@ from ..functions.exprs import draw
 from ..sources.tables import written
 
 TILE = 1024  # vectors of a block
+SIDES, MOST = 4, 32  # a large cell's blocks are dealt to so many sides of tiles at least; blocks of a side at most
+LOCAL = 4096  # rows of a cell whose permutations one task places
 FIRST_BITS = 40  # low bits not counted in the first pass
+FEW = 4_000_000  # distances in a range that are counted one by one
+HELD = 300_000  # rows a tile holds before it adds them up
 
 
 def _kinds(df: DataFrame, keys: list[str]) -> str:
@@ -25,16 +31,58 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
 def permuted_labels(df: DataFrame, keys: list[str], ident: str, grp: str, n_perm: int, seed: str) -> DataFrame:
     """keys, ident, labels: the row's group (0 or 1) and those of ``n_perm`` permutations, as text of one digit each.
 
-    A permutation gives group 0 to as many rows of a cell as have it, first in the order of a hash.
+    A permutation gives group 0 to as many rows of a cell as have it, first in the order of a hash. In a large cell the
+    last row of group 0 is looked for among the few whose hash lies near where it must, so rows x permutations are
+    hashed but never shuffled or sorted.
     """
-    sizes = df.groupBy(*keys).agg(F.count_if(F.col(grp) == 0).alias("_n0"))
-    each = df.select(*keys, ident, grp).join(sizes, keys)
-    drawn = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_p")) if n_perm else each.withColumn("_p", F.lit(0)).limit(0)
-    place = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(draw(seed, *keys, "_p", ident), ident))
-    own = each.select(*keys, ident, F.lit(-1).alias("_p"), F.col(grp).cast("int").alias("_g"))
-    every = own.unionAll(drawn.select(*keys, ident, "_p", (place > F.col("_n0")).cast("int").alias("_g")))
-    digits = F.transform(F.sort_array(F.collect_list(F.struct("_p", "_g"))), lambda x: x["_g"].cast("string"))
-    return every.groupBy(*keys, ident).agg(F.array_join(digits, "").alias("labels"))
+    rows = df.select(*keys, ident, grp)
+    own = F.col(grp).cast("int").cast("string")
+    if not n_perm:
+        return rows.select(*keys, ident, own.alias("labels"))
+    sizes = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(grp) == 0).alias("_n0")))
+    small, large = (sizes.where(F.col("_n") <= LOCAL), sizes.where(F.col("_n") > LOCAL))
+    text = [F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)).alias("_head"), F.col(ident).cast("string").alias("_tail")]
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ident, kind="stable").reset_index(drop=True)
+        head, n0 = pdf["_head"].iloc[0], int((pdf[grp] == 0).sum())
+        digits = np.empty((len(pdf), n_perm + 1), "u1")
+        digits[:, 0] = pdf[grp]
+        for p in range(n_perm):
+            at = np.array([int(hashlib.md5(f"{head}:{p}:{t}".encode()).hexdigest()[:8], 16) for t in pdf["_tail"]])
+            digits[:, p + 1] = 1
+            digits[np.argsort(at, kind="stable")[:n0], p + 1] = 0
+        made = pdf[[*keys, ident]].copy()
+        made["labels"] = [r.tobytes().decode() for r in digits + 48]
+        return made
+
+    near = rows.join(small.select(*keys), keys).select(*keys, ident, grp, *text)
+    labels = near.groupBy(*keys).applyInPandas(placed, f"{_kinds(df, [*keys, ident])}labels string")
+    if large.isEmpty():
+        return labels
+    many = rows.join(large, keys)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))
+    drawn = many.select(*keys, ident, "_n", "_n0", steps.alias("_p")).withColumn("_h", draw(seed, *keys, "_p", ident))
+    width = 8.0
+    while True:
+        margin = width * F.sqrt(F.col("_n0") * (1 - F.col("_n0") / F.col("_n"))) + 16
+        low, high = ((F.col("_n0") + m) / F.col("_n") * float(1 << 32) for m in (-margin, margin))
+        before = drawn.where(F.col("_h") < low).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_before"))
+        spots = drawn.where((F.col("_h") >= low) & (F.col("_h") <= high)).groupBy(*keys, "_p", "_n0").agg(F.sort_array(F.collect_list(F.struct("_h", F.col(ident).alias("_i")))).alias("_c"))
+        at = F.col("_n0") - 1 - F.coalesce("_before", F.lit(0))  # -1 where no row has group 0 and all are after
+        last = F.when(F.col("_n0") == 0, F.struct(F.lit(-1).cast("long").alias("_h"), F.lit(None).cast(df.schema[ident].dataType).alias("_i"))).when(at >= 0, F.get("_c", at.cast("int")))
+        ends = spots.join(before, [*keys, "_p"], "left").select(*keys, "_p", last.alias("_e"))
+        ends = written(ends.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_e"))), lambda x: x["_e"]).alias("_ends")))
+        if ends.count() == large.count() and ends.where((F.size("_ends") < n_perm) | F.exists("_ends", lambda x: x.isNull())).isEmpty():
+            break
+        width *= 4  # all but impossible: the row lies outside; in the end every row is looked at
+
+    def digit(p: Column) -> Column:
+        h, e = draw(seed, *(F.col(k) for k in keys), p, F.col(ident)), F.get("_ends", p)
+        return F.when((h < e["_h"]) | ((h == e["_h"]) & (F.col(ident) <= e["_i"])), "0").otherwise("1")
+
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_perm - 1)), digit), "")
+    return labels.unionByName(rows.join(ends, keys).select(*keys, ident, F.concat(own, digits).alias("labels")))
 
 
 def kernel_blocks(df: DataFrame, keys: list[str], ident: str, grp: str, vector: str, n_perm: int = 200, seed: str = "perm") -> DataFrame:
@@ -44,36 +92,69 @@ def kernel_blocks(df: DataFrame, keys: list[str], ident: str, grp: str, vector:
     """
     ok = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     rows = written(df.where(ok & F.col(grp).isin(0, 1)).select(*keys, ident, grp, F.col(vector).cast("array<double>").alias("_v")))
-    labels = permuted_labels(rows, keys, ident, grp, n_perm, seed)
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    dealt = rows.join(labels, [*keys, ident]).join(sizes, keys).withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks").cast("long")).cast("int"))
+    labelled = rows.join(permuted_labels(rows, keys, ident, grp, n_perm, seed), [*keys, ident]) if n_perm else rows.withColumn("labels", F.col(grp).cast("int").cast("string"))
+    dealt = labelled.join(written(sizes), keys).withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks").cast("long")).cast("int"))
     packed = dealt.groupBy(*keys, "blocks", "block").agg(F.collect_list(F.struct("labels", "_v")).alias("_r"))
     return written(packed.select(*keys, "blocks", "block", F.col("_r.labels").alias("labels"), F.col("_r._v").alias("vectors")))
 
 
-def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFrame | None = None) -> DataFrame:
-    """``work(x, y, same, row)`` for every two blocks of a cell (a block with itself: ``same``): rows of ``out``.
+def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFrame | None = None, by: tuple[str, ...] = (), labelled: bool = False) -> DataFrame:
+    """``work(x, y, same, row)`` for every two blocks of a cell (a block with itself: ``same``): rows of ``out``, added up
+    by ``by`` inside a task.
 
-    x and y are (labels, vectors) as matrices; ``row`` holds the cell's columns of ``extra``. A block goes to the tiles
-    it takes part in, so a large cell's tiles spread over all tasks.
+    x and y are (labels, vectors) as matrices, labels where ``labelled``; ``row`` holds the cell's columns of ``extra``.
+    Blocks are dealt to sides and a task gets two sides: a block goes to as many tiles as its cell has sides, which are
+    few, so what is shuffled grows with the vectors until a cell has more than SIDES x MOST blocks.
     """
     more = [] if extra is None else [c for c in extra.columns if c not in keys]
     source = blocks if extra is None else blocks.join(extra, keys)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = source.select("*", other.alias("_o")).select("*", F.least("block", "_o").alias("_a"), F.greatest("block", "_o").alias("_b"))
+    count = F.greatest(F.least(F.col("blocks"), F.lit(SIDES)), F.ceil(F.col("blocks") / MOST).cast("int"))
+    sided = source.withColumn("_sides", count).withColumn("_side", F.col("block") % F.col("_sides"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_sides") - 1))
+    tiles = sided.select("*", other.alias("_o")).select("*", F.least("_side", "_o").alias("_a"), F.greatest("_side", "_o").alias("_b"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        sides = [(np.array([np.frombuffer(t.encode(), "u1") for t in r.labels], "f8") - 48, np.stack(list(r.vectors))) for r in pdf.itertuples()]
-        made = work(sides[0], sides[-1], len(sides) == 1, pdf.iloc[0])
-        for i, k in enumerate(keys):
-            made.insert(i, k, [pdf[k].iloc[0]] * len(made))
+        width = [r.strip().split()[0] for r in out.split(",")]
+        first, last = (pdf[pdf["_side"] == pdf[c].iloc[0]] for c in ("_a", "_b"))
+        row = pdf.iloc[0]
+        stacks = {b: np.stack(list(v)) for b, v in zip(pdf["block"], pdf["vectors"], strict=True)}
+        digits = {b: np.frombuffer("".join(v).encode(), "u1").reshape(len(v), -1) for b, v in zip(pdf["block"], pdf["labels"], strict=True)} if labelled else {}
+        side = lambda b: (digits[b] - 48.0 if labelled else None, stacks[b])
+        held, rows = [], 0
+        for i in sorted(first["block"]):
+            x = side(i)
+            for j in sorted(last["block"]):
+                if row["_a"] == row["_b"] and j < i:
+                    continue
+                held.append(work(x, x if i == j else side(j), i == j, row))
+                rows += len(held[-1])
+                if rows > HELD and len(held) > 1:
+                    held = [_added(held, by)]
+                    rows = len(held[0])
+        made = _added(held, by)[width]
+        for k in reversed(keys):
+            made.insert(0, k, [row[k]] * len(made))
         return made
 
-    needed = tiles.select(*keys, "_a", "_b", "block", "labels", "vectors", *more)
+    needed = tiles.select(*keys, "_a", "_b", "_side", "block", *(["labels"] if labelled else []), "vectors", *more)
     return needed.groupBy(*keys, "_a", "_b").applyInPandas(one, f"{_kinds(blocks, keys)}{out}")
 
 
+def _added(parts: list[pd.DataFrame], by: tuple[str, ...]) -> pd.DataFrame:
+    whole = pd.concat(parts, ignore_index=True)
+    return whole.groupby(list(by), as_index=False, sort=False).sum() if by else whole.sum().to_frame().T.astype(whole.dtypes.to_dict())
+
+
+def counts_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct whole numbers and how often each occurs, by counting where their range is small."""
+    if len(values) and (low := values.min()) >= 0 and values.max() - low < 4 * len(values) + 1024:
+        n = np.bincount(values - low)
+        at = np.flatnonzero(n)
+        return at + low, n[at]
+    return np.unique(values, return_counts=True)
+
+
 def distances2(x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
     """Squared distances of rows; of a block with itself those above the diagonal."""
     d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)
@@ -84,8 +165,8 @@ def bandwidths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, h: the median of all distances in a cell, the mean of the two middle ones where their number is even; 1 where it is 0.
 
     A first pass counts squared distances by their leading 24 bits (doubles sort like their bits). It leaves one or two
-    ranges; a second pass counts inside them by the next 20 bits, a third by the last 20, which name the value. Only
-    counts are shuffled.
+    ranges; where these hold few distances, a second pass counts them one by one, else by the next 20 bits, and a third by
+    the last 20, which name the value. Only counts are shuffled.
     """
     def counted(low: int, wanted: DataFrame | None):
         inner = wanted is not None
@@ -94,10 +175,10 @@ def bandwidths(blocks: DataFrame, keys: list[str]) -> DataFrame:
             bits = distances2(x[1], y[1], same).view("i8")
             if inner:
                 bits = bits[np.isin(bits >> row["_low"], row["_prefix"])]
-            at, n = np.unique(bits >> low, return_counts=True)
+            at, n = counts_of(bits >> low)
             return pd.DataFrame({"bits": at, "n": n})
 
-        counts = over_tiles(blocks, keys, "bits long, n long", work, wanted)
+        counts = over_tiles(blocks, keys, "bits long, n long", work, wanted, ("bits",))
         return counts.groupBy(*keys, "bits").agg(F.sum("n").alias("n"))
 
     def located(counts: DataFrame, ranks: Column, base: Column) -> DataFrame:
@@ -109,15 +190,15 @@ def bandwidths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     total = first.groupBy(*keys).agg(F.sum("n").alias("_n"))
     ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
     low = FIRST_BITS
-    held = located(first.join(total, keys), ranks, F.lit(0)).select(*keys, "bits", "_n", (F.col("_to") - F.col("n")).alias("_below"))
+    held = located(first.join(total, keys), ranks, F.lit(0)).select(*keys, "bits", "_n", (F.col("_to") - F.col("n")).alias("_below"), F.col("n").alias("_in"))
     while low > 0:
-        nxt = max(0, low - 20)
         held = written(held)
+        nxt = 0 if (held.agg(F.max("_in")).first()[0] or 0) <= FEW else max(0, low - 20)
         wanted = held.groupBy(*keys).agg(F.collect_set("bits").alias("_prefix"), F.lit(low).alias("_low"))
         inner = counted(nxt, wanted).withColumn("_outer", F.shiftright("bits", low - nxt))
         outer = held.select(*keys, F.col("bits").alias("_outer"), "_n", "_below")
         found = located(inner.join(outer, [*keys, "_outer"]), ranks, F.col("_below"))
-        held, low = found.select(*keys, "bits", "_n", (F.col("_to") - F.col("n")).alias("_below")), nxt
+        held, low = found.select(*keys, "bits", "_n", (F.col("_to") - F.col("n")).alias("_below"), F.col("n").alias("_in")), nxt
 
     @F.pandas_udf("double")
     def as_double(bits: pd.Series) -> pd.Series:
@@ -144,7 +225,7 @@ def mmd_permutations(blocks: DataFrame, keys: list[str], bandwidth: DataFrame) -
         half = 0.5 if same else 1.0  # a block with itself holds every pair twice
         return pd.DataFrame({"p": np.arange(gx.shape[1]) - 1, "s00": half * s00, "s11": half * s11, "s01": half * cross})
 
-    sums = over_tiles(blocks, keys, "p int, s00 double, s11 double, s01 double", work, bandwidth)
+    sums = over_tiles(blocks, keys, "p int, s00 double, s11 double, s01 double", work, bandwidth, ("p",), labelled=True)
     sums = sums.groupBy(*keys, "p").agg(*(F.sum(c).alias(c) for c in ("s00", "s11", "s01")))
     one = F.explode("labels")
     sizes = blocks.select(*keys, one.alias("_l")).groupBy(*keys).agg(F.count_if(F.substring("_l", 1, 1) == "0").alias("n0"), F.count_if(F.substring("_l", 1, 1) == "1").alias("n1"))
@@ -179,7 +260,7 @@ def power_control(df: DataFrame, unit: str, ident: str, vector: str, n_perm: int
     """pairs, reject_rate, median, p95 of the test between unrelated units: it must reject nearly all of them to certify anything."""
     pairs = written(unit_pairs(df, unit, max_pairs, seed))
     sides = pairs.select("u", "w", F.explode(F.array(F.struct(F.col("u").alias("_unit"), F.lit(0).alias("_g")), F.struct(F.col("w").alias("_unit"), F.lit(1).alias("_g")))).alias("_s")).select("u", "w", "_s.*")
-    cells = sides.join(df.select(F.col(unit).alias("_unit"), ident, vector), "_unit")
+    cells = sides.join(written(df.select(F.col(unit).alias("_unit"), ident, vector)), "_unit")  # a vector is made once, not once a pair
     p = p_values(permutation_tests(cells, ["u", "w"], ident, "_g", vector, n_perm, seed), ["u", "w"])
     return p.agg(F.count("p_value").alias("pairs"), F.avg((F.col("p_value") < alpha).cast("int")).alias("reject_rate"), F.median("mmd2").alias("median"), F.percentile("mmd2", F.lit(0.95)).alias("p95"))
 
@@ -238,10 +319,10 @@ def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within:
             yield c[np.triu_indices(len(c), 1)] if same else c.ravel()
 
     def counted(x, y, same, row):
-        out = [pd.DataFrame({"side": i, "v": v, "n": n}) for i, c in enumerate(sides(x, y, same)) for v, n in [np.unique(c, return_counts=True)]]
+        out = [pd.DataFrame({"side": i, "v": v, "n": n}) for i, c in enumerate(sides(x, y, same)) for v, n in [counts_of(c)]]
         return pd.concat(out).astype({"side": "i4", "v": "i8", "n": "i8"})
 
-    found = over_tiles(blocks, keys or one, "side int, v long, n long", counted).groupBy("side", "v").agg(F.sum("n").alias("n")).collect()
+    found = over_tiles(blocks, keys or one, "side int, v long, n long", counted, by=("side", "v")).groupBy("side", "v").agg(F.sum("n").alias("n")).collect()
     ranks, pairs = np.zeros((2, 2 * 10**places + 1)), sum(r["n"] for r in found if r["side"] == 0)
     for side in (0, 1):
         before = 0

@@ -135,3 +135,34 @@ def test_derangement_moves_everyone(spark):
     got = {r.unit: r.donor for r in sm.derangement(spark.range(30).withColumnRenamed("id", "unit"), "unit").collect()}
     assert set(got) == set(got.values()) == set(range(30)) and all(a != b for a, b in got.items())
     assert sm.derangement(spark.range(1).withColumnRenamed("id", "unit"), "unit").count() == 0
+
+
+def test_large_cells_place_permutations_without_exploding_them(spark, monkeypatch):
+    rows, df = sample(spark, n=400)
+    small = {(r.cell, r.id): r.labels for r in kn.permuted_labels(df, ["cell"], "id", "grp", 25, "perm").collect()}
+    monkeypatch.setattr(kn, "LOCAL", 50)
+    large = kn.permuted_labels(df.withColumn("grp", df.grp), ["cell"], "id", "grp", 25, "perm")
+    assert {(r.cell, r.id): r.labels for r in large.collect()} == small
+    for cell in (0, 1):
+        for p in range(26):
+            assert sum(v[p] == "0" for (c, _), v in small.items() if c == cell) == 400 - 134
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Generate explode" not in plan
+
+
+@pytest.mark.parametrize("grp", [0, 1])
+def test_large_cells_of_one_group(spark, monkeypatch, grp):
+    monkeypatch.setattr(kn, "LOCAL", 5)
+    df = spark.createDataFrame([(0, i, grp) for i in range(40)], "cell int, id long, grp int")
+    assert {r.labels for r in kn.permuted_labels(df, ["cell"], "id", "grp", 6, "perm").collect()} == {str(grp) * 7}
+
+
+def test_tiles_of_many_blocks_send_each_block_to_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(kn, "TILE", 4)
+    monkeypatch.setattr(kn, "HELD", 20)
+    _, df = sample(spark)
+    blocks = kn.kernel_blocks(df, ["cell"], "id", "grp", "v", 10)
+    assert blocks.count() > 40
+    seen = kn.over_tiles(blocks, ["cell"], "pairs long, tiles long", lambda x, y, same, row: __import__("pandas").DataFrame({"pairs": [len(x[1]) * (len(x[1]) - 1) // 2 if same else len(x[1]) * len(y[1])], "tiles": [0]}))
+    got = seen.groupBy("cell").agg({"pairs": "sum", "*": "count"}).collect()
+    assert all(r["sum(pairs)"] == 90 * 89 // 2 and r["count(1)"] == kn.SIDES * (kn.SIDES + 1) // 2 for r in got)
