@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, draw
+from ..functions.exprs import draw
 from .resampling import mean, replicate_sums, windows
 
 
+def is_first(*then: str, before: list[Column] | None = None) -> Column:
+    """Whether a row is its unit's first: rows that hold the conditions ``before`` first, then the highest score, then ``then`` upwards.
+
+    A least value over the unit, so that all choices of a chain share one order of the rows by unit.
+    """
+    score = F.col("score")
+    key = F.struct(*((~F.coalesce(b, F.lit(False))).alias(f"b{i}") for i, b in enumerate(before or [])), score.isNull().alias("n"), (~F.isnan(score.cast("double"))).alias("m"), (-score).alias("s"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(then)))
+    return key == F.min(key).over(Window.partitionBy("unit"))
+
+
 def best(pool: DataFrame, policy: str, seed: str = "tie") -> DataFrame:
     """One winner per unit: highest score, ties by hash."""
-    place = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), draw(seed, "unit", "cand"), "cand"))
-    return pool.withColumn("_p", place).where("_p = 1").drop("_p").withColumn("policy", F.lit(policy))
+    rows = pool.withColumn("_h", draw(seed, "unit", "cand"))
+    return rows.withColumn("_p", is_first("_h", "cand")).where("_p").drop("_p", "_h").withColumn("policy", F.lit(policy))
 
 
 def budgeted(pool: DataFrame, k: int, seed: str) -> DataFrame:
@@ -36,8 +48,7 @@ def keep_or_best(pool: DataFrame, keep: Column, among: Column | None = None) ->
     inside = among if among is not None else F.lit(True)
     unit = Window.partitionBy("unit")
     any_kept = F.max((inside & keep).cast("int")).over(unit) == 1
-    first = F.row_number().over(unit.orderBy(inside.desc(), F.desc("score"), "cand")) == 1
-    return inside & F.when(any_kept, keep).otherwise(first)
+    return inside & F.when(any_kept, keep).otherwise(is_first("cand", before=[inside]))
 
 
 def never_empty(pool: DataFrame, keep: Column) -> DataFrame:
@@ -93,6 +104,34 @@ def funnel(pool: DataFrame, gates: list[tuple[float, list[str]]], steps: int) ->
     return out.where("kept").drop("kept", "nfe", "scored"), out.groupBy("unit").agg(F.sum("nfe").alias("cost"))
 
 
+def _to_mean(units: pa.Array) -> pa.Array:
+    """Per unit the cosine of each of its vectors to their sum; undefined for all where one is, 0 for a vector shorter than the sum."""
+    counts = units.value_lengths().to_numpy()
+    each = units.flatten()
+    sizes = each.value_lengths()
+    flat = each.flatten()
+    if len(each) and not each.null_count and not flat.null_count and (d := sizes[0].as_py()) and (sizes.to_numpy() == d).all() and counts.all():
+        x = flat.to_numpy().reshape(-1, d)
+        total = np.repeat(np.add.reduceat(x, np.cumsum(counts) - counts, axis=0), counts, axis=0)
+        norms = np.sqrt((x * x).sum(1)) * np.sqrt((total * total).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = np.where(norms == 0, 0.0, np.clip((x * total).sum(1) / norms, -1.0, 1.0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found))
+    return pa.array([_odd_cosines(v) for v in units.to_pylist()], pa.list_(pa.float64()))
+
+
+def _odd_cosines(vectors: list) -> list:
+    if any(v is None for v in vectors):
+        return [None] * len(vectors)
+    most = max(len(v) for v in vectors)
+    if any(len(v) < most for v in vectors) or any(z is None for v in vectors for z in v):
+        return [0.0 if len(v) < most else None for v in vectors]
+    x = np.array(vectors, "f8").reshape(len(vectors), most)
+    total = x.sum(0)
+    norms = np.sqrt((x * x).sum(1)) * np.sqrt((total * total).sum())
+    return [0.0 if n == 0 else float(np.clip(d / n, -1.0, 1.0)) for d, n in zip((x * total).sum(1), norms, strict=True)]
+
+
 def build_pool(rows: DataFrame, labels: list[str], vectors: list[str], reward: str, unit: str = "unit", cand: str = "cand") -> DataFrame:
     """unit, cand, for each axis whether the candidate is right (boolean) and ``<axis>_score``, ok (right on all) and score.
 
@@ -109,8 +148,7 @@ def build_pool(rows: DataFrame, labels: list[str], vectors: list[str], reward: s
         return F.array_min(F.transform(c, lambda x: F.struct((-n(x)).alias("n"), x[axis].cast("string").alias("l"))))["l"]
 
     def cosines(axis: str) -> Column:
-        total = F.aggregate(c, F.transform(F.get(c, F.lit(0))[axis], lambda z: F.lit(0.0)), lambda s, x: F.zip_with(s, x[axis], lambda p, q: p + q))
-        return F.transform(c, lambda x: F.round(cosine(x[axis], total), 9))
+        return F.transform(F.arrow_udf(_to_mean, "array<double>")(F.transform(c, lambda x: x[axis].cast("array<double>"))), lambda z: F.round(z, 9))
 
     whole = whole.withColumns({f"_m_{a}": majority(a) for a in labels} | {f"_s_{v}": cosines(v) for v in dict.fromkeys([*vectors, reward])})
     for v in vectors:
@@ -153,12 +191,13 @@ def replay(pool: DataFrame, gates: list[tuple[float, list[str]]], axes: list[str
     correct minus whether the winner is. Windows share the unit's partitioning; ties of a winner go by hash.
     """
     unit = Window.partitionBy("unit")
-    base = gated(pool, gates, steps).withColumnsRenamed({"kept": "k_oracle_axis_gated", "nfe": "n_oracle_axis_gated", "scored": "s_oracle_axis_gated"})
     n = F.count(F.lit(1)).over(unit)
     place = lambda seed: F.row_number().over(unit.orderBy(draw(seed, "unit", "cand"), "cand"))
-    x = base.withColumns({"_n": n, "_bok": place("bok"), "_half": place("half"), "_paid": F.sum("n_oracle_axis_gated").over(unit), "_ok": F.coalesce("ok", F.lit(False))})
+    x = pool.withColumn("_bok", place("bok")).withColumn("_half", place("half"))  # rows are sorted while they are narrow, by candidate last
     weight = F.exp((F.col("score") - F.max("score").over(unit)) / max(temperature, 1e-6))
     x = x.withColumn("_e", weight).withColumn("_hi", F.sum("_e").over(unit.orderBy("cand")) / F.sum("_e").over(unit)).withColumn("_lo", F.coalesce(F.lag("_hi").over(unit.orderBy("cand")), F.lit(0.0)))
+    x = gated(x.withColumn("_ok", F.coalesce("ok", F.lit(False))), gates, steps).withColumnsRenamed({"kept": "k_oracle_axis_gated", "nfe": "n_oracle_axis_gated", "scored": "s_oracle_axis_gated"})
+    x = x.withColumns({"_n": n, "_paid": F.sum("n_oracle_axis_gated").over(unit)})
     drawn = F.exists(F.sequence(F.lit(1), F.col("_n")), lambda i: _between(draw("smc", F.col("unit"), i) / float(1 << 32), F.col("_lo"), F.col("_hi")))
     first = charged(gates[0][0] if gates else 0.5, steps)
     affordable = F.greatest(F.lit(1), F.least(F.col("_n"), F.ceil(F.col("_paid") / steps)))
@@ -179,7 +218,7 @@ def replay(pool: DataFrame, gates: list[tuple[float, list[str]]], axes: list[str
         for a in axes:
             read = read.withColumn(f"_r_{a}", F.col(a) != (draw("noise", F.lit(a), "unit", "cand") / float(1 << 32) < noise))
         x = gated(read, [(s, [f"_r_{a}" for a in ax]) for s, ax in gates], steps).withColumnsRenamed({"kept": "k_non_oracle_axis_gated", "nfe": "n_non_oracle_axis_gated", "scored": "s_non_oracle_axis_gated"})
-    x = x.withColumns({"_top": F.row_number().over(unit.orderBy(F.desc("score"), "cand")) == 1, "_right": F.col("_ok") & (F.row_number().over(unit.orderBy(F.desc("_ok"), F.desc("score"), "cand")) == 1), "_tie": draw("tie", "unit", "cand")})
+    x = x.withColumns({"_top": is_first("cand"), "_right": F.col("_ok") & is_first("cand", before=[F.col("_ok")]), "_tie": draw("tie", "unit", "cand")})
     order = F.struct("score", -F.col("_tie"), -F.col("cand"))
     row = F.struct("cand", F.col("_ok").alias("ok"), *axes)
     result = [F.struct(

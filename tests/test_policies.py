@@ -81,3 +81,27 @@ def test_recovery_without_room_is_undefined(spark):
     rows = [outcome(u, p, True) for u in range(5) for p in ("full_bon", "oracle_axis_gated", "non_oracle_axis_gated")]
     r = po.headroom_recovery(spark.createDataFrame(rows, "unit int, policy string, correct boolean, correct_a boolean"), ["a"], n_boot=20).first()
     assert r.recovery is None and r.ci_low is None and r.replicates == 0
+
+
+def test_pool_of_odd_vectors(spark):
+    rows = [(1, 1, "x", [1.0, 0.0]), (1, 2, "x", [0.0, 0.0]), (2, 1, "x", None), (2, 2, "x", [1.0, 2.0]), (3, 1, "x", [1.0]), (3, 2, "x", [1.0, 2.0]), (4, 1, "x", [3.0, 4.0]), (4, 2, "x", [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "unit int, cand int, l string, v array<double>").coalesce(1)
+    got = {(r.unit, r.cand): r.score for r in po.build_pool(df, ["l"], ["v"], "v").collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): None, (2, 2): None, (3, 1): 0.0, (3, 2): None, (4, 1): 1.0, (4, 2): 1.0}
+
+
+def test_choices_of_a_chain_sort_a_unit_once(spark):
+    rows = [(u, c, c % 2 == 0, c % 3 == 0, c % 6 == 0, float(c % 4)) for u in range(5) for c in range(1, 7)]
+    df = spark.createDataFrame(rows, POOL)
+    alive, _ = po.funnel(df, GATES, 25)
+    plan = po.best(alive, "f")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Sort [") == 1
+    assert {(r.unit, r.cand) for r in po.best(alive, "f").collect()} == {(u, 6) for u in range(5)}
+
+
+def test_dealt_tables_get_more_parts_as_they_grow(spark, tmp_path):
+    from gaugeworks.sources.tables import dealt
+
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert dealt(df, ["id"], 100).rdd.getNumPartitions() == 10 and dealt(df, ["id"], 10_000).rdd.getNumPartitions() == 4
