@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import agreement as ag
 from ..operators import kernels as kn
 from ..operators import measures as ms
+from ..operators import ordering as od
+from ..sources.tables import written
 from .bindings import CURVES, M, RATED, VECTORS, documents_rated, measurements, r6, table, vectors
 from .catalog import query
 
@@ -247,11 +249,21 @@ def d26(spark, d):
     return got.select("source", "units", "events", "single", "multi", r6("mean_uncertainty"), r6("max_uncertainty"))
 
 
-@query("d27_headroom", f"""WITH {CURVES} SELECT axis, count(*) FILTER (a_ind > 0.9) AS pinned, count(*) FILTER (a_ind <= 0.9) AS open, round(avg(a_ind), 6) AS mean FROM ind GROUP BY axis""")
+PINNED_PART = 1000  # units named in one row
+
+
+@query("d27_headroom", f"""WITH {CURVES}, h AS (SELECT axis, count(*) FILTER (a_ind > 0.9) AS pinned, count(*) FILTER (a_ind <= 0.9) AS open, round(avg(a_ind), 6) AS mean FROM ind GROUP BY axis),
+ p AS (SELECT axis, unit, (row_number() OVER (PARTITION BY axis ORDER BY unit) - 1) // {PINNED_PART} AS part FROM ind WHERE a_ind > 0.9), l AS (SELECT axis, part, array_to_string(list_sort(list(unit)), ',') AS pinned_units FROM p GROUP BY axis, part)
+ SELECT axis, coalesce(part, 0) AS part, pinned, open, mean, coalesce(pinned_units, '') AS pinned_units FROM h LEFT JOIN l USING (axis)""")
 def d27(spark, d):
+    """All pinned units are named, so many in a row: a list of all of an axis would be one value that grows with the table."""
     from .curves import baselines
 
-    return ms.headroom(baselines(spark, d), ["axis"]).select("axis", "pinned", "open", r6("mean"))
+    b = written(baselines(spark, d).select("axis", "unit", "a_ind"))
+    numbers = od.numbered(b.where("a_ind > 0.9"), ["axis"], ["unit"], "n").withColumn("part", F.floor(F.col("n") / PINNED_PART))
+    parts = numbers.groupBy("axis", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("unit")), lambda u: u.cast("string")), ",").alias("pinned_units"))
+    got = ms.headroom(b, ["axis"]).join(parts, "axis", "left")
+    return got.select("axis", F.coalesce("part", F.lit(0).cast("long")).alias("part"), "pinned", "open", r6("mean"), F.coalesce("pinned_units", F.lit("")).alias("pinned_units"))
 
 
 @query("d27_pinned_registry", f"WITH {CURVES} SELECT axis, unit, round(a_ind, 6) AS a_ind FROM ind WHERE a_ind > 0.9")
