@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import draw
 from ..sources.tables import written
+from .ordering import running_total
 
 TILE = 1024  # vectors of a block
 SIDES, MOST = 4, 32  # a large cell's blocks are dealt to so many sides of tiles at least; blocks of a side at most
@@ -22,6 +23,7 @@ LOCAL = 4096  # rows of a cell whose permutations one task places
 FIRST_BITS = 40  # low bits not counted in the first pass
 FEW = 4_000_000  # distances in a range that are counted one by one
 HELD = 300_000  # rows a tile holds before it adds them up
+DENSE = 5  # places of cosines whose values are all counted in one table
 
 
 def _kinds(df: DataFrame, keys: list[str]) -> str:
@@ -99,17 +101,18 @@ def kernel_blocks(df: DataFrame, keys: list[str], ident: str, grp: str, vector:
     return written(packed.select(*keys, "blocks", "block", F.col("_r.labels").alias("labels"), F.col("_r._v").alias("vectors")))
 
 
-def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFrame | None = None, by: tuple[str, ...] = (), labelled: bool = False) -> DataFrame:
+def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFrame | None = None, by: tuple[str, ...] = (), labelled: bool = False, grouped: bool = True) -> DataFrame:
     """``work(x, y, same, row)`` for every two blocks of a cell (a block with itself: ``same``): rows of ``out``, added up
     by ``by`` inside a task.
 
     x and y are (labels, vectors) as matrices, labels where ``labelled``; ``row`` holds the cell's columns of ``extra``.
     Blocks are dealt to sides and a task gets two sides: a block goes to as many tiles as its cell has sides, which are
-    few, so what is shuffled grows with the vectors until a cell has more than SIDES x MOST blocks.
+    few, so what is shuffled grows with the vectors until a cell has more than SIDES x MOST blocks. Where rows are many
+    (not ``grouped``) a tile is two blocks, so that a task holds the rows of those only.
     """
     more = [] if extra is None else [c for c in extra.columns if c not in keys]
     source = blocks if extra is None else blocks.join(extra, keys)
-    count = F.greatest(F.least(F.col("blocks"), F.lit(SIDES)), F.ceil(F.col("blocks") / MOST).cast("int"))
+    count = F.greatest(F.least(F.col("blocks"), F.lit(SIDES)), F.ceil(F.col("blocks") / MOST).cast("int")) if grouped else F.col("blocks")
     sided = source.withColumn("_sides", count).withColumn("_side", F.col("block") % F.col("_sides"))
     other = F.explode(F.sequence(F.lit(0), F.col("_sides") - 1))
     tiles = sided.select("*", other.alias("_o")).select("*", F.least("_side", "_o").alias("_a"), F.greatest("_side", "_o").alias("_b"))
@@ -132,7 +135,7 @@ def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFr
                 if rows > HELD and len(held) > 1:
                     held = [_added(held, by)]
                     rows = len(held[0])
-        made = _added(held, by)[width]
+        made = (_added(held, by) if grouped else pd.concat(held))[width]
         for k in reversed(keys):
             made.insert(0, k, [row[k]] * len(made))
         return made
@@ -301,7 +304,8 @@ def _cosines(x: np.ndarray, y: np.ndarray, places: int) -> np.ndarray:
 def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within: list[str] | None = None, places: int = 4) -> DataFrame:
     """pairs, rho: Spearman's correlation, over all unit pairs (of one group each), of the cosines that two embeddings give.
 
-    No pair leaves a tile. Cosines are rounded to ``places``, so they take at most 2 x 10^places + 1 values: a first pass
+    With more than ``DENSE`` places the pairs of values are written, equal ones of a task together, and get their mean
+    ranks by shuffles: exact and bounded in memory, but what is shuffled grows with the pairs. Else no pair leaves a tile. Cosines are rounded to ``places``, so they take at most 2 x 10^places + 1 values: a first pass
     counts them and gives each its mean rank, a table of that size which a second pass applies and sums over.
     Rows with a null or undefined vector are left out; null where there are fewer than two pairs or no spread.
     """
@@ -318,6 +322,9 @@ def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within:
             c = _cosines(x[1][:, part], y[1][:, part], places)
             yield c[np.triu_indices(len(c), 1)] if same else c.ravel()
 
+    if places > DENSE:
+        return _ranked(over_tiles(blocks, keys or one, "p long, q long, n long", lambda x, y, same, row: pd.DataFrame(dict(zip("pq", sides(x, y, same), strict=True))).assign(n=1), grouped=False))
+
     def counted(x, y, same, row):
         out = [pd.DataFrame({"side": i, "v": v, "n": n}) for i, c in enumerate(sides(x, y, same)) for v, n in [counts_of(c)]]
         return pd.concat(out).astype({"side": "i4", "v": "i8", "n": "i8"})
@@ -336,3 +343,16 @@ def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within:
 
     total = over_tiles(blocks, keys or one, "n long, xx double, yy double, xy double", summed).agg(*(F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")))
     return total.select(F.coalesce("n", F.lit(0)).alias("pairs"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
+
+
+def _ranked(values: DataFrame) -> DataFrame:
+    """pairs, rho of rows (p, q, n): Spearman's correlation with ties at their mean rank, a value of n pairs counted n times."""
+    rows = source = written(values.groupBy("p", "q").agg(F.sum("n").alias("n")))
+    for side in ("p", "q"):
+        per = rows.groupBy(side).agg(F.sum("n").alias("_c"))
+        totals = running_total(per, [], [side], "_c", "_to")
+        rows = rows.join(totals.select(side, (F.col("_to") - (F.col("_c") - 1) / 2).alias(f"_{side}")), side)
+    mean = (source.agg(F.sum("n")).first()[0] or 0) / 2 + 0.5
+    x, y, n = F.col("_p") - mean, F.col("_q") - mean, F.col("n")
+    total = rows.agg(F.sum("n").alias("n"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    return total.select(F.coalesce("n", F.lit(0)).alias("pairs"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))

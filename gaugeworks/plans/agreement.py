@@ -329,11 +329,11 @@ def d32(spark, d):
 
 
 @query("d33_representation_similarity", f"""WITH {VECTORS}, b AS (SELECT vec_id, label, v[1:32] AS x, v[33:64] AS y FROM vecs), p AS (SELECT list_cosine_similarity(i.x, j.x) AS cx, list_cosine_similarity(i.y, j.y) AS cy FROM b i JOIN b j ON i.label = j.label AND i.vec_id < j.vec_id),
- r AS (SELECT rank() OVER (ORDER BY round(cx, 4)) + (count(*) OVER (PARTITION BY round(cx, 4)) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(cy, 4)) + (count(*) OVER (PARTITION BY round(cy, 4)) - 1) / 2.0 AS ry FROM p)
+ r AS (SELECT rank() OVER (ORDER BY round(cx, 9)) + (count(*) OVER (PARTITION BY round(cx, 9)) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(cy, 9)) + (count(*) OVER (PARTITION BY round(cy, 9)) - 1) / 2.0 AS ry FROM p)
  SELECT count(*) AS pairs, round(corr(rx, ry), 6) AS rho FROM r""")
 def d33(spark, d):
     b = vectors(spark, d).select("vec_id", "label", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"))
-    return kn.representation_similarity(b, "vec_id", "x", "y", ["label"]).select("pairs", r6("rho"))
+    return kn.representation_similarity(b, "vec_id", "x", "y", ["label"], places=9).select("pairs", r6("rho"))
 
 
 @query("d34_status_merge", "SELECT o_custkey AS shard, coalesce(min(CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END), max(CASE WHEN o_orderstatus = 'O' THEN 'OK' END), 'MISSING') AS status FROM orders GROUP BY o_custkey")

@@ -166,3 +166,20 @@ def test_tiles_of_many_blocks_send_each_block_to_few_tasks(spark, monkeypatch):
     seen = kn.over_tiles(blocks, ["cell"], "pairs long, tiles long", lambda x, y, same, row: __import__("pandas").DataFrame({"pairs": [len(x[1]) * (len(x[1]) - 1) // 2 if same else len(x[1]) * len(y[1])], "tiles": [0]}))
     got = seen.groupBy("cell").agg({"pairs": "sum", "*": "count"}).collect()
     assert all(r["sum(pairs)"] == 90 * 89 // 2 and r["count(1)"] == kn.SIDES * (kn.SIDES + 1) // 2 for r in got)
+
+
+def test_similarity_of_nine_places_tells_close_cosines_apart(spark, monkeypatch):
+    monkeypatch.setattr(kn, "TILE", 16)
+    rng = np.random.default_rng(4)
+    x, y = (1 + 1e-3 * rng.normal(size=(40, 3)) for _ in range(2))
+    y[5:9], x[30:33] = y[5], x[30]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], [float(v) for v in y[i]]) for i in range(40)], "id long, a array<double>, b array<double>")
+
+    def ranks(v):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        c = np.round(unit @ unit.T, 9)[np.triu_indices(40, 1)]
+        return (c[:, None] > c[None]).sum(1) + ((c[:, None] == c[None]).sum(1) + 1) / 2
+
+    fine, coarse = (kn.representation_similarity(df, "id", "a", "b", places=p).first() for p in (9, 4))
+    assert fine.pairs == 780 and fine.rho == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-9)
+    assert coarse.rho is None  # all cosines are 1 at four places
