@@ -154,7 +154,7 @@ def d14(spark, d):
  dd AS (SELECT pr.axis, u, w, coalesce(sum(x.p * y.p), 0) AS d FROM pr LEFT JOIN p x ON x.axis = pr.axis AND x.unit = u LEFT JOIN p y ON y.axis = pr.axis AND y.unit = w AND y.label = x.label GROUP BY pr.axis, u, w)
  SELECT axis, round(a, 6) AS within, round(b, 6) AS between, round((a - b) / (1 - b), 6) AS relative FROM (SELECT axis, avg(a) AS a FROM w GROUP BY axis) JOIN (SELECT axis, avg(d) AS b FROM dd GROUP BY axis) USING (axis)""".replace("AS between", 'AS "between"'))
 def d15(spark, d):
-    rows = measurements(spark, d).select("axis", "unit", "label")
+    rows = measurements(spark, d, by_unit=True).select("axis", "unit", "label")
     units = rows.select("axis", "unit").distinct()
     pairs = units.select("axis", F.col("unit").alias("u"), (F.col("unit") + 1).alias("w")).join(units.withColumnRenamed("unit", "w"), ["axis", "w"])
     return ag.profile_agreement(rows, pairs.select("axis", "u", "w"), ["axis"]).select("axis", r6("within"), r6("between"), r6("relative"))
@@ -218,7 +218,7 @@ READOUT = f"""{M}, fin AS (SELECT unit, axis, label AS final FROM (SELECT unit,
 @query("d23_readout_map", f"""WITH {READOUT}, u AS (SELECT axis, s, unit, final, avg(ok) AS acc FROM rd GROUP BY ALL), k AS (SELECT axis, s, final, count(*) AS n, avg(acc) AS r FROM u GROUP BY ALL)
  SELECT axis, round(s, 6) AS s, round(sum(n * r) / sum(n), 6) AS accuracy, sum(n)::BIGINT AS n_units, round(max(n)::DOUBLE / sum(n), 6) AS majority_baseline, round(sum(n * r) / sum(n) - max(n)::DOUBLE / sum(n), 6) AS margin, round(avg(r), 6) AS balanced_accuracy FROM k GROUP BY axis, s""")
 def d23(spark, d):
-    m = measurements(spark, d)
+    m = measurements(spark, d, by_unit=True)
     final = ag.majority(m.where("role = 'independent'"), ["unit", "axis"]).select("unit", "axis", F.col("label").alias("final"))
     u = m.where("role = 'fork'").join(final, ["unit", "axis"]).groupBy("axis", "s", "unit", "final").agg(F.avg((F.col("label") == F.col("final")).cast("int")).alias("acc"))
     k = u.groupBy("axis", "s", "final").agg(F.count(F.lit(1)).alias("n"), F.avg("acc").alias("r"))
@@ -282,7 +282,7 @@ def d28(spark, d):
 
     m = measurements(spark, d)
     t = baselines(spark, d).groupBy("axis").agg(F.avg("a_ind").alias("retest"))
-    r = ag.pairwise_agreement(m, ["axis", "unit"]).groupBy("axis").agg(F.avg("agreement").alias("robust"))
+    r = ag.pairwise_agreement(measurements(spark, d, by_unit=True), ["axis", "unit"]).groupBy("axis").agg(F.avg("agreement").alias("robust"))
     v = m.groupBy("axis").agg(F.avg(F.col("label").isin("A", "large", "high").cast("int")).alias("valid"))
     got = ms.reliability_gate(t.join(r, "axis").join(v, "axis"), {"retest": 0.4, "robust": 0.4, "valid": 0.5})
     return got.select("axis", r6("retest"), r6("robust"), r6("valid"), "reliable", "reason")

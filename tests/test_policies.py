@@ -105,3 +105,14 @@ def test_dealt_tables_get_more_parts_as_they_grow(spark, tmp_path):
     spark.range(1000).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
     assert dealt(df, ["id"], 100).rdd.getNumPartitions() == 10 and dealt(df, ["id"], 10_000).rdd.getNumPartitions() == 4
+
+
+def test_counts_by_unit_need_one_shuffle_of_the_lines(spark, tmp_path):
+    from gaugeworks.operators import agreement as ag
+    from gaugeworks.plans.bindings import measurements
+
+    rows = [(i % 9, 1 + i % 7, "OF"[i % 2], "ANR"[i % 3], float(i % 50), 0.05) for i in range(300)]
+    spark.createDataFrame(rows, "l_partkey long, l_linenumber int, l_linestatus string, l_returnflag string, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    one, two = (ag.pairwise_agreement(measurements(spark, str(tmp_path), by_unit=b), ["axis", "unit"]) for b in (True, False))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
