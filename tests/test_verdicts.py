@@ -1,11 +1,12 @@
 """Known answers of the exchangeability verdict, the micro-map criteria, the self-target gate and exact intervals."""
 
 import math
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.hooks import measured
+from gaugeworks.functions.hooks import BATCH, measured
 from gaugeworks.operators import inference as nf
 from gaugeworks.operators import verdicts as ve
 
@@ -157,3 +158,10 @@ def test_measurers_may_give_vectors(spark):
 
     got = {r.id: (r.label, r.embedding, r.error) for r in measured(df, "p", measure).collect()}
     assert got == {1: (None, [2.0, 1.0], None), 2: (None, [2.0, 1.0], None), 3: ("empty", None, None), 4: (None, None, None), 5: (None, None, "TypeError")}
+
+
+def test_measurers_get_few_payloads_at_a_time(spark):
+    df = spark.range(7 * BATCH).select("id", F.col("id").cast("string").alias("p")).coalesce(1)
+    got = measured(df, "p", lambda p: [len(sys._getframe(1).f_locals["part"])])
+    most = got.agg(F.max(F.get("embedding", F.lit(0))).alias("n"), F.count("embedding").alias("rows")).first()
+    assert most.n <= BATCH and most.rows == 7 * BATCH
