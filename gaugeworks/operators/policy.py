@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import draw
 from .resampling import mean, replicate_sums, windows
 
+PLACES = 9  # of cosines, so that ties are ties
+
 
 def is_first(*then: str, before: list[Column] | None = None) -> Column:
     """Whether a row is its unit's first: rows that hold the conditions ``before`` first, then the highest score, then ``then`` upwards.
@@ -105,7 +107,10 @@ def funnel(pool: DataFrame, gates: list[tuple[float, list[str]]], steps: int) ->
 
 
 def _to_mean(units: pa.Array) -> pa.Array:
-    """Per unit the cosine of each of its vectors to their sum; undefined for all where one is, 0 for a vector shorter than the sum."""
+    """Per unit the cosine of each of its vectors to their sum, to PLACES; undefined for all where one is, 0 for a vector shorter than the sum.
+
+    Rounded here, a batch at once: Spark's round makes a decimal of every double, which cost more than the cosines.
+    """
     counts = units.value_lengths().to_numpy()
     each = units.flatten()
     sizes = each.value_lengths()
@@ -115,7 +120,7 @@ def _to_mean(units: pa.Array) -> pa.Array:
         total = np.repeat(np.add.reduceat(x, np.cumsum(counts) - counts, axis=0), counts, axis=0)
         norms = np.sqrt((x * x).sum(1)) * np.sqrt((total * total).sum(1))
         with np.errstate(divide="ignore", invalid="ignore"):
-            found = np.where(norms == 0, 0.0, np.clip((x * total).sum(1) / norms, -1.0, 1.0))
+            found = np.where(norms == 0, 0.0, np.clip((x * total).sum(1) / norms, -1.0, 1.0)).round(PLACES) + 0.0  # no negative zero
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found))
     return pa.array([_odd_cosines(v) for v in units.to_pylist()], pa.list_(pa.float64()))
 
@@ -129,7 +134,7 @@ def _odd_cosines(vectors: list) -> list:
     x = np.array(vectors, "f8").reshape(len(vectors), most)
     total = x.sum(0)
     norms = np.sqrt((x * x).sum(1)) * np.sqrt((total * total).sum())
-    return [0.0 if n == 0 else float(np.clip(d / n, -1.0, 1.0)) for d, n in zip((x * total).sum(1), norms, strict=True)]
+    return [0.0 if n == 0 else float(np.clip(d / n, -1.0, 1.0).round(PLACES)) + 0.0 for d, n in zip((x * total).sum(1), norms, strict=True)]
 
 
 def build_pool(rows: DataFrame, labels: list[str], vectors: list[str], reward: str, unit: str = "unit", cand: str = "cand") -> DataFrame:
@@ -148,12 +153,12 @@ def build_pool(rows: DataFrame, labels: list[str], vectors: list[str], reward: s
         return F.array_min(F.transform(c, lambda x: F.struct((-n(x)).alias("n"), x[axis].cast("string").alias("l"))))["l"]
 
     def cosines(axis: str) -> Column:
-        return F.transform(F.arrow_udf(_to_mean, "array<double>")(F.transform(c, lambda x: x[axis].cast("array<double>"))), lambda z: F.round(z, 9))
+        return F.arrow_udf(_to_mean, "array<double>")(F.transform(c, lambda x: x[axis].cast("array<double>")))
 
     whole = whole.withColumns({f"_m_{a}": majority(a) for a in labels} | {f"_s_{v}": cosines(v) for v in dict.fromkeys([*vectors, reward])})
     for v in vectors:
         s, n = F.array_sort(f"_s_{v}"), F.size("_c")
-        whole = whole.withColumn(f"_t_{v}", F.round((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2, 9))
+        whole = whole.withColumn(f"_t_{v}", F.round((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2, PLACES))
     each = whole.select("*", F.posexplode("_c").alias("_i", "_x"))
     out = {}
     for a in labels:

@@ -1,5 +1,7 @@
 """Selection policies: pools, costs, retention and recovery with known answers."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeworks.operators import policy as po
@@ -116,3 +118,16 @@ def test_counts_by_unit_need_one_shuffle_of_the_lines(spark, tmp_path):
     one, two = (ag.pairwise_agreement(measurements(spark, str(tmp_path), by_unit=b), ["axis", "unit"]) for b in (True, False))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     assert one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_cosines_are_rounded_in_batches_not_by_decimals(spark, odd):
+    rng = np.random.default_rng(6)
+    units = [[[float(x) for x in rng.normal(size=3)] for _ in range(4)] for _ in range(50)] + [[[1.0, 0.0, 0.0], [1.0, 1e-12, 0.0]]]
+    for v, got in zip(units, po._to_mean(pa.array([*units, *([[None]] if odd else [])], pa.list_(pa.list_(pa.float64())))).to_pylist(), strict=False):
+        total = np.sum(v, axis=0)
+        exact = [float(np.dot(x, total) / (np.linalg.norm(x) * np.linalg.norm(total))) for x in v]
+        assert got == [float(f"{min(1.0, x):.9f}") for x in exact]
+    df = spark.createDataFrame([(1, c, "x", [float(c), 1.0]) for c in (1, 2)], "unit int, cand int, l string, f array<double>")
+    plan = po.build_pool(df, ["l"], [], "f")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
