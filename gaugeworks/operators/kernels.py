@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import draw
 from ..sources.tables import written
-from .ordering import running_total
+from .ordering import numbered, running_total
 
 TILE = 1024  # vectors of a block
 SIDES, MOST = 4, 32  # a large cell's blocks are dealt to so many sides of tiles at least; blocks of a side at most
@@ -268,13 +268,22 @@ def power_control(df: DataFrame, unit: str, ident: str, vector: str, n_perm: int
     return p.agg(F.count("p_value").alias("pairs"), F.avg((F.col("p_value") < alpha).cast("int")).alias("reject_rate"), F.median("mmd2").alias("median"), F.percentile("mmd2", F.lit(0.95)).alias("p95"))
 
 
+def halves(df: DataFrame, unit: str, ident: str, vector: str, seed: str = "half") -> DataFrame:
+    """unit, ident, vector, _g: two halves (0 and 1) of each unit's own rows, split by hash; of an odd number the last is left out.
+
+    A unit may hold all rows: its rows are numbered over ranges of their order, not in a window of one task.
+    """
+    rows = df.select(unit, ident, vector).withColumn("_h", draw(seed, unit, ident))
+    placed = numbered(rows, [unit], ["_h", ident], "_k")
+    sizes = placed.groupBy(F.col(unit).alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+    half = F.floor(F.col("_n") / 2)
+    halved = placed.join(sizes, F.col(unit).eqNullSafe(F.col("_unit"))).where((F.col("_n") >= 4) & (F.col("_k") < 2 * half))
+    return halved.select(unit, ident, vector, (F.col("_k") >= half).cast("int").alias("_g"))
+
+
 def half_split_p(df: DataFrame, unit: str, ident: str, vector: str, n_perm: int = 200, seed: str = "half") -> DataFrame:
     """unit, p_value of the test between two halves of each unit's own rows, split by hash; units of fewer than four rows are left out."""
-    by = Window.partitionBy(unit)
-    placed = df.select(unit, ident, vector).withColumn("_k", F.row_number().over(by.orderBy(draw(seed, unit, ident), ident)) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
-    half = F.floor(F.col("_n") / 2)
-    halves = placed.where((F.col("_n") >= 4) & (F.col("_k") < 2 * half)).withColumn("_g", (F.col("_k") >= half).cast("int"))
-    return p_values(permutation_tests(halves, [unit], ident, "_g", vector, n_perm, seed), [unit]).select(unit, "p_value")
+    return p_values(permutation_tests(halves(df, unit, ident, vector, seed), [unit], ident, "_g", vector, n_perm, seed), [unit]).select(unit, "p_value")
 
 
 def uniformity(p: DataFrame, value: str = "p_value", least: int = 5) -> DataFrame:

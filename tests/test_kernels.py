@@ -1,6 +1,8 @@
 """Kernel tests by tiles, order over whole tables, pair samples: against numpy, in one block and in many."""
 
+import hashlib
 import math
+import re
 from itertools import combinations
 
 import numpy as np
@@ -183,3 +185,17 @@ def test_similarity_of_nine_places_tells_close_cosines_apart(spark, monkeypatch)
     fine, coarse = (kn.representation_similarity(df, "id", "a", "b", places=p).first() for p in (9, 4))
     assert fine.pairs == 780 and fine.rho == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-9)
     assert coarse.rho is None  # all cosines are 1 at four places
+
+
+def test_halves_of_a_unit_need_no_window_over_it(spark):
+    rows = [(u, i, [float(i)]) for u, n in ((1, 41), (2, 4), (3, 3), (None, 6)) for i in range(n)]
+    made = kn.halves(spark.createDataFrame(rows, "unit int, id long, v array<double>").repartition(5), "unit", "id", "v")
+    want = {}
+    for u in (1, 2, None):
+        mine = sorted((int(hashlib.md5((f"half:{u}:{i}" if u else f"half:{i}").encode()).hexdigest()[:8], 16), i) for w, i, _ in rows if w == u)
+        half = len(mine) // 2
+        want |= {(u, i): int(k >= half) for k, (_, i) in enumerate(mine[: 2 * half])}
+    assert {(r.unit, r.id): r._g for r in made.collect()} == want and made.count() == len(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(([^)]*?)(?: ASC|, specified)", plan)
+    assert windows and all("__part" in w for w in windows)
