@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import draw
 from ..sources.tables import written
-from .ordering import numbered, running_total
+from .ordering import numbered
 
 TILE = 1024  # vectors of a block
 SIDES, MOST = 4, 32  # a large cell's blocks are dealt to so many sides of tiles at least; blocks of a side at most
@@ -24,6 +24,7 @@ FIRST_BITS = 40  # low bits not counted in the first pass
 FEW = 4_000_000  # distances in a range that are counted one by one
 HELD = 300_000  # rows a tile holds before it adds them up
 DENSE = 5  # places of cosines whose values are all counted in one table
+SPAN, PART = 2_000_000, 500_000  # pairs that one task ranks, and that one row holds
 
 
 def _kinds(df: DataFrame, keys: list[str]) -> str:
@@ -313,9 +314,10 @@ def _cosines(x: np.ndarray, y: np.ndarray, places: int) -> np.ndarray:
 def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within: list[str] | None = None, places: int = 4) -> DataFrame:
     """pairs, rho: Spearman's correlation, over all unit pairs (of one group each), of the cosines that two embeddings give.
 
-    With more than ``DENSE`` places the pairs of values are written, equal ones of a task together, and get their mean
-    ranks by shuffles: exact and bounded in memory, but what is shuffled grows with the pairs. Else no pair leaves a tile. Cosines are rounded to ``places``, so they take at most 2 x 10^places + 1 values: a first pass
-    counts them and gives each its mean rank, a table of that size which a second pass applies and sums over.
+    With more than ``DENSE`` places the pairs of values get their mean ranks by two shuffles: exact and bounded in memory,
+    but what is shuffled grows with the pairs. Else no pair leaves a tile. Cosines are rounded to ``places``, so they take
+    at most 2 x 10^places + 1 values: a first pass counts them and gives each its mean rank, a table of that size which a
+    second pass applies and sums over.
     Rows with a null or undefined vector are left out; null where there are fewer than two pairs or no spread.
     """
     keys = within or []
@@ -332,7 +334,7 @@ def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within:
             yield c[np.triu_indices(len(c), 1)] if same else c.ravel()
 
     if places > DENSE:
-        return _ranked(over_tiles(blocks, keys or one, "p long, q long, n long", lambda x, y, same, row: pd.DataFrame(dict(zip("pq", sides(x, y, same), strict=True))).assign(n=1), grouped=False))
+        return _correlation(_ranked(blocks, keys or one, sides, 2 * 10**places))
 
     def counted(x, y, same, row):
         out = [pd.DataFrame({"side": i, "v": v, "n": n}) for i, c in enumerate(sides(x, y, same)) for v, n in [counts_of(c)]]
@@ -350,18 +352,110 @@ def representation_similarity(df: DataFrame, ident: str, a: str, b: str, within:
         p, q = (ranks[i, c] for i, c in enumerate(sides(x, y, same)))
         return pd.DataFrame({"n": [len(p)], "xx": [p @ p], "yy": [q @ q], "xy": [p @ q]})
 
-    total = over_tiles(blocks, keys or one, "n long, xx double, yy double, xy double", summed).agg(*(F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")))
-    return total.select(F.coalesce("n", F.lit(0)).alias("pairs"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
+    return _correlation(over_tiles(blocks, keys or one, "n long, xx double, yy double, xy double", summed))
+
 
+def _spans(blocks: DataFrame, keys: list[str], sides, top: int) -> list[tuple[np.ndarray, ...]]:
+    """For both sides, ranges of the values 0 to ``top`` that hold at most SPAN pairs each, or one value alone: their ends
+    (exclusive), whether they are one value, pairs before them and in them.
 
-def _ranked(values: DataFrame) -> DataFrame:
-    """pairs, rho of rows (p, q, n): Spearman's correlation with ties at their mean rank, a value of n pairs counted n times."""
-    rows = source = written(values.groupBy("p", "q").agg(F.sum("n").alias("n")))
-    for side in ("p", "q"):
-        per = rows.groupBy(side).agg(F.sum("n").alias("_c"))
-        totals = running_total(per, [], [side], "_c", "_to")
-        rows = rows.join(totals.select(side, (F.col("_to") - (F.col("_c") - 1) / 2).alias(f"_{side}")), side)
-    mean = (source.agg(F.sum("n")).first()[0] or 0) / 2 + 0.5
-    x, y, n = F.col("_p") - mean, F.col("_q") - mean, F.col("n")
-    total = rows.agg(F.sum("n").alias("n"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    Values are counted by their leading bits; only ranges of more than SPAN pairs are counted by further ones.
+    """
+    low, wanted, leaves = max(0, top.bit_length() - 14), None, ([], [])
+    while True:
+        def counted(x, y, same, row, low=low, wanted=wanted):
+            out = []
+            for i, c in enumerate(sides(x, y, same)):
+                inner = c if wanted is None else c[np.isin(c >> wanted[0], wanted[1][i])]
+                v, n = counts_of(inner >> low)
+                out.append(pd.DataFrame({"side": i, "v": v, "n": n}))
+            return pd.concat(out).astype({"side": "i4", "v": "i8", "n": "i8"})
+
+        found = over_tiles(blocks, keys, "side int, v long, n long", counted, by=("side", "v")).groupBy("side", "v").agg(F.sum("n").alias("n")).collect()
+        for r in found:
+            if r["n"] <= SPAN or not low:
+                leaves[r["side"]].append((r["v"] << low, (r["v"] + 1) << low, r["n"]))
+        wanted = (low, [np.array([r["v"] for r in found if r["side"] == i and r["n"] > SPAN], "i8") for i in (0, 1)])
+        if not low or not any(map(len, wanted[1])):
+            break
+        low = max(0, low - 8)
+    made = []
+    for side in leaves:
+        spans = []  # end, single, pairs
+        for start, end, n in sorted(side):
+            if spans and spans[-1][2] + n <= SPAN:
+                spans[-1] = (end, False, spans[-1][2] + n)
+            else:
+                spans.append((end, end - start == 1, n))
+        n = np.array([x[2] for x in spans], "i8")
+        made.append((np.array([x[0] for x in spans], "i8"), np.array([x[1] for x in spans], bool), n.cumsum() - n, n))
+    return made
+
+
+def _packed(values: np.ndarray, others: np.ndarray, ends: np.ndarray):
+    """(range, bytes) of pairs: sorted by ``values``, cut at ``ends`` and into parts of bounded size. Bytes of one place lie
+    together, so that the compression of a shuffle finds those that repeat."""
+    order = np.argsort(values, kind="stable")
+    both = np.stack([values[order], others[order]])
+    cuts = np.searchsorted(both[0], ends)
+    for k, (start, stop) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):
+        for at in range(start, stop, PART):
+            part = np.ascontiguousarray(both[:, at : min(at + PART, stop)])
+            yield k, np.ascontiguousarray(part.view("u1").reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(parts: pd.Series) -> np.ndarray:
+    """The pairs of ``parts``, values and others, sorted by value."""
+    both = np.concatenate([np.ascontiguousarray(np.frombuffer(b, "u1").reshape(8, -1).T).view("i8").reshape(2, -1) for b in parts], axis=1)
+    return both[:, np.argsort(both[0], kind="stable")]
+
+
+def _ranked(blocks: DataFrame, keys: list[str], sides, top: int) -> DataFrame:
+    """pairs, rho: Spearman's correlation of the two values that ``sides`` gives for every pair, ties at their mean rank.
+
+    Pairs are dealt to ranges of the first value, ranked there, dealt to ranges of the second with that rank, ranked and
+    summed. A range holds a bounded number of pairs, or one value whose rank is known, so that its pairs may be dealt to
+    any number of tasks. What is shuffled are two packed numbers a pair, twice.
+    """
+    spans = _spans(blocks, keys, sides, top)
+    total = int(spans[0][3].sum())
+    out = "span int, part long, data binary"
+
+    def rows(side: int, values: np.ndarray, others: np.ndarray, part: int) -> pd.DataFrame:
+        """``part`` names the task's pairs: those of a range of one value stay apart by it."""
+        ends, single = spans[side][:2]
+        made = [(k, part if single[k] else 0, b) for k, b in _packed(values, others, ends)]
+        return pd.DataFrame(made, columns=["span", "part", "data"])
+
+    def ranks(side: int, k: int, values: np.ndarray) -> np.ndarray:
+        """Twice the mean ranks of a range's sorted values."""
+        _, single, before, n = spans[side]
+        if single[k]:
+            return np.full(len(values), 2 * before[k] + n[k] + 1)
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        many = np.diff(np.r_[first, len(values)])
+        return np.repeat(2 * (before[k] + first) + many + 1, many)
+
+    def first(x, y, same, row):
+        tile = ":".join(str(row[c]) for c in (*keys, "_a", "_b"))
+        p, q = sides(x, y, same)
+        return rows(0, p, q, int(hashlib.md5(tile.encode()).hexdigest()[:12], 16))
+
+    def second(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = _unpacked(pdf["data"])
+        return rows(1, q, ranks(0, key[0], p), (int(key[1]) * 31 + int(key[0])) % (1 << 60))
+
+    def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = _unpacked(pdf["data"])
+        x, y = ((v - (total + 1)).astype("f8") for v in (r, ranks(1, key[0], q)))
+        return pd.DataFrame({"n": [len(x)], "xx": [x @ x], "yy": [y @ y], "xy": [x @ y]})
+
+    dealt = over_tiles(blocks, keys, out, first, grouped=False).select("span", "part", "data")
+    placed = dealt.groupBy("span", "part").applyInPandas(second, out)
+    return placed.groupBy("span", "part").applyInPandas(summed, "n long, xx double, yy double, xy double")
+
+
+def _correlation(sums: DataFrame) -> DataFrame:
+    """pairs, rho of sums over centred ranks (n, xx, yy, xy)."""
+    total = sums.agg(*(F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")))
     return total.select(F.coalesce("n", F.lit(0)).alias("pairs"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))

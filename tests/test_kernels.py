@@ -187,6 +187,29 @@ def test_similarity_of_nine_places_tells_close_cosines_apart(spark, monkeypatch)
     assert coarse.rho is None  # all cosines are 1 at four places
 
 
+@pytest.mark.parametrize("span", [2_000_000, 20])
+def test_similarity_writes_no_pair_and_ranks_ties_of_many(spark, monkeypatch, span):
+    monkeypatch.setattr(kn, "TILE", 16)
+    monkeypatch.setattr(kn, "SPAN", span, raising=False)
+    monkeypatch.setattr(kn, "PART", 7, raising=False)
+    sizes, plain = [], kn.written
+    monkeypatch.setattr(kn, "written", lambda df: (out := plain(df), sizes.append(out.count()))[0])
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(12, 3))[np.arange(50) % 12], rng.normal(size=(20, 4))[np.arange(50) % 20]
+    df = spark.createDataFrame([(i, i % 2, [float(v) for v in x[i]], [float(v) for v in y[i]]) for i in range(50)], "id long, g int, a array<double>, b array<double>")
+    at = np.triu_indices(50, 1)
+    at = tuple(i[(at[0] - at[1]) % 2 == 0] for i in at)
+
+    def ranks(v):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        c = np.round(unit @ unit.T, 9)[at]
+        return (c[:, None] > c[None]).sum(1) + ((c[:, None] == c[None]).sum(1) + 1) / 2
+
+    got = kn.representation_similarity(df, "id", "a", "b", ["g"], places=9).first()
+    assert got.pairs == len(at[0]) == 600 and got.rho == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-12)
+    assert max(sizes) <= 50  # vectors and their blocks, no pairs
+
+
 def test_halves_of_a_unit_need_no_window_over_it(spark):
     rows = [(u, i, [float(i)]) for u, n in ((1, 41), (2, 4), (3, 3), (None, 6)) for i in range(n)]
     made = kn.halves(spark.createDataFrame(rows, "unit int, id long, v array<double>").repartition(5), "unit", "id", "v")
