@@ -253,16 +253,10 @@ def p_values(tests: DataFrame, keys: list[str], places: int = 9) -> DataFrame:
     return obs.join(null, keys, "left").groupBy(*keys).agg(F.max("obs").alias("mmd2"), F.when(F.max("obs").isNotNull(), (1 + reach) / (1 + F.count("m"))).alias("p_value"))
 
 
-def unit_pairs(df: DataFrame, unit: str, max_pairs: int, seed: str) -> DataFrame:
-    """u, w: at most ``max_pairs`` unordered pairs of different units, the least by hash; units are few or the pairs drawn."""
-    from .sampling import sampled_pairs
-
-    return sampled_pairs(df.select(unit).distinct(), unit, max_pairs, seed)
-
-
-def power_control(df: DataFrame, unit: str, ident: str, vector: str, n_perm: int = 200, max_pairs: int = 60, alpha: float = 0.05, seed: str = "power") -> DataFrame:
-    """pairs, reject_rate, median, p95 of the test between unrelated units: it must reject nearly all of them to certify anything."""
-    pairs = written(unit_pairs(df, unit, max_pairs, seed))
+def power_control(df: DataFrame, unit: str, ident: str, vector: str, n_perm: int = 200, alpha: float = 0.05, seed: str = "power") -> DataFrame:
+    """pairs, reject_rate, median, p95 of the test between every two unrelated units: it must reject nearly all of them to certify anything."""
+    units = df.select(unit).distinct()
+    pairs = written(units.select(F.col(unit).alias("u")).join(units.select(F.col(unit).alias("w")), F.col("u") < F.col("w")))
     sides = pairs.select("u", "w", F.explode(F.array(F.struct(F.col("u").alias("_unit"), F.lit(0).alias("_g")), F.struct(F.col("w").alias("_unit"), F.lit(1).alias("_g")))).alias("_s")).select("u", "w", "_s.*")
     cells = sides.join(written(df.select(F.col(unit).alias("_unit"), ident, vector)), "_unit")  # a vector is made once, not once a pair
     p = p_values(permutation_tests(cells, ["u", "w"], ident, "_g", vector, n_perm, seed), ["u", "w"])

@@ -169,7 +169,7 @@ def h14(spark, d):
  x AS (SELECT u || ':' || w AS cell, (label = w)::INT AS grp, vec_id AS i, v FROM prs JOIN q ON label IN (u, w)), {tests_sql('power', GUARD_PERMS)}
  SELECT count(*) AS pairs, round(avg((p_value < 0.05)::INT), 6) AS reject_rate, round(median(mmd2), 6) AS median, round(quantile_cont(mmd2, 0.95), 6) AS p95 FROM pv""")
 def h15(spark, d):
-    got = kn.power_control(roots(spark, d), "label", "vec_id", "v", GUARD_PERMS, max_pairs=60)
+    got = kn.power_control(roots(spark, d), "label", "vec_id", "v", GUARD_PERMS)
     return got.select("pairs", r6("reject_rate"), r6("median"), r6("p95"))
 
 

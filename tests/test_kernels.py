@@ -73,6 +73,12 @@ def test_power_control_and_half_splits(spark):
     assert kn.uniformity(half.limit(4)).first().ks is None
 
 
+def test_power_control_tests_every_two_units(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(u, 100 * u + i, [u + float(x) for x in rng.normal(size=2)]) for u in range(13) for i in range(4)], "unit int, id long, v array<double>")
+    assert kn.power_control(df, "unit", "id", "v", 3).first().pairs == 78
+
+
 def test_uniformity_of_known_values(spark):
     p = spark.createDataFrame([(x,) for x in (0.1, 0.3, 0.3, 0.7, 0.9)], "p_value double")
     r = kn.uniformity(p).first()
