@@ -20,7 +20,9 @@ from .ordering import numbered
 TILE = 1024  # vectors of a block
 SIDES, MOST = 4, 32  # a large cell's blocks are dealt to so many sides of tiles at least; blocks of a side at most
 LOCAL = 4096  # rows of a cell whose permutations one task places
-FIRST_BITS = 40  # low bits not counted in the first pass
+SOME = 4  # one of so many pairs of blocks guides the search for the median of a cell of more than 4 x SOME blocks
+STRIP = 128  # rows of a block whose distances are looked at together, as many as a processor's cache holds
+BINS = 8192  # ranges of a guess that are counted to place the median
 FEW = 4_000_000  # distances in a range that are counted one by one
 HELD = 300_000  # rows a tile holds before it adds them up
 DENSE = 5  # places of cosines whose values are all counted in one table
@@ -31,12 +33,22 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
 
 
+def _draws(head: str, tails: pd.Series, n_perm: int) -> np.ndarray:
+    """rows x permutations: the numbers that ``functions.exprs.draw`` gives, 32 bits each."""
+    ends = [f":{t}".encode() for t in tails]
+    out = np.empty((len(ends), n_perm), "i8")
+    for p in range(n_perm):
+        start = f"{head}:{p}".encode()
+        out[:, p] = np.frombuffer(b"".join([hashlib.md5(start + t).digest()[:4] for t in ends]), ">u4")
+    return out
+
+
 def permuted_labels(df: DataFrame, keys: list[str], ident: str, grp: str, n_perm: int, seed: str) -> DataFrame:
     """keys, ident, labels: the row's group (0 or 1) and those of ``n_perm`` permutations, as text of one digit each.
 
     A permutation gives group 0 to as many rows of a cell as have it, first in the order of a hash. In a large cell the
-    last row of group 0 is looked for among the few whose hash lies near where it must, so rows x permutations are
-    hashed but never shuffled or sorted.
+    last row of group 0 is looked for among the few whose hash lies near where it must: parts of LOCAL rows are hashed
+    twice, to find that row and to compare with it, and rows x permutations are never shuffled or sorted.
     """
     rows = df.select(*keys, ident, grp)
     own = F.col(grp).cast("int").cast("string")
@@ -45,47 +57,62 @@ def permuted_labels(df: DataFrame, keys: list[str], ident: str, grp: str, n_perm
     sizes = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(grp) == 0).alias("_n0")))
     small, large = (sizes.where(F.col("_n") <= LOCAL), sizes.where(F.col("_n") > LOCAL))
     text = [F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)).alias("_head"), F.col(ident).cast("string").alias("_tail")]
+    out = f"{_kinds(df, [*keys, ident])}labels string"
 
-    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident, kind="stable").reset_index(drop=True)
-        head, n0 = pdf["_head"].iloc[0], int((pdf[grp] == 0).sum())
-        digits = np.empty((len(pdf), n_perm + 1), "u1")
-        digits[:, 0] = pdf[grp]
-        for p in range(n_perm):
-            at = np.array([int(hashlib.md5(f"{head}:{p}:{t}".encode()).hexdigest()[:8], 16) for t in pdf["_tail"]])
-            digits[:, p + 1] = 1
-            digits[np.argsort(at, kind="stable")[:n0], p + 1] = 0
+    def labelled(pdf: pd.DataFrame, ones: np.ndarray) -> pd.DataFrame:
         made = pdf[[*keys, ident]].copy()
-        made["labels"] = [r.tobytes().decode() for r in digits + 48]
+        made["labels"] = [r.tobytes().decode() for r in np.concatenate([pdf[grp].to_numpy("u1")[:, None], ones], 1) + np.uint8(48)]
         return made
 
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ident, kind="stable").reset_index(drop=True)
+        ones = np.ones((len(pdf), n_perm), "u1")
+        np.put_along_axis(ones, np.argsort(_draws(pdf["_head"].iloc[0], pdf["_tail"], n_perm), axis=0, kind="stable")[: int((pdf[grp] == 0).sum())], 0, 0)
+        return labelled(pdf, ones)
+
     near = rows.join(small.select(*keys), keys).select(*keys, ident, grp, *text)
-    labels = near.groupBy(*keys).applyInPandas(placed, f"{_kinds(df, [*keys, ident])}labels string")
+    labels = near.groupBy(*keys).applyInPandas(placed, out)
     if large.isEmpty():
         return labels
-    many = rows.join(large, keys)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))
-    drawn = many.select(*keys, ident, "_n", "_n0", steps.alias("_p")).withColumn("_h", draw(seed, *keys, "_p", ident))
+    parts = F.ceil(F.col("_n") / LOCAL)
+    many = rows.join(large, keys).select(*keys, ident, grp, *text, "_n", "_n0", F.pmod(F.xxhash64(ident), parts).alias("_part"))
+    kind = df.schema[ident].dataType
     width = 8.0
     while True:
-        margin = width * F.sqrt(F.col("_n0") * (1 - F.col("_n0") / F.col("_n"))) + 16
-        low, high = ((F.col("_n0") + m) / F.col("_n") * float(1 << 32) for m in (-margin, margin))
-        before = drawn.where(F.col("_h") < low).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_before"))
-        spots = drawn.where((F.col("_h") >= low) & (F.col("_h") <= high)).groupBy(*keys, "_p", "_n0").agg(F.sort_array(F.collect_list(F.struct("_h", F.col(ident).alias("_i")))).alias("_c"))
-        at = F.col("_n0") - 1 - F.coalesce("_before", F.lit(0))  # -1 where no row has group 0 and all are after
-        last = F.when(F.col("_n0") == 0, F.struct(F.lit(-1).cast("long").alias("_h"), F.lit(None).cast(df.schema[ident].dataType).alias("_i"))).when(at >= 0, F.get("_c", at.cast("int")))
-        ends = spots.join(before, [*keys, "_p"], "left").select(*keys, "_p", last.alias("_e"))
-        ends = written(ends.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_e"))), lambda x: x["_e"]).alias("_ends")))
+        def close(pdf: pd.DataFrame) -> pd.DataFrame:
+            """For each permutation the rows whose hash lies near where the last row of group 0 must, and how many lie before."""
+            n, n0 = (int(pdf[c].iloc[0]) for c in ("_n", "_n0"))
+            margin = width * np.sqrt(n0 * (1 - n0 / n)) + 16
+            drawn, who = _draws(pdf["_head"].iloc[0], pdf["_tail"], n_perm), pdf[ident].to_numpy()
+            low, high = ((n0 + m) / n * float(1 << 32) for m in (-margin, margin))
+            spots = [np.flatnonzero(x) for x in ((drawn >= low) & (drawn <= high)).T]
+            made = pd.DataFrame({"_p": np.arange(n_perm, dtype="i4"), "_before": (drawn < low).sum(0), "_h": [drawn[x, p] for p, x in enumerate(spots)], "_i": [who[x] for x in spots]})
+            for k in reversed(keys):
+                made.insert(0, k, [pdf[k].iloc[0]] * len(made))
+            return made
+
+        found = many.groupBy(*keys, "_part").applyInPandas(close, f"{_kinds(df, keys)}_p int, _before long, _h array<long>, _i array<{kind.simpleString()}>")
+        spots = found.groupBy(*keys, "_p").agg(F.sum("_before").alias("_before"), F.sort_array(F.flatten(F.collect_list(F.arrays_zip("_h", "_i")))).alias("_c")).join(large, keys)
+        at = F.col("_n0") - 1 - F.col("_before")  # -1 where no row has group 0 and all are after
+        last = F.when(F.col("_n0") == 0, F.struct(F.lit(-1).cast("long").alias("_h"), F.lit(None).cast(kind).alias("_i"))).when(at >= 0, F.get("_c", at.cast("int")))
+        ends = spots.select(*keys, "_p", "_n", last.alias("_e"))
+        ends = written(ends.groupBy(*keys, "_n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_e"))), lambda x: x["_e"]).alias("_ends")))
         if ends.count() == large.count() and ends.where((F.size("_ends") < n_perm) | F.exists("_ends", lambda x: x.isNull())).isEmpty():
             break
         width *= 4  # all but impossible: the row lies outside; in the end every row is looked at
+    ends = written(ends.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"), F.col("_ends._h").alias("_h"), F.col("_ends._i").alias("_i")))
 
-    def digit(p: Column) -> Column:
-        h, e = draw(seed, *(F.col(k) for k in keys), p, F.col(ident)), F.get("_ends", p)
-        return F.when((h < e["_h"]) | ((h == e["_h"]) & (F.col(ident) <= e["_i"])), "0").otherwise("1")
+    def compared(pdf: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[*keys, ident, "labels"])
+        drawn, h, last = _draws(pdf["_head"].iloc[0], pdf["_tail"], n_perm), np.asarray(end["_h"].iloc[0]), end["_i"].iloc[0]
+        ones, who = (drawn > h).astype("u1"), pdf[ident].to_numpy()
+        for i, p in np.argwhere(drawn == h):
+            ones[i, p] = who[i] > last[p]
+        return labelled(pdf, ones)
 
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_perm - 1)), digit), "")
-    return labels.unionByName(rows.join(ends, keys).select(*keys, ident, F.concat(own, digits).alias("labels")))
+    by = [*keys, "_part"]
+    return labels.unionByName(many.groupBy(*by).cogroup(ends.groupBy(*by)).applyInPandas(compared, out))
 
 
 def kernel_blocks(df: DataFrame, keys: list[str], ident: str, grp: str, vector: str, n_perm: int = 200, seed: str = "perm") -> DataFrame:
@@ -102,14 +129,15 @@ def kernel_blocks(df: DataFrame, keys: list[str], ident: str, grp: str, vector:
     return written(packed.select(*keys, "blocks", "block", F.col("_r.labels").alias("labels"), F.col("_r._v").alias("vectors")))
 
 
-def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFrame | None = None, by: tuple[str, ...] = (), labelled: bool = False, grouped: bool = True) -> DataFrame:
+def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFrame | None = None, by: tuple[str, ...] = (), labelled: bool = False, grouped: bool = True, some: int = 1) -> DataFrame:
     """``work(x, y, same, row)`` for every two blocks of a cell (a block with itself: ``same``): rows of ``out``, added up
     by ``by`` inside a task.
 
     x and y are (labels, vectors) as matrices, labels where ``labelled``; ``row`` holds the cell's columns of ``extra``.
     Blocks are dealt to sides and a task gets two sides: a block goes to as many tiles as its cell has sides, which are
     few, so what is shuffled grows with the vectors until a cell has more than SIDES x MOST blocks. Where rows are many
-    (not ``grouped``) a tile is two blocks, so that a task holds the rows of those only.
+    (not ``grouped``) a tile is two blocks, so that a task holds the rows of those only. With ``some`` only one of so many
+    pairs of blocks is seen in large cells, of every block alike, for work that need not see all.
     """
     more = [] if extra is None else [c for c in extra.columns if c not in keys]
     source = blocks if extra is None else blocks.join(extra, keys)
@@ -129,19 +157,21 @@ def over_tiles(blocks: DataFrame, keys: list[str], out: str, work, extra: DataFr
         for i in sorted(first["block"]):
             x = side(i)
             for j in sorted(last["block"]):
-                if row["_a"] == row["_b"] and j < i:
+                if row["_a"] == row["_b"] and j < i or row["blocks"] > 4 * some and min(abs(i - j), row["blocks"] - abs(i - j)) % some:
                     continue
                 held.append(work(x, x if i == j else side(j), i == j, row))
                 rows += len(held[-1])
                 if rows > HELD and len(held) > 1:
                     held = [_added(held, by)]
                     rows = len(held[0])
+        if not held:
+            return pd.DataFrame(columns=[*keys, *width])
         made = (_added(held, by) if grouped else pd.concat(held))[width]
         for k in reversed(keys):
             made.insert(0, k, [row[k]] * len(made))
         return made
 
-    needed = tiles.select(*keys, "_a", "_b", "_side", "block", *(["labels"] if labelled else []), "vectors", *more)
+    needed = tiles.select(*keys, "_a", "_b", "_side", "blocks", "block", *(["labels"] if labelled else []), "vectors", *more)
     return needed.groupBy(*keys, "_a", "_b").applyInPandas(one, f"{_kinds(blocks, keys)}{out}")
 
 
@@ -165,50 +195,151 @@ def distances2(x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
     return d2[np.triu_indices(len(x), 1)] if same else d2.ravel()
 
 
+def _factors(x: np.ndarray, y: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product holds the squared distances of rows, times ``scale``."""
+    left = np.concatenate([-2 * scale * x, scale * (x * x).sum(1)[:, None], np.full((len(x), 1), scale)], 1)
+    return left, np.concatenate([y, np.ones((len(y), 1)), (y * y).sum(1)[:, None]], 1).T
+
+
+def _rough(x: np.ndarray, y: np.ndarray, same: bool):
+    """Strips of squared distances in single precision: first row, distances / unit, unit; of a block with itself those
+    above the diagonal, the others infinite. A distance / unit is wrong by less than ``_slack``."""
+    centre, width = x.mean(0), x.shape[1]
+    a, b = x - centre, y - centre
+    aa, bb = (np.einsum("ij,ij->i", v, v) for v in (a, b))
+    unit = float(max(aa.max(), bb.max())) or 1.0
+    left, right = np.ones((len(a), width + 2), "f4"), np.ones((len(b), width + 2), "f4")
+    np.multiply(a, -2 / unit**0.5, out=left[:, :width], casting="same_kind")
+    np.multiply(b, 1 / unit**0.5, out=right[:, :width], casting="same_kind")
+    left[:, width], right[:, width + 1] = aa / unit, bb / unit
+    right = right.T
+    strip = np.empty((STRIP, len(y)), "f4")
+    for at in range(0, len(x), STRIP):
+        d = np.matmul(left[at : at + STRIP], right, out=strip[: len(x) - at])
+        if same:
+            d[np.arange(len(x)) <= np.arange(at, at + len(d))[:, None]] = np.inf
+        yield at, d, unit
+
+
+def _slack(x: np.ndarray) -> float:
+    """A bound on the error of a sum of products in single precision, of rows whose norms are at most 1."""
+    return 4 * (x.shape[1] + 10) * 2.0**-24
+
+
+def _few(mask: np.ndarray) -> np.ndarray:
+    """Where a flattened mask that hardly holds any is true: eight at once are passed over."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    near = (np.flatnonzero(flat[:whole].view("u8") != 0)[:, None] * 8 + np.arange(8)).ravel()
+    near = np.r_[near, np.arange(whole, len(flat))]
+    return near[flat[near]]
+
+
+def _between(x: np.ndarray, y: np.ndarray, same: bool, low: float, high: float) -> tuple[int, np.ndarray]:
+    """How many squared distances are below ``low``, and those from there to ``high``.
+
+    Single precision tells which are surely outside; the others are computed from differences, each alike in every pass.
+    """
+    below, found = 0, [np.empty(0)]
+    for at, d, unit in _rough(x, y, same):
+        least, most = low / unit - _slack(x), high / unit + _slack(x)
+        less = d < least
+        below += int(np.count_nonzero(less))
+        spots = _few((d < most) ^ less)
+        for k in range(0, len(spots), 65_536):
+            i, j = np.divmod(spots[k : k + 65_536], d.shape[1])
+            gap = x[at + i] - y[j]
+            exact = np.einsum("ij,ij->i", gap, gap)
+            below += int(np.count_nonzero(exact < low))
+            found.append(exact[(exact >= low) & (exact < high)])
+    return below, np.concatenate(found)
+
+
+def _uncounted(low: float, high: float, inside: int) -> int:
+    """Low bits that a pass does not count: none where few distances lie between, else so many that 2^16 ranges are left."""
+    first, last = (int(np.float64(v).view("i8")) for v in (low, high))
+    return 0 if inside <= FEW else max(0, (last - first).bit_length() - 16)
+
+
 def bandwidths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, h: the median of all distances in a cell, the mean of the two middle ones where their number is even; 1 where it is 0.
 
-    A first pass counts squared distances by their leading 24 bits (doubles sort like their bits). It leaves one or two
-    ranges; where these hold few distances, a second pass counts them one by one, else by the next 20 bits, and a third by
-    the last 20, which name the value. Only counts are shuffled.
+    A block's own distances give a range that should hold the median, a pass over some pairs of blocks in single precision
+    narrows it. These only guide: the next pass counts all distances below the narrow range and those inside it exactly,
+    by their bits (doubles sort like their bits). Where a rank turns out to lie elsewhere, the range is widened, in the end
+    to all distances; ranges of many distances are counted by their leading bits, then by further ones. Only counts are
+    shuffled.
     """
-    def counted(low: int, wanted: DataFrame | None):
-        inner = wanted is not None
-
-        def work(x, y, same, row):
-            bits = distances2(x[1], y[1], same).view("i8")
-            if inner:
-                bits = bits[np.isin(bits >> row["_low"], row["_prefix"])]
-            at, n = counts_of(bits >> low)
-            return pd.DataFrame({"bits": at, "n": n})
-
-        counts = over_tiles(blocks, keys, "bits long, n long", work, wanted, ("bits",))
-        return counts.groupBy(*keys, "bits").agg(F.sum("n").alias("n"))
-
-    def located(counts: DataFrame, ranks: Column, base: Column) -> DataFrame:
-        """Ranges that hold the ranks: keys, bits, below (values before the range), n."""
-        upto = F.sum("n").over(Window.partitionBy(*keys, *(["_outer"] if "_outer" in counts.columns else [])).orderBy("bits")) + base
-        return counts.withColumn("_to", upto).withColumn("_r", ranks).where(F.exists("_r", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("n"))))
-
-    first = written(counted(FIRST_BITS, None))
-    total = first.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
-    low = FIRST_BITS
-    held = located(first.join(total, keys), ranks, F.lit(0)).select(*keys, "bits", "_n", (F.col("_to") - F.col("n")).alias("_below"), F.col("n").alias("_in"))
-    while low > 0:
-        held = written(held)
-        nxt = 0 if (held.agg(F.max("_in")).first()[0] or 0) <= FEW else max(0, low - 20)
-        wanted = held.groupBy(*keys).agg(F.collect_set("bits").alias("_prefix"), F.lit(low).alias("_low"))
-        inner = counted(nxt, wanted).withColumn("_outer", F.shiftright("bits", low - nxt))
-        outer = held.select(*keys, F.col("bits").alias("_outer"), "_n", "_below")
-        found = located(inner.join(outer, [*keys, "_outer"]), ranks, F.col("_below"))
-        held, low = found.select(*keys, "bits", "_n", (F.col("_to") - F.col("n")).alias("_below"), F.col("n").alias("_in")), nxt
+    def guessed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(list(pdf["vectors"].iloc[0]))
+        d = distances2(x, x, True)
+        share = min(0.5, 2 / np.sqrt(len(x)))
+        low, high = np.quantile(d, [0.5 - share, 0.5 + share]) if len(d) else (0.0, np.inf)
+        return pd.DataFrame([[*key, low, high + 1e-6 * d.max(initial=0.0) + 1e-30]], columns=[*keys, "low", "high"])
+
+    sizes = blocks.groupBy(*keys).agg(F.sum(F.size("labels")).cast("long").alias("_m")).select(*keys, F.expr("_m * (_m - 1) div 2").alias("_n")).where("_n > 0")
+    first = blocks.where("block = 0").select(*keys, "vectors").groupBy(*keys).applyInPandas(guessed, f"{_kinds(blocks, keys)}low double, high double")
+    ends = sizes.join(first, keys, "left").select(*keys, "_n", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(float("inf"))).alias("high"))
+    ends = written(ends.withColumn("_r", F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
+
+    def placed(x, y, same, row):
+        low, high = float(row["low"]), float(row["high"])
+        below, n = 0, np.zeros(BINS, "i8")
+        for _, d, unit in _rough(x[1], y[1], same):
+            less = d < low / unit
+            below += int(np.count_nonzero(less))
+            inner = d[(d < high / unit) ^ less].astype("f8")
+            n += np.bincount(np.clip((inner * unit - low) * (BINS / (high - low)), 0, BINS - 1).astype("i8"), minlength=BINS)
+        at, pairs = np.flatnonzero(n), len(x[1]) * (len(x[1]) - 1) // 2 if same else len(x[1]) * len(y[1])
+        return pd.DataFrame({"bin": np.r_[-1, at, BINS].astype("i4"), "n": np.r_[below, n[at], pairs - below - n.sum()]})
+
+    rough = over_tiles(blocks, keys, "bin int, n long", placed, ends.select(*keys, "low", "high"), ("bin",), some=SOME).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    rough = rough.join(ends, keys).withColumn("_to", upto).withColumn("_seen", F.sum("n").over(Window.partitionBy(*keys)))
+    held = lambda share: F.filter("_r", lambda r: (r * share < F.col("_to")) & (r * share >= F.col("_to") - F.col("n")))
+    spots = rough.withColumn("_f", F.size(held(F.col("_seen") / F.col("_n")))).where(f"_f > 0 and bin between 0 and {BINS - 1}")
+    spots = spots.groupBy(*keys, "_seen").agg(F.min("bin").alias("_b0"), F.max("bin").alias("_b1"), F.sum("_f").alias("_f"), F.max("n").alias("_near"))
+    width = (F.col("high") - F.col("low")) / BINS
+    sure = (F.col("_f") == F.size("_r")) & (F.col("high") < float("inf"))
+    wider = 1 + F.when(F.col("_seen") < F.col("_n"), F.ceil(3 * F.sqrt("_seen") / F.col("_near"))).otherwise(0)  # six deviations of a rank
+    low, high = F.greatest(F.lit(0.0), F.col("low") + (F.col("_b0") - wider) * width), F.col("low") + (F.col("_b1") + 1 + wider) * width
+    whole = {"low": F.lit(0.0), "high": F.lit(float("inf")), "_in": F.col("_n")}
+    near = {"low": low, "high": high, "_in": F.least(F.col("_n"), F.ceil((2 + 2 * wider) * F.col("_near") * (F.col("_n") / F.col("_seen"))))}
+    state = ends.join(spots, keys, "left").select(*keys, "_n", F.explode("_r").alias("_r"), *(F.when(sure, near[c]).otherwise(whole[c]).alias(c) for c in whole))
+
+    def counted(x, y, same, row):
+        out = []
+        for low, high, inside in (map(float, r) for r in row["_ranges"]):
+            below, d = _between(x[1], y[1], same, low, high)
+            drop = _uncounted(low, high, inside)
+            at, n = counts_of(d.view("i8") >> drop)
+            out.append(pd.DataFrame({"low": low, "high": high, "dropped": drop, "bits": np.r_[-1, at], "n": np.r_[below, n]}))
+        return pd.concat(out)
 
     @F.pandas_udf("double")
     def as_double(bits: pd.Series) -> pd.Series:
-        return pd.Series(np.sqrt(bits.to_numpy("i8").view("f8")))
+        return pd.Series(bits.to_numpy("i8").view("f8"))
 
-    h = written(held.withColumn("_d", as_double("bits"))).groupBy(*keys).agg(((F.min("_d") + F.max("_d")) / 2).alias("_h"))
+    found = None
+    while True:
+        state = written(state)
+        wanted = state.groupBy(*keys).agg(F.array_sort(F.collect_set(F.array("low", "high", F.col("_in").cast("double")))).alias("_ranges"))
+        by = ("low", "high", "dropped", "bits")
+        counts = over_tiles(blocks, keys, "low double, high double, dropped int, bits long, n long", counted, wanted, by).groupBy(*keys, *by).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "low", "high").orderBy("bits"))
+        ranks = state.groupBy(*keys, "low", "high").agg(F.collect_list("_r").alias("_r"))
+        at = counts.withColumn("_to", upto).where("bits >= 0").join(ranks, [*keys, "low", "high"]).withColumn("_r", F.explode(held(1)))
+        at = written(at.select(*keys, "_r", "n", "dropped", *(as_double(F.expr(f"shiftleft(bits + {k}, dropped)")).alias(c) for k, c in enumerate(("low", "high")))))
+        exact = at.where("dropped = 0").select(*keys, F.sqrt("low").alias("_d"))
+        found = exact if found is None else found.unionByName(exact)
+        left = state.select(*keys, "_n", "_r", F.col("low").alias("low0"), F.col("high").alias("high0"), F.col("_in").alias("in0")).join(at, [*keys, "_r"], "left").where("dropped is null or dropped > 0")
+        if left.isEmpty():
+            break
+        past = (F.col("low0") > 0) & (F.col("high0") < float("inf"))  # a narrow range that the rank lies outside of
+        gap = 16 * (F.col("high0") - F.col("low0"))
+        more = {"low": F.greatest(F.lit(0.0), F.col("low0") - gap), "high": F.col("high0") + gap, "_in": F.least(F.col("_n"), 33 * F.col("in0"))}
+        state = left.select(*keys, "_n", "_r", *(F.coalesce(F.col("n" if c == "_in" else c), F.when(past, more[c]).otherwise(v)).alias(c) for c, v in whole.items()))
+    h = found.groupBy(*keys).agg(((F.min("_d") + F.max("_d")) / 2).alias("_h"))
     return h.select(*keys, F.when(F.col("_h") > 0, F.col("_h")).otherwise(1.0).alias("h"))
 
 
@@ -217,15 +348,20 @@ def mmd_permutations(blocks: DataFrame, keys: list[str], bandwidth: DataFrame) -
     groups (p = -1) and every permutation. Null where a group has fewer than two rows."""
 
     def work(x, y, same, row):
-        d2 = np.maximum((x[1] * x[1]).sum(1)[:, None] + (y[1] * y[1]).sum(1)[None, :] - 2 * x[1] @ y[1].T, 0.0)
-        k = np.exp(-d2 / (2 * row["h"] ** 2))
-        if same:
-            np.fill_diagonal(k, 0.0)
-        gx, gy = x[0], y[0]
-        ky = k @ gy
-        s11 = (gx * ky).sum(0)
-        left, right = (gx * k.sum(1)[:, None]).sum(0), ky.sum(0)
-        cross, s00 = left + right - 2 * s11, k.sum() - left - right + s11
+        left, right = _factors(x[1], y[1], -0.5 / row["h"] ** 2)
+        gx, gy = x[0], np.concatenate([y[0], np.ones((len(y[0]), 1))], 1)
+        strip, ky = np.empty((STRIP, 4 * STRIP)), np.zeros((len(gx), gy.shape[1]))
+        for i in range(0, len(gx), STRIP):
+            for j in range(0, len(gy), 4 * STRIP):
+                k = np.matmul(left[i : i + STRIP], right[:, j : j + 4 * STRIP], out=strip[: len(gx) - i, : len(gy) - j])
+                np.exp(np.minimum(k, 0.0, out=k), out=k)
+                if same:
+                    k[np.arange(i, i + len(k))[:, None] == np.arange(j, j + k.shape[1])] = 0.0
+                ky[i : i + STRIP] += k @ gy[j : j + 4 * STRIP]
+        ky, sums = ky[:, :-1], ky[:, -1]
+        s11 = np.einsum("ij,ij->j", gx, ky)
+        first, second = sums @ gx, ky.sum(0)
+        cross, s00 = first + second - 2 * s11, sums.sum() - first - second + s11
         half = 0.5 if same else 1.0  # a block with itself holds every pair twice
         return pd.DataFrame({"p": np.arange(gx.shape[1]) - 1, "s00": half * s00, "s11": half * s11, "s01": half * cross})
 

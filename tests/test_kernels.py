@@ -45,6 +45,28 @@ def test_tiles_equal_all_pairs(spark, monkeypatch, tile):
             assert got[cell, p] == pytest.approx(plain_mmd(*sides, h[cell]), abs=1e-9)
 
 
+@pytest.mark.parametrize("guess", [True, False])
+def test_bandwidths_are_exact_in_two_sweeps_of_large_cells(spark, monkeypatch, guess):
+    monkeypatch.setattr(kn, "TILE", 16)
+    sweeps, plain = [], kn.over_tiles
+    monkeypatch.setattr(kn, "over_tiles", lambda *a, **k: (sweeps.append(a[2]), plain(*a, **k))[1])
+    if not guess:
+        monkeypatch.setattr(kn, "BINS", 10**6, raising=False)  # ranges too narrow for a guess to hold the median
+        monkeypatch.setattr(kn, "FEW", 40)
+    rng = np.random.default_rng(9)
+    cells = {0: rng.normal(size=(301, 5)) + 5000, 1: np.repeat(rng.normal(size=(40, 5)), 8, 0), 2: np.zeros((300, 5)), 3: 1e25 * rng.normal(size=(300, 5)), 4: rng.normal(size=(2, 5)), 5: rng.normal(size=(1, 5))}
+    df = spark.createDataFrame([(c, i, i % 2, [float(z) for z in v]) for c, x in cells.items() for i, v in enumerate(x)], "cell int, id long, grp int, v array<double>")
+    blocks = kn.kernel_blocks(df, ["cell"], "id", "grp", "v", 0)
+    assert blocks.where("cell = 0 and blocks > 16").count() > 4 * 4
+    got = {r.cell: r.h for r in kn.bandwidths(blocks, ["cell"]).collect()}
+    assert set(got) == {0, 1, 2, 3, 4} and got[2] == 1.0
+    for c in (0, 1, 3, 4):
+        x = cells[c]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(len(x), 1)]
+        assert got[c] == pytest.approx(np.median(d), rel=1e-14)
+    assert len(sweeps) <= 3 if guess else len(sweeps) > 3  # one that guides, one that counts, more where a guess failed
+
+
 def test_a_shift_is_rejected_and_none_is_not(spark):
     _, df = sample(spark, seed=5)
     p = {r.cell: r for r in kn.p_values(kn.permutation_tests(df, ["cell"], "id", "grp", "v", 100), ["cell"]).collect()}
