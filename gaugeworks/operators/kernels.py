@@ -350,14 +350,14 @@ def mmd_permutations(blocks: DataFrame, keys: list[str], bandwidth: DataFrame) -
     def work(x, y, same, row):
         left, right = _factors(x[1], y[1], -0.5 / row["h"] ** 2)
         gx, gy = x[0], np.concatenate([y[0], np.ones((len(y[0]), 1))], 1)
-        strip, ky = np.empty((STRIP, 4 * STRIP)), np.zeros((len(gx), gy.shape[1]))
-        for i in range(0, len(gx), STRIP):
-            for j in range(0, len(gy), 4 * STRIP):
-                k = np.matmul(left[i : i + STRIP], right[:, j : j + 4 * STRIP], out=strip[: len(gx) - i, : len(gy) - j])
-                np.exp(np.minimum(k, 0.0, out=k), out=k)
-                if same:
-                    k[np.arange(i, i + len(k))[:, None] == np.arange(j, j + k.shape[1])] = 0.0
-                ky[i : i + STRIP] += k @ gy[j : j + 4 * STRIP]
+        k, ky = np.empty((STRIP, len(gy))), np.empty((len(gx), gy.shape[1]))
+        for at in range(0, len(gx), STRIP):
+            strip = k[: len(gx) - at]
+            np.matmul(left[at : at + STRIP], right, out=strip)
+            np.exp(np.minimum(strip, 0.0, out=strip), out=strip)
+            if same:
+                strip[np.arange(len(strip)), np.arange(at, at + len(strip))] = 0.0
+            np.matmul(strip, gy, out=ky[at : at + STRIP])
         ky, sums = ky[:, :-1], ky[:, -1]
         s11 = np.einsum("ij,ij->j", gx, ky)
         first, second = sums @ gx, ky.sum(0)
